@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import packing, token_counts
+from quirefold.llm import mixing, packing, secrets, sharding, simhash, token_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,6 +31,53 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"), words=3, seed=42, max_bits=2)
+    return found.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def of(kind: str):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        of("assign"),
+        of("access"),
+        of("hex"),
+        F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
+    mixed = mixing.mix(sized, size_col="words", weights=(3, 1, 2), share=1.5, most=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    narrow = docs.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
+    )
+    placed = sharding.shard(narrow, shards=8, keys=["doc_id", "text_crc32"])
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), length=1024, end_id=0)
@@ -38,6 +85,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op5_simhash": op5_simhash,
+    "op6_secret_scans": op6_secret_scans,
+    "op7_mixing": op7_mixing,
+    "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
 }
 
