@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import fingerprints, mixing, packing, secrets, sharding, simhash, token_counts, toxicity
+from quirefold.llm import embeddings, fingerprints, licenses, mixing, packing, secrets, sharding, simhash, token_counts, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,6 +31,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs)
+    matches = F.col("licence_scan.matches")
+    return found.select(
+        "doc_id",
+        F.array_join(F.col("licence_scan.sentences"), ",").alias("sentence_ids"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["licence"]))), ",").alias("licences"),
+        F.size(matches).cast("long").alias("n_matches"),
+        F.coalesce(F.array_max(F.transform(matches, lambda m: m["score"])), F.lit(0.0)).alias("best_score"),
+    )
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(read(spark, sf_dir, "documents"))
 
@@ -99,8 +112,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), length=1024, end_id=0)
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_license_scans": op2_license_scans,
     "op3_fingerprints": op3_fingerprints,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
@@ -108,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
