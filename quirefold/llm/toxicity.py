@@ -212,7 +212,7 @@ def _signed_g2(p: int, n: int, P: int, N: int) -> float:
     return 2 * (ll(p, P, a) + ll(n, N, b) - ll(p, P, q) - ll(n, N, q))
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=50_000)
 def _grams(word: str) -> frozenset[str]:
     plain = "^" + "".join(chr(96 + c) for c in _CODES[[min(ord(x), 0xFFFF) for x in word]] if c)
     return frozenset(plain[i : i + n] for n in (4, 5) for i in range(len(plain) - n + 1))
@@ -405,7 +405,7 @@ def may_learn(id_col: Column) -> Column:
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    per_class: int = 1500, n_landmarks: int = 400,
+    per_class: int = 800, n_landmarks: int = 400,
 ) -> Model:
     """A model from at most ``per_class`` labelled documents of each class.
 
