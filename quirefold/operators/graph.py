@@ -15,12 +15,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     end do not matter. Returns ``node, component`` with one row for each node of
     a non-loop edge; an empty edge table gives an empty result.
 
-    Every round points each node at its smallest neighbour (or itself) and
-    contracts the graph along those pointers, so at most half of the nodes of a
-    component stay; the pointers of all rounds are then composed. A hub is only
-    ever reduced by a map-side ``min`` or split by AQE's skew join, and nothing
-    is collected but one row count per round. A graph that has not settled after
-    ``max_rounds`` raises instead of returning a partial answer.
+    Every round points each node at its smallest neighbour (or itself), follows the
+    pointers to their ends by doubling, and contracts the graph onto those ends. An
+    end that nobody points at has a smaller neighbour in the next round, so two
+    rounds halve the nodes; the pointers of all rounds are then composed. A hub is
+    only ever reduced by a map-side ``min`` or split by AQE's skew join, and the
+    driver sees nothing but whether rows are left. A graph that has not settled
+    after ``max_rounds`` raises instead of returning a partial answer.
     """
     live = (
         edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
@@ -37,6 +38,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         point = materialise(
             both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("to")), "cc-point"
         )
+        for _ in range(max_rounds):  # a chain of n pointers ends after log2 n doublings
+            on = point.select(F.col("node").alias("to"), F.col("to").alias("next")).hint("merge")
+            jumped = materialise(point.join(on, "to").select("node", "to", "next"), "cc-point")
+            point = jumped.select("node", F.col("next").alias("to"))
+            if jumped.where("to <> next").isEmpty():
+                break
         steps.append(point)
         a = point.select(F.col("node").alias("u"), F.col("to").alias("a")).hint("merge")
         b = point.select(F.col("node").alias("v"), F.col("to").alias("b")).hint("merge")
