@@ -76,7 +76,8 @@ def mix(
     inclusion probability, documents are taken in order of
     (u / (1 - u)) / (p / (1 - p)) until the source's words are reached. p is the
     fraction still wanted, different in each source, and within one in proportion
-    to ``weight_col`` where that is given (null or not positive: never in the sample).
+    to ``weight_col`` where that is given (null or not positive: never in the sample); a
+    document of more words than the rest wants is not in the sample either.
     One more document may close the gap that whole documents leave: that whose size
     is nearest to it. ``taken`` is copies * size.
 
@@ -125,7 +126,8 @@ def mix(
         p = F.least(F.col("__p") * F.col("__tilt") / F.col("__mean"), F.lit(1 - 1e-9))
         q = (F.col("__u") / (1 - F.col("__u"))) / (p / (1 - p))
         even = q * (F.col("__p") / (1 - F.col("__p")))
-        at = F.when((F.col("__p") > 0) & (p > 0), even / (1 + even))
+        fits = F.col("__size") <= F.col("__wanted")
+        at = F.when((F.col("__p") > 0) & (p > 0) & fits, even / (1 + even))
         return joined.withColumn("__at", at).withColumn("__bucket", F.floor(F.col("__at") * F.col("__buckets")))
 
     part = ranked(slim).where("__at IS NOT NULL")

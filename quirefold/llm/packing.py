@@ -138,7 +138,7 @@ def _grouped(texts: list[str], chars: int = 500_000) -> Iterator[list[str]]:
 
 
 def tokenised(
-    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, cache_size: int = 300_000
+    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, cache_size: int = 150_000
 ) -> DataFrame:
     """One row per document: ``doc_id, ids, n, part, start`` with the end id added.
 

@@ -30,7 +30,7 @@ def frequent_pretokens(
     """
     words = docs.select(
         F.explode(F.split(F.col(text_col), " ")).alias("w"),
-    ).where("w <> ''")
+    ).where((F.col("w") != "") & ~F.col("w").contains(SPACE_MARK))
     first = words.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("g")).agg(
         F.expr(f"approx_top_k_accumulate(w, {tracked})").alias("sketch")
     )

@@ -427,7 +427,7 @@ def train(
     return fit([t for _, t, _ in rows], [y for *_, y in rows], rate, n_landmarks)
 
 
-def score(col: Column, model: Model, cache_size: int = 300_000) -> Column:
+def score(col: Column, model: Model, cache_size: int = 150_000) -> Column:
     """Column: probability that a text is toxic, from its highest-scored words.
 
     Words are scored once in a worker and looked up after that. Null counts as empty;
