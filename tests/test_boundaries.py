@@ -187,3 +187,28 @@ def test_mentions_two_ways(spark):
     small = {(r["id"], r["m"]) for r in joins.mentions(texts, roster, "t", "m", ["n1", "n2"]).collect()}
     large = {(r["id"], r["m"]) for r in joins.mentions(texts, roster, "t", "m", ["n1", "n2"], small=0).collect()}
     assert small == large == {(1, "a"), (1, "b"), (1, "c")}
+
+
+def test_trimming_order(spark):
+    roster = [("a", "Ann"), ("b", "Bob"), ("c", "Cid")]
+    pairs = [("s1" * 50, "e1" * 50, "b"), ("s2", "e2", None)]
+    schema = "req_id long, text string, speaker string, pairs array<struct<source:string,english:string,speaker:string>>, roster array<struct<meta_id:string,name:string>>"
+    rows = spark.createDataFrame([(1, "hi Cid", "a", pairs, roster), (2, "x" * 500, "a", [], roster)], schema)
+
+    def trimmed(budget):
+        return {r["req_id"]: r for r in order.trim_request(rows, n_ctx=budget + 4, max_new=0).collect()}
+
+    assert trimmed(347)[1]["kept_pairs"] == 2  # costs 347: everything fits
+    assert (trimmed(346)[1]["kept_pairs"], trimmed(346)[1]["kept_roster"]) == (1, ["a", "c", "b"])  # Bob speaks in the oldest pair: it goes first
+    tight = trimmed(140)[1]
+    assert (tight["kept_pairs"], tight["kept_roster"], tight["cost"], tight["error"]) == (0, ["a", "c"], 140, None)
+    assert trimmed(140)[2]["error"] == "does not fit"
+
+
+def test_region_colours(spark):
+    rows = [(g, 250, 250, 250, "ring") for g in (1, 2) for _ in range(200)]
+    rows += [(1, 10, 10, 12, "core")] * 60 + [(2, 10, 10, 12, "core")] * 20  # too little ink in the second
+    px = spark.createDataFrame(rows, "g_id int, r int, g int, b int, zone string")
+    got = {r["g_id"]: r for r in aggregate.region_colours(px, "g_id").collect()}
+    assert tuple(got[1]["plate"]) == tuple(got[2]["plate"]) == (250, 250, 250)
+    assert tuple(got[1]["ink"]) == (10, 10, 12) and got[2]["ink"] is None
