@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -79,7 +81,7 @@ _ENDS = re.compile(r"[.!?;:]+(?=\s|$)|\n+")
 _NUMBER = re.compile(r"\d+(?:\.\d+)*")
 _OTHER = re.compile(r"[^a-z0-9#]+")
 _NUMBERED = re.compile(r"#")
-#: Words one of which is in every known sentence; sentences without are none.
+#: Words one of which is in every known sentence; texts without hold none.
 _CUE = re.compile(r"(?i)licen|permi|warrant|redistribut|copyright|rights|condition|spdx|endorse")
 
 
@@ -99,32 +101,60 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
         yield at, len(text)
 
 
+def _pattern(known: str) -> re.Pattern[str]:
+    """A known sentence over a text's normal form, in which each line is a span of ``sentences``.
+
+    Its words may run over any number of lines; it begins with a line and ends with one.
+    A ``*`` at the end takes the rest of its line, at the begin what the line has before;
+    one inside reaches on until the sentence begins anew.
+    """
+
+    def words(part: str) -> str:
+        return r"[ \n]".join(map(re.escape, part.split()))
+
+    first, *rest = known.split("*")
+    out, anew = words(first), rf"(?!\n{words(first)}[ \n])" if first.strip() else r"(?!\n)"
+    for part in rest:
+        if not part.strip():
+            out += r"(?: [^\n]*)?"
+        else:
+            out += rf"(?:{anew}[\s\S])*?{'[ \n]' if out else '\\b'}{words(part)}"
+    return re.compile(out + r"$", re.M)
+
+
 class _Book:
     def __init__(self, known: dict[str, str], rules: list[tuple[str, tuple[str, ...], float]]) -> None:
-        self.exact = {v: k for k, v in known.items() if "*" not in v}
-        self.open = [
-            (k, re.compile(re.escape(v).replace(r"\ \*", "(?: .*)?").replace(r"\*", ".*").replace(r"\#", "#") + r"\Z", re.S))
-            for k, v in known.items()
-            if "*" in v
-        ]
+        self.starts: dict[str, list[tuple[str, re.Pattern[str]]]] = {}
+        for k, v in sorted(known.items(), key=lambda x: "*" in x[1]):
+            if v.strip():
+                first = v.split("*")[0].split()
+                self.starts.setdefault(first[0] if first else "", []).append((k, _pattern(v)))
+        self.cued = all(map(_CUE.search, known.values()))
         self.rules = rules
 
     def find(self, text: str) -> list[tuple[str, int, int]]:
-        """(identifier, start, end) of known sentences in order."""
+        """(identifier, start, end) of known sentences in order; one that only ends another is part of it."""
         out = []
-        if not text or not _CUE.search(text):
+        if not text or (self.cued and not _CUE.search(text)):
             return out
-        spans = list(sentences(text))
-        for i, (a, b) in enumerate(spans):
-            if not _CUE.search(text, a, b):
-                continue
-            for last in range(i, min(i + 4, len(spans))):  # a sentence may run over line ends
-                end = spans[last][1]
-                plain = normalise(text[a:end])
-                name = self.exact.get(plain) or next((k for k, p in self.open if p.match(plain)), None)
-                if name:
-                    out.append((name, a, end))
-                    break
+        spans, lines = [], []
+        for a, b in sentences(text):
+            if plain := normalise(text[a:b]):
+                spans.append((a, b))
+                lines.append(plain)
+        whole = "\n".join(lines)
+        ends = [at - 1 for at in accumulate(len(x) + 1 for x in lines)]
+        at, last = 0, -1
+        for (a, _), plain in zip(spans, lines, strict=True):
+            first, best = plain.split(" ", 1)[0], None
+            for name, pattern in (*self.starts.get(first, ()), *self.starts.get("", ())):
+                m = pattern.match(whole, at)
+                if m and (best is None or m.end() < best[1]):
+                    best = name, m.end()
+            if best and best[1] != last:
+                last = best[1]
+                out.append((best[0], a, spans[bisect_left(ends, last)][1]))
+            at += len(plain) + 1
         return out
 
     def match(self, found: list[tuple[str, int, int]]) -> list[tuple[str, float, int, int]]:

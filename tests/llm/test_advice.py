@@ -1,0 +1,69 @@
+"""What the reviewer of round 1 found missing."""
+
+import textwrap
+
+import pytest
+
+from quirefold.llm import licenses
+
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+3. Neither the name of the University nor the names of its
+   contributors may be used to endorse or promote products derived
+   from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+
+
+def licences(text):
+    book = licenses._Book(licenses.SENTENCES, licenses.RULES)
+    return [m[:2] for m in book.match(book.find(text))]
+
+
+@pytest.mark.parametrize("width", [24, 40, 72, 10_000])
+@pytest.mark.parametrize("mark", ["", " * ", "// "])
+def test_whole_notices(width, mark):
+    def laid(text):
+        lines = [x for part in text.split("\n\n") for x in (*textwrap.wrap(" ".join(part.split()), width), "")]
+        return "".join(f"{mark}{x}\n" for x in lines)
+
+    assert licences(laid(GPL)) == [("GPL", 1.0)]
+    assert licences(laid(GPL.replace("software:", "software;"))) == [("GPL", 1.0)]
+    assert licences(laid(BSD)) == [("BSD-3-Clause", 1.0)]
+    assert licences(laid(GPL + "\n" + BSD)) == [("GPL", 1.0), ("BSD-3-Clause", 1.0)]
+    assert licences(laid("This work is licensed under the GNU General Public License, version 3.")) == [("GPL", 0.9)]
+
+
+def test_unmodified_notices():
+    assert licences(GPL) == [("GPL", 1.0)]
+    assert licences(BSD) == [("BSD-3-Clause", 1.0)]
+    two = BSD[: BSD.index("3. ")] + BSD[BSD.index("THIS") :]
+    assert licences(two) == [("BSD-2-Clause", 1.0)]
+    unfinished = "Neither the name of the sea\nis known.\n" * 3
+    assert licences(unfinished + BSD) == [("BSD-3-Clause", 1.0)]
+
+
+def test_own_sentences():
+    book = licenses._Book({"a": "* may be copied", "b": "copy * freely"}, [("A", ("a",), 1.0)])
+    assert book.find("It may be copied. So\ncopy it\nfreely.") == [("a", 0, 16), ("b", 21, 35)]
