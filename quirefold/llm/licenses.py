@@ -14,40 +14,59 @@ from pyspark.sql import functions as F
 from quirefold.plans.session import ship_package
 
 #: Sentences of public licence texts and notices, by identifier, in their normal form
-#: (see ``normalise``). ``#`` stands for any number, ``*`` for any run of words.
+#: (see ``normalise``). ``#`` stands for any number, ``*`` for any run of words, ``~`` at the end for
+#: nothing or one of ``TAILS``.
 SENTENCES: dict[str, str] = {
-    "mit_name": "the mit license",
-    "mit_released": "released under the mit license",
-    "mit_licensed": "licensed under the mit license",
+    "mit_name": "the mit license ~",
+    "mit_released": "released under the mit license ~",
+    "mit_licensed": "licensed under the mit license ~",
     "mit_grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction *",
     "mit_notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "as_is_software": "the software is provided as is without warranty of any kind express or implied *",
-    "apache_named": "licensed under the apache license version #",
+    "apache_named": "licensed under the apache license version # ~",
     "apache_comply": "you may not use this file except in compliance with the license",
     "apache_obtain": "you may obtain a copy of the license at *",
     "apache_unless": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis *",
-    "gpl_named": "this work is licensed under the gnu general public license version #",
-    "gpl_licensed": "licensed under the gnu general public license version #",
+    "gpl_named": "this work is licensed under the gnu general public license version # ~",
+    "gpl_licensed": "licensed under the gnu general public license version # ~",
     "gpl_redistribute": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation *",
     "gpl_hope": "this program is distributed in the hope that it will be useful but without any warranty *",
     "gpl_received": "you should have received a copy of the gnu general public license along with this program *",
-    "cc_by": "licensed under cc by #",
-    "cc_by_work": "this work is licensed under a creative commons attribution # international license",
-    "cc_by_nc": "licensed under cc by nc #",
-    "cc_by_sa": "licensed under cc by sa #",
-    "cc_by_nc_sa": "licensed under cc by nc sa #",
-    "cc0": "licensed under cc0 #",
+    "cc_by": "licensed under cc by # ~",
+    "cc_by_work": "this work is licensed under a creative commons attribution # international license ~",
+    "cc_by_nc": "licensed under cc by nc # ~",
+    "cc_by_sa": "licensed under cc by sa # ~",
+    "cc_by_nc_sa": "licensed under cc by nc sa # ~",
+    "cc0": "licensed under cc0 # ~",
     "bsd_grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd_source": "redistributions of source code must retain the above copyright notice *",
     "bsd_binary": "redistributions in binary form must reproduce the above copyright notice *",
     "bsd_names": "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software *",
     "bsd_as_is": "this software is provided by the copyright holders and contributors as is *",
     "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted *",
-    "mpl_named": "this source code form is subject to the terms of the mozilla public license v #",
+    "mpl_named": "this source code form is subject to the terms of the mozilla public license v # ~",
     "spdx_tag": "spdx license identifier *",
     "reserved": "all rights reserved",
 }
 
+#: What a naming sentence may add to the name, mostly in brackets.
+TAILS = [
+    "the license",
+    "the licence",
+    "mit",
+    "gpl",
+    "gplv#",
+    "apache #",
+    "cc by #",
+    "cc by nc #",
+    "cc by sa #",
+    "cc by nc sa #",
+    "mpl #",
+    "or later",
+    "or any later version",
+    "or at your option any later version",
+]
+
 #: Licence, the sentence identifiers that prove it in this order, and how sure that is.
 RULES: list[tuple[str, tuple[str, ...], float]] = [
     ("MIT", ("mit_grant", "mit_notice", "as_is_software"), 1.0),
@@ -86,9 +105,9 @@ _CUE = re.compile(r"(?i)licen|permi|warrant|redistribut|copyright|rights|conditi
 
 
 def normalise(sentence: str) -> str:
-    """Lower case, numbers as ``#``, everything else than letters and digits as one space.
+    """Lower case, numbers as ``#``, everything else than letters and digits, ``#`` too, as one space.
     Comment marks at a line's begin go with that."""
-    return _OTHER.sub(" ", _NUMBER.sub("#", sentence.lower())).strip().replace("cc#", "cc0")
+    return _OTHER.sub(" ", _NUMBER.sub("#", sentence.lower().replace("#", " "))).strip().replace("cc#", "cc0")
 
 
 def sentences(text: str) -> Iterator[tuple[int, int]]:
@@ -112,6 +131,7 @@ def _pattern(known: str) -> re.Pattern[str]:
     def words(part: str) -> str:
         return r"[ \n]".join(map(re.escape, part.split()))
 
+    known, tail, _ = known.partition("~")
     first, *rest = known.split("*")
     out, anew = words(first), rf"(?!\n{words(first)}[ \n])" if first.strip() else r"(?!\n)"
     for part in rest:
@@ -119,6 +139,8 @@ def _pattern(known: str) -> re.Pattern[str]:
             out += r"(?: [^\n]*)?"
         else:
             out += rf"(?:{anew}[\s\S])*?{'[ \n]' if out else '\\b'}{words(part)}"
+    if tail:
+        out += rf"(?:[ \n](?:{'|'.join(map(words, TAILS))}))?"
     return re.compile(out + r"$", re.M)
 
 

@@ -67,3 +67,34 @@ def test_unmodified_notices():
 def test_own_sentences():
     book = licenses._Book({"a": "* may be copied", "b": "copy * freely"}, [("A", ("a",), 1.0)])
     assert book.find("It may be copied. So\ncopy it\nfreely.") == [("a", 0, 16), ("b", 21, 35)]
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", "#", "## ", " * ", "// "])
+def test_marked_lines(mark):
+    def marked(text):
+        return "".join(f"{mark}{x}\n" for x in text.splitlines())
+
+    assert licences(marked(APACHE)) == [("Apache-2.0", 1.0)]
+    assert licences(marked(GPL)) == [("GPL", 1.0)]
+    assert licences(marked(BSD)) == [("BSD-3-Clause", 1.0)]
+    assert licences(marked("Licensed under the MIT License\nx = 1")) == [("MIT", 0.9)]
+    assert licences(marked("The MIT License (MIT)")) == [("MIT", 0.8)]
+    assert licences(marked("Licensed under the Apache License,\nVersion 2.0\n(the \"License\"); x")) == [("Apache-2.0", 0.9)]
+    assert licences(marked("Licensed under the GNU General Public License, version 2 or later.")) == [("GPL", 0.9)]
+    assert licences(marked("Licensed under CC0 1.0.\nLicensed under CC BY-NC 4.0.")) == [("CC0-1.0", 0.9), ("CC-BY-NC", 0.9)]
+
+
+def test_number_marks_are_not_numbers():
+    assert licences("Licensed under the Apache License, Version #") == []
