@@ -26,9 +26,9 @@ WEAK = [
     (
         "weak_id",
         "id",
-        r"""(?i)\b(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}|\b(?-i:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{4,15}\b""",
+        r"""(?i)(?:\b|(?<=_))(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}|\b(?-i:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{4,15}\b""",
     ),
-    ("weak_secret", "secret", r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}"),
+    ("weak_secret", "secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}"),
     ("endpoint", "endpoint", r"""\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ftp)://[^\s"'<>|]+|\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?\b"""),
 ]
 #: Role of a base kind in a credential.
