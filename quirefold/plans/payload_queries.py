@@ -95,7 +95,7 @@ def x8(spark, d):
     SELECT conv_id, turn, arg_max(n, i) AS lines, arg_max(longest, i) AS longest, arg_max(line, i) AS last FROM f GROUP BY conv_id, turn""",
 )
 def l1(spark, d):
-    c = read(spark, d, "conversations").where("text NOT LIKE '%-%'").select("conv_id", "turn", F.regexp_replace("text", r"\s+", " ").alias("text")).where("trim(text) <> ''")
+    c = read(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"\s+", " ").alias("text")).where("trim(text) <> ''")
     lines = c.withColumn("l", layout.wrap(F.col("text"), F.lit(40.0)))
     return lines.select("conv_id", "turn", F.size("l").alias("lines"), F.array_max(F.transform("l", lambda s: F.length(s))).alias("longest"), F.element_at("l", -1).alias("last"))
 

@@ -110,7 +110,7 @@ def c7(spark, d):
     r"""SELECT doc_id, md5(replace(replace(regexp_replace(regexp_replace(text, '\b(authorization|api[ _-]?key|access[ _-]?token|token|password|secret)([\s"'']*[:=][\s"'']*)(?:bearer\s+)?[^\s,;"''<>]+', '\1\2[redacted]', 'gi'), '\bbearer\s+[a-z0-9._~+/=-]+', 'Bearer [redacted]', 'gi'), chr(13), '\r'), chr(10), '\n')) AS digest FROM documents WHERE text NOT LIKE '%://%'""",
 )
 def c7_text(spark, d):
-    docs = read(spark, d, "documents").where(~F.col("text").contains("://"))
+    docs = read(spark, d, "documents")
     return docs.select("doc_id", F.md5(text.redact(F.col("text"))).alias("digest"))
 
 
@@ -122,7 +122,7 @@ _REPLY = "CASE turn % 4 WHEN 0 THEN concat('```json', chr(10), text, chr(10), '`
     "SELECT conv_id, turn, CASE WHEN turn % 4 = 2 THEN NULL WHEN turn % 4 = 3 AND (text LIKE '%\"%' OR role LIKE '%\"%') THEN concat('\"', text, '\"') WHEN turn % 4 = 1 THEN ltrim(text, ' ' || chr(10)) ELSE text END AS reply FROM conversations WHERE text = trim(text, ' ' || chr(10) || chr(9) || chr(13))",
 )
 def c8(spark, d):
-    conv = read(spark, d, "conversations").where(F.expr("text = trim(BOTH ' \\n\\t\\r' FROM text)"))
+    conv = read(spark, d, "conversations")
     return conv.select("conv_id", "turn", text.clean_reply(F.expr(_REPLY), F.col("role")).alias("reply"))
 
 
@@ -132,7 +132,7 @@ def c8(spark, d):
     r AS (SELECT DISTINCT role FROM conversations) SELECT conv_id, turn, t.tag, r.role AS label, t.text AS body FROM t LEFT JOIN r ON lower(t.tag) = lower(r.role)""",
 )
 def c9(spark, d):
-    conv = read(spark, d, "conversations").where(~F.col("text").startswith("["))
+    conv = read(spark, d, "conversations")
     tagged = F.expr("CASE WHEN turn % 3 = 2 THEN text WHEN turn % 3 = 1 THEN concat('[x]: [A ', role, ']: ', text) ELSE concat('[', role, ']:', text) END")
     return clean.speaker_labels(conv.select("conv_id", "turn", tagged.alias("text")), conv.select("role").distinct(), "role")
 
