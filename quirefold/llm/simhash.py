@@ -174,19 +174,34 @@ def near_duplicates(
     return prints.join(placed.hint("merge"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, max_bits: int = 2
+) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, that of the smallest id.
 
-    Of rows that repeat an id one stays; a row with a null id stays. All columns pass.
+    Rows are told apart by id and text: of rows that repeat both one stays, of rows
+    that repeat an id alone only near copies go. A row with a null id stays. All
+    columns pass.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone.hint("merge"), id_col, "left_anti")
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    marked = kept.withColumn("__nth", nth).where(F.col(id_col).isNull() | (F.col("__nth") == 1))
-    return marked.drop("__nth").select(*(F.col(f"`{c}`") for c in docs.columns))
+    ship_package(docs.sparkSession)
+    given = F.col(f"`{id_col}`")
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
+    prints = materialise(
+        docs.where(given.isNotNull()).select(
+            given.cast("long").alias("__id"), key.alias("__key"), fingerprint(F.col(text_col), words, seed).alias("fp")
+        ),
+        "simhash-rows",
+    )
+    classes = materialise(prints.groupBy("fp").agg(F.min(F.struct("__id", "__key")).alias("least")), "simhash-row-classes")
+    # nodes are fingerprints: an id may have several
+    found = connected_components(links(classes.select("fp", F.col("fp").alias("rep")), max_bits))
+    groups = classes.join(found.select(F.col("node").alias("fp"), "component").hint("merge"), "fp", "left")
+    stays = groups.groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("least").alias("least"))
+    stays = stays.select("least.*").hint("merge")
+    rows = docs.where(given.isNotNull()).withColumn("__id", given.cast("long")).withColumn("__key", key)
+    kept = rows.join(stays, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.select(*columns).unionAll(docs.where(given.isNull()).select(*columns))
 
 
 LINK_SCHEMA = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])

@@ -5,7 +5,7 @@ import textwrap
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.llm import licenses, secrets
+from quirefold.llm import licenses, secrets, simhash
 
 GPL = """This program is free software: you can redistribute it and/or modify
 it under the terms of the GNU General Public License as published by
@@ -120,3 +120,14 @@ def test_env_pairs(spark):
     spans = {r["doc_id"]: r["s"] for r in secrets.scan(table).select("doc_id", secrets.joined(F.col("spans")).alias("s")).collect()}
     at = texts[0][1].index(secret)
     assert f"weak_secret:{at}:{at + len(secret)}" in spans[1].split(",")
+
+
+def test_keep_one_goes_by_row(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcde"}
+    rows = [(1, "a"), (2, "a"), (2, "b"), (2, "b"), (3, "c"), (3, "d"), (4, "d"), (5, "e"), (None, "a"), (None, "e"), (None, "e")]
+    table = spark.createDataFrame([(i, texts[k], 7) for i, k in rows] + [(6, None, 7), (6, "", 7), (7, None, 7)], "doc_id long, text string, fp int")
+    kept = simhash.keep_one(table.repartition(3))
+    assert kept.columns == table.columns
+    names = {v: k for k, v in texts.items()}
+    got = sorted((str(r["doc_id"]), names.get(r["text"], "-")) for r in kept.collect())
+    assert got == sorted([("1", "a"), ("2", "b"), ("3", "c"), ("3", "d"), ("5", "e"), ("None", "a"), ("None", "e"), ("None", "e"), ("6", "-")])
