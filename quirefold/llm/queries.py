@@ -39,6 +39,9 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.array_join(F.col("licence_scan.sentences"), ",").alias("sentence_ids"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["licence"]))), ",").alias("licences"),
+        F.array_join(
+            F.array_sort(F.array_distinct(F.transform(matches, lambda m: F.concat_ws("-", m["licence"], m["version"])))), ","
+        ).alias("versions"),
         F.size(matches).cast("long").alias("n_matches"),
         F.coalesce(F.array_max(F.transform(matches, lambda m: m["score"])), F.lit(0.0)).alias("best_score"),
     )
