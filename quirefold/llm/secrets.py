@@ -5,7 +5,7 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.plans.session import materialise
@@ -21,14 +21,25 @@ BASE = [
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
 ]
-#: Parts that say little alone: kind, role in a credential, pattern.
+#: Parts that say little alone: kind, role in a credential, pattern. The pattern of weak secrets
+#: passes over hosts and paths of addresses, which look much like them; ``weak_spans`` leaves these out.
+#: A run of 16 or more is one if it mixes cases and has a digit beside a capital or three digits,
+#: or is of small letters and digits that take turns, or of capitals and digits 2 to 7.
 WEAK = [
     (
         "weak_id",
         "id",
         r"""(?i)(?:\b|(?<=_))(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}|\b(?-i:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{4,15}\b""",
     ),
-    ("weak_secret", "secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}"),
+    (
+        "weak_secret",
+        "secret",
+        r"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ftp)://[^\s\"'<>|?#]+"
+        r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})(?:"
+        r"(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*?(?:[A-Z][0-9]|[0-9][A-Z])|(?:[A-Za-z+/_-]*[0-9]){3})"
+        r"|(?=(?:[a-z]*[0-9]+[a-z]+){3})(?=[a-z0-9]+(?![A-Z+/_-]))"
+        r"|(?=[A-Z]*[2-7])(?=[A-Z2-7]+(?![a-z0189+/_-])))[A-Za-z0-9+/_-]+={0,2}",
+    ),
     ("endpoint", "endpoint", r"""\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ftp)://[^\s"'<>|]+|\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?\b"""),
 ]
 #: Role of a base kind in a credential.
@@ -38,28 +49,49 @@ COMPLEMENTS = {"id": ("secret",), "secret": ("id", "endpoint"), "endpoint": ("se
 KINDS = [k for k, *_ in BASE] + [k for k, *_ in WEAK]
 
 
-def _matches(text: Column, pattern: str, gate: Column | None = None) -> Column:
-    """Array of (start, end, match) in code points, leftmost and without overlaps."""
-    pieces = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{_OPEN}$0{_CLOSE}")), _OPEN)
+#: Matches of one text are placed in blocks of so many: an array grows by copying, so that one
+#: array for all would cost the square of their number.
+_BLOCK = 128
+_FOUND = "array<struct<start:int,end:int,match:string>>"
 
-    def step(state: Column, piece: Column) -> Column:
-        found = F.substring_index(piece, _CLOSE, 1)
-        one = F.struct(
-            state["at"].alias("start"), (state["at"] + F.length(found)).cast("int").alias("end"), found.alias("match")
-        )
-        return F.struct(
-            (state["at"] + F.length(piece) - 1).cast("int").alias("at"), F.concat(state["out"], F.array(one)).alias("out")
-        )
 
-    kind = "array<struct<start:int,end:int,match:string>>"
-    folded = F.aggregate(
-        F.slice(pieces, F.lit(2), F.size(pieces)),
-        F.struct(F.length(pieces[0]).cast("int").alias("at"), F.array().cast(kind).alias("out")),
-        step,
+def _placed(pieces: Column) -> Column:
+    """Matches with their places, from a text cut before each match, whose end is marked."""
+    size = F.size(pieces)
+    blocks = F.sequence(F.lit(0), F.floor((size - 2) / _BLOCK).cast("int"))
+
+    def block(i: Column) -> Column:
+        return F.slice(pieces, i * _BLOCK + 2, F.lit(_BLOCK))
+
+    def start(state: Column, i: Column) -> Column:
+        length = F.aggregate(block(i), F.lit(0), lambda n, piece: n + F.length(piece) - 1)
+        return F.struct((state["at"] + length).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+
+    starts = F.aggregate(
+        blocks,
+        F.struct(F.length(pieces[0]).alias("at"), F.array().cast("array<int>").alias("out")),
+        start,
         lambda state: state["out"],
     )
+
+    def step(state: Column, piece: Column) -> Column:
+        found = F.substring_index(piece, _CLOSE, 1)
+        one = F.struct(state["at"].alias("start"), (state["at"] + F.length(found)).alias("end"), found.alias("match"))
+        return F.struct((state["at"] + F.length(piece) - 1).alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+
+    def inside(i: Column, at: Column) -> Column:
+        empty = F.struct(at.alias("at"), F.array().cast(_FOUND).alias("out"))
+        return F.aggregate(block(i), empty, step, lambda state: state["out"])
+
+    return F.flatten(F.transform(F.array(starts), lambda s: F.flatten(F.transform(blocks, lambda i: inside(i, F.get(s, i))))))
+
+
+def _matches(text: Column, pattern: str, gate: Column | None = None) -> Column:
+    """Array of (start, end, match) in code points, leftmost and without overlaps."""
+    pieces = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{_OPEN}$0{_CLOSE}")), _OPEN)
+    placed = F.flatten(F.transform(F.array(pieces), _placed))  # cut once, used often
     hit = text.rlike(pattern) if gate is None else gate & text.rlike(pattern)
-    return F.when(hit, folded).otherwise(F.array().cast(kind))
+    return F.when(hit, placed).otherwise(F.array().cast(_FOUND))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -85,14 +117,17 @@ def _long_enough(found: Column, pattern: str, group: int, least: int) -> Column:
 
 
 def weak_spans(text: Column) -> dict[str, Column]:
+    """For each weak kind its spans: array of (start, end)."""
     gates = {
         "weak_id": text.contains("=") | text.contains(":") | text.rlike("A[A-Z]{3}"),
         "endpoint": text.contains("://") | text.rlike(r"\d\.\d"),
     }
-    return {
-        kind: F.transform(_matches(text, pattern, gates.get(kind)), lambda x: F.struct(x["start"], x["end"]))
-        for kind, _, pattern in WEAK
-    }
+
+    def kept(kind: str, pattern: str) -> Column:
+        found = _matches(text, pattern, gates.get(kind))
+        return F.filter(found, lambda x: ~x["match"].contains("://")) if kind == "weak_secret" else found
+
+    return {kind: F.transform(kept(kind, pattern), lambda x: F.struct(x["start"], x["end"])) for kind, _, pattern in WEAK}
 
 
 def _tagged(spans: Column, kind: str) -> Column:
@@ -115,28 +150,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     """One row per row of ``docs``: ``doc_id, text_key, base, spans``.
 
     ``base`` are the spans of the single patterns. ``spans`` are these and the weak
-    parts that complete each other: an identifier with a secret, a secret with an
-    identifier or an endpoint, an endpoint with a secret, whose starts are at most
-    ``scope`` code points apart in one document; base spans count as parts too. Each
-    span is (start, rank, end, kind), in code points, end exclusive.
-
-    The join is on scopes: parts are reduced to their first and last start in each
-    stretch of ``scope`` code points, and a weak part looks at its own stretch and the
-    two beside it, which decides exactly and never pairs parts. Only spans are
-    shuffled, texts never. Null and empty texts have none. Documents are told apart by
-    id and text, so repeated rows get the same spans.
+    parts that another part completes: an identifier a secret, a secret an identifier
+    or an endpoint, an endpoint a secret, if they start at most ``scope`` code points
+    apart in one document and no character is in both; base spans count as parts too.
+    Each span is (start, rank, end, kind), in code points, end exclusive.
+
+    Parts are joined to scopes by interval frames over a stretch of a document: a part
+    is completed from before if the least end of the parts wanted among those that start
+    up to ``scope`` earlier is no later than its start, from after if their greatest
+    start up to ``scope`` later is no earlier than its end. Nothing is paired, and long
+    documents are many stretches. Only spans are shuffled, texts never. Null and empty
+    texts have none; an empty table gives none. Documents are told apart by id and text,
+    so repeated rows get the same spans.
     """
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), _OPEN + _CLOSE, _OTHER + _OTHER)
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.concat_ws(
-            "/",
-            F.coalesce(F.col(id_col).cast("string"), F.lit("-")),
-            F.hex(F.xxhash64(F.col(text_col))),
-            F.hex(F.crc32(F.coalesce(F.col(text_col), F.lit("")))),
-        ).alias("text_key"),
-        text.alias("t"),
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_key(id_col, text_col).alias("text_key"), text.alias("t"))
     base = base_spans(F.col("t"))
     weak = weak_spans(F.col("t"))
     found = rows.select(
@@ -146,30 +174,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
         F.concat(*(_tagged(s, k) for k, s in weak.items())).alias("weak"),
     )
     found = materialise(found, "secret-spans")
-    role = F.lit(None).cast("string")
-    for kind, of in [*ROLES.items(), *((k, r) for k, r, _ in WEAK)]:
-        role = F.when(F.col("p.kind") == kind, of).otherwise(role)
-    parts = (
-        found.where("size(weak) > 0")
-        .select("text_key", F.explode(F.concat("base", "weak")).alias("p"))
-        .select("text_key", "p", role.alias("role"), F.floor(F.col("p.start") / scope).alias("stretch"))
-    )
-    there = parts.groupBy("text_key", "stretch", "role").agg(F.min("p.start").alias("first"), F.max("p.start").alias("last"))
-    wanted = F.lit(False)
-    for of, others in COMPLEMENTS.items():
-        wanted = wanted | ((F.col("role") == of) & F.col("other").isin(*others))
-    looking = (
-        parts.where(F.col("p.kind").isin(*(k for k, *_ in WEAK)))
-        .distinct()
-        .select("text_key", "p", "role", F.explode(F.array(*(F.col("stretch") + d for d in (-1, 0, 1)))).alias("stretch"))
-    )
-    near = (
-        looking.hint("merge")
-        .join(there.withColumnRenamed("role", "other"), ["text_key", "stretch"])
-        .where(wanted)
-        .where((F.col("first") <= F.col("p.start") + scope) & (F.col("last") >= F.col("p.start") - scope))
-    )
-    linked = near.groupBy("text_key").agg(F.collect_set("p").alias("linked"))
+    linked = _completed(found, scope).groupBy("text_key").agg(F.collect_list("p").alias("linked"))
     return found.join(linked.hint("merge"), "text_key", "left").select(
         "doc_id",
         "text_key",
@@ -178,20 +183,45 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     )
 
 
+def _text_key(id_col: str, text_col: str) -> Column:
+    return F.concat_ws(
+        "/",
+        F.coalesce(F.col(id_col).cast("string"), F.lit("-")),
+        F.hex(F.xxhash64(F.col(text_col))),
+        F.hex(F.crc32(F.coalesce(F.col(text_col), F.lit("")))),
+    )
+
+
+def _completed(found: DataFrame, scope: int) -> DataFrame:
+    """``text_key, p``: the weak parts that others complete, each once."""
+    stretch = 100 * scope
+    role = F.lit(None).cast("string")
+    for kind, of in [*ROLES.items(), *((k, r) for k, r, _ in WEAK)]:
+        role = F.when(F.col("p.kind") == kind, of).otherwise(role)
+    parts = found.where("size(weak) > 0").select("text_key", F.explode(F.concat("base", "weak")).alias("p")).distinct()
+    # a part near the border of its stretch is seen from the next one, too
+    near = F.array_distinct(F.array(*(F.floor((F.col("p.start") + d) / stretch) for d in (0, -scope, scope))))
+    parts = parts.select("text_key", "p", role.alias("role"), F.posexplode(near).alias("seen", "stretch"))
+    by = Window.partitionBy("text_key", "stretch").orderBy(F.col("p.start"))
+    wanted = {of: F.col("role").isin(*others) for of, others in COMPLEMENTS.items()}
+    done = F.lit(False)
+    for of, other in wanted.items():
+        before = F.min(F.when(other, F.col("p.end"))).over(by.rangeBetween(-scope, -1))
+        after = F.max(F.when(other, F.col("p.start"))).over(by.rangeBetween(0, scope))
+        done = done | ((F.col("role") == of) & ((before <= F.col("p.start")) | (after >= F.col("p.end"))))
+    weak = F.col("p.kind").isin(*(k for k, *_ in WEAK))
+    return parts.select("text_key", "p", "seen", weak.alias("weak"), F.coalesce(done, F.lit(False)).alias("done")).where("weak AND done AND seen = 0")
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[REDACTED]", **options) -> DataFrame:
     """``docs`` with every found span of a text replaced by ``mark``; overlapping spans are one.
 
-    Rows and other columns stay as they are; so do texts without spans.
+    Rows and other columns stay as they are, null ids, repeated rows and clashing names
+    included; so do texts without spans, null and empty ones.
     """
     spans = scan(docs, id_col, text_col, **options).where("size(spans) > 0")
     spans = spans.groupBy("text_key").agg(F.first("spans").alias("__spans"))
-    key = F.concat_ws(
-        "/",
-        F.coalesce(F.col(id_col).cast("string"), F.lit("-")),
-        F.hex(F.xxhash64(F.col(text_col))),
-        F.hex(F.crc32(F.coalesce(F.col(text_col), F.lit("")))),
-    )
-    rows = docs.withColumn("__key", key)
+    rows = docs.withColumn("__key", _text_key(id_col, text_col))
     text = F.col(text_col)
 
     def step(state: Column, s: Column) -> Column:
