@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quirefold.operators.graph import connected_components
 from quirefold.plans.session import materialise, ship_package
@@ -54,99 +53,86 @@ def hex64(col: Column) -> Column:
     return F.lpad(F.lower(F.hex(col)), 16, "0")
 
 
-def _byte(col: Column, i: int) -> Column:
-    return F.shiftrightunsigned(col, 8 * i).bitwiseAND(F.lit(255))
+#: Sets of four of eight positions whose numbers cancel under exclusive or: 14 sets, each position in
+#: seven, each two in three, each three in one. So sets clear of 1, 2 or 3 given positions are 7, 3 or 1.
+SETS = [c for c in combinations(range(BYTES), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
+_CLEAR = {1: 7, 2: 3, 3: 1}
+#: Bits of a position at each level: bytes, then half-bytes and quarter-bytes of what a list leaves open.
+_WIDTHS = (8, 4, 2)
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """In how many of the eight positions two fingerprints have the same byte."""
-    tally = F.lit(0)
-    for i in range(BYTES):
-        tally = tally + (_byte(a, i) == _byte(b, i)).cast("int")
-    return tally
+def _masks(level: int) -> list[int]:
+    """Bits that are fixed in each list of a level; list ``14 i + j`` of a level splits list i of the one above."""
+    if level < 0:
+        return [0]
+    width, out = _WIDTHS[level], []
+    for fixed in _masks(level - 1):
+        free = [i for i in range(0, 64, width) if not fixed >> i & 1]
+        out += [fixed | sum(((1 << width) - 1) << free[i] for i in chosen) for chosen in SETS]
+    return out
 
 
-def _position_sets() -> list[tuple[int, ...]]:
-    """Sets of four byte positions, of which two fingerprints with at most two
-    unequal bytes share one at least: unions of two of the four byte pairs."""
-    pairs = [(0, 1), (2, 3), (4, 5), (6, 7)]
-    return [a + b for a, b in combinations(pairs, 2)]
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
 
 
-def _mask(positions: tuple[int, ...]) -> int:
-    value = sum(0xFF << (8 * i) for i in positions)
-    return value - (1 << 64) if value >> 63 else value
+def _posted(prints: DataFrame, level: int) -> DataFrame:
+    """Postings ``s, k, fp, rep``: each fingerprint in 14 lists, under the bytes that are fixed there."""
+    masks = F.expr(f"array({','.join(f'CAST({_signed(m)} AS BIGINT)' for m in _masks(level))})")
+    first = F.col("s") * len(SETS) if level else F.lit(0)
+    lists = F.transform(F.sequence(F.lit(0), F.lit(len(SETS) - 1)), lambda j: (first + j).cast("int"))
+    posted = prints.select("fp", "rep", F.explode(lists).alias("s"))
+    return posted.select("s", F.col("fp").bitwiseAND(F.get(masks, F.col("s"))).alias("k"), "fp", "rep")
 
 
-def links(prints: DataFrame, max_bits: int = 2, long_list: int = 32) -> DataFrame:
-    """Edges ``src, dst`` between representatives ``rep`` of distinct fingerprints
-    ``fp`` that connect all pairs at ``max_bits`` (1 or 2) differing bits or fewer.
-
-    Two such fingerprints have at least six of their eight positional bytes in
-    common. Lists over one byte would hold a 256th of all fingerprints each and make
-    the tally grow with the square of the input, so the index is over sets of four
-    positions: each fingerprint is in six lists, and a pair that qualifies meets in
-    one at least. For pairs that meet, the shared positional bytes are tallied, those
-    with six or more kept, and their bits compared.
-
-    A list of over ``long_list`` fingerprints makes no pairs. Its members agree on
-    four bytes, so each sends itself and its 32 one-bit changes on the other four;
-    whoever meets at one of these values is within two bits, and every pair within
-    two bits meets. That is linear in the list, and at most 33 meet at a value.
-    """
-    sets = _position_sets()
-    posted = prints.select(
-        "fp",
-        "rep",
-        F.explode(
-            F.array(*(F.struct(F.lit(i).alias("s"), F.col("fp").bitwiseAND(F.lit(_mask(p))).alias("k")) for i, p in enumerate(sets)))
-        ).alias("key"),
-    ).select("fp", "rep", "key.s", "key.k")
-    posted = materialise(posted, "simhash-lists")
+def _shared(prints: DataFrame, least: int, long_list: int, level: int = 0) -> DataFrame:
+    """``s, fa, ra, fb, rb``: a row for each list of a level that a pair shares."""
+    posted = materialise(_posted(prints, level), f"simhash-lists-{level}")
     lists = posted.groupBy("s", "k").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialise(posted.join(lists.hint("merge"), ["s", "k"]), "simhash-met")
-    short = met.where(F.col("n") <= long_list)
+    met = materialise(posted.join(lists.hint("merge"), ["s", "k"]), f"simhash-met-{level}")
+    last = level + 1 == len(_WIDTHS)
+    short = met if last else met.where(F.col("n") <= long_list)
     a = short.select("s", "k", F.col("fp").alias("fa"), F.col("rep").alias("ra"))
     b = short.select("s", "k", F.col("fp").alias("fb"), F.col("rep").alias("rb"))
-    pairs = (
-        a.hint("merge")
-        .join(b, ["s", "k"])
-        .where("fa < fb")
-        .where(shared_bytes(F.col("fa"), F.col("fb")) >= BYTES - 2)
-        .where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= max_bits)
-        .select(F.col("ra").alias("src"), F.col("rb").alias("dst"))
-    )
-    changes = F.array(
-        *(
-            F.array(
-                F.lit(0).cast("long"),
-                *(F.lit(_mask_bit(8 * i + j)) for i in range(BYTES) if i not in p for j in range(8)),
-            )
-            for p in sets
-        )
-    )
-    spread = met.where(F.col("n") > long_list).select(
-        "rep", "fp", "s", F.explode(F.element_at(changes, F.col("s") + 1)).alias("change")
-    )
-    near = spread.groupBy("s", F.col("fp").bitwiseXOR(F.col("change")).alias("at")).agg(
-        F.collect_list(F.struct("fp", "rep")).alias("met")
-    )
-    if max_bits < 2:  # only a fingerprint and its own one-bit changes
-        near = near.withColumn("met", F.filter("met", lambda x: F.bit_count(x["fp"].bitwiseXOR(F.col("at"))) <= max_bits))
-        near = near.where(F.exists("met", lambda x: x["fp"] == F.col("at")))
-        stars = near.select(
-            F.explode("met").alias("m"), F.filter("met", lambda x: x["fp"] == F.col("at"))[0]["rep"].alias("dst")
-        )
-    else:
-        stars = near.where(F.size("met") > 1).select(
-            F.explode("met").alias("m"), F.array_min(F.transform("met", lambda x: x["rep"])).alias("dst")
-        )
-    return pairs.unionAll(stars.select(F.col("m.rep").alias("src"), "dst").where("src <> dst")).distinct()
+    pairs = a.hint("merge").join(b, ["s", "k"]).where("fa < fb").select("s", "fa", "ra", "fb", "rb")
+    if last:
+        return pairs
+    long = met.where(F.col("n") > long_list)
+    if long.isEmpty():
+        return pairs
+    below = _tallied(_shared(long, least, long_list, level + 1), least, F.floor(F.col("s") / len(SETS)).cast("int").alias("s"))
+    return pairs.unionByName(below)
+
 
+def _tallied(shared: DataFrame, least: int, *by: Column) -> DataFrame:
+    """Pairs that share ``least`` lists or more."""
+    pair = ("fa", "ra", "fb", "rb")
+    return shared.groupBy(*by, *pair).agg(F.count("*").alias("tally")).where(F.col("tally") >= least).drop("tally")
 
-def _mask_bit(i: int) -> int:
-    value = 1 << i
-    return value - (1 << 64) if i == 63 else value
+
+def links(prints: DataFrame, max_bits: int = 2, long_list: int = 16) -> DataFrame:
+    """Edges ``src, dst`` between representatives ``rep`` of distinct fingerprints
+    ``fp`` for all pairs at ``max_bits`` (1 to 3) differing bits or fewer.
+
+    An inverted index over byte positions with count filtering. Lists over one byte
+    would hold a 256th of all fingerprints each and make the tally grow with the square
+    of the input, so a list is over four positions and a fingerprint is in 14 of them
+    (``SETS``). A pair that differs in two bytes at most shares three lists or more: the
+    lists that a pair shares are counted, pairs under the guaranteed minimum (7, 3 or 1
+    for 1, 2 or 3 bits) go, and the bits of the others are compared.
+
+    A list of over ``long_list`` fingerprints is hot and split by the same rule over the
+    half-bytes that it leaves open, and once more over quarter-bytes; a pair that reaches
+    the minimum in the lists of a split counts once for the list. A list of the last
+    level has eight open bits and so at most 256 fingerprints. No pair within
+    ``max_bits`` is lost at any length.
+    """
+    if max_bits not in _CLEAR:
+        raise ValueError("max_bits must be 1, 2 or 3")
+    least = _CLEAR[max_bits]
+    pairs = _tallied(_shared(prints, least, long_list), least)
+    near = pairs.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= max_bits)
+    return near.select(F.col("ra").alias("src"), F.col("rb").alias("dst"))
 
 
 def near_duplicates(
@@ -202,6 +188,3 @@ def keep_one(
     kept = rows.join(stays, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return kept.select(*columns).unionAll(docs.where(given.isNull()).select(*columns))
-
-
-LINK_SCHEMA = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
