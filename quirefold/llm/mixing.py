@@ -13,6 +13,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_SOURCES = 10_000
 #: About so many documents of one source are ordered in one task.
 BUCKET_ROWS = 5_000
+#: Measures that differ by less than a fiftieth count as one.
+MEASURE_STEPS = 50
+#: So often the words that a sample leaves are sampled for again.
+REFILLS = 2
 
 
 def word_count(text: Column) -> Column:
@@ -47,7 +51,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: flo
         "level",
         (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after),
     )
-    s = s.withColumn("c", F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "level"))).over(everything))
+    s = s.withColumn("nth", F.row_number().over(by_level))  # of sources that are full at one level, the first decides
+    s = s.withColumn("c", F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("nth", "level"))).over(everything))
     return s.select(
         "source",
         "source_size",
@@ -56,6 +61,25 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: flo
     )
 
 
+def expected_copies(measures: DataFrame, most: float) -> DataFrame:
+    """``source, level``: the level at which ``least(most, level * measure)`` copies of each
+    document give the source's ``target`` words.
+
+    ``measures`` has a row per source and measure: ``source, target, measure, words``. From
+    the largest measure down, those that would be above ``most`` stop there; the rest share
+    what is left. The level is null where ``most`` copies of all do not exceed the target.
+    """
+    down = Window.partitionBy("source").orderBy(F.desc("measure"))
+    before, on = down.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(0, Window.unboundedFollowing)
+    got = measures.where("measure > 0").withColumn(
+        "level",
+        (F.col("target") - float(most) * F.coalesce(F.sum("words").over(before), F.lit(0)))
+        / F.nullif(F.sum(F.col("words") * F.col("measure")).over(on), F.lit(0.0)),
+    )
+    fits = F.col("level") * F.col("measure") <= float(most)
+    return got.groupBy("source").agg(F.max(F.when(fits, F.struct("measure", "level")))["level"].alias("level"))
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -67,105 +91,127 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     seed: int = 7,
+    tilt: float = 0.5,
+    with_expected: bool = False,
 ) -> DataFrame:
-    """``docs`` with ``size, source_size, target, copies, taken``.
-
-    A source that is to give ``target`` of its ``source_size`` words first gives
-    floor(target / source_size) whole copies of each document. The rest comes from a
-    Pareto order sample: with u a number in (0, 1) hashed from the document and p its
-    inclusion probability, documents are taken in order of
-    (u / (1 - u)) / (p / (1 - p)) until the source's words are reached. p is the
-    fraction still wanted, different in each source, and within one in proportion
-    to ``weight_col`` where that is given (null or not positive: never in the sample); a
-    document of more words than the rest wants is not in the sample either.
-    One more document may close the gap that whole documents leave: that whose size
-    is nearest to it. ``taken`` is copies * size.
-
-    The cut is found without ordering a source in one task: a histogram of the
-    ranking variable, about ``BUCKET_ROWS`` documents a bucket, gives the bucket where
-    the words run out, and only that one is ordered. Sizes come from ``size_col``, or
-    else are the words of ``text_col``. Nothing is drawn at random, so reruns agree;
-    equal rows are treated alike. Null sources are a source, null texts have no words
-    and are taken as often as others where their turn comes; an empty table gives
-    none. Existing columns of the five names are replaced.
+    """``docs`` with ``size, source_size, target, copies, taken`` (and ``expected`` if wished).
+
+    Each document of a source is to be taken ``expected`` times: in proportion to its
+    measure, at most ``most`` times, and so that the source gives ``target`` words. The
+    measure is ``weight_col`` where that is given (null or not positive: never taken), else
+    the size to the power ``tilt``, so that fewer and longer documents carry a source's
+    words; 0 makes all alike. The whole part of ``expected`` is allocated as certain
+    copies. Its fraction p is the document's inclusion probability in a Pareto order
+    sample: with u a number in (0, 1) hashed from the document, documents are taken in
+    order of (u / (1 - u)) / (p / (1 - p)) until the words that the certain copies leave
+    are reached. The one at the cut is passed over if it is longer than what is left; the
+    words it leaves are filled in the same order from documents that fit (``REFILLS``
+    times), and one more document, of any length, may close the gap: that whose size is
+    nearest to it. ``taken`` is copies * size.
+
+    A cut is found without ordering a source in one task: a histogram of the ranking
+    variable, about ``BUCKET_ROWS`` documents a bucket, gives the bucket where the words
+    run out, and only that one is ordered. Sizes come from ``size_col``, or else are the
+    words of ``text_col``. Nothing is drawn at random, so reruns agree; equal rows are
+    treated alike. Null sources are a source; null and empty texts have no words and
+    are never in a sample by size; an empty table gives none. Existing columns of
+    these names are replaced.
     """
     size = F.col(size_col).cast("long") if size_col else word_count(F.col(text_col))
+    size = F.coalesce(size, F.lit(0).cast("long"))
     tie = F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col(source_col), F.col(text_col) if text_col in docs.columns else F.lit(0))
     unit = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), tie), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    tilt = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
-    rows = docs.withColumns(
-        {"__source": F.col(source_col), "__size": F.coalesce(size, F.lit(0).cast("long")), "__tie": tie, "__u": unit, "__tilt": tilt}
-    )
-    slim = materialise(rows.select("__source", "__size", "__tie", "__u", "__tilt"), "mix-slim")
-    per_source = slim.groupBy(F.col("__source").alias("source")).agg(
-        F.sum("__size").alias("source_size"), F.count("*").alias("n"), F.avg("__tilt").alias("mean_tilt")
+    rows = docs.withColumns({"__source": F.col(source_col), "__size": size, "__tie": tie, "__u": unit})
+    weight = F.col(weight_col).cast("double") if weight_col else F.pow(F.col("__size").cast("double"), F.lit(float(tilt)))
+    step = F.floor(F.log(weight) * MEASURE_STEPS)
+    measure = F.when((weight > 0) & (F.col("__size") > 0), F.exp(step / MEASURE_STEPS)).otherwise(F.lit(0.0))
+    rows = rows.withColumn("__measure", measure)
+    slim = materialise(rows.select("__source", "__size", "__tie", "__u", "__measure"), "mix-slim")
+    measures = slim.groupBy(F.col("__source").alias("source"), F.col("__measure").alias("measure")).agg(
+        F.sum("__size").alias("words"), F.count("*").alias("n")
     )
-    per_source = materialise(per_source, "mix-sources")
-    plan = targets(per_source.select("source", "source_size", "n"), weights, share, most).join(
-        per_source.select(F.col("source").alias("s2"), "mean_tilt").hint("merge"), F.expr("source <=> s2")
-    )
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = materialise(
-        plan.select(
-            F.col("source").alias("__s1"),
-            F.col("source_size").alias("__source_size"),
-            F.col("target").alias("__target"),
-            F.floor(ratio).alias("__whole"),
-            (ratio - F.floor(ratio)).alias("__p"),
-            (F.col("target") - F.floor(ratio) * F.col("source_size")).alias("__wanted"),
-            F.ceil(F.col("n") / BUCKET_ROWS).alias("__buckets"),
-            F.col("mean_tilt").alias("__mean"),
-        ),
-        "mix-plan",
+    measures = materialise(measures, "mix-measures")
+    per_source = measures.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n"))
+    aims = materialise(targets(per_source, weights, share, most), "mix-targets")
+    hint = "broadcast" if aims.count() <= BROADCAST_SOURCES else "merge"
+    aimed = measures.select(F.col("source").alias("s1"), "measure", "words").join(aims.hint(hint), F.expr("s1 <=> source"))
+    levels = materialise(expected_copies(aimed.select("source", "target", "measure", "words"), most), "mix-levels")
+    levels = aims.join(levels.select(F.col("source").alias("s2"), "level").hint(hint), F.expr("source <=> s2"), "left")
+
+    def expected(level: Column, of: Column) -> Column:
+        return F.when(of > 0, F.least(F.lit(float(most)), F.coalesce(level, F.lit(float("inf"))) * of)).otherwise(F.lit(0.0))
+
+    sure = aimed.join(levels.select(F.col("source").alias("s3"), "level").hint(hint), F.expr("s1 <=> s3")).groupBy("s1")
+    sure = sure.agg(F.sum(F.floor(expected(F.col("level"), F.col("measure"))) * F.col("words")).alias("sure"))
+    plan = levels.join(sure.hint(hint), F.expr("source <=> s1")).select(
+        F.col("source").alias("__s1"),
+        F.col("source_size").alias("__source_size"),
+        F.col("target").alias("__target"),
+        F.col("level").alias("__level"),
+        F.greatest(F.col("target") - F.col("sure"), F.lit(0.0)).alias("__left0"),
+        F.ceil(F.col("n") / BUCKET_ROWS).alias("__buckets"),
     )
-    hint = "broadcast" if plan.count() <= BROADCAST_SOURCES else "merge"
+    plan = materialise(plan, "mix-plan")
 
     def ranked(df: DataFrame) -> DataFrame:
-        """With the ranking variable mapped to (0, 1) so that it is even where p is, and its bucket."""
+        """With the certain copies, the ranking variable mapped to (0, 1), and its bucket."""
         joined = df.join(plan.hint(hint), F.expr("__source <=> __s1"), "left")
-        p = F.least(F.col("__p") * F.col("__tilt") / F.col("__mean"), F.lit(1 - 1e-9))
+        joined = joined.withColumn("__expected", expected(F.col("__level"), F.col("__measure")))
+        p = F.col("__expected") - F.floor("__expected")
         q = (F.col("__u") / (1 - F.col("__u"))) / (p / (1 - p))
-        even = q * (F.col("__p") / (1 - F.col("__p")))
-        fits = F.col("__size") <= F.col("__wanted")
-        at = F.when((F.col("__p") > 0) & (p > 0) & fits, even / (1 + even))
+        at = F.when(p > 0, q / (1 + q))
         return joined.withColumn("__at", at).withColumn("__bucket", F.floor(F.col("__at") * F.col("__buckets")))
 
-    part = ranked(slim).where("__at IS NOT NULL")
-    buckets = part.groupBy("__source", "__bucket").agg(
-        F.sum("__size").alias("__words"), F.first("__wanted").alias("__wanted")
-    )
-    running = Window.partitionBy("__source").orderBy("__bucket")
-    cuts = (
-        buckets.withColumn("__through", F.sum("__words").over(running))
-        .where("__through > __wanted")
-        .groupBy("__source")
-        .agg(F.min(F.struct("__bucket", (F.col("__through") - F.col("__words")).alias("__before"))).alias("cut"))
-        .select(F.col("__source").alias("__s3"), F.col("cut.__bucket").alias("__cut_bucket"), "cut.__before")
-    )
-    cuts = materialise(cuts, "mix-cuts")
-    edge = part.join(cuts.hint(hint), F.expr("__source <=> __s3 AND __bucket = __cut_bucket")).withColumn(
-        "__through",
-        F.col("__before") + F.sum("__size").over(Window.partitionBy("__source").orderBy("__at", "__tie")),
-    )
-    last = edge.where("__through <= __wanted").groupBy(F.col("__source").alias("__s4")).agg(
-        F.max(F.struct("__at", "__tie")).alias("__last"), F.max("__through").alias("__reached")
-    )
-    cut = cuts.join(last.hint("merge"), F.expr("__s3 <=> __s4"), "left").select(
-        "__s3", "__cut_bucket", "__last", F.coalesce("__reached", "__before").alias("__reached")
-    )
-    cut = materialise(cut, "mix-cut")
+    cuts: list[DataFrame] = []
 
     def sampled(df: DataFrame) -> DataFrame:
-        """With ``__in``: whether the order sample has the row."""
-        both = ranked(df).join(cut.hint(hint), F.expr("__source <=> __s3"), "left")
-        inside = F.when(F.col("__at").isNull(), F.lit(False)).otherwise(
-            F.col("__cut_bucket").isNull()
-            | (F.col("__bucket") < F.col("__cut_bucket"))
-            | ((F.col("__bucket") == F.col("__cut_bucket")) & (F.struct("__at", "__tie") <= F.col("__last")))
+        """With ``__in``, whether the sample so far has the row, and the words left to its source."""
+        out = ranked(df).withColumn("__in", F.lit(False))
+        for k, cut in enumerate(cuts):
+            out = out.join(cut.hint(hint), F.expr(f"__source <=> __c{k}"), "left")
+            # a source without a cut takes all that there is
+            inside = F.coalesce(
+                F.col(f"__bucket{k}").isNull()
+                | (F.col("__bucket") < F.col(f"__bucket{k}"))
+                | ((F.col("__bucket") == F.col(f"__bucket{k}")) & (F.struct("__at", "__tie") <= F.col(f"__last{k}"))),
+                F.lit(False),
+            )
+            can = F.col("__at").isNotNull() & (F.col("__size") <= F.col(f"__left{k}"))
+            can = F.col("__at").isNotNull() if k == 0 else can
+            out = out.withColumn("__in", F.col("__in") | (can & inside))
+            out = out.withColumn(f"__left{k + 1}", F.coalesce(F.col(f"__left{k}") - F.col(f"__reached{k}"), F.lit(0.0)))
+        return out
+
+    for k in range(1 + REFILLS):
+        left = F.col(f"__left{k}")
+        part = sampled(slim).where("NOT __in AND __at IS NOT NULL")
+        if k:
+            part = part.where(F.col("__size") <= left)
+        part = part.select("__source", "__at", "__tie", "__bucket", "__size", left.alias("__left"))
+        buckets = part.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__words"), F.first("__left").alias("__left"))
+        through = F.sum("__words").over(Window.partitionBy("__source").orderBy("__bucket"))
+        over = (
+            buckets.withColumn("__through", through)
+            .where("__through > __left")
+            .groupBy("__source")
+            .agg(F.min(F.struct("__bucket", (F.col("__through") - F.col("__words")).alias("before"))).alias("cut"))
+            .select(F.col("__source").alias("__c"), F.col("cut.__bucket").alias("__cut"), "cut.before")
         )
-        return both.withColumn("__in", F.coalesce(inside, F.lit(False)))
-
-    gap = F.col("__wanted") - F.col("__reached")
+        over = materialise(over, f"mix-over-{k}")
+        edge = part.join(over.hint(hint), F.expr("__source <=> __c AND __bucket = __cut")).withColumn(
+            "__through", F.col("before") + F.sum("__size").over(Window.partitionBy("__source").orderBy("__at", "__tie"))
+        )
+        last = edge.where("__through <= __left").groupBy(F.col("__source").alias("__s4")).agg(
+            F.max(F.struct("__at", "__tie")).alias("last"), F.max("__through").alias("reached")
+        )
+        cut = over.join(last.hint("merge"), F.expr("__c <=> __s4"), "left").select(
+            F.col("__c").alias(f"__c{k}"),
+            F.col("__cut").alias(f"__bucket{k}"),
+            F.col("last").alias(f"__last{k}"),
+            F.coalesce("reached", "before").alias(f"__reached{k}"),
+        )
+        cuts.append(materialise(cut, f"mix-cut-{k}"))
+    gap = F.col(f"__left{1 + REFILLS}")
     left_over = sampled(slim).where("NOT __in AND __at IS NOT NULL").where(F.abs(F.col("__size") - gap) < gap)
     closing = materialise(
         left_over.groupBy(F.col("__source").alias("__s5")).agg(
@@ -177,7 +223,7 @@ def mix(
     extra = F.col("__in") | F.coalesce(
         (F.col("__at") == F.col("__close.__at")) & (F.col("__tie") == F.col("__close.__tie")), F.lit(False)
     )
-    copies = F.least(F.coalesce(F.col("__whole"), F.lit(0)) + extra.cast("long"), F.lit(int(most)).cast("long"))
+    copies = F.least(F.floor("__expected") + extra.cast("long"), F.lit(int(most)).cast("long"))
     new = {
         "size": F.col("__size"),
         "source_size": F.col("__source_size").cast("long"),
@@ -185,6 +231,8 @@ def mix(
         "copies": copies,
         "taken": copies * F.col("__size"),
     }
+    if with_expected:
+        new["expected"] = F.col("__expected")
     keep = [c for c in docs.columns if c not in new]
     return full.select(*(F.col(f"`{c}`") for c in keep), *(v.alias(k) for k, v in new.items()))
 
