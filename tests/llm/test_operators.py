@@ -81,41 +81,121 @@ def test_license_query_against_lines(spark):
         assert want <= set(got[r["doc_id"]].split(",")), r["doc_id"]
 
 
-def test_entropies_and_selection():
+def plain_digest(text, ranks):
+    """Windows of 16 bytes, votes and Bloom filters, one step after the other."""
+    import xxhash
+
+    raw = text.encode()
+    windows = [raw[i : i + 16] for i in range(len(raw) - 15)]
+
+    def rank(w):
+        f = fingerprints._F
+        top = 4 * 16 * fingerprints._SCALE
+        return int(ranks[(top - sum(int(f[n]) for n in collections.Counter(w).values())) * 1000 // top])
+
+    got = [rank(w) for w in windows]
+    votes = collections.Counter()
+    for start in range(-15 if windows else 0, len(windows)):
+        here = [i for i in range(max(0, start), min(len(windows), start + 16))]
+        votes[min(here, key=lambda i: (got[i], i))] += 1
+    chosen = [i for i in sorted(votes) if votes[i] >= 5 and got[i] < 2047]
+
+    def mixed(w):
+        h, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+        for k in (0, 8):
+            h ^= int.from_bytes(w[k : k + 8], "little")
+            for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+                h = ((h ^ (h >> 33)) * m) & mask
+            h = ((h ^ (h >> 33)) + k + 1) & mask
+        return h
+
+    hashes = [mixed(windows[i]) for i in chosen]
+    if not hashes and raw:
+        hashes = [xxhash.xxh64_intdigest(raw)]
+    chain = [[0] * 2048 for _ in range(-(-len(hashes) // 160))]
+    for i, h in enumerate(hashes):
+        for k in range(5):
+            chain[i // 160][h >> (11 * k) & 2047] = 1
+    return chain
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    a, b = sorted((a, b), key=lambda c: (len(c), c))
+    got = 0.0
+    for f in a:
+        scores = []
+        for g in b:
+            common, chance = sum(x & y for x, y in zip(f, g)), sum(f) * sum(g) / 2048
+            most = min(sum(f), sum(g))
+            floor = chance + 0.3 * (most - chance)
+            scores.append((common - floor) / (most - floor))
+        got += sum(f) * min(1.0, max(0.0, *scores, -1.0))
+    return got / sum(map(sum, a))
+
+
+def test_digests_and_likeness_step_by_step():
+    rng = random.Random(3)
+    words = ["the", "rain", "naïve", "é", "日本語", "aaaaaaaaaaaaaaaaaaaaaaaa", "zq81", "\n", "of", "Fe2O3"]
+    texts = ["", "a", "é" * 7 + "a", "x" * 15, "y" * 16, "y" * 400] + [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 900))) for _ in range(12)]
+    texts.append(texts[-1][: len(texts[-1]) * 2 // 3] + "another end of it all")
+    ranks = np.array(rng.sample(range(1001), 1001), dtype=np.int32)
+    ranks[:100] = ranks[991:] = fingerprints.NEVER
+    chains = fingerprints.digests([t.encode() for t in texts], ranks)
+    for t, c in zip(texts, chains, strict=True):
+        assert np.unpackbits(c, axis=1).tolist() == plain_digest(t, ranks), t[:40]
+        assert np.array_equal(fingerprints.digest(t, ranks), c)
+    for i, a in enumerate(chains):
+        for b in chains[i:]:
+            want = plain_likeness(np.unpackbits(a, axis=1).tolist(), np.unpackbits(b, axis=1).tolist())
+            assert fingerprints.likeness(a, b) == pytest.approx(want) == pytest.approx(fingerprints.likeness(b, a))
+
+
+def test_selection_in_stretches(monkeypatch):
     rng = np.random.default_rng(0)
-    data = rng.integers(97, 110, 700, dtype=np.uint8)
-    got = fingerprints.entropies(data)
-    for i in range(0, len(got), 97):
-        c = np.bincount(data[i : i + 64])
-        p = c[c > 0] / 64
-        assert abs(got[i] / 1000 * 6 - -(p * np.log2(p)).sum()) < 0.01
-    ranks = np.arange(1001, dtype=np.int32)
-    rank = ranks[got]
-    votes = collections.Counter(int(i + np.argmin(rank[i : i + 64])) for i in range(len(rank) - 63))
-    assert fingerprints.select(data, ranks).tolist() == sorted(k for k, v in votes.items() if v >= 16)
-
-
-def test_fingerprints(docs, none, rows, spark):
-    got = fingerprints.compare(docs).collect()
-    assert len(got) == len(rows)
-    texts = {}
-    for r in rows:
-        texts.setdefault(r[0], r[1] or "")
-    ids = sorted((k for k in texts if k is not None), reverse=True) + [None]
-    for r in got:
-        if r["doc_id"] == 20:
-            continue  # a repeated row is followed by itself
-        nxt = texts[ids[(ids.index(r["doc_id"]) + 1) % len(ids)]]
-        changed = fingerprints.edited(texts[r["doc_id"]], nxt)
-        assert r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
-        assert r["n_chars"] == len(texts[r["doc_id"]]) and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    prints = collections.defaultdict(set)
+    rank = rng.integers(0, 40, 5000).astype(np.int32)
+    rank[rng.integers(0, 5000, 300)] = fingerprints.NEVER
+    whole = fingerprints.select(rank).tolist()
+    data = rng.integers(97, 110, 5000, dtype=np.uint8)
+    flat = fingerprints.entropies(data).tolist()
+    monkeypatch.setattr(fingerprints, "_STRETCH", 64)
+    assert fingerprints.select(rank).tolist() == whole
+    assert fingerprints.entropies(data).tolist() == flat
+
+
+def test_fingerprints(docs, none, rows, spark, monkeypatch):
+    many = [(5, f"same id {i % 70}", None) for i in range(400)] + [(None, f"none {i}", None) for i in range(200)]
+    table = docs.select("doc_id", "text", "fp").unionAll(spark.createDataFrame(many, "doc_id long, text string, fp int"))
+    given = [(r[0], r[1] or "") for r in rows] + [(i, t) for i, t, _ in many]
+
+    def place(r):
+        h = spark_hash[r[1]]
+        return (0, -r[0], h) if r[0] is not None else (1, 0, h)
+
+    texts = sorted({t for _, t in given})
+    spark_hash = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(given, key=place)
+    want = collections.Counter()
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        want[str(i), len(t), hashlib.sha256(fingerprints.edited(t, nxt).encode()).hexdigest()] += 1
+    monkeypatch.setattr(fingerprints, "_GROUP", 2000)
+    got = fingerprints.compare(table).collect()
+    assert collections.Counter((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got) == want
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    parts = fingerprints.neighbours(table, partitions=12).where("copy = 0").groupBy("part").count().collect()
+    assert max(r["count"] for r in parts) < 200 and len(parts) > 8
+    by_digest = collections.defaultdict(set)
     for r in got:
-        prints[texts[r["doc_id"]]].add(r["fingerprint"])
-    assert all(len(v) == 1 for v in prints.values())
+        by_digest[r["edited_sha256"]].add(r["edited_fingerprint"])
+    assert all(len(v) == 1 for v in by_digest.values())
     assert fingerprints.compare(none).count() == 0
+    lone = fingerprints.compare(docs.where("doc_id = 11")).collect()
+    assert len(lone) == 1 and lone[0]["near_next"] == 1.0
     r = queries.op3_fingerprints(spark, SF).collect()
-    long = [x for x in r if x["n_chars"] >= 600]
+    long = [x for x in r if x["n_chars"] >= 100]
     assert np.mean([x["near_edited"] > x["near_next"] for x in long]) > 0.95
 
 
