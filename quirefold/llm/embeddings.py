@@ -7,17 +7,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirefold.operators.graph import connected_components
 from quirefold.plans.session import materialise, ship_package
 
 #: Vectors that meet in one block product at most.
-BLOCK = 1024
+BLOCK = 2048
 
 
-def plan_tables(rows: int, threshold: float = 0.9, recall: float = 0.97, per_bucket: int = 128) -> tuple[int, int]:
+def plan_tables(rows: int, threshold: float = 0.9, recall: float = 0.97, per_bucket: int = 512) -> tuple[int, int]:
     """(bits, tables): buckets of about ``per_bucket`` unrelated vectors, and as many
     tables as find a pair right at the threshold with probability ``recall``."""
     bits = max(4, min(24, round(math.log2(max(rows, 1) / per_bucket))))
@@ -29,13 +31,12 @@ def planes(width: int, bits: int, tables: int, seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((width, bits * tables))
 
 
-def _local_roots(close: np.ndarray) -> np.ndarray:
-    """Smallest row reachable from each row over a symmetric boolean matrix."""
-    n = len(close)
+def _local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Smallest row reachable from each of ``n`` rows over links listed both ways."""
     label = np.arange(n)
     while True:
-        low = np.where(close, label[None, :], n).min(axis=1)
-        new = np.minimum(label, low)
+        new = label.copy()
+        np.minimum.at(new, left, label[right])
         new = new[new]
         if np.array_equal(new, label):
             return label
@@ -77,46 +78,50 @@ def near_duplicates(
     bits, tables = plan_tables(total, threshold, recall)
     normal = planes(width, bits, tables, seed)
     powers = 1 << np.arange(bits)
+    # what travels is no wider than what was given: 4 bytes a component where it was a float
+    given = vectors.schema[vector_col].dataType.elementType
+    kind = "<f4" if isinstance(given, T.FloatType) else "<f8"
 
-    @F.pandas_udf("array<int>")
-    def signatures(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("sig array<int>, signs binary, body binary")
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.stack(batch.to_list()) if len(batch) else np.zeros((0, width))
-            signs = (x @ normal > 0).reshape(len(x), tables, bits)
-            yield pd.Series((signs * powers).sum(axis=2).astype("int32").tolist())
+            sig = ((x @ normal > 0).reshape(len(x), tables, bits) * powers).sum(axis=2).astype("<i4")
+            yield pd.DataFrame({"sig": sig.tolist(), "signs": [r.tobytes() for r in sig], "body": [r.tobytes() for r in x.astype(kind)]})
 
-    hashed = materialise(classes.withColumn("sig", signatures("v")), "vector-hashes")
-    posted = hashed.select("rep", "n", "v", "sig", F.posexplode("sig").alias("t", "s"))
+    hashed = materialise(classes.select("rep", "n", hashes("v").alias("h")).select("rep", "n", "h.*"), "vector-hashes")
+    posted = hashed.select("rep", "n", "body", "signs", F.posexplode("sig").alias("t", "s"))
     sizes = hashed.select(F.posexplode("sig").alias("t", "s")).groupBy("t", "s").agg(F.count("*").alias("size")).where("size > 1")
     sizes = sizes.select("t", "s", F.ceil(F.col("size") / (BLOCK // 2)).cast("int").alias("blocks"))
     met = posted.join(sizes.hint("merge"), ["t", "s"]).withColumn(
-        "b", F.pmod(F.xxhash64("rep", "v"), F.col("blocks")).cast("int")
+        "b", F.pmod(F.xxhash64("rep", "body"), F.col("blocks")).cast("int")
     )
     # each pair of blocks of a bucket is one group: a block goes to every group it is in
     grouped = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "t", "s", F.least("b", "other").alias("b1"), F.greatest("b", "other").alias("b2"), "b", "rep", "n", "v", "sig"
+        "t", "s", F.least("b", "other").alias("b1"), F.greatest("b", "other").alias("b2"), "b", "rep", "n", "body", "signs"
     )
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, b1, b2 = int(pdf["t"].iloc[0]), int(pdf["b1"].iloc[0]), int(pdf["b2"].iloc[0])
-        pdf = pdf.sort_values("rep", kind="stable")
-        rep, n = pdf["rep"].to_numpy(), pdf["n"].to_numpy()
-        x = np.stack(pdf["v"].to_list()).astype(np.float64)
+    def compare(group: pa.Table) -> pa.Table:
+        t, b1, b2 = (group[c][0].as_py() for c in ("t", "b1", "b2"))
+        group = group.sort_by([("rep", "ascending"), ("body", "ascending")])
+        rep, n = group["rep"].to_numpy(), group["n"].to_numpy()
+        x = np.frombuffer(b"".join(group["body"].to_pylist()), dtype=kind).reshape(-1, width).astype(np.float64)
         x /= np.linalg.norm(x, axis=1)[:, None]
-        sig = np.stack(pdf["sig"].to_list())
+        sig = np.frombuffer(b"".join(group["signs"].to_pylist()), dtype="<i4").reshape(-1, tables)
         close = x @ x.T >= threshold
         np.fill_diagonal(close, False)
         if b1 != b2:
-            block = pdf["b"].to_numpy()
+            block = group["b"].to_numpy()
             close &= block[:, None] != block[None, :]
-        root = _local_roots(close) if close.any() else np.arange(len(rep))
-        for u in range(t):  # counted in an earlier table
-            close &= sig[:, u][:, None] != sig[:, u][None, :]
-        links = close @ n
+        # the links are few: what follows is on them, not on the square
+        left, right = np.nonzero(close)
+        root = _local_roots(len(rep), left, right)
+        first = (sig[left, :t] != sig[right, :t]).all(axis=1)  # not counted in an earlier table
+        links = np.bincount(left[first], weights=n[right[first]], minlength=len(rep)).astype(np.int64)
         used = (links > 0) | (root != np.arange(len(rep)))
-        return pd.DataFrame({"rep": rep[used], "links": links[used], "root": rep[root[used]]})
+        return pa.table({"rep": rep[used], "links": links[used], "root": rep[root[used]]})
 
-    found = grouped.groupBy("t", "s", "b1", "b2").applyInPandas(compare, "rep long, links long, root long")
+    found = grouped.groupBy("t", "s", "b1", "b2").applyInArrow(compare, "rep long, links long, root long")
     found = materialise(found, "vector-links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
