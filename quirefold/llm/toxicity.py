@@ -72,8 +72,8 @@ _NORMS = _norms()
 
 
 def _cut(word: str) -> list[str]:
-    """A long word as overlapping stretches of ``WIDTH``."""
-    return [word[i : i + WIDTH] for i in range(0, max(1, len(word) - WIDTH // 2), WIDTH // 2)]
+    """A long word as overlapping stretches of ``WIDTH``, another one as it is."""
+    return [word] if len(word) <= WIDTH else [word[i : i + WIDTH] for i in range(0, max(1, len(word) - WIDTH // 2), WIDTH // 2)]
 
 
 def _matrix(words: list[str], width: int) -> np.ndarray:
@@ -160,10 +160,10 @@ class Model:
 
     def words(self, words: list[str]) -> np.ndarray:
         """Decision of each word; of a long one the largest of its stretches."""
-        best = np.full(len(words), self.bias)
+        best = np.full(len(words), -np.inf)
         groups: dict[int, tuple[list[int], list[str]]] = {}
         for i, w in enumerate(words):
-            for part in _cut(w) if len(w) > WIDTH else (w,):
+            for part in _cut(w):
                 width = 8 if len(part) <= 8 else 14 if len(part) <= 14 else WIDTH
                 at, parts = groups.setdefault(width, ([], []))
                 at.append(i)
@@ -239,7 +239,7 @@ def _kernel(words: list[str], index: dict[int, np.ndarray], landmarks: np.ndarra
     out = np.zeros((len(words), landmarks.shape[1]))
     n = landmarks.shape[0]
     for a in range(0, len(words), 128):
-        m = _matrix([w[:WIDTH] for w in words[a : a + 128]], WIDTH)
+        m = _matrix(words[a : a + 128], WIDTH)
         cells, values = [], []
         for p in ORDERS:
             for code, weight in _subsequences(m, p):
@@ -256,7 +256,7 @@ def _fit(positive: Counter, negative: Counter, hard: list[str], n_landmarks: int
     """Landmarks are the commonest positive words and the hardest, else commonest, negative ones."""
     good = [w for w, _ in positive.most_common(n_landmarks // 4)]
     marks = good + (hard + [w for w, _ in negative.most_common() if w not in set(hard)])[: n_landmarks - len(good)]
-    m = _matrix([w[:WIDTH] for w in marks], WIDTH)
+    m = _matrix(marks, WIDTH)
     index = {p: np.full(LETTERS**p, -1, dtype=np.int32) for p in ORDERS}
     total, found = 0, {}
     for p in ORDERS:
@@ -316,22 +316,32 @@ def _disguised(positive: Counter, words: int = 60) -> Counter:
     return out
 
 
-def fit(texts: list[str], labels: list[int], rate: float, n_landmarks: int = 400) -> Model:
+def fit(
+    texts: list[str], labels: list[int], rate: float, n_landmarks: int = 400, per_text: int = 5, n_positive: int = 800,
+    n_sampled: int = 4000, n_common: int = 1000, n_hard: int = 1500, n_disguised: int = 60,
+) -> Model:
     """Learn from whole texts, each sentence of which carries its text's label.
 
     A toxic text has toxic sentences and others, so the words that stand for the
     toxic class are chosen: first those with letter groups far more common in toxic
-    texts (G squared), at most five a text, then, three times, the highest-scored ones
-    of each text; the highest-scored words of other texts join the negatives and become
-    landmarks. Common positive words are taught with a character put in, too. Words weigh by the logarithm of the texts they are in. Two thirds
-    of the texts are learnt from. Words of two of their clean texts or more are known to
-    be plain whatever they resemble. The rest of the texts scale a text's evidence to a
-    probability, at the share ``rate`` of toxic texts. Without any toxic text or any word that stands out
-    the model is the constant ``rate``.
+    texts (G squared), at most ``per_text`` a text, then, three times, the highest-scored
+    ones of each text; the highest-scored words of other texts join the negatives and become
+    landmarks. Long words are learnt, as they are scored, in stretches. Words weigh by the
+    logarithm of the texts they are in. Two thirds of the texts are learnt from. Words of
+    two of their clean texts or more are known to be plain whatever they resemble. The rest
+    of the texts scale a text's evidence to a probability, at the share ``rate`` of toxic
+    texts.
+
+    The machine sees at most ``n_positive`` words of the toxic class, the commonest, and of
+    the other class ``n_sampled`` by a hash, the ``n_common`` commonest and ``n_hard`` a
+    round that it gets most wrong; ``n_disguised`` common toxic words are taught with a
+    character put in, too. Null texts count as empty, repeated texts count as often as they
+    come, ties go by the word. Without any toxic text, any other text or any word that stands
+    out the model is the constant ``rate``.
     """
     rate = min(max(rate, 1e-3), 1 - 1e-3)
     empty = Model({p: np.zeros(LETTERS**p, dtype=np.float32) for p in ORDERS}, offset=float(np.log(rate / (1 - rate))))
-    docs = [{w.lower() for s in SENTENCE.split(t) for w in tokens(s)} for t in texts]
+    docs = [{x for s in SENTENCE.split(t or "") for w in tokens(s) for x in _cut(w.lower())} for t in texts]
     learn = [i for i in range(len(docs)) if i % 3 != 2]
     toxic, clean = [i for i in learn if labels[i]], [i for i in learn if not labels[i]]
     if not toxic or not clean:
@@ -347,14 +357,14 @@ def fit(texts: list[str], labels: list[int], rate: float, n_landmarks: int = 400
     positive: Counter = Counter()
     for i in toxic:
         ranked = sorted(((max((score.get(g, 0.0) for g in _grams(w)), default=0.0), w) for w in docs[i] & own), reverse=True)
-        positive.update(w for s, w in ranked[:5] if s > 12)
+        positive.update(w for s, w in ranked[:per_text] if s > 12)
     if not positive:
         return empty
     other = sorted(seen, key=lambda w: (hash_of(w), w))
-    chosen = set(other[:4000]) | {w for w, _ in seen.most_common(1000)}
+    chosen = set(other[:n_sampled]) | {w for w, _ in seen.most_common(n_common)}
     hard: list[str] = []
     for round_ in range(4):
-        taught = Counter(dict(positive.most_common(800))) + _disguised(positive)
+        taught = Counter(dict(positive.most_common(n_positive))) + _disguised(positive, n_disguised)
         tables, bias = _fit(taught, Counter({w: seen[w] for w in sorted(chosen)}), hard, n_landmarks)
         model = Model(tables, bias)
         of = model.words(other)
@@ -368,15 +378,15 @@ def fit(texts: list[str], labels: list[int], rate: float, n_landmarks: int = 400
             )
             break
         wrong = (of + 1) * np.log2(1.0 + np.array([seen[w] for w in other]))
-        hard = [other[i] for i in np.argsort(-wrong, kind="stable")[:1500]]
+        hard = [other[i] for i in np.argsort(-wrong, kind="stable")[:n_hard]]
         chosen |= set(hard)
         for i in toxic:
             mine = sorted(docs[i] & own)
             if mine:
                 values = model.words(mine)
-                positive.update(mine[j] for j in np.argsort(-values, kind="stable")[:5] if values[j] > 0)
+                positive.update(mine[j] for j in np.argsort(-values, kind="stable")[:per_text] if values[j] > 0)
     held = [i for i in range(len(docs)) if i % 3 == 2] or learn
-    s = np.array([model.evidence(_decisions(model, texts[i])) for i in held])
+    s = np.array([model.evidence(_decisions(model, texts[i] or "")) for i in held])
     y = np.array([float(labels[i]) for i in held])
     if not 0 < y.sum() < len(y):
         s, y = np.vstack([s, [1.0, 1.0], [-1.0, -1.0]]), np.r_[y, 1.0, 0.0]
@@ -405,13 +415,14 @@ def may_learn(id_col: Column) -> Column:
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    per_class: int = 800, n_landmarks: int = 400,
+    per_class: int = 800, **bounds,
 ) -> Model:
     """A model from at most ``per_class`` labelled documents of each class.
 
-    The sample is the only bound: it takes labelled ids, not held out, in order of a
-    hash, and their whole texts come to the driver. Rows whose label is null or that
-    have no document are passed over.
+    The sample takes labelled ids, not held out, in order of a hash, and their whole texts
+    come to the driver; ``bounds`` are those of ``fit``. Rows whose label is null or that
+    have no document are passed over; a repeated id brings each of its rows; empty tables
+    give a constant model.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & may_learn(F.col(id_col)))
     usable = usable.select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) > 0).cast("int").alias("y"))
@@ -424,14 +435,15 @@ def train(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "id")
     rows = sorted((r["id"], r["t"] or "", r["y"]) for r in rows.collect())
     rows.sort(key=lambda r: (hash_of(str(r[0])), r))
-    return fit([t for _, t, _ in rows], [y for *_, y in rows], rate, n_landmarks)
+    return fit([t for _, t, _ in rows], [y for *_, y in rows], rate, **bounds)
 
 
 def score(col: Column, model: Model, cache_size: int = 150_000) -> Column:
     """Column: probability that a text is toxic, from its highest-scored words.
 
     Words are scored once in a worker and looked up after that. Null counts as empty;
-    a text without words has the lowest evidence there is.
+    a text without words has the lowest evidence there is. Equal texts score alike, whole
+    and however long they are; an empty table gives no rows.
     """
     from pyspark.sql import SparkSession
 
