@@ -212,7 +212,7 @@ def _signed_g2(p: int, n: int, P: int, N: int) -> float:
     return 2 * (ll(p, P, a) + ll(n, N, b) - ll(p, P, q) - ll(n, N, q))
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=4_000)
 def _grams(word: str) -> frozenset[str]:
     plain = "^" + "".join(chr(96 + c) for c in _CODES[[min(ord(x), 0xFFFF) for x in word]] if c)
     return frozenset(plain[i : i + n] for n in (4, 5) for i in range(len(plain) - n + 1))
@@ -346,18 +346,23 @@ def fit(
     toxic, clean = [i for i in learn if labels[i]], [i for i in learn if not labels[i]]
     if not toxic or not clean:
         return empty
-    in_toxic, in_clean = Counter(), Counter()
-    for group, count in ((toxic, in_toxic), (clean, in_clean)):
-        for i in group:
-            count.update(set().union(*map(_grams, docs[i])) if docs[i] else ())
-    score = {g: _signed_g2(n, in_clean[g], len(toxic), len(clean)) for g, n in in_toxic.items() if n > 1}
-    seen = Counter(w for i in clean for w in docs[i])
-    words = Counter(w for i in toxic for w in docs[i])
+    in_toxic = Counter()
+    for i in toxic:
+        in_toxic.update(set().union(*map(_grams, docs[i])) if docs[i] else ())
+    in_toxic = Counter({g: n for g, n in in_toxic.items() if n > 1})
+    in_clean = Counter()  # of groups that are counted above alone
+    for i in clean:
+        in_clean.update({g for w in docs[i] for g in _grams(w) if g in in_toxic})
+    score = {g: _signed_g2(n, in_clean[g], len(toxic), len(clean)) for g, n in in_toxic.items()}
+    seen = Counter(w for i in clean for w in sorted(docs[i]))  # sorted: ties among counts go by first come
+    words = Counter(w for i in toxic for w in sorted(docs[i]))
     own = {w for w, n in words.items() if n * len(clean) > 4 * seen[w] * len(toxic)}  # hardly in other texts
     positive: Counter = Counter()
     for i in toxic:
         ranked = sorted(((max((score.get(g, 0.0) for g in _grams(w)), default=0.0), w) for w in docs[i] & own), reverse=True)
         positive.update(w for s, w in ranked[:per_text] if s > 12)
+    del in_toxic, in_clean, score
+    _grams.cache_clear()
     if not positive:
         return empty
     other = sorted(seen, key=lambda w: (hash_of(w), w))
