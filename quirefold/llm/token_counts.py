@@ -154,7 +154,8 @@ def with_token_counts(
     """``docs`` with a column ``out``: the token count of each whole text.
 
     Other columns pass through untouched, whatever their names; an existing column
-    ``out`` is replaced. No shuffle of rows, texts or pre-tokens.
+    ``out`` is replaced. No shuffle of rows, texts or pre-tokens. Repeated rows are counted
+    alike, null and empty texts have 0 tokens, an empty table gives no rows.
     """
     frequent = _lengths(model, frequent_pretokens(docs, text_col, k))
     count = token_count(model, frequent, cache_size)
