@@ -130,7 +130,7 @@ def w7(spark, d):
     roles = read(spark, d, "conversations").groupBy("conv_id").agg(
         F.array_sort(F.collect_set(F.struct(F.col("role").alias("meta_id"), F.substring("text", 1, 12).alias("name")))).alias("roster")
     )
-    c = read(spark, d, "conversations").join(ctx.withColumnRenamed("context", "pairs"), ["conv_id", "turn"]).join(roles, "conv_id")
+    c = read(spark, d, "conversations").join(ctx.withColumnRenamed("context", "pairs").hint("merge"), ["conv_id", "turn"]).join(roles.hint("merge"), "conv_id")
     req = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("req_id"), "text", F.col("role").alias("speaker"), "pairs", "roster")
     return order.trim_request(req)
 
