@@ -72,17 +72,35 @@ def block_size(lines: Column, size: Column, advance: float = 0.5, factor: float
 def fit_size(texts: DataFrame, key: str, text: str, width: str, height: str, advance: float = 0.5) -> DataFrame:
     """K2: per text the largest size of 6 to 72 at which it fits its box, wrapped; null if none.
 
-    Sizes are tried as rows, 67 a text, each wrapped by expressions.
+    Fitting is taken to be monotone in the size, so a binary search wraps a text seven
+    times at most, within its row. Where a smaller size happens to wrap worse the search
+    may miss a larger one, but what it gives fits. A key has one row; nothing is shuffled.
     """
-    rows = texts.select(key, text, width, height, F.explode(F.sequence(F.lit(SIZES[0]), F.lit(SIZES[1]))).alias("size"))
-    lines = wrap(F.col(text), F.col(width).cast("double") / (advance * F.col("size")), 1.0)
-    block = block_size(lines, F.col("size"), advance)
-    fits = (block["width"] <= F.col(width)) & (block["height"] <= F.col(height))
-    return rows.groupBy(key).agg(F.max(F.when(fits, F.col("size"))).alias("size"))
+    w, h = F.col(width).cast("double"), F.col(height).cast("double")
+
+    def fits(size: Column) -> Column:
+        block = block_size(wrap(F.col(text), w / (advance * size), 1.0), size, advance)
+        return F.transform(F.array(block), lambda b: (b["width"] <= w) & (b["height"] <= h))[0]
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+
+        def narrowed(t: Column) -> Column:
+            low = F.when(t["fits"], t["mid"] + 1).otherwise(s["low"])
+            high = F.when(t["fits"], s["high"]).otherwise(t["mid"] - 1)
+            return F.struct(low.alias("low"), high.alias("high"), F.when(t["fits"], t["mid"]).otherwise(s["best"]).alias("best"))
+
+        tried = F.transform(F.array(mid), lambda m: F.struct(m.alias("mid"), F.coalesce(fits(m), F.lit(False)).alias("fits")))
+        return F.when(s["low"] > s["high"], s).otherwise(F.transform(tried, narrowed)[0])
+
+    start = F.struct(F.lit(SIZES[0]).alias("low"), F.lit(SIZES[1]).alias("high"), F.lit(None).cast("int").alias("best"))
+    steps = F.sequence(F.lit(1), F.lit((SIZES[1] - SIZES[0] + 1).bit_length()))
+    return texts.select(key, F.aggregate(steps, start, halve, lambda s: s["best"]).alias("size"))
 
 
 def overflow_report(texts: DataFrame, key: str, page: str, text: str, width: str, height: str, advance: float = 0.5) -> DataFrame:
-    """L3: per page how many texts do not fit even at the smallest size."""
-    sized = fit_size(texts, key, text, width, height, advance)
-    rows = texts.select(key, page).join(sized.hint("merge"), key)
-    return rows.groupBy(page).agg(F.count("*").alias("texts"), F.count_if(F.col("size").isNull()).alias("overflow"))
+    """L3: per page how many texts do not fit even at the smallest size; a null box fits nothing."""
+    w, size = F.col(width).cast("double"), F.lit(SIZES[0])
+    block = block_size(wrap(F.col(text), w / (advance * size), 1.0), size, advance)
+    rows = texts.select(page, F.transform(F.array(block), lambda b: (b["width"] <= w) & (b["height"] <= F.col(height)))[0].alias("fits"))
+    return rows.groupBy(page).agg(F.count("*").alias("texts"), F.count_if(~F.coalesce("fits", F.lit(False))).alias("overflow"))

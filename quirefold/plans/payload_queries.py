@@ -86,14 +86,29 @@ def x8(spark, d):
     return read(spark, d, "documents").select("doc_id", payload.render_context(ctx, roster, gloss).alias("text"))
 
 
-@query(
-    "l1_wrap",
-    """WITH RECURSIVE w AS (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM conversations WHERE text NOT LIKE '%-%'),
-    f AS (SELECT conv_id, turn, ws, 1 AS i, ws[1] AS line, 1 AS n, length(ws[1]) AS longest FROM w WHERE len(ws) > 0
-      UNION ALL SELECT conv_id, turn, ws, i + 1, CASE WHEN length(line) + 1 + length(ws[i + 1]) <= 38 THEN line || ' ' || ws[i + 1] ELSE ws[i + 1] END, CASE WHEN length(line) + 1 + length(ws[i + 1]) <= 38 THEN n ELSE n + 1 END,
-        greatest(longest, length(CASE WHEN length(line) + 1 + length(ws[i + 1]) <= 38 THEN line || ' ' || ws[i + 1] ELSE ws[i + 1] END)) FROM f WHERE i < len(ws))
-    SELECT conv_id, turn, arg_max(n, i) AS lines, arg_max(longest, i) AS longest, arg_max(line, i) AS last FROM f GROUP BY conv_id, turn""",
-)
+def _pieces(text: str, room: str) -> str:
+    """SQL list of {n, gap}: lengths of the pieces of a text's words; too wide ones are cut after inner hyphens."""
+    words = f"list_filter(string_split_regex(regexp_replace({text}, '\\s+', ' ', 'g'), ' '), lambda x: x <> '')"
+    cut = "regexp_replace(regexp_replace(x, '([^-])-([^-])', '\\1-' || chr(1) || '\\2', 'g'), '([^-\\x01])-([^-\\x01])', '\\1-' || chr(1) || '\\2', 'g')"
+    parts = f"CASE WHEN length(x) > {room} THEN string_split({cut}, chr(1)) ELSE [x] END"
+    return f"flatten(list_transform({words}, lambda x: list_transform({parts}, lambda y, i: {{'t': y, 'gap': i = 1}})))"
+
+
+def _wrapped(source: str, keys: str, room: str) -> str:
+    """SQL for CTEs w and f: the greedy fold over the pieces ``ps`` of ``source``; f has the state after piece i."""
+    fits = f"length(line) + CAST(ps[i + 1].gap AS INT) + length(ps[i + 1].t) <= {room}"
+    joined = "line || CASE WHEN ps[i + 1].gap THEN ' ' ELSE '' END || ps[i + 1].t"
+    return f"""w AS ({source}),
+    f AS (SELECT {keys}, ps, {room} AS room, 1 AS i, ps[1].t AS line, 1 AS n, length(ps[1].t) AS longest FROM w WHERE len(ps) > 0
+      UNION ALL SELECT {keys}, ps, room, i + 1, CASE WHEN {fits} THEN {joined} ELSE ps[i + 1].t END, CASE WHEN {fits} THEN n ELSE n + 1 END,
+        greatest(longest, length(CASE WHEN {fits} THEN {joined} ELSE ps[i + 1].t END)) FROM f WHERE i < len(ps)),
+    e AS (SELECT {keys}, any_value(room) AS room, arg_max(n, i) AS lines, arg_max(longest, i) AS longest, arg_max(line, i) AS last FROM f GROUP BY {keys})"""
+
+
+_L1 = _wrapped(f"SELECT conv_id, turn, 38 AS room, {_pieces('text', '38')} AS ps FROM conversations", "conv_id, turn", "room")
+
+
+@query("l1_wrap", f"WITH RECURSIVE {_L1} SELECT conv_id, turn, lines, longest, last FROM e")
 def l1(spark, d):
     c = read(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"\s+", " ").alias("text")).where("trim(text) <> ''")
     lines = c.withColumn("l", layout.wrap(F.col("text"), F.lit(40.0)))
@@ -110,11 +125,25 @@ def names(spark, d):
     return read(spark, d, "part").selectExpr("p_partkey", "p_partkey div 50 AS page", "concat(p_name, ' ', p_type, '-', p_brand) AS text", "CAST(20 + p_size * 3 AS DOUBLE) AS w", "CAST(10 + p_partkey % 60 AS DOUBLE) AS h")
 
 
-@query("k2_fit_size")
+_ROOM = "greatest(w / (0.5 * size) - 2, 1)"
+_FITS = _wrapped(
+    f"SELECT p_partkey, page, size, w, h, {_ROOM} AS room, {_pieces('text', _ROOM)} AS ps FROM (SELECT p_partkey, p_partkey // 50 AS page, p_name || ' ' || p_type || '-' || p_brand AS text, 20 + p_size * 3 AS w, 10 + p_partkey % 60 AS h FROM part), range(6, 73) t(size)",
+    "p_partkey, page, size, w, h",
+    "room",
+)
+_FITS += """, g AS (SELECT p_partkey, page, size, longest * 0.5 * size <= w AND (lines - 1) * (size + greatest(1, floor(0.14 * size + 0.5))) + size <= h AS fits FROM e)"""
+
+
+@query(
+    "k2_fit_size",
+    f"""WITH RECURSIVE {_FITS}, b AS (SELECT p_partkey, 6 AS low, 72 AS high, NULL::BIGINT AS best FROM part
+      UNION ALL SELECT b.p_partkey, CASE WHEN fits THEN g.size + 1 ELSE low END, CASE WHEN fits THEN high ELSE g.size - 1 END, CASE WHEN fits THEN g.size ELSE best END FROM b JOIN g ON g.p_partkey = b.p_partkey AND g.size = (low + high) // 2 WHERE low <= high)
+    SELECT p_partkey, best AS size FROM b WHERE low > high""",
+)
 def k2(spark, d):
     return layout.fit_size(names(spark, d), "p_partkey", "text", "w", "h")
 
 
-@query("l3_overflow_report")
+@query("l3_overflow_report", f"WITH RECURSIVE {_FITS} SELECT page, count(*) AS texts, count_if(NOT fits) AS overflow FROM g WHERE size = 6 GROUP BY page")
 def l3(spark, d):
     return layout.overflow_report(names(spark, d), "p_partkey", "page", "text", "w", "h")
