@@ -271,61 +271,59 @@ def trim_request(requests: DataFrame, n_ctx: int = 2048, max_new: int = 512, ove
     """What of each request's roster and pairs fits in the window.
 
     Input: ``req_id, text, speaker, pairs array<struct(source, english, speaker)>``,
-    oldest first, ``roster array<struct(meta_id, name)>``. Cost is UTF-8 bytes and
+    oldest first, ``roster array<struct(meta_id, ...)>``, ids unique; every other field
+    of a roster row is a string, and all but ``gender`` are names. The last 10 pairs and
+    the first 50 rows count, rows without any field do not. Cost is UTF-8 bytes and
     ``overhead``. While it is over n_ctx - max_new - 4, the first of these goes: a
-    roster row that neither the text nor a kept pair refers to, lowest priority first;
-    the oldest pair; the lowest roster row left, but never the current speaker's.
-    Priority: speaker, mentioned in the text, recent speakers, others. Nothing left to
-    drop is an error. At most 10 pairs and 50 roster rows are looked at, so a request
-    is a small group; each is worked on alone, without a shuffle.
+    roster row that nothing refers to, lowest priority first; the oldest pair; the lowest
+    row left, but never the current speaker's. The text refers to a row by one of its
+    names, a kept pair by its speaker. Priority: speaker, named in the text, recent speakers
+    (latest first), others, and so by place. Nothing left to drop is an error.
+
+    What goes next never depends on the costs: rows referred to by nothing, then each pair
+    and the row that only it and older ones refer to, then the named ones. So a request is
+    one sorted array and one running sum, within its row. Kept rows stay in roster order.
     """
-    import pandas as pd
-
-    budget = n_ctx - max_new - 4
-    schema = "req_id long, kept_pairs int, kept_roster array<string>, cost int, error string"
-
-    def cost(text: str, pairs: list, roster: list) -> int:
-        total = len(text.encode()) + overhead
-        total += sum(len((p["source"] or "").encode()) + len((p["english"] or "").encode()) for p in pairs)
-        return total + sum(len((r["name"] or "").encode()) for r in roster)
-
-    def one(req: dict) -> tuple:
-        text, speaker = req["text"] or "", req["speaker"]
-        pairs, roster = list(req["pairs"])[-10:], list(req["roster"])[:50]
-        recent = [p["speaker"] for p in pairs]
-
-        def priority(i: int) -> tuple:
-            r = roster_all[i]
-            kind = 0 if r["meta_id"] == speaker else 1 if r["name"] and r["name"] in text else 2 if r["meta_id"] in recent else 3
-            return kind, i
-
-        roster_all = roster
-        order = sorted(range(len(roster)), key=priority)
-        while cost(text, pairs, [roster_all[i] for i in order]) > budget:
-            heard = {p["speaker"] for p in pairs}
-            said = [text, *((p["source"] or "") for p in pairs)]
-            loose = [
-                i
-                for i in order
-                if roster_all[i]["meta_id"] != speaker
-                and roster_all[i]["meta_id"] not in heard
-                and not any(roster_all[i]["name"] and roster_all[i]["name"] in t for t in said)
-            ]
-            others = [i for i in order if roster_all[i]["meta_id"] != speaker]
-            if loose:
-                order.remove(loose[-1])
-            elif pairs:
-                pairs = pairs[1:]
-            elif others:
-                order.remove(others[-1])
-            else:
-                return req["req_id"], 0, [], cost(text, pairs, [roster_all[i] for i in order]), "does not fit"
-        kept = [roster_all[i]["meta_id"] for i in order]
-        return req["req_id"], len(pairs), kept, cost(text, pairs, [roster_all[i] for i in order]), None
-
-    def run(batches):
-        for pdf in batches:
-            rows = [one(r) for r in pdf.to_dict("records")]
-            yield pd.DataFrame(rows, columns=["req_id", "kept_pairs", "kept_roster", "cost", "error"])
-
-    return requests.select("req_id", "text", "speaker", "pairs", "roster").mapInPandas(run, schema)
+    fields = [f.name for f in requests.schema["roster"].dataType.elementType.fields if f.name != "meta_id"]
+    names = [f for f in fields if f != "gender"]
+    text = F.coalesce("text", F.lit(""))
+    none = F.lit(None).cast("string")
+
+    def size(*parts: Column) -> Column:
+        return sum((F.octet_length(F.coalesce(p, F.lit(""))) for p in parts), F.lit(0))
+
+    def named(r: Column) -> Column:
+        hit = F.lit(False)
+        for f in names:
+            hit = hit | F.coalesce((r[f] != "") & F.contains(text, r[f]), F.lit(False))
+        return hit
+
+    def row_item(r: Column, i: Column) -> Column:
+        heard = F.array_max(F.transform("__pairs", lambda p, k: F.when(p["speaker"] == r["meta_id"], k + 1).otherwise(0)))
+        stage = F.when(r["meta_id"].eqNullSafe(F.col("speaker")) & r["meta_id"].isNotNull(), 99).when(named(r), 98)
+        stage = stage.otherwise(F.coalesce(heard, F.lit(0)))
+        return F.struct(stage.alias("stage"), F.lit(1).alias("kind"), (-i).alias("place"), size(*(r[f] for f in fields)).alias("cost"), r["meta_id"].alias("meta_id"))
+
+    def pair_item(p: Column, k: Column) -> Column:
+        return F.struct((k + 1).alias("stage"), F.lit(0).alias("kind"), F.lit(0).alias("place"), size(p["source"], p["english"]).alias("cost"), none.alias("meta_id"))
+
+    pairs = F.coalesce("pairs", F.array().cast(requests.schema["pairs"].dataType))
+    roster = F.coalesce("roster", F.array().cast(requests.schema["roster"].dataType))
+    some = lambda r: F.coalesce(*(F.nullif(r[f], F.lit("")) for f in fields)).isNotNull()
+    rows = requests.select("req_id", "text", "speaker", pairs.alias("__pairs"), F.filter(F.slice(roster, 1, 50), some).alias("__roster"))
+    rows = rows.withColumn("__pairs", F.slice("__pairs", F.greatest(F.size("__pairs") - 9, F.lit(1)), 10))
+    rows = rows.withColumn("__items", F.array_sort(F.concat(F.transform("__pairs", pair_item), F.transform("__roster", row_item))))
+    total = F.aggregate("__items", size(text) + overhead, lambda t, x: t + x["cost"])
+    start = F.struct((total - (n_ctx - max_new - 4)).alias("over"), F.lit(0).alias("n"))
+    goes = lambda s, x: (s["over"] > 0) & (x["stage"] < 99)
+    cut = F.aggregate("__items", start, lambda s, x: F.when(goes(s, x), F.struct((s["over"] - x["cost"]).alias("over"), (s["n"] + 1).alias("n"))).otherwise(s))
+    rows = rows.withColumn("__cut", cut).withColumn("__kept", F.filter("__items", lambda x, i: i >= F.col("__cut.n")))
+    fits = F.col("__cut.over") <= 0
+    in_order = F.array_sort(F.transform(F.filter("__kept", lambda x: x["kind"] == 1), lambda x: F.struct((-x["place"]).alias("place"), x["meta_id"].alias("meta_id"))))
+    return rows.select(
+        "req_id",
+        F.when(fits, F.size(F.filter("__kept", lambda x: x["kind"] == 0))).otherwise(0).alias("kept_pairs"),
+        F.when(fits, F.transform(in_order, lambda x: x["meta_id"])).otherwise(F.array().cast("array<string>")).alias("kept_roster"),
+        (F.col("__cut.over") + (n_ctx - max_new - 4)).cast("int").alias("cost"),
+        F.when(~fits, "does not fit").alias("error"),
+    )

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quirefold.operators import hooks
 from quirefold.plans.registry import query, read
+from quirefold.plans.session import shared_dir
 from quirefold.sources import rosters
 from quirefold.streaming import state
 
@@ -52,18 +56,43 @@ def t2(spark, d):
     return state.transfer_state_batch(transfer_events(spark, d))
 
 
-@query("t3_throttle")
+@query(
+    "t3_throttle",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, event_type = 'purchase' AS forced, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+    f AS (SELECT user_id, event_id, i, s AS last, true AS out FROM e WHERE i = 1
+      UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN forced OR s - last >= 3600 THEN s ELSE last END, forced OR s - last >= 3600 FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+    SELECT user_id, event_id FROM f WHERE out""",
+)
 def t3(spark, d):
     e = read(spark, d, "events").withColumn("forced", F.col("event_type") == "purchase").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     return state.throttle_batch(e, "user_id", "event_id", "s", "forced", gap=3600.0)
 
 
-@query("t4_admit")
+@query(
+    "t4_admit",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, floor(value)::INT % 13 AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    f AS (SELECT user_id, event_id, i, n <= 10 AS admitted, CASE WHEN n <= 10 THEN [{'t': t, 'n': n}] ELSE [] END AS held FROM e WHERE i = 1
+      UNION ALL SELECT user_id, event_id, i, good, CASE WHEN good THEN list_append(kept, {'t': t, 'n': n}) ELSE kept END FROM (
+        SELECT *, n <= 10 AND coalesce(list_sum(list_transform(kept, lambda x: x.n)), 0) + n <= 60 AS good FROM (
+          SELECT e.user_id, e.event_id, e.i, e.t, e.n, list_filter(held, lambda x: e.t - x.t < 86400000000) AS kept FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)))
+    SELECT user_id AS client, event_id AS batch, admitted FROM f""",
+)
 def t4(spark, d):
     e = read(spark, d, "events").selectExpr("user_id AS client", "ts", "event_id AS batch", "CAST(floor(value) % 13 AS INT) AS events")
     return state.admit_batch(e, span=86400.0)
 
 
+@query(
+    "t5_late_events",
+    f"""WITH e AS (SELECT event_id AS seq, 'u' || user_id AS task, {_KIND} AS kind FROM events),
+    r AS (SELECT *, (SELECT max(s.seq) FROM e s WHERE s.task = e.task AND s.kind = 'start' AND s.seq <= e.seq) AS began FROM e)
+    SELECT task, count(*) AS late, min(seq) AS first FROM r WHERE EXISTS (SELECT 1 FROM e x WHERE x.task = r.task AND x.seq < r.seq AND x.kind IN ('finish', 'error') AND x.seq >= coalesce(r.began, -1)) GROUP BY task""",
+)
+def t5(spark, d):
+    late = state.late_events(task_events(spark, d))
+    return late.groupBy("task").agg(F.count("*").alias("late"), F.min("seq").alias("first"))
+
+
 @query("f1_recognise", "SELECT doc_id, upper(source) AS text, 'primary' AS engine, NULL::VARCHAR AS error FROM documents")
 def f1(spark, d):
     upper = lambda: lambda values: [v.upper() for v in values]
@@ -95,6 +124,37 @@ def s2(spark, d):
     return rosters.saved_pages(read(spark, d, "pages").selectExpr("page_id AS name"), read(spark, d, "part").selectExpr("p_partkey * 3 AS name"))
 
 
+@query(
+    "s3_roster_csv",
+    """SELECT CAST(c_nationkey AS VARCHAR) AS dest, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS ord, c_name AS name_en, NULL::VARCHAR AS name_ja, CASE WHEN c_custkey % 2 = 0 THEN 'male' END AS gender, c_mktsegment AS alias_en, true AS id_ok
+    FROM customer WHERE c_custkey % 11 <> 0 QUALIFY ord <= 50""",
+)
+def s3(spark, d):
+    blank = F.col("c_custkey") % 11 == 0
+    c = read(spark, d, "customer").select(
+        F.col("c_nationkey").alias("dest"), "c_custkey", F.when(~blank, F.col("c_name")).alias(" Name_EN "), F.lit("x").alias("note"),
+        F.when(~blank, F.when(F.col("c_custkey") % 2 == 0, "male").otherwise("unknown")).alias("GENDER"), F.when(~blank, F.concat(F.lit(" "), "c_mktsegment")).alias("Alias_en"),
+    )
+    folder = f"{shared_dir(spark)}/s3-{uuid.uuid4().hex}"
+    c.repartition("dest").sortWithinPartitions("dest", "c_custkey").drop("c_custkey").write.partitionBy("dest").csv(folder, header=True)
+    r = rosters.read_roster_csv(spark, folder)
+    n = F.count("*").over(Window.partitionBy("meta_id"))
+    return r.select("dest", "ord", "name_en", "name_ja", "gender", "alias_en", ((F.length("meta_id") == 8) & (n == 1)).alias("id_ok"))
+
+
+@query(
+    "s6_save_roster",
+    """WITH new AS (SELECT c_nationkey AS dest, c_custkey AS ord, c_mktsegment AS name_en FROM customer WHERE c_nationkey % 3 = 0 AND c_custkey % 2 = 0)
+    SELECT * FROM new UNION ALL SELECT c_nationkey, c_custkey, c_name FROM customer WHERE c_nationkey NOT IN (SELECT dest FROM new)""",
+)
+def s6(spark, d):
+    c = read(spark, d, "customer").selectExpr("c_nationkey AS dest", "c_custkey AS ord", "c_name AS name_en", "c_mktsegment")
+    folder = f"{shared_dir(spark)}/s6-{uuid.uuid4().hex}"
+    rosters.save_roster(c.drop("c_mktsegment"), folder)
+    rosters.save_roster(c.where("dest % 3 = 0 AND ord % 2 = 0").select("dest", "ord", F.col("c_mktsegment").alias("name_en")), folder)
+    return spark.read.parquet(folder).select("dest", "ord", "name_en")
+
+
 @query("s4_roster_rows", "SELECT c_name AS name_en, '' AS name_ja, CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE '' END AS gender, c_mktsegment AS alias_en, '' AS alias_ja FROM customer")
 def s4(spark, d):
     c = read(spark, d, "customer").selectExpr("c_custkey AS ord", "c_name AS name_en", "CAST(NULL AS STRING) AS name_ja", "CASE WHEN c_custkey % 2 = 0 THEN 'male' END AS gender", "c_mktsegment AS alias_en", "CAST(NULL AS STRING) AS alias_ja")

@@ -124,15 +124,26 @@ def w6(spark, d):
     return kept.groupBy("conv_id", "turn").agg(F.count("*").alias("kept"), F.max("spent").alias("spent"), turns.alias("turns"))
 
 
-@query("w7_trim_request")
+@query(
+    "w7_trim_request",
+    f"""WITH {_PAIR_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pt) AS k FROM n WHERE back <= 10),
+    r AS (SELECT conv_id, role AS meta_id, string_split(arg_min(text, turn), ' ')[1] AS name_en FROM conversations GROUP BY conv_id, role),
+    m AS (SELECT c.conv_id, c.turn, r.meta_id, row_number() OVER (PARTITION BY c.conv_id, c.turn ORDER BY r.meta_id) AS place, strlen(name_en) + strlen(meta_id) AS cost, CASE WHEN c.role = r.meta_id THEN 99 WHEN contains(c.text, meta_id) OR name_en <> '' AND contains(c.text, name_en) THEN 98 ELSE coalesce((SELECT max(k.k) FROM k WHERE k.conv_id = c.conv_id AND k.turn = c.turn AND k.role = r.meta_id), 0) END AS stage FROM conversations c JOIN r USING (conv_id)),
+    i AS (SELECT conv_id, turn, k AS stage, 0 AS kind, 0 AS place, strlen(source) + strlen(english) AS cost, NULL AS meta_id FROM k UNION ALL SELECT conv_id, turn, stage, 1, place, cost, meta_id FROM m),
+    s AS (SELECT i.*, strlen(c.text) + 128 + sum(cost) OVER (PARTITION BY i.conv_id, i.turn ORDER BY stage, kind, place DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS before FROM i JOIN conversations c USING (conv_id, turn)),
+    g AS (SELECT conv_id, turn, count(*) FILTER (kind = 0) AS kept_pairs, coalesce(list(meta_id ORDER BY place) FILTER (kind = 1), []) AS kept_roster, sum(cost) AS held FROM s WHERE before <= 1532 OR stage = 99 GROUP BY conv_id, turn)
+    SELECT conv_id * 1000 + turn AS req_id, CASE WHEN ok THEN kept_pairs ELSE 0 END AS kept_pairs, CASE WHEN ok THEN array_to_string(kept_roster, ',') ELSE '' END AS kept_roster, cost, CASE WHEN NOT ok THEN 'does not fit' END AS error
+    FROM (SELECT *, strlen(text) + 128 + held AS cost, strlen(text) + 128 + held <= 1532 AS ok FROM g JOIN conversations USING (conv_id, turn))""",
+)
 def w7(spark, d):
     ctx = order.context(dialogue(spark, d), "conv_id", "turn", "source", "english", "role", n=10)
-    roles = read(spark, d, "conversations").groupBy("conv_id").agg(
-        F.array_sort(F.collect_set(F.struct(F.col("role").alias("meta_id"), F.substring("text", 1, 12).alias("name")))).alias("roster")
-    )
-    c = read(spark, d, "conversations").join(ctx.withColumnRenamed("context", "pairs").hint("merge"), ["conv_id", "turn"]).join(roles.hint("merge"), "conv_id")
+    c = read(spark, d, "conversations")
+    first = c.groupBy("conv_id", F.col("role").alias("meta_id")).agg(F.split(F.min_by("text", "turn"), " ")[0].alias("name_en"))
+    row = F.struct("meta_id", "name_en", F.lit(None).cast("string").alias("gender"), F.col("meta_id").alias("alias_en"))
+    rosters = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("roster"))
+    c = c.join(ctx.withColumnRenamed("context", "pairs").hint("merge"), ["conv_id", "turn"]).join(rosters.hint("merge"), "conv_id")
     req = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("req_id"), "text", F.col("role").alias("speaker"), "pairs", "roster")
-    return order.trim_request(req)
+    return order.trim_request(req).withColumn("kept_roster", F.array_join("kept_roster", ","))
 
 
 @query("w8_to_ranges", "SELECT l_suppkey, min(l_partkey) AS first, max(l_partkey) AS last FROM (SELECT *, l_partkey - row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS g FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) GROUP BY l_suppkey, g")

@@ -44,21 +44,24 @@ def _cleaned(df: DataFrame) -> DataFrame:
     return df.withColumns(new | {"gender": enum_or(F.col("gender"), GENDERS)})
 
 
-def read_roster_csv(spark: SparkSession, path: str, dest: str, most: int = 50) -> DataFrame:
-    """S3: a destination's roster from CSV: ``dest, ord, meta_id`` and fields.
-
-    Header names count trimmed and whatever their case, without a byte order mark; other
-    columns are ignored, missing ones null, blank rows skipped, the first ``most`` kept.
-    Ids come from a hash of destination, place and row, so that a reread gives the same.
-    A roster is a single small file: one task reads it, in its order.
+def read_roster_csv(spark: SparkSession, path: str, dest: str | None = None, most: int = 50) -> DataFrame:
+    """S3: rosters from CSV: ``dest, ord, meta_id`` and fields.
+
+    ``path`` is the file of destination ``dest`` or, without one, a folder of ``dest=<name>``
+    folders with a file each and one header for all. Header names count trimmed and
+    whatever their case, without a byte order mark; other columns are ignored, missing ones
+    null, blank rows skipped, the first ``most`` of a destination kept. Ids come from a hash of
+    destination, place and row, so that a reread gives the same. A file is small and read
+    by one task, in its order.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8").coalesce(1)
-    by_name = {c.replace("﻿", "").strip().lower(): c for c in reversed(raw.columns)}
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
+    by_name = {c.replace("\ufeff", "").strip().lower(): c for c in reversed(raw.columns)}
     cols = [(F.col(f"`{by_name[f]}`") if f in by_name else F.lit(None).cast("string")).alias(f) for f in FIELDS]
-    rows = _cleaned(raw.select(*cols)).where(F.coalesce(*FIELDS).isNotNull()).withColumn("__at", F.monotonically_increasing_id())
-    rows = rows.withColumn("ord", F.row_number().over(Window.orderBy("__at"))).where(F.col("ord") <= most)
-    meta = F.substring(F.sha2(F.to_json(F.struct(F.lit(dest).alias("dest"), "ord", *FIELDS)), 256), 1, 8)
-    return rows.select(F.lit(dest).alias("dest"), "ord", meta.alias("meta_id"), *FIELDS)
+    given = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), "/dest=([^/]*)/", 1)) if dest is None else F.lit(dest)
+    rows = _cleaned(raw.select(given.alias("dest"), *cols)).where(F.coalesce(*FIELDS).isNotNull()).withColumn("__at", F.monotonically_increasing_id())
+    rows = rows.withColumn("ord", F.row_number().over(Window.partitionBy("dest").orderBy("__at"))).where(F.col("ord") <= most)
+    meta = F.substring(F.sha2(F.to_json(F.struct("dest", "ord", *FIELDS)), 256), 1, 8)
+    return rows.select("dest", "ord", meta.alias("meta_id"), *FIELDS)
 
 
 def roster_rows(roster: DataFrame) -> DataFrame:

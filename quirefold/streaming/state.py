@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LINES = 60
@@ -130,21 +133,44 @@ def transfer_state(events: DataFrame, delay: str = "1 minute", expiry_s: int = 3
     return events.withWatermark("ts", delay).groupBy("job", "file").applyInPandasWithState(step, out, kept, "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def _in_order(rows: DataFrame, key: str, order: list[str], start: Callable[[], Any], step: Callable[[Any, dict], tuple[Any, bool]], out: str) -> DataFrame:
+    """``rows`` with the boolean ``out``: what ``step(state, row)`` gives for each, key by key in ``order``.
+
+    Rows of a key are sorted by Spark and pass one at a time, so a task holds the state of
+    one key and never its rows.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            columns = batch.to_pydict()
+            names, got = list(columns), []
+            for values in zip(*columns.values(), strict=True):
+                row = dict(zip(names, values, strict=True))
+                if state is None or row[key] != now:
+                    now, state = row[key], start()
+                state, value = step(state, row)
+                got.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.bool_())], names=[*names, out])
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 def throttle_batch(events: DataFrame, key: str, order: str, at: str, forced: str, gap: float = 0.25) -> DataFrame:
     """T3, batch twin: events that are published: forced, or ``gap`` seconds after the last one published.
 
-    What was published last depends on all before, so a key's times are folded in order.
+    What was published last depends on all before, so each key's events pass in order. A
+    null ``forced`` counts as not forced, an event without a time is published only if forced.
     """
-    one = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(at).cast("double").alias("t"), F.col(forced).alias("f")))).alias("xs"))
+    rows = events.select(key, order, F.col(at).cast("double").alias("__at"), F.coalesce(F.col(forced), F.lit(False)).alias("__forced"))
 
-    def step(s, x):
-        out = x["f"] | s["last"].isNull() | (x["t"] - s["last"] >= gap)
-        return F.struct(F.when(out, x["t"]).otherwise(s["last"]).alias("last"), F.concat(s["out"], F.array(out)).alias("out"))
+    def step(last: tuple, row: dict) -> tuple:
+        t = row["__at"]
+        goes = row["__forced"] or (t is not None and (last[0] is None or t - last[0] >= gap))
+        return ((t,) if goes and t is not None else last), goes
 
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<boolean>").alias("out"))
-    flags = one.withColumn("fs", F.aggregate("xs", start, step, lambda s: s["out"]))
-    rows = flags.select(key, F.explode(F.arrays_zip("xs", "fs")).alias("z"))
-    return rows.where("z.fs").select(key, F.col("z.xs.o").alias(order))
+    return _in_order(rows, key, [order], lambda: (None,), step, "__out").where("__out").select(key, order)
 
 
 def throttle(events: DataFrame, key: str, at: str, forced: str, gap: float = 0.25, delay: str = "1 minute") -> DataFrame:
@@ -170,25 +196,34 @@ def admit_batch(batches: DataFrame, client: str = "client", limit: int = 60, spa
     """T4, batch twin: ``client, batch, admitted`` of batches (``ts, batch, events``).
 
     A batch of over ``most`` events, or that would make more than ``limit`` admitted ones
-    in the last ``span`` seconds, is refused and uses no budget. Each client is worked on
-    alone; only admitted batches of the last span are remembered.
+    in the last ``span`` seconds, is refused and uses no budget. Each client's batches pass in
+    order of time and name; only admitted batches of the last span are remembered. A batch
+    without a time or a count is refused.
     """
-    kinds = {c: batches.schema[c].dataType.simpleString() for c in (client, "batch")}
+    rows = batches.select(client, "batch", F.unix_micros(F.col("ts").cast("timestamp")).alias("__at"), F.col("events").cast("long").alias("__n"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: list[tuple[float, int]] = []
-        rows = []
-        for r in pdf.sort_values(["ts", "batch"], kind="stable").itertuples(index=False):
-            now, n = pd.Timestamp(r.ts).timestamp(), int(r.events)
-            held = [(t, k) for t, k in held if now - t < span]
-            good = n <= most and sum(k for _, k in held) + n <= limit
-            if good:
-                held.append((now, n))
-            rows.append((getattr(r, client), r.batch, good))
-        return pd.DataFrame(rows, columns=[client, "batch", "admitted"])
+    def step(held: list, row: dict) -> tuple:
+        now, n = row["__at"], row["__n"]
+        if now is None or n is None:
+            return held, False
+        held = [(t, k) for t, k in held if now - t < span * 1e6]
+        good = n <= most and sum(k for _, k in held) + n <= limit
+        return ([*held, (now, n)] if good else held), good
 
-    schema = f"`{client}` {kinds[client]}, batch {kinds['batch']}, admitted boolean"
-    return batches.select(client, "ts", "batch", "events").groupBy(client).applyInPandas(run, schema)
+    return _in_order(rows, client, ["__at", "batch"], list, step, "admitted").select(client, "batch", "admitted")
+
+
+def late_events(events: DataFrame, task: str = "task", order: str = "seq", kind: str = "kind") -> DataFrame:
+    """T5, batch twin: the events that T1 drops: those after a finish or an error of their run.
+
+    A start begins a new run, so it is never late. Events before the first start are a run
+    of their own.
+    """
+    w = Window.partitionBy(task).orderBy(order)
+    runs = events.withColumn("__run", F.sum((F.col(kind) == "start").cast("int")).over(w))
+    before = Window.partitionBy(task, "__run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.max(F.col(kind).isin("finish", "error")).over(before)
+    return runs.withColumn("__late", F.coalesce(ended, F.lit(False))).where("__late").drop("__run", "__late")
 
 
 def admit(batches: DataFrame, client: str = "client", limit: int = 60, span: float = 60.0, most: int = 10, delay: str = "1 minute") -> DataFrame:

@@ -199,7 +199,7 @@ def test_trimming_order(spark):
         return {r["req_id"]: r for r in order.trim_request(rows, n_ctx=budget + 4, max_new=0).collect()}
 
     assert trimmed(347)[1]["kept_pairs"] == 2  # costs 347: everything fits
-    assert (trimmed(346)[1]["kept_pairs"], trimmed(346)[1]["kept_roster"]) == (1, ["a", "c", "b"])  # Bob speaks in the oldest pair: it goes first
+    assert (trimmed(346)[1]["kept_pairs"], trimmed(346)[1]["kept_roster"]) == (1, ["a", "b", "c"])  # Bob speaks in the oldest pair: it goes first; rows stay in roster order
     tight = trimmed(140)[1]
     assert (tight["kept_pairs"], tight["kept_roster"], tight["cost"], tight["error"]) == (0, ["a", "c"], 140, None)
     assert trimmed(140)[2]["error"] == "does not fit"
