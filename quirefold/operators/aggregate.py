@@ -110,12 +110,36 @@ def region_colours(px: DataFrame, by: str, zone: str = "zone") -> DataFrame:
     return plate.join(ink.hint("merge"), by, "left")
 
 
+def _at(hist: DataFrame, by: str, value: str, points: tuple[float, ...], n: str = "n") -> tuple[DataFrame, list[Column]]:
+    """A histogram with its running count, and per point the aggregate that gives the exact
+    percentile, interpolated: over a group, or over a window of one."""
+    order = Window.partitionBy(by).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = hist.withColumn("__through", F.sum(n).over(order)).withColumn("__all", F.sum(n).over(Window.partitionBy(by)))
+    v, found = F.col(value).cast("double"), []
+    for p in points:
+        place = F.col("__all").cast("double") - 1
+        low, high = (F.min(F.when(F.col("__through") > f(place * p), v)) for f in (F.floor, F.ceil))
+        found.append((low, high, p))
+    return rows, found
+
+
+def _between(low: Column, high: Column, size: Column, p: float) -> Column:
+    part = (size - 1) * p
+    part = part - F.floor(part)
+    return low * (1 - part) + high * part
+
+
 def stats(df: DataFrame, by: str, value: str, points: tuple[float, ...] = (0.025, 0.5, 0.75, 0.9, 0.975)) -> DataFrame:
-    """A5: exact percentiles with linear interpolation, in one array-valued aggregate."""
-    at = ", ".join(str(p) for p in points)
-    return df.groupBy(by).agg(F.expr(f"percentile({value}, array({at}))").alias("q")).select(
-        by, *(F.col("q")[i].alias(f"p{str(p * 100).rstrip('0').rstrip('.').replace('.', '_')}") for i, p in enumerate(points))
-    )
+    """A5: exact percentiles with linear interpolation; nulls do not count.
+
+    Equal values are counted before the shuffle and a group's counts are summed in sorted
+    order, so no group is held in memory.
+    """
+    hist = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("__v")).agg(F.count("*").alias("n"))
+    rows, found = _at(hist, by, "__v", points)
+    name = lambda p: f"p{str(p * 100).rstrip('0').rstrip('.').replace('.', '_')}"
+    size = F.max("__all").cast("double")
+    return rows.groupBy(by).agg(*(_between(low, high, size, p).alias(name(p)) for low, high, p in found))
 
 
 def flat_fill_value(px: DataFrame, by: str, least: int = 12, spread: float = 8) -> DataFrame:
@@ -127,14 +151,25 @@ def flat_fill_value(px: DataFrame, by: str, least: int = 12, spread: float = 8)
 
 
 def robust_median(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Median of the positive finite values within max(3 * 1.4826 MAD, 0.2 median) of the median."""
+    """Median of the positive finite values within max(3 * 1.4826 MAD, 0.2 median) of the median.
+
+    Equal values are counted before the one shuffle; medians are running counts over a
+    group's sorted values, of deviations too.
+    """
     v = F.col(value)
     good = df.where((v > 0) & ~F.isnan(v.cast("double")) & (v < float("inf")))
-    middle = good.groupBy(by).agg(F.expr(f"percentile({value}, 0.5)").alias("m"))
-    rows = good.join(middle.hint("merge"), by).withColumn("__d", F.abs(v - F.col("m")))
-    mad = rows.groupBy(by).agg(F.expr("percentile(__d, 0.5)").alias("mad"))
-    near = rows.join(mad.hint("merge"), by).where(F.col("__d") <= F.greatest(3 * 1.4826 * F.col("mad"), 0.2 * F.col("m")))
-    return near.groupBy(by).agg(F.expr(f"percentile({value}, 0.5)").alias("height"), F.count("*").alias("n"))
+    hist = good.groupBy(by, v.alias("__v")).agg(F.count("*").alias("__n"))
+    group, size = Window.partitionBy(by), F.col("__all").cast("double")
+
+    def with_median(rows: DataFrame, of: str, out: str) -> DataFrame:
+        counted, [(low, high, p)] = _at(rows, by, of, (0.5,), "__n")
+        return counted.withColumn(out, _between(low.over(group), high.over(group), size, p)).drop("__through")
+
+    rows = with_median(hist, "__v", "__m").withColumn("__d", F.abs(F.col("__v") - F.col("__m")))
+    rows = with_median(rows.drop("__all"), "__d", "__mad")
+    near = rows.where(F.col("__d") <= F.greatest(3 * 1.4826 * F.col("__mad"), 0.2 * F.col("__m"))).select(by, "__v", "__n")
+    counted, [(low, high, p)] = _at(near, by, "__v", (0.5,), "__n")
+    return counted.groupBy(by).agg(_between(low, high, F.max("__all").cast("double"), p).alias("height"), F.sum("__n").alias("n"))
 
 
 def tally(entries: DataFrame, by: str, read: Column, blank: Column, translated: Column, failed: Column) -> DataFrame:

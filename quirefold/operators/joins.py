@@ -12,6 +12,8 @@ from quirefold.plans.session import materialise
 
 SIDES = ("x1", "y1", "x2", "y2")
 FIELDS = ["name_en", "name_ja", "gender", "alias_en", "alias_ja"]
+#: A table of at most so many code points is broadcast.
+ALPHABET = 200_000
 
 
 def with_speaker(entries: DataFrame, roster: DataFrame, key: str = "character_id") -> DataFrame:
@@ -249,7 +251,9 @@ def assign_faces(chars: DataFrame, coverage: DataFrame, order: dict[str, int], f
     """The face of each character (``cp``): its forced owner if that covers it, else the
     first that does in ``order``, else the primary face's missing glyph (``missing``).
 
-    Only distinct code points (a bounded alphabet) meet the coverage table; white space has none.
+    Only distinct code points meet the coverage table; white space has none. Their faces are
+    written and counted: up to ``ALPHABET`` of them (there are 1,114,112 code points at all)
+    are broadcast, so that characters, of which a few are most, are not shuffled; more are merged.
     """
     rank = F.create_map(*(x for k, v in order.items() for x in (F.lit(k), F.lit(v))))
     owner = F.create_map(*(x for k, v in (forced or {-1: ""}).items() for x in (F.lit(k), F.lit(v))))
@@ -261,7 +265,9 @@ def assign_faces(chars: DataFrame, coverage: DataFrame, order: dict[str, int], f
     faces = known.join(found.hint("merge"), "cp", "left").select(
         "cp", F.coalesce("face", F.lit(primary)).alias("face"), F.col("face").isNull().alias("missing")
     )
-    return chars.join(faces.hint("merge"), "cp", "left")
+    faces = materialise(faces, "faces")
+    hint = "broadcast" if faces.count() <= ALPHABET else "merge"
+    return chars.join(faces.hint(hint), "cp", "left")
 
 
 def calibrate(glyphs: DataFrame, primary: str, fallback: str) -> DataFrame:

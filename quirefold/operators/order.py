@@ -198,6 +198,35 @@ def face_runs(chars: DataFrame, by: str, pos: str, face: str) -> DataFrame:
     return rows.groupBy(by, "run").agg(F.first(face).alias(face), F.min(pos).alias("start"), F.count("*").alias("length"))
 
 
+def text_face_runs(docs: DataFrame, by: str, text: str, faces: dict[str, list[tuple[int, int]]], missing: str = "missing") -> DataFrame:
+    """W9 of whole texts: as ``face_runs``, with the first of ``faces`` whose ranges of code points
+    hold a character as its face, else ``missing``.
+
+    A run is one match of a character class, so there is a row for each run and none for a
+    character; only the runs of a text are shuffled, to sum their lengths. ``by`` tells
+    texts apart; null and empty texts have no runs.
+    """
+
+    def members(ranges: list[tuple[int, int]]) -> str:
+        return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+
+    classes, seen, face = [], "", F.lit(missing)
+    for ranges in faces.values():
+        classes.append(f"[{members(ranges)}&&[^{seen}]]+" if seen else f"[{members(ranges)}]+")
+        seen += members(ranges)
+    first = F.ascii("__run")
+    for name, ranges in reversed(faces.items()):
+        inside = F.lit(False)
+        for a, b in ranges:
+            inside = inside | first.between(a, b)
+        face = F.when(inside, name).otherwise(face)
+    pattern = "|".join([*classes, f"[^{seen}]+"])
+    rows = docs.select(by, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("__i", "__run"))
+    rows = rows.select(by, (F.col("__i") + 1).cast("long").alias("run"), face.alias("face"), F.length("__run").cast("long").alias("length"))
+    through = F.sum("length").over(Window.partitionBy(by).orderBy("run"))
+    return rows.withColumn("start", through - F.col("length") + 1).select(by, "run", "face", "start", "length")
+
+
 def recent(df: DataFrame, key: str, order: list, n: int = 200) -> DataFrame:
     """The newest record of each key, newest first, ``n`` at most, as ``place``.
 

@@ -45,7 +45,35 @@ def a3(spark, d):
 _ZONE = "CASE WHEN l_linenumber <= 2 THEN 'ring' WHEN l_linenumber <= 5 THEN 'core' ELSE 'rest' END"
 
 
-@query("a4_region_colours")
+def _lab_sql(c):
+    """SQL for lightness, a and b of sRGB columns ``c``r, ``c``g, ``c``b."""
+    lin = [f"(CASE WHEN {c}{k} / 255 <= 0.04045 THEN {c}{k} / 255 / 12.92 ELSE pow(({c}{k} / 255 + 0.055) / 1.055, 2.4) END)" for k in "rgb"]
+    rows = ((0.4124564, 0.3575761, 0.1804375, 0.95047), (0.2126729, 0.7151522, 0.0721750, 1.0), (0.0193339, 0.1191920, 0.9503041, 1.08883))
+    t = [f"(({u}::DOUBLE * {lin[0]} + {v}::DOUBLE * {lin[1]} + {w}::DOUBLE * {lin[2]}) / {white})" for u, v, w, white in rows]
+    x, y, z = (f"(CASE WHEN {k} > 216::DOUBLE / 24389 THEN cbrt({k}) ELSE ({k} * 24389 / 27 + 16) / 116 END)" for k in t)
+    return f"116 * {y} - 16", f"500 * ({x} - {y})", f"200 * ({y} - {z})"
+
+
+def _modal_sql(where, rank):
+    """SQL for the modal colour of the pixels of one zone, as a candidate of rank ``rank``."""
+    return f"""SELECT g_id, {rank} AS rank, round_even(quantile_cont(r, 0.5), 0)::INT AS r, round_even(quantile_cont(g, 0.5), 0)::INT AS g, round_even(quantile_cont(b, 0.5), 0)::INT AS b
+      FROM (SELECT *, (r >> 3) * 1024 + (g >> 3) * 32 + (b >> 3) AS k FROM two WHERE {where}) JOIN (SELECT g_id, (r >> 3) * 1024 + (g >> 3) * 32 + (b >> 3) AS k, count(*) AS n FROM two WHERE {where} GROUP BY g_id, k QUALIFY row_number() OVER (PARTITION BY g_id ORDER BY count(*) DESC, k) = 1) USING (g_id, k) GROUP BY g_id"""
+
+
+_HERE, _PLATE = _lab_sql("t."), _lab_sql("p.")
+_AWAY = "least(round(sqrt(" + " + ".join(f"pow(({h}) - ({q}), 2)" for h, q in zip(_HERE, _PLATE, strict=True)) + "), 6), 255)"
+
+
+@query(
+    "a4_region_colours",
+    f"""WITH two AS (SELECT g_id, {_ZONE} AS zone, CASE WHEN b < 90 THEN r % 16 ELSE 240 + r % 16 END AS r, CASE WHEN b < 90 THEN g % 16 ELSE 240 + g % 16 END AS g, CASE WHEN b < 90 THEN b % 16 ELSE 240 + b % 16 END AS b FROM ({_PX_SQL})),
+    plate AS (SELECT * FROM ({_modal_sql("zone = 'ring'", 0)} UNION ALL {_modal_sql("zone = 'rest'", 1)} UNION ALL {_modal_sql("true", 2)}) QUALIFY row_number() OVER (PARTITION BY g_id ORDER BY rank) = 1),
+    away AS (SELECT t.*, p.r AS plate_r, p.g AS plate_g, p.b AS plate_b, {_AWAY} AS away FROM two t JOIN plate p USING (g_id)),
+    split AS ({otsu_sql("SELECT g_id, away FROM away", "g_id", "away")}),
+    ink AS (SELECT g_id, round_even(quantile_cont(r, 0.5), 0)::INT AS ink_r, round_even(quantile_cont(g, 0.5), 0)::INT AS ink_g, round_even(quantile_cont(b, 0.5), 0)::INT AS ink_b FROM away JOIN split USING (g_id)
+      WHERE zone = 'core' AND floor(away) > threshold AND separability >= 0.88 AND share BETWEEN 0.004 AND 0.72 AND share * n >= 40 GROUP BY g_id)
+    SELECT g_id, r AS plate_r, g AS plate_g, b AS plate_b, ink_r, ink_g, ink_b FROM plate LEFT JOIN ink USING (g_id)""",
+)
 def a4(spark, d):
     rows = px(spark, d).withColumn("zone", F.expr(_ZONE))
     # paper and ink: two populations, so that the split can be trusted

@@ -167,8 +167,8 @@ def characters(docs):
     f"WITH c AS (SELECT doc_id, pos, {_FACE_SQL} AS face FROM ({_CHARS_SQL})), f AS (SELECT *, CASE WHEN face IS DISTINCT FROM lag(face) OVER (PARTITION BY doc_id ORDER BY pos) OR lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) IS NULL THEN 1 ELSE 0 END AS new FROM c), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM f) SELECT doc_id, run, first(face) AS face, min(pos) AS start, count(*) AS length FROM r GROUP BY doc_id, run",
 )
 def w9(spark, d):
-    c = characters(read(spark, d, "documents")).withColumn("face", F.expr(_FACE_SQL))
-    return order.face_runs(c, "doc_id", "pos", "face")
+    faces = {"primary": [(32, 126)], "latin": [(160, 255)], "extended": [(192, 591)]}
+    return order.text_face_runs(read(spark, d, "documents"), "doc_id", "text", faces)
 
 
 @query("w10_recent", "SELECT user_id, event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth = 1 QUALIFY place <= 200")
