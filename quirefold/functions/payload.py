@@ -97,32 +97,22 @@ def collect(payload: Column, schema: dict, source: str) -> Column:
     return F.flatten(F.array(*found)) if found else F.array().cast("array<string>")
 
 
-def flatten_strings(df: DataFrame, key: str, payload: str, depth: int = 16) -> DataFrame:
-    """``strings``: the non-empty scalars of any JSON value in order, booleans in lower
-    case, nulls dropped; ``deep`` tells that containers were left at ``depth`` levels.
+#: Strings (after the escapes of quotes and backslashes are spelt in hexadecimal), keys with their colon, and other scalars.
+_SCALAR = r'"[^"]*"(?:\s*:)?|-?[0-9][0-9.eE+-]*|true|false|null'
 
-    Each level is one generator over the containers that are left; the place of a scalar is
-    the path of its ordinals. Unreadable JSON has no strings.
+
+def flatten_strings(payload: Column) -> Column:
+    """The non-empty scalars of any JSON text in the order of the text, booleans in lower
+    case, nulls dropped, as strings.
+
+    The text is read once for whether it is JSON and once for its scalars, at any depth the
+    reader takes and without a shuffle. Null, unreadable and empty JSON have no strings.
     """
-    level = df.select(F.col(key).alias("k"), F.array().cast("array<int>").alias("at"), F.try_parse_json(F.col(payload)).alias("v"))
-    level = level.where("v IS NOT NULL")
-    done = None
-    kind = F.schema_of_variant("v")
-    box = kind.startswith("ARRAY") | kind.startswith("OBJECT")
-    for _ in range(depth):
-        leaves = level.where(~box).select("k", "at", F.try_variant_get("v", "$", "string").alias("s"))
-        done = leaves if done is None else done.unionByName(leaves)
-        inside = level.where(box)
-        elements = "try_variant_get(v, '$', 'array<variant>')"
-        values = "map_values(try_variant_get(v, '$', 'map<string,variant>'))"
-        level = inside.selectExpr("k", "at", f"posexplode(coalesce({elements}, {values})) AS (i, v)")
-        level = level.selectExpr("k", "concat(at, array(i)) AS at", "v")
-    deep = level.where(box).select("k").distinct().withColumn("deep", F.lit(True))
-    texts = done.where("s IS NOT NULL AND s <> ''").groupBy("k").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]).alias("strings")
-    )
-    out = df.select(key).join(texts.withColumnRenamed("k", key).hint("merge"), key, "left").join(deep.withColumnRenamed("k", key).hint("merge"), key, "left")
-    return out.select(key, F.coalesce("strings", F.array().cast("array<string>")).alias("strings"), F.coalesce("deep", F.lit(False)).alias("deep"))
+    hexed = F.replace(F.replace(payload, F.lit("\\\\"), F.lit("\\u005c")), F.lit('\\"'), F.lit("\\u0022"))
+    tokens = F.filter(F.regexp_extract_all(hexed, F.lit(_SCALAR), F.lit(0)), lambda t: ~t.endswith(":") & (t != "null"))
+    values = F.transform(tokens, lambda t: F.try_variant_get(F.try_parse_json(t), "$", "string"))
+    found = F.filter(values, lambda s: s.isNotNull() & (s != ""))
+    return F.when(F.try_parse_json(payload).isNotNull(), found).otherwise(F.array().cast("array<string>"))
 
 
 def read_response(payload: Column, schema: dict) -> Column:

@@ -39,7 +39,8 @@ def mentions(texts: DataFrame, roster: DataFrame, text: str, key: str, names: li
     """
     long = roster.select(key, F.explode(F.array_distinct(F.array_compact(F.array(*(F.nullif(F.col(n), F.lit("")) for n in names))))).alias("__name"))
     if long.limit(small + 1).count() <= small:
-        return texts.join(F.broadcast(long), F.col(text).contains(F.col("__name"))).drop("__name").distinct()
+        each = long.groupBy(key).agg(F.collect_set("__name").alias("__names"))
+        return texts.join(F.broadcast(each), F.exists("__names", lambda name: F.contains(F.col(text), name))).drop("__names")
     first = F.substring("__name", 1, 4)
     heads = long.withColumn("__head", first)
     widths = F.array_distinct(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4)), lambda n: n))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quirefold.operators import joins as J
 from quirefold.operators import sets as S
 from quirefold.plans.registry import query, read
+from quirefold.plans.session import materialise
 
 _BOX = ["o_orderkey AS box_id", "o_orderkey div 64 AS page", "CAST((o_custkey * 7) % 900 AS DOUBLE) AS x1", "CAST((o_orderkey * 13) % 1300 AS DOUBLE) AS y1", "CAST((o_custkey * 7) % 900 + 60 + o_custkey % 90 AS DOUBLE) AS x2", "CAST((o_orderkey * 13) % 1300 + 60 + o_orderkey % 120 AS DOUBLE) AS y2", "(o_orderkey * 31 % 1000) / 1000.0D AS score"]
 _BOX_SQL = "SELECT o_orderkey AS box_id, o_orderkey // 64 AS page, ((o_custkey * 7) % 900)::DOUBLE AS x1, ((o_orderkey * 13) % 1300)::DOUBLE AS y1, ((o_custkey * 7) % 900 + 60 + o_custkey % 90)::DOUBLE AS x2, ((o_orderkey * 13) % 1300 + 60 + o_orderkey % 120)::DOUBLE AS y2, (o_orderkey * 31 % 1000) / 1000.0::DOUBLE AS score FROM orders"
@@ -33,7 +34,7 @@ def j1(spark, d):
 @query("j2_mentions", "SELECT DISTINCT doc_id, item_id FROM documents JOIN (SELECT item_id, substr(text, 1, 24) AS a, substr(text, 31, 20) AS b FROM benchmark) ON contains(text, a) OR contains(text, b)")
 def j2(spark, d):
     b = read(spark, d, "benchmark").selectExpr("item_id", "substr(text, 1, 24) AS a", "substr(text, 31, 20) AS b")
-    return J.mentions(read(spark, d, "documents").select("doc_id", "text"), b, "text", "item_id", ["a", "b"]).select("doc_id", "item_id").distinct()
+    return J.mentions(read(spark, d, "documents").select("doc_id", "text"), b, "text", "item_id", ["a", "b"]).select("doc_id", "item_id")
 
 
 @query(
@@ -99,8 +100,9 @@ def j8(spark, d):
     from quirefold.plans.window_queries import characters
 
     cover = spark.range(33, 592).selectExpr("CAST(id AS INT) AS cp").selectExpr("cp", "explode(filter(array(if(cp < 127, 'primary', ''), if(cp BETWEEN 160 AND 255, 'latin', ''), if(cp >= 192, 'extended', '')), f -> f <> '')) AS face")
-    faces = J.assign_faces(characters(read(spark, d, "documents")), cover, {"primary": 0, "latin": 1, "extended": 2}, {233: "extended"})
-    return faces.groupBy("cp", "face").agg(F.count("*").alias("n"))
+    counts = characters(read(spark, d, "documents")).groupBy("cp").agg(F.count("*").alias("n"))
+    faces = J.assign_faces(materialise(counts, "j8-counts"), cover, {"primary": 0, "latin": 1, "extended": 2}, {233: "extended"})
+    return faces.groupBy("cp", "face").agg(F.sum("n").alias("n"))
 
 
 @query("j9_calibrate", "SELECT a.p_partkey AS cp, least(greatest(a.p_size / b.s, 0.5), 3) AS scale FROM part a JOIN (SELECT l_partkey, max(l_quantity) AS s FROM lineitem GROUP BY 1) b ON a.p_partkey = b.l_partkey")

@@ -44,11 +44,10 @@ def x3(spark, d):
     return read(spark, d, "events").select("event_id", F.array_join(F.transform(found, lambda x: F.replace(x, F.lit('"'), F.lit(""))), "|").alias("found"))
 
 
-@query("x4_flatten_strings", """SELECT event_id, json_extract_string(props, '$.k') || '|' || event_type || '|true|7' AS strings, false AS deep FROM events""")
+@query("x4_flatten_strings", """SELECT event_id, json_extract_string(props, '$.k') || '|' || event_type || '|a "b": c' || chr(92) || '|true|7' AS strings FROM events""")
 def x4(spark, d):
-    e = read(spark, d, "events").select("event_id", F.concat(F.lit('[{"a":'), F.col("props"), F.lit('},["'), F.col("event_type"), F.lit('",null,[true,""]],7]')).alias("p"))
-    out = payload.flatten_strings(e, "event_id", "p", depth=6)
-    return out.select("event_id", F.array_join("strings", "|").alias("strings"), "deep")
+    p = F.concat(F.lit('[{"z":'), F.col("props"), F.lit(',"a":["'), F.col("event_type"), F.lit('",null,{"n":"a \\"b\\": c\\\\","b":[true,""]}]},7]'))
+    return read(spark, d, "events").select("event_id", F.array_join(payload.flatten_strings(p), "|").alias("strings"))
 
 
 @query("x5_read_response", "SELECT event_id, json_extract_string(props, '$.k') || event_type AS text, CASE WHEN event_type = 'error' THEN event_type END AS error, event_type || ',' || 'b' AS alternatives FROM events")

@@ -16,11 +16,15 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests, a laptop), a temporary folder is made
-    once per session and remembered in the same setting.
+    A local session that names none (tests, a laptop) gets a temporary folder, made once
+    and remembered in the same setting. Executors of a cluster could not see such a folder,
+    so there the setting must be given.
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"{CHECKPOINT_DIR} must name a folder that the driver and all executors share ({master})")
         folder = f"file://{tempfile.mkdtemp(prefix='quirefold-')}"
         spark.conf.set(CHECKPOINT_DIR, folder)
     return folder.rstrip("/")
