@@ -199,19 +199,19 @@ def n1(spark, d):
 
 @query(
     "n1_cell_components",
-    """WITH RECURSIVE c AS (SELECT DISTINCT l_suppkey AS page, l_partkey % 48 AS y, l_orderkey % 48 AS x FROM lineitem WHERE l_quantity < 12), e AS (SELECT a.page, a.y, a.x, b.y AS y2, b.x AS x2 FROM c a JOIN c b ON a.page = b.page AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+    """WITH RECURSIVE c AS (SELECT DISTINCT l_suppkey AS page, l_partkey % 96 AS y, l_orderkey % 96 AS x FROM lineitem), e AS (SELECT a.page, a.y, a.x, b.y AS y2, b.x AS x2 FROM c a JOIN c b ON a.page = b.page AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
     r AS (SELECT page, y, x, page * 1099511627776 + y * 1048576 + x AS root FROM c UNION SELECT e.page, e.y2, e.x2, r.root FROM r JOIN e ON e.page = r.page AND e.y = r.y AND e.x = r.x) SELECT page, y, x, min(root) AS component FROM r GROUP BY ALL""",
 )
 def n1_cells(spark, d):
-    c = read(spark, d, "lineitem").where("l_quantity < 12").selectExpr("l_suppkey AS page", "l_partkey % 48 AS y", "l_orderkey % 48 AS x")
+    c = read(spark, d, "lineitem").selectExpr("l_suppkey AS page", "l_partkey % 96 AS y", "l_orderkey % 96 AS x")
     return J.cell_components(c, "page")
 
 
 def parts(spark, d):
-    return boxes(spark, d).selectExpr("*", "CAST(x2 - x1 AS INT) AS area", "(box_id % 5) * 9.0D AS radius", "(box_id % 10) / 12.0D AS mean_p", "(box_id % 10) / 10.5D AS max_p", "(box_id * 17) % 60 AS votes", "box_id % 4 = 0 AS thin")
+    return boxes(spark, d).selectExpr("*", "CAST(x2 - x1 AS INT) AS area", "(box_id % 5) * 9.0D AS radius", "(box_id % 10) / 12.0D AS mean_p", "(box_id % 10) / 10.5D AS max_p", "(box_id * 17) % 260 AS votes", "box_id % 4 = 0 AS thin")
 
 
-_PART_SQL = f"SELECT *, (x2 - x1)::INT AS area, (box_id % 5) * 9.0 AS radius, (box_id % 10) / 12.0 AS mean_p, (box_id % 10) / 10.5 AS max_p, (box_id * 17) % 60 AS votes, box_id % 4 = 0 AS thin FROM ({_BOX_SQL})"
+_PART_SQL = f"SELECT *, (x2 - x1)::INT AS area, (box_id % 5) * 9.0 AS radius, (box_id % 10) / 12.0 AS mean_p, (box_id % 10) / 10.5 AS max_p, (box_id * 17) % 260 AS votes, box_id % 4 = 0 AS thin FROM ({_BOX_SQL})"
 _DIST = "pow(greatest(0, b.x1 - a.x2, a.x1 - b.x2), 2) + pow(greatest(0, b.y1 - a.y2, a.y1 - b.y2), 2)"
 
 
