@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import embeddings, fingerprints, licenses, mixing, packing, secrets, sharding, simhash, token_counts, toxicity
+from quirefold.llm import (
+    embeddings,
+    fingerprints,
+    licenses,
+    merkle,
+    mixing,
+    packing,
+    periods,
+    secrets,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+)
 
 
 def tokenizer_path(name: str) -> str:
@@ -119,6 +133,78 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def _id_crc() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
+@F.pandas_udf("string")
+def repeating_tail(texts: pd.Series, hashes: pd.Series) -> pd.Series:
+    """op11's texts: where the hash is divisible by 10, word i from a on is word a + (i - a) % p."""
+
+    def changed(text: str | None, h: float) -> str | None:
+        if text is None or h != h or h % 10:
+            return text
+        words, g = text.encode().split(), int(h) // 10
+        if words:
+            a = g % len(words)
+            p = 1 + (len(words) - a) // (3 + g % 8)
+            words = words[:a] + [words[a + i % p] for i in range(len(words) - a)]
+        return b" ".join(words).decode()
+
+    return pd.Series([changed(x, h) for x, h in zip(texts, hashes, strict=True)], dtype=object)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", repeating_tail(F.col("text"), _id_crc().cast("double")).alias("text"))
+    found = periods.scan(docs)  # ships the package, which the tail needs too
+    runs = F.col("periodic.runs")
+
+    def more(best: Column, r: Column) -> Column:
+        return F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    digested = found.select(
+        "doc_id",
+        F.size(runs).cast("long").alias("n_runs"),
+        F.aggregate(runs, none, more).alias("best"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("periodic.collapsed"), 256).alias("collapsed_sha256"),
+    )
+    return digested.select(
+        "doc_id",
+        "n_runs",
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+
+    def digest(text: Column) -> Column:
+        return merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    changed = F.when(_id_crc() % 3 == 0, digest(F.translate("text", upper, lower)))
+    slim = docs.select("doc_id", "lang", digest(F.col("text")).alias("digest"), changed.alias("changed"))
+    proved = merkle.manifest(slim, "lang", ["doc_id"], arity=8)
+    folded = merkle.hex_of(merkle.folded(F.coalesce("changed", "digest"), F.col("path")))
+    out = proved.select(
+        "doc_id",
+        merkle.hex_of(F.col("digest")).alias("leaf"),
+        merkle.hex_of(F.col("subroot")).alias("subroot"),
+        merkle.hex_of(F.col("root")).alias("root"),
+        F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scans": op2_license_scans,
@@ -130,6 +216,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {}
