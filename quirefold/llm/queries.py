@@ -7,11 +7,13 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quirefold.llm import (
     embeddings,
     fingerprints,
     licenses,
+    lm,
     merkle,
     mixing,
     packing,
@@ -137,7 +139,7 @@ def _id_crc() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repeating_tail(texts: pd.Series, hashes: pd.Series) -> pd.Series:
     """op11's texts: where the hash is divisible by 10, word i from a on is word a + (i - a) % p."""
 
@@ -205,6 +207,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    crc = F.coalesce(_id_crc(), F.lit(0))
+    learnt = crc % 5 != 1
+    found = lm.score(docs, learnt, F.floor(crc / 5) % 20 == 0, order=2)
+    return found.select("doc_id", (crc % 5 == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scans": op2_license_scans,
@@ -218,6 +228,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {}
