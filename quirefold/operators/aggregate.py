@@ -70,46 +70,6 @@ def trusted_split(split: DataFrame) -> DataFrame:
     )
 
 
-def lab(r: Column, g: Column, b: Column) -> Column:
-    """A4: struct(l, a, b) of sRGB 0..255, D65."""
-
-    def linear(c: Column) -> Column:
-        c = c / 255.0
-        return F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
-
-    def f(t: Column) -> Column:
-        return F.when(t > 216 / 24389, F.cbrt(t)).otherwise((t * 24389 / 27 + 16) / 116)
-
-    lr, lg, lb = linear(r), linear(g), linear(b)
-    x = f((0.4124564 * lr + 0.3575761 * lg + 0.1804375 * lb) / 0.95047)
-    y = f(0.2126729 * lr + 0.7151522 * lg + 0.0721750 * lb)
-    z = f((0.0193339 * lr + 0.1191920 * lg + 0.9503041 * lb) / 1.08883)
-    return F.struct((116 * y - 16).alias("l"), (500 * (x - y)).alias("a"), (200 * (y - z)).alias("b"))
-
-
-def region_colours(px: DataFrame, by: str, zone: str = "zone") -> DataFrame:
-    """A4: plate and ink colour of each region from its pixels' ``zone``: ring, core or rest.
-
-    The plate is the modal colour of the ring, else of the rest, else of all. Pixels
-    are split by their distance to it; where the split can be trusted, ink is the median
-    of core pixels beyond the threshold, else ink is null.
-    """
-    pieces = [px.where(F.col(zone) == "ring"), px.where(F.col(zone) == "rest"), px]
-    best = None
-    for rank, piece in enumerate(pieces):
-        one = modal_colour(piece, by).select(by, F.lit(rank).alias("rank"), F.struct("r", "g", "b").alias("plate"))
-        best = one if best is None else best.unionByName(one)
-    plate = best.groupBy(by).agg(F.min_by("plate", "rank").alias("plate"))
-    rows = px.join(plate.hint("merge"), by)
-    here, there = lab(F.col("r"), F.col("g"), F.col("b")), lab(F.col("plate.r"), F.col("plate.g"), F.col("plate.b"))
-    away = F.sqrt(F.pow(here["l"] - there["l"], 2) + F.pow(here["a"] - there["a"], 2) + F.pow(here["b"] - there["b"], 2))
-    rows = rows.withColumn("__away", F.least(F.round(away, 6), F.lit(255.0)))
-    good = trusted_split(otsu(rows, by, "__away")).select(by, "threshold")
-    ink = rows.join(good.hint("merge"), by).where((F.col(zone) == "core") & (F.floor("__away") > F.col("threshold")))
-    ink = ink.groupBy(by).agg(F.struct(*(F.bround(F.expr(f"percentile({c}, 0.5)"), 0).cast("int").alias(c) for c in "rgb")).alias("ink"))
-    return plate.join(ink.hint("merge"), by, "left")
-
-
 def _at(hist: DataFrame, by: str, value: str, points: tuple[float, ...], n: str = "n") -> tuple[DataFrame, list[Column]]:
     """A histogram with its running count, and per point the aggregate that gives the exact
     percentile, interpolated: over a group, or over a window of one."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirefold.operators import aggregate as A
+from quirefold.operators import strokes
 from quirefold.plans.registry import query, read
 
 _PX = ["l_suppkey AS g_id", "CAST(l_partkey % 256 AS INT) AS r", "CAST((l_partkey * 3 + l_linenumber) % 256 AS INT) AS g", "CAST((CAST(l_quantity AS INT) * 5) % 256 AS INT) AS b", "l_linenumber"]
@@ -42,45 +43,72 @@ def a3(spark, d):
     return A.otsu(px(spark, d), "g_id", "r").select("g_id", "threshold", F.round("separability", 6).alias("separability"), F.round("share", 6).alias("share"), "n")
 
 
-_ZONE = "CASE WHEN l_linenumber <= 2 THEN 'ring' WHEN l_linenumber <= 5 THEN 'core' ELSE 'rest' END"
+# A crop of 24 by 20 pixels for each part: a bar of ink, in some with an outline, in one of seven kinds
+# without a zone and in another a slope of greys.
+_K = "p_partkey % 7"
+_BAR = "(x BETWEEN 6 AND 7 + p_size % 9 AND y BETWEEN 3 AND 16)"
+_EDGE = "(x = 6 OR x = 7 + p_size % 9 OR y = 3 OR y = 16)"
+_STROKE_PX = [
+    "p_partkey AS g_id", "x", "y",
+    f"CAST(CASE WHEN {_K} = 6 THEN x * 10 WHEN {_BAR} AND {_EDGE} AND p_size % 3 > 0 THEN 200 WHEN {_BAR} THEN 10 + {_K} ELSE 240 + (x * y) % 8 END AS INT) AS r",
+    f"CAST(CASE WHEN {_K} = 6 THEN x * 10 WHEN {_BAR} AND {_EDGE} AND p_size % 3 = 1 THEN 30 WHEN {_BAR} THEN 20 ELSE 240 + (p_partkey + x) % 3 END AS INT) AS g",
+    f"CAST(CASE WHEN {_K} = 6 THEN x * 10 WHEN {_BAR} THEN 30 ELSE 230 + y % 2 END AS INT) AS b",
+    f"CASE WHEN {_K} = 5 THEN 'rest' WHEN x BETWEEN 4 AND 17 AND y BETWEEN 2 AND 17 THEN 'zone' WHEN {_K} = 3 THEN 'rest' WHEN x BETWEEN 2 AND 19 THEN 'ring' ELSE 'rest' END AS zone",
+]
+_STROKE_SQL = f"SELECT {', '.join(_STROKE_PX)} FROM part, range(24) xs(x), range(20) ys(y)"
 
 
 def _lab_sql(c):
-    """SQL for lightness, a and b of sRGB columns ``c``r, ``c``g, ``c``b."""
+    """SQL for the whole lightness, a and b of sRGB columns ``c``r, ``c``g, ``c``b, on a scale of 255."""
     lin = [f"(CASE WHEN {c}{k} / 255 <= 0.04045 THEN {c}{k} / 255 / 12.92 ELSE pow(({c}{k} / 255 + 0.055) / 1.055, 2.4) END)" for k in "rgb"]
     rows = ((0.4124564, 0.3575761, 0.1804375, 0.95047), (0.2126729, 0.7151522, 0.0721750, 1.0), (0.0193339, 0.1191920, 0.9503041, 1.08883))
     t = [f"(({u}::DOUBLE * {lin[0]} + {v}::DOUBLE * {lin[1]} + {w}::DOUBLE * {lin[2]}) / {white})" for u, v, w, white in rows]
     x, y, z = (f"(CASE WHEN {k} > 216::DOUBLE / 24389 THEN cbrt({k}) ELSE ({k} * 24389 / 27 + 16) / 116 END)" for k in t)
-    return f"116 * {y} - 16", f"500 * ({x} - {y})", f"200 * ({y} - {z})"
+    return [f"round(round({e}, 6))" for e in (f"(116 * {y} - 16) * 2.55", f"500 * ({x} - {y}) + 128", f"200 * ({y} - {z}) + 128")]
 
 
-def _modal_sql(where, rank):
-    """SQL for the modal colour of the pixels of one zone, as a candidate of rank ``rank``."""
-    return f"""SELECT g_id, {rank} AS rank, round_even(quantile_cont(r, 0.5), 0)::INT AS r, round_even(quantile_cont(g, 0.5), 0)::INT AS g, round_even(quantile_cont(b, 0.5), 0)::INT AS b
-      FROM (SELECT *, (r >> 3) * 1024 + (g >> 3) * 32 + (b >> 3) AS k FROM two WHERE {where}) JOIN (SELECT g_id, (r >> 3) * 1024 + (g >> 3) * 32 + (b >> 3) AS k, count(*) AS n FROM two WHERE {where} GROUP BY g_id, k QUALIFY row_number() OVER (PARTITION BY g_id ORDER BY count(*) DESC, k) = 1) USING (g_id, k) GROUP BY g_id"""
+def _named_lab(c, name):
+    return ", ".join(f"{e} AS {name}_{k}" for e, k in zip(_lab_sql(c), "lab", strict=True))
 
 
-_HERE, _PLATE = _lab_sql("t."), _lab_sql("p.")
-_AWAY = "least(round(sqrt(" + " + ".join(f"pow(({h}) - ({q}), 2)" for h, q in zip(_HERE, _PLATE, strict=True)) + "), 6), 255)"
+def _modal_sql(rows):
+    """SQL for the modal colour of each group of ``rows``."""
+    return f"""SELECT g_id, round_even(quantile_cont(r, 0.5), 0)::INT AS r, round_even(quantile_cont(g, 0.5), 0)::INT AS g, round_even(quantile_cont(b, 0.5), 0)::INT AS b
+      FROM (SELECT *, (r >> 3) * 1024 + (g >> 3) * 32 + (b >> 3) AS k FROM {rows}) JOIN (SELECT g_id, (r >> 3) * 1024 + (g >> 3) * 32 + (b >> 3) AS k FROM {rows} GROUP BY g_id, k QUALIFY row_number() OVER (PARTITION BY g_id ORDER BY count(*) DESC, k) = 1) USING (g_id, k) GROUP BY g_id"""
+
+
+_MEDIANS = ", ".join(f"round_even(quantile_cont({c}, 0.5), 0)::INT AS {c}" for c in "rgb")
 
 
 @query(
     "a4_region_colours",
-    f"""WITH two AS (SELECT g_id, {_ZONE} AS zone, CASE WHEN b < 90 THEN r % 16 ELSE 240 + r % 16 END AS r, CASE WHEN b < 90 THEN g % 16 ELSE 240 + g % 16 END AS g, CASE WHEN b < 90 THEN b % 16 ELSE 240 + b % 16 END AS b FROM ({_PX_SQL})),
-    plate AS (SELECT * FROM ({_modal_sql("zone = 'ring'", 0)} UNION ALL {_modal_sql("zone = 'rest'", 1)} UNION ALL {_modal_sql("true", 2)}) QUALIFY row_number() OVER (PARTITION BY g_id ORDER BY rank) = 1),
-    away AS (SELECT t.*, p.r AS plate_r, p.g AS plate_g, p.b AS plate_b, {_AWAY} AS away FROM two t JOIN plate p USING (g_id)),
-    split AS ({otsu_sql("SELECT g_id, away FROM away", "g_id", "away")}),
-    ink AS (SELECT g_id, round_even(quantile_cont(r, 0.5), 0)::INT AS ink_r, round_even(quantile_cont(g, 0.5), 0)::INT AS ink_g, round_even(quantile_cont(b, 0.5), 0)::INT AS ink_b FROM away JOIN split USING (g_id)
-      WHERE zone = 'core' AND floor(away) > threshold AND separability >= 0.88 AND share BETWEEN 0.004 AND 0.72 AND share * n >= 40 GROUP BY g_id)
-    SELECT g_id, r AS plate_r, g AS plate_g, b AS plate_b, ink_r, ink_g, ink_b FROM plate LEFT JOIN ink USING (g_id)""",
+    f"""WITH crop AS MATERIALIZED ({_STROKE_SQL}),
+    size AS (SELECT g_id, count(*) FILTER (zone = 'zone') AS zn, count(*) FILTER (zone = 'ring') AS rn, count(*) FILTER (zone <> 'zone') AS other FROM crop GROUP BY g_id),
+    paper AS (SELECT c.* FROM crop c JOIN size USING (g_id) WHERE zn < 64 OR (rn < 64 AND other < 64) OR (rn >= 64 AND zone = 'ring') OR (rn < 64 AND other >= 64 AND zone <> 'zone')),
+    plate AS MATERIALIZED (SELECT *, {_named_lab('', 'p')} FROM ({_modal_sql('paper')})),
+    sample AS MATERIALIZED (SELECT *, round(sqrt(pow(c_l - p_l, 2) + pow(c_a - p_a, 2) + pow(c_b - p_b, 2)), 6) AS away
+      FROM (SELECT c.*, {_named_lab('c.', 'c')}, p_l, p_a, p_b FROM crop c JOIN size USING (g_id) JOIN plate p USING (g_id) WHERE zn < 64 OR zone = 'zone')),
+    split AS ({otsu_sql("SELECT g_id, least(away, 255) AS away FROM sample", "g_id", "away")}),
+    body AS MATERIALIZED (SELECT s.* FROM sample s JOIN split t USING (g_id) WHERE separability >= 0.88 AND n >= 40 AND away > greatest(18, threshold)
+      QUALIFY count(*) OVER (PARTITION BY s.g_id) >= 40 AND count(*) OVER (PARTITION BY s.g_id) / n BETWEEN 0.004 AND 0.72),
+    hole AS (SELECT c.g_id, c.x, c.y FROM crop c ANTI JOIN body USING (g_id, x, y)),
+    deep AS MATERIALIZED (SELECT b.*, d.depth FROM body b JOIN (SELECT b.g_id, b.x, b.y, sqrt(min(pow(b.x - h.x, 2) + pow(b.y - h.y, 2))) AS depth FROM body b JOIN hole h USING (g_id) GROUP BY ALL) d USING (g_id, x, y)),
+    radius AS (SELECT g_id, round(quantile_cont(depth, 0.9), 9) AS radius FROM deep GROUP BY g_id),
+    core AS (SELECT g_id, {_MEDIANS} FROM deep JOIN radius USING (g_id) WHERE round(depth, 9) >= greatest(1, round(0.6 * radius, 9)) GROUP BY g_id HAVING count(*) >= 8),
+    whole AS (SELECT g_id, {_MEDIANS} FROM body GROUP BY g_id),
+    ink AS MATERIALIZED (SELECT *, {_named_lab('', 'i')} FROM (FROM core UNION ALL FROM whole ANTI JOIN core USING (g_id))),
+    edge AS MATERIALIZED (SELECT d.g_id, r, g, b FROM deep d JOIN radius USING (g_id) WHERE depth <= 1 AND radius >= 2 QUALIFY count(*) OVER (PARTITION BY d.g_id) >= 40),
+    line AS (SELECT *, CASE WHEN (i_l - p_l) ^ 2 + (i_a - p_a) ^ 2 + (i_b - p_b) ^ 2 < 1e-6 THEN 0 ELSE greatest(0, least(1, ((e_l - p_l) * (i_l - p_l) + (e_a - p_a) * (i_a - p_a) + (e_b - p_b) * (i_b - p_b)) / ((i_l - p_l) ^ 2 + (i_a - p_a) ^ 2 + (i_b - p_b) ^ 2))) END AS t
+      FROM (SELECT g_id, r, g, b, {_named_lab('', 'e')} FROM ({_modal_sql('edge')})) JOIN (SELECT g_id, p_l, p_a, p_b FROM plate) USING (g_id) JOIN (SELECT g_id, i_l, i_a, i_b FROM ink) USING (g_id)),
+    rim AS (SELECT g_id, r, g, b FROM line WHERE round(sqrt((e_l - p_l - t * (i_l - p_l)) ^ 2 + (e_a - p_a - t * (i_a - p_a)) ^ 2 + (e_b - p_b - t * (i_b - p_b)) ^ 2), 6) > 18)
+    SELECT p.g_id, p.r AS plate_r, p.g AS plate_g, p.b AS plate_b, i.r AS ink_r, i.g AS ink_g, i.b AS ink_b, m.r AS rim_r, m.g AS rim_g, m.b AS rim_b
+    FROM plate p LEFT JOIN ink i USING (g_id) LEFT JOIN rim m USING (g_id)""",
 )
 def a4(spark, d):
-    rows = px(spark, d).withColumn("zone", F.expr(_ZONE))
-    # paper and ink: two populations, so that the split can be trusted
-    dark = F.col("b") < 90
-    two = rows.withColumns({c: F.when(dark, (F.col(c) % 16).cast("int")).otherwise((240 + F.col(c) % 16).cast("int")) for c in "rgb"})
-    c = A.region_colours(two, "g_id")
-    return c.select("g_id", *(F.col(f"plate.{k}").alias(f"plate_{k}") for k in "rgb"), *(F.col(f"ink.{k}").alias(f"ink_{k}") for k in "rgb"))
+    crop = read(spark, d, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("x"))
+    crop = crop.select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("y")).selectExpr(*_STROKE_PX)
+    c = strokes.region_colours(crop, "g_id")
+    return c.select("g_id", *(F.col(f"{part}.{k}").alias(f"{part}_{k}") for part in ("plate", "ink", "rim") for k in "rgb"))
 
 
 @query(

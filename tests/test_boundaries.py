@@ -203,12 +203,3 @@ def test_trimming_order(spark):
     tight = trimmed(140)[1]
     assert (tight["kept_pairs"], tight["kept_roster"], tight["cost"], tight["error"]) == (0, ["a", "c"], 140, None)
     assert trimmed(140)[2]["error"] == "does not fit"
-
-
-def test_region_colours(spark):
-    rows = [(g, 250, 250, 250, "ring") for g in (1, 2) for _ in range(200)]
-    rows += [(1, 10, 10, 12, "core")] * 60 + [(2, 10, 10, 12, "core")] * 20  # too little ink in the second
-    px = spark.createDataFrame(rows, "g_id int, r int, g int, b int, zone string")
-    got = {r["g_id"]: r for r in aggregate.region_colours(px, "g_id").collect()}
-    assert tuple(got[1]["plate"]) == tuple(got[2]["plate"]) == (250, 250, 250)
-    assert tuple(got[1]["ink"]) == (10, 10, 12) and got[2]["ink"] is None
