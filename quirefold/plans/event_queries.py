@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirefold.operators import hooks
-from quirefold.plans.registry import query, read
+from quirefold.plans.registry import ORACLES, query, read
 from quirefold.plans.session import shared_dir
 from quirefold.sources import rosters
 from quirefold.streaming import state
@@ -16,28 +17,57 @@ from quirefold.streaming import state
 _KIND = "CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'error' ELSE 'message' END"
 
 
-def task_events(spark, d):
-    return read(spark, d, "events").selectExpr(
+def event_stream(spark, d):
+    """The events table as a stream of its files."""
+    rows = read(spark, d, "events")
+    # a glob, as a single file is no folder to watch
+    return spark.readStream.schema(rows.schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def drained(spark, df, mode):
+    """All that a stream gives over what is there now, with the number of its batch.
+
+    Each batch replaces its own folder, so that one run again after a failure counts once.
+    """
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def store(rows, batch):
+        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+
+    go = df.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", f"{folder}/state")
+    go.trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(schema).parquet(f"{folder}/out")
+
+
+def newest(rows, *keys):
+    """The last state of each key in a stream of updates."""
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), "batch").alias("s"))
+    return last.select(*(F.col(f"s.{c}") for c in rows.columns if c != "batch"))
+
+
+def task_events(spark, d, rows=None):
+    return (read(spark, d, "events") if rows is None else rows).selectExpr(
         "ts", "event_id AS seq", "concat('u', user_id) AS task", f"{_KIND} AS kind",
         "CAST(CASE WHEN event_type = 'click' THEN floor(value) END AS BIGINT) AS done", "CAST(NULL AS BIGINT) AS total",
-        "CASE WHEN event_type = 'view' THEN props END AS line",
+        "CASE WHEN event_type IN ('view', 'purchase') THEN props END AS line",
     )
 
 
 @query(
     "t1_task_state",
-    f"""WITH e AS (SELECT ts, event_id AS seq, 'u' || user_id AS task, {_KIND} AS kind, CASE WHEN event_type = 'click' THEN floor(value)::BIGINT END AS done, CASE WHEN event_type = 'view' THEN props END AS line FROM events),
+    f"""WITH e AS (SELECT ts, event_id AS seq, 'u' || user_id AS task, {_KIND} AS kind, CASE WHEN event_type = 'click' THEN floor(value)::BIGINT END AS done, CASE WHEN event_type IN ('view', 'purchase') THEN props END AS line FROM events),
     r AS (SELECT *, sum(CASE WHEN kind = 'start' THEN 1 ELSE 0 END) OVER (PARTITION BY task ORDER BY seq) AS run FROM e), l AS (SELECT * FROM r QUALIFY run = max(run) OVER (PARTITION BY task)),
     x AS (SELECT *, coalesce(max(CASE WHEN kind IN ('finish', 'error') THEN 1 ELSE 0 END) OVER (PARTITION BY task ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM l)
-    SELECT task, min(ts) AS started, max(ts) AS updated, arg_max(done, seq) FILTER (done IS NOT NULL) AS done, NULL::BIGINT AS total, least(count(line), 60) AS lines, arg_max(line, seq) FILTER (line IS NOT NULL) AS last_line,
+    SELECT task, min(ts) AS started, max(ts) AS updated, arg_max(done, seq) FILTER (done IS NOT NULL) AS done, NULL::BIGINT AS total, least(count(line) FILTER (kind <> 'finish'), 60) + count(line) FILTER (kind = 'finish') AS lines, arg_max(line, seq) FILTER (line IS NOT NULL) AS last_line,
     CASE arg_max(kind, seq) WHEN 'finish' THEN 'finished' WHEN 'error' THEN 'failed' ELSE 'running' END AS status FROM x WHERE ended = 0 GROUP BY task""",
 )
 def t1(spark, d):
     return state.task_state_batch(task_events(spark, d))
 
 
-def transfer_events(spark, d):
-    return read(spark, d, "events").selectExpr(
+def transfer_events(spark, d, rows=None):
+    return (read(spark, d, "events") if rows is None else rows).selectExpr(
         "ts", "event_id AS seq", "concat('j', user_id) AS job", "concat('f', event_id % 5) AS file", "event_id div 2500 AS attempt",
         "CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'finish' ELSE 'advance' END AS kind",
         "CAST(floor(value) AS BIGINT) AS amount", "CAST(CASE WHEN event_type = 'signup' THEN 100 END AS BIGINT) AS start",
@@ -82,6 +112,35 @@ def t4(spark, d):
     return state.admit_batch(e, span=86400.0)
 
 
+# The same four as streams, against the same SQL. The watermark waits longer than the table is, as a table's files have no order.
+_WAIT = "400 days"
+
+
+@query("t1_task_stream", ORACLES["t1_task_state"])
+def t1_stream(spark, d):
+    live = state.task_state(task_events(spark, d, event_stream(spark, d)), delay=_WAIT)
+    return newest(drained(spark, live, "update"), "task")
+
+
+@query("t2_transfer_stream", ORACLES["t2_transfer_state"])
+def t2_stream(spark, d):
+    live = state.transfer_state(transfer_events(spark, d, event_stream(spark, d)), delay=_WAIT)
+    return newest(drained(spark, live, "update"), "job", "file")
+
+
+@query("t3_throttle_stream", f"SELECT user_id, ts FROM ({ORACLES['t3_throttle']}) JOIN events USING (user_id, event_id)")
+def t3_stream(spark, d):
+    e = event_stream(spark, d).withColumn("forced", F.col("event_type") == "purchase")
+    return drained(spark, state.throttle(e, "user_id", "ts", "forced", gap=3600.0, delay=_WAIT), "append").drop("batch")
+
+
+@query("t4_admit_stream", ORACLES["t4_admit"])
+def t4_stream(spark, d):
+    e = event_stream(spark, d).selectExpr("user_id AS client", "ts", "event_id AS batch", "CAST(floor(value) % 13 AS INT) AS events")
+    live = state.admit(e, span=86400.0, delay=_WAIT)
+    return drained(spark, live.withColumnRenamed("batch", "name"), "append").select("client", F.col("name").alias("batch"), "admitted")
+
+
 @query(
     "t5_late_events",
     f"""WITH e AS (SELECT event_id AS seq, 'u' || user_id AS task, {_KIND} AS kind FROM events),

@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
+from quirefold.plans.session import ship_package
+from quirefold.streaming.processors import Admission, TaskRuns, Throttle, Transfers
+
+#: Fixed value: the state store that processors with timers and lists need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LINES = 60
 EXPIRY_S = 30
 
@@ -29,54 +33,32 @@ def task_state_batch(events: DataFrame, keep: int = LINES) -> DataFrame:
     now = runs.join(last.hint("merge"), ["task", "run"])
     ended = F.coalesce(F.max(F.col("kind").isin("finish", "error").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     live = now.withColumn("__ended", ended).where("__ended = 0")
+    closing = F.col("kind") == "finish"  # its line may be one more
     return live.groupBy("task").agg(
         F.min("ts").alias("started"), F.max("ts").alias("updated"), F.max_by("done", F.when(F.col("done").isNotNull(), F.col("seq"))).alias("done"),
         F.max_by("total", F.when(F.col("total").isNotNull(), F.col("seq"))).alias("total"),
-        F.least(F.count("line"), F.lit(keep)).alias("lines"), F.max_by("line", F.when(F.col("line").isNotNull(), F.col("seq"))).alias("last_line"),
+        (F.least(F.count_if(F.col("line").isNotNull() & ~closing), F.lit(keep)) + F.count_if(F.col("line").isNotNull() & closing)).alias("lines"), F.max_by("line", F.when(F.col("line").isNotNull(), F.col("seq"))).alias("last_line"),
         F.when(F.max_by("kind", "seq") == "finish", "finished").when(F.max_by("kind", "seq") == "error", "failed").otherwise("running").alias("status"),
     )
 
 
-_TASK_OUT = "task string, started timestamp, updated timestamp, done long, total long, lines long, last_line string, status string"
-_TASK_STATE = "started timestamp, updated timestamp, done long, total long, lines array<string>, status string"
+def _stateful(events: DataFrame, delay: str, at: str, by: list[str], processor: StatefulProcessor, out: str, mode: str) -> DataFrame:
+    """``events`` through a processor by key. Such state is kept in RocksDB, so its provider is set on the session."""
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    ship_package(spark)
+    return events.withWatermark(at, delay).groupBy(*by).transformWithState(processor, out, mode, "eventTime")
 
 
-def task_state(events: DataFrame, delay: str = "1 minute", keep: int = LINES, expiry_s: int = EXPIRY_S) -> DataFrame:
+def task_state(events: DataFrame, delay: str = "1 minute", keep: int = LINES, expiry_s: int = EXPIRY_S, mark_s: int = 86400) -> DataFrame:
     """T1, streaming: a snapshot of each task that had events in a batch (update mode).
 
     State holds one run a task and its last ``keep`` lines. Finished tasks go ``expiry_s``
-    of event time after the end; late events are cut by the watermark.
+    of event time after the end; late events are cut by the watermark, those of an expired
+    run by a mark that stays ``mark_s``.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        run = list(state.get) if state.exists else None
-        for pdf in batches:
-            for r in pdf.sort_values("seq", kind="stable").to_dict("records"):
-                if run is None or r["kind"] == "start":
-                    run = [r["ts"], r["ts"], None, None, [], "running"]
-                elif run[5] != "running":
-                    continue
-                run[1] = r["ts"]
-                for i, c in ((2, "done"), (3, "total")):
-                    if not pd.isna(r[c]):
-                        run[i] = int(r[c])
-                if isinstance(r["line"], str):
-                    run[4] = [*run[4], r["line"]][-keep:]
-                if r["kind"] in ("finish", "error"):
-                    run[5] = "finished" if r["kind"] == "finish" else "failed"
-        if run is None:
-            return
-        state.update(tuple(run))
-        if run[5] != "running":
-            at = int(pd.Timestamp(run[1]).timestamp() * 1000) + expiry_s * 1000
-            state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
-        row = {"task": key[0], "started": run[0], "updated": run[1], "done": run[2], "total": run[3], "lines": len(run[4]), "last_line": run[4][-1] if run[4] else None, "status": run[5]}
-        yield pd.DataFrame([row]).astype({"done": "Int64", "total": "Int64"})
-
-    return events.withWatermark("ts", delay).groupBy("task").applyInPandasWithState(step, _TASK_OUT, _TASK_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    out = "task string, started timestamp, updated timestamp, done long, total long, lines long, last_line string, status string"
+    return _stateful(events, delay, "ts", ["task"], TaskRuns(keep, expiry_s, mark_s), out, "update")
 
 
 def transfer_state_batch(events: DataFrame) -> DataFrame:
@@ -101,36 +83,9 @@ def transfer_state_batch(events: DataFrame) -> DataFrame:
 
 
 def transfer_state(events: DataFrame, delay: str = "1 minute", expiry_s: int = 3600) -> DataFrame:
-    """T2, streaming: state of each (job, file) that had events in a batch (update mode)."""
+    """T2, streaming: state of each (job, file) that had events in a batch (update mode), kept ``expiry_s`` after the last."""
     out = "job string, file string, count long, total long, phase string"
-    kept = "attempt long, base long, moved long, total long, size long"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        attempt, base, moved, total, size = state.get if state.exists else (-1, 0, 0, None, None)
-        for pdf in batches:
-            for r in pdf.sort_values("seq", kind="stable").to_dict("records"):
-                if size is not None or r["attempt"] < attempt:
-                    continue
-                if r["attempt"] > attempt:
-                    attempt, base, moved, total = int(r["attempt"]), 0, 0, None
-                if not pd.isna(r["start"]):
-                    base = max(base, int(r["start"]))
-                if not pd.isna(r["total"]):
-                    total = max(int(r["total"]), total or 0)
-                if r["kind"] == "advance":
-                    moved += int(r["amount"])
-                elif r["kind"] == "finish":
-                    size = int(r["amount"])
-        state.update((attempt, base, moved, total, size))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + expiry_s * 1000)
-        phase = "finalizing" if size is not None else "downloading" if moved > 0 else "preparing"
-        count, top = (base + moved, total) if size is None else (size, size)
-        yield pd.DataFrame({"job": [key[0]], "file": [key[1]], "count": [count], "total": pd.array([top], dtype="Int64"), "phase": [phase]})
-
-    return events.withWatermark("ts", delay).groupBy("job", "file").applyInPandasWithState(step, out, kept, "update", GroupStateTimeout.EventTimeTimeout)
+    return _stateful(events, delay, "ts", ["job", "file"], Transfers(expiry_s), out, "update")
 
 
 def _in_order(rows: DataFrame, key: str, order: list[str], start: Callable[[], Any], step: Callable[[Any, dict], tuple[Any, bool]], out: str) -> DataFrame:
@@ -176,20 +131,7 @@ def throttle_batch(events: DataFrame, key: str, order: str, at: str, forced: str
 def throttle(events: DataFrame, key: str, at: str, forced: str, gap: float = 0.25, delay: str = "1 minute") -> DataFrame:
     """T3, streaming (append): the same, with the last published time of each key as state."""
     kind = events.schema[key].dataType.simpleString()
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for pdf in batches:
-            for t, f in pdf.sort_values(at, kind="stable")[[at, forced]].itertuples(index=False):
-                s = pd.Timestamp(t).timestamp()
-                if f or last is None or s - last >= gap:
-                    out.append(t)
-                    last = s
-        state.update((last,))
-        yield pd.DataFrame({key: [k[0]] * len(out), at: out})
-
-    return events.withWatermark(at, delay).groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, `{at}` timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
+    return _stateful(events, delay, at, [key], Throttle(key, at, forced, gap), f"`{key}` {kind}, `{at}` timestamp", "append")
 
 
 def admit_batch(batches: DataFrame, client: str = "client", limit: int = 60, span: float = 60.0, most: int = 10) -> DataFrame:
@@ -227,22 +169,7 @@ def late_events(events: DataFrame, task: str = "task", order: str = "seq", kind:
 
 
 def admit(batches: DataFrame, client: str = "client", limit: int = 60, span: float = 60.0, most: int = 10, delay: str = "1 minute") -> DataFrame:
-    """T4, streaming (append): the same, with the admitted times of the last span as state."""
+    """T4, streaming (append): the same, with the admitted batches of the last span as state."""
     kinds = {c: batches.schema[c].dataType.simpleString() for c in (client, "batch")}
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get, strict=True)) if state.exists else []
-        rows = []
-        for pdf in parts:
-            for r in pdf.sort_values(["ts", "batch"], kind="stable").itertuples(index=False):
-                now, n = pd.Timestamp(r.ts).timestamp(), int(r.events)
-                held = [(t, c) for t, c in held if now - t < span]
-                good = n <= most and sum(c for _, c in held) + n <= limit
-                if good:
-                    held.append((now, n))
-                rows.append((k[0], r.batch, good))
-        state.update(([t for t, _ in held], [c for _, c in held]))
-        yield pd.DataFrame(rows, columns=[client, "batch", "admitted"])
-
     schema = f"`{client}` {kinds[client]}, batch {kinds['batch']}, admitted boolean"
-    return batches.withWatermark("ts", delay).groupBy(client).applyInPandasWithState(step, schema, "at array<double>, n array<int>", "append", GroupStateTimeout.NoTimeout)
+    return _stateful(batches, delay, "ts", [client], Admission(client, limit, span, most), schema, "append")
