@@ -12,7 +12,7 @@ from quirefold.operators import hooks
 from quirefold.plans.registry import ORACLES, query, read
 from quirefold.plans.session import shared_dir
 from quirefold.sources import rosters
-from quirefold.streaming import state
+from quirefold.streaming import pacing, state
 
 _KIND = "CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'error' ELSE 'message' END"
 
@@ -95,7 +95,7 @@ def t2(spark, d):
 )
 def t3(spark, d):
     e = read(spark, d, "events").withColumn("forced", F.col("event_type") == "purchase").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return state.throttle_batch(e, "user_id", "event_id", "s", "forced", gap=3600.0)
+    return pacing.throttle_batch(e, "user_id", "event_id", "s", "forced", gap=3600.0)
 
 
 @query(

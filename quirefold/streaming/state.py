@@ -112,24 +112,8 @@ def _in_order(rows: DataFrame, key: str, order: list[str], start: Callable[[], A
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
-def throttle_batch(events: DataFrame, key: str, order: str, at: str, forced: str, gap: float = 0.25) -> DataFrame:
-    """T3, batch twin: events that are published: forced, or ``gap`` seconds after the last one published.
-
-    What was published last depends on all before, so each key's events pass in order. A
-    null ``forced`` counts as not forced, an event without a time is published only if forced.
-    """
-    rows = events.select(key, order, F.col(at).cast("double").alias("__at"), F.coalesce(F.col(forced), F.lit(False)).alias("__forced"))
-
-    def step(last: tuple, row: dict) -> tuple:
-        t = row["__at"]
-        goes = row["__forced"] or (t is not None and (last[0] is None or t - last[0] >= gap))
-        return ((t,) if goes and t is not None else last), goes
-
-    return _in_order(rows, key, [order], lambda: (None,), step, "__out").where("__out").select(key, order)
-
-
 def throttle(events: DataFrame, key: str, at: str, forced: str, gap: float = 0.25, delay: str = "1 minute") -> DataFrame:
-    """T3, streaming (append): the same, with the last published time of each key as state."""
+    """T3, streaming (append): events that ``pacing.throttle_batch`` publishes, with the last published time of each key as state."""
     kind = events.schema[key].dataType.simpleString()
     return _stateful(events, delay, at, [key], Throttle(key, at, forced, gap), f"`{key}` {kind}, `{at}` timestamp", "append")
 

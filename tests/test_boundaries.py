@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import colour, geometry, layout, payload, text
 from quirefold.operators import aggregate, graph, hooks, joins, order
 from quirefold.sources import rosters
-from quirefold.streaming import state
+from quirefold.streaming import pacing, state
 
 
 def one(spark, col, **values):
@@ -177,7 +177,7 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, state.admit_batch(batches, span=86400.0).collect()))
     events = spark.read.parquet(f"{d}/events.parquet").selectExpr("user_id", "event_id", "CAST(ts AS TIMESTAMP) AS ts", "event_type = 'purchase' AS forced")
     got = _stream(spark, events, tmp_path / "d", lambda s: state.throttle(s, "user_id", "ts", "forced", gap=3600.0, delay="400 days"), "throttled", "append")
-    twin = state.throttle_batch(events.withColumn("s", F.unix_micros("ts") / 1e6), "user_id", "event_id", "s", "forced", gap=3600.0)
+    twin = pacing.throttle_batch(events.withColumn("s", F.unix_micros("ts") / 1e6), "user_id", "event_id", "s", "forced", gap=3600.0)
     assert got.count() == twin.count()
 
 

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.streaming import state
+from quirefold.streaming import pacing, state
 
 BEGAN = datetime(2024, 1, 1)
 TASKS = "ts timestamp, seq long, task string, kind string, done long, total long, line string"
@@ -72,7 +72,7 @@ def test_throttle_and_admission_over_batches(spark, tmp_path):
     batches = [events[:20], events[20:50], events[50:]]
     got = run(spark, tmp_path / "t", batches, "ts timestamp, key string, forced boolean", lambda s: state.throttle(s, "key", "ts", "forced", delay="1 hour"), "append")
     rows = spark.createDataFrame([(i, *e) for i, e in enumerate(events)], "seq int, ts timestamp, key string, forced boolean")
-    twin = state.throttle_batch(rows.withColumn("s", F.unix_micros("ts") / 1e6), "key", "seq", "s", "forced")
+    twin = pacing.throttle_batch(rows.withColumn("s", F.unix_micros("ts") / 1e6), "key", "seq", "s", "forced")
     want = {(r["key"], events[r["seq"]][0]) for r in twin.collect()}
     assert {(r["key"], r["ts"]) for _, r in got} == want and len(got) == len(want) < 90
 
