@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirefold.functions import geometry as G
 from quirefold.functions.text import clean_name
 from quirefold.operators.graph import connected_components
-from quirefold.plans.session import materialise
+from quirefold.plans.session import materialise, ship_package
 
 SIDES = ("x1", "y1", "x2", "y2")
 FIELDS = ["name_en", "name_ja", "gender", "alias_en", "alias_ja"]
@@ -29,27 +33,65 @@ def with_speaker(entries: DataFrame, roster: DataFrame, key: str = "character_id
     return entries.join(F.broadcast(side), F.col(key) == F.col("speaker"), "left")
 
 
-def mentions(texts: DataFrame, roster: DataFrame, text: str, key: str, names: list[str], small: int = 200) -> DataFrame:
-    """(text row, roster row) where one of the names is in the text, case-sensitively.
+def _name_finder(names: list[tuple[str, list]]):
+    """A function from a text to the keys of the names in it: one pass over the text, all names at once."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for i, (name, _) in enumerate(names):
+        automaton.add_word(name, i)
+    if names:
+        automaton.make_automaton()
+
+    def find(text: str | None) -> list:
+        if not text or not names:
+            return []
+        met = {i for _, i in automaton.iter(text)}
+        return list(dict.fromkeys(k for i in sorted(met) for k in names[i][1]))
+
+    return find
+
+
+def _names_in(col: Column, sent, kind: T.ArrayType) -> Column:
+    @F.pandas_udf(kind)
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = _name_finder(sent.value)
+        for batch in batches:
+            yield pd.Series([find(x) for x in batch], dtype=object)
 
-    Up to ``small`` names are broadcast and looked for in each text. More are found by
-    their first word: a name can only be in a text that holds it, so texts are cut into
-    words, joined on it, and the whole name is looked for only there. A name beginning
-    inside a longer word is met because every suffix of a text's word counts.
+    return found(col)
+
+
+def mentions(texts: DataFrame, roster: DataFrame, text: str, key: str, names: list[str], part_chars: int = 4_000_000) -> DataFrame:
+    """A row for each text row and roster key one of whose names is in the text, case-sensitively.
+
+    All names are looked for in one pass over a text by an Aho-Corasick automaton, which
+    each worker builds once from a broadcast list. The list is bounded: the names' characters
+    are summed first and the keys dealt by hash over as many automata as ``part_chars``
+    allows, one for most glossaries and a pass over the texts for each beyond; a key's names
+    stay together. Nothing is shuffled but the roster, and a text gives only its findings.
+
+    Null and empty names and texts are in nothing; roster rows of one key (null is one) are
+    one; text rows that repeat stay rows. An automaton larger than ``part_chars`` comes only
+    of a hash that deals unevenly, or of one key that alone has more.
     """
-    long = roster.select(key, F.explode(F.array_distinct(F.array_compact(F.array(*(F.nullif(F.col(n), F.lit("")) for n in names))))).alias("__name"))
-    if long.limit(small + 1).count() <= small:
-        each = long.groupBy(key).agg(F.collect_set("__name").alias("__names"))
-        return texts.join(F.broadcast(each), F.exists("__names", lambda name: F.contains(F.col(text), name))).drop("__names")
-    first = F.substring("__name", 1, 4)
-    heads = long.withColumn("__head", first)
-    widths = F.array_distinct(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4)), lambda n: n))
-    grams = F.array_distinct(
-        F.flatten(F.transform(widths, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, n))))
-    )
-    cut = texts.withColumn("__head", F.explode(grams))
-    met = cut.join(heads.hint("merge"), "__head").where(F.col(text).contains(F.col("__name")))
-    return met.drop("__head", "__name").distinct()
+    spark = texts.sparkSession
+    ship_package(spark)
+    listed = F.array_compact(F.array(*(F.nullif(F.col(n).cast("string"), F.lit("")) for n in names)))
+    keyed = roster.select(F.col(key).alias("__key"), F.explode(listed).alias("__name")).distinct()
+    keyed = materialise(keyed, "mentions-names")
+    size = keyed.agg(F.sum(F.length("__name"))).first()[0] or 0
+    parts = max(1, -(-size // part_chars))
+    kind = T.ArrayType(roster.schema[key].dataType)
+    out = None
+    for part in range(parts):
+        mine = keyed.where(F.pmod(F.xxhash64("__key"), F.lit(parts)) == part)
+        mine = mine.groupBy("__name").agg(F.array_sort(F.collect_list(F.struct("__key"))).alias("__keys"))
+        held = [(r["__name"], [k["__key"] for k in r["__keys"]]) for r in mine.collect()]  # some part_chars characters
+        met = texts.withColumn("__met", _names_in(F.col(text), spark.sparkContext.broadcast(held), kind))
+        met = met.select(*texts.columns, F.explode("__met").alias(key))
+        out = met if out is None else out.unionAll(met)
+    return out
 
 
 def glossary(roster: DataFrame, order: str) -> DataFrame:

@@ -181,14 +181,6 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     assert got.count() == twin.count()
 
 
-def test_mentions_two_ways(spark):
-    texts = spark.createDataFrame([(1, "xAnna met Bo."), (2, "nobody"), (3, None)], "id int, t string")
-    roster = spark.createDataFrame([("a", "Anna", None), ("b", "Bo", ""), ("c", "Zed", "met Bo")], "m string, n1 string, n2 string")
-    small = {(r["id"], r["m"]) for r in joins.mentions(texts, roster, "t", "m", ["n1", "n2"]).collect()}
-    large = {(r["id"], r["m"]) for r in joins.mentions(texts, roster, "t", "m", ["n1", "n2"], small=0).collect()}
-    assert small == large == {(1, "a"), (1, "b"), (1, "c")}
-
-
 def test_trimming_order(spark):
     roster = [("a", "Ann"), ("b", "Bob"), ("c", "Cid")]
     pairs = [("s1" * 50, "e1" * 50, "b"), ("s2", "e2", None)]
