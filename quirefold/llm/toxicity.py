@@ -36,8 +36,9 @@ HIT = 0.6
 REJECT = 0.7
 BEGIN, LETTERS = 27, 28
 SENTENCE = re.compile(r"[.!?\n]+\s")
-#: Letters written one by one ("a b c d") are read as a word too.
-SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][\W_]*\s+){2,}[^\W\d_](?!\w)")
+#: Letters written one by one ("a b c d") are read as a word too. What is between two letters is taken
+#: whole, so that a run of blanks is read once.
+SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][\W_]++(?<=\s)){2,}[^\W\d_](?!\w)")
 _OFFSETS = {p: [(0, *c) for c in combinations(range(1, STRETCH), p - 1)] for p in ORDERS}
 _WORKER: dict = {}
 
@@ -426,8 +427,8 @@ def train(
 
     The sample takes labelled ids, not held out, in order of a hash, and their whole texts
     come to the driver; ``bounds`` are those of ``fit``. Rows whose label is null or that
-    have no document are passed over; a repeated id brings each of its rows; empty tables
-    give a constant model.
+    have no document are passed over; of rows that repeat an id one text comes, the first by
+    a hash; empty tables give a constant model.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & may_learn(F.col(id_col)))
     usable = usable.select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) > 0).cast("int").alias("y"))
@@ -437,8 +438,9 @@ def train(
     for y in (0, 1):
         some = usable.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
         chosen = some if chosen is None else chosen.unionAll(some)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "id")
-    rows = sorted((r["id"], r["t"] or "", r["y"]) for r in rows.collect())
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = rows.join(F.broadcast(chosen.distinct()), "id").groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("t"), "t"))["t"].alias("t"))
+    rows = sorted((r["id"], r["t"], r["y"]) for r in rows.collect())
     rows.sort(key=lambda r: (hash_of(str(r[0])), r))
     return fit([t for _, t, _ in rows], [y for *_, y in rows], rate, **bounds)
 

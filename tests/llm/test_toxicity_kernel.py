@@ -105,3 +105,15 @@ def test_constants_and_repeats():
     assert t.fit(["a"] * 9, [0] * 9, 0.2).probability(np.zeros((1, 2)))[0] == pytest.approx(0.2)
     twice = [t.fit([None, "", "you idiot", "fine day"] * 20, [0, 0, 1, 0] * 20, 0.25) for _ in range(2)]
     assert np.array_equal(twice[0].words(WORDS), twice[1].words(WORDS))
+
+
+def test_long_runs_of_blanks_take_linear_time():
+    import time
+
+    from quirefold.llm.toxicity import tokens
+
+    began = time.time()
+    for text in ("a" + " " * 1_000_000, "a" + " " * 500_000 + "b" + "\t" * 500_000, "a . " * 250_000, "_ " * 400_000, "x" + "-" * 900_000 + " y"):
+        list(tokens(text))
+    assert time.time() - began < 5
+    assert "idiot" in tokens("you i d  i-  o   t here") and "abc" in tokens("a , b ,, c.")
