@@ -16,7 +16,7 @@ BUCKET_ROWS = 5_000
 #: Measures that differ by less than a fiftieth count as one.
 MEASURE_STEPS = 50
 #: So often the words that a sample leaves are sampled for again.
-REFILLS = 2
+REFILLS = 1
 
 
 def word_count(text: Column) -> Column:
@@ -80,6 +80,31 @@ def expected_copies(measures: DataFrame, most: float) -> DataFrame:
     return got.groupBy("source").agg(F.max(F.when(fits, F.struct("measure", "level")))["level"].alias("level"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``__no``, their number among those of one ``__like``.
+
+    Most rows are alone and 0. The others are written with their task and place; each task's
+    own are numbered after those of the tasks before, so that a third of all rows may be alike.
+    """
+    counts = rows.groupBy("__like").agg(F.count("*").alias("c")).where("c > 1").select("__like")
+    repeated = materialise(counts, "mix-repeated")
+    n = repeated.count()
+    if not n:
+        return rows.withColumn("__no", F.lit(0).cast("long"))
+    repeated = repeated.hint("broadcast" if n <= BROADCAST_SOURCES else "merge")
+    alone = rows.join(repeated, "__like", "left_anti").withColumn("__no", F.lit(0).cast("long"))
+    some = rows.join(repeated, "__like", "left_semi")
+    some = some.withColumns({"__task": F.spark_partition_id(), "__place": F.monotonically_increasing_id()})
+    some = materialise(some, "mix-alike")
+    before = Window.partitionBy("__like").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = some.groupBy("__like", "__task").agg(F.count("*").alias("c"))
+    starts = starts.select("__like", "__task", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__start"))
+    own = F.row_number().over(Window.partitionBy("__like", "__task").orderBy("__place")) - 1
+    some = some.withColumn("__no", own).join(starts.hint("merge"), ["__like", "__task"])
+    some = some.withColumn("__no", F.col("__no") + F.col("__start")).drop("__task", "__place", "__start")
+    return alone.unionByName(some)
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -112,16 +137,19 @@ def mix(
     A cut is found without ordering a source in one task: a histogram of the ranking
     variable, about ``BUCKET_ROWS`` documents a bucket, gives the bucket where the words
     run out, and only that one is ordered. Sizes come from ``size_col``, or else are the
-    words of ``text_col``. Nothing is drawn at random, so reruns agree; equal rows are
-    treated alike. Null sources are a source; null and empty texts have no words and
+    words of ``text_col``. Nothing is drawn at random, so reruns agree. Rows alike in id,
+    source, size and text are numbered and each has its own draw, so that a source of equal rows
+    is sampled as any other; which of them are taken is open. Null sources are a source; null and empty texts have no words and
     are never in a sample by size; an empty table gives none. Existing columns of
     these names are replaced.
     """
     size = F.col(size_col).cast("long") if size_col else word_count(F.col(text_col))
     size = F.coalesce(size, F.lit(0).cast("long"))
-    tie = F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col(source_col), F.col(text_col) if text_col in docs.columns else F.lit(0))
-    unit = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), tie), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    rows = docs.withColumns({"__source": F.col(source_col), "__size": size, "__tie": tie, "__u": unit})
+    like = F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col(source_col), size, F.col(text_col) if text_col in docs.columns else F.lit(0))
+    rows = _numbered(docs.withColumns({"__source": F.col(source_col), "__size": size, "__like": like}))
+    tie = F.when(F.col("__no") == 0, F.col("__like")).otherwise(F.xxhash64("__like", "__no"))
+    unit = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), "__tie"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    rows = rows.withColumn("__tie", tie).withColumn("__u", unit).drop("__like", "__no")
     weight = F.col(weight_col).cast("double") if weight_col else F.pow(F.col("__size").cast("double"), F.lit(float(tilt)))
     step = F.floor(F.log(weight) * MEASURE_STEPS)
     measure = F.when((weight > 0) & (F.col("__size") > 0), F.exp(step / MEASURE_STEPS)).otherwise(F.lit(0.0))
@@ -182,13 +210,14 @@ def mix(
             out = out.withColumn(f"__left{k + 1}", F.coalesce(F.col(f"__left{k}") - F.col(f"__reached{k}"), F.lit(0.0)))
         return out
 
+    rest = ranked(slim).where("__at IS NOT NULL").select(
+        "__source", "__at", "__tie", "__bucket", "__size", F.col("__left0").alias("__left")
+    )
+    lefts, spare = [], []
     for k in range(1 + REFILLS):
-        left = F.col(f"__left{k}")
-        part = sampled(slim).where("NOT __in AND __at IS NOT NULL")
-        if k:
-            part = part.where(F.col("__size") <= left)
-        part = part.select("__source", "__at", "__tie", "__bucket", "__size", left.alias("__left"))
-        buckets = part.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__words"), F.first("__left").alias("__left"))
+        rest = materialise(rest, f"mix-rest-{k}")
+        buckets = rest.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__words"), F.first("__left").alias("__left"))
+        buckets = materialise(buckets, f"mix-buckets-{k}")
         through = F.sum("__words").over(Window.partitionBy("__source").orderBy("__bucket"))
         over = (
             buckets.withColumn("__through", through)
@@ -198,7 +227,7 @@ def mix(
             .select(F.col("__source").alias("__c"), F.col("cut.__bucket").alias("__cut"), "cut.before")
         )
         over = materialise(over, f"mix-over-{k}")
-        edge = part.join(over.hint(hint), F.expr("__source <=> __c AND __bucket = __cut")).withColumn(
+        edge = rest.join(over.hint(hint), F.expr("__source <=> __c AND __bucket = __cut")).withColumn(
             "__through", F.col("before") + F.sum("__size").over(Window.partitionBy("__source").orderBy("__at", "__tie"))
         )
         last = edge.where("__through <= __left").groupBy(F.col("__source").alias("__s4")).agg(
@@ -210,12 +239,34 @@ def mix(
             F.col("last").alias(f"__last{k}"),
             F.coalesce("reached", "before").alias(f"__reached{k}"),
         )
-        cuts.append(materialise(cut, f"mix-cut-{k}"))
-    gap = F.col(f"__left{1 + REFILLS}")
-    left_over = sampled(slim).where("NOT __in AND __at IS NOT NULL").where(F.abs(F.col("__size") - gap) < gap)
+        cut = materialise(cut, f"mix-cut-{k}")
+        cuts.append(cut)
+        had = buckets.groupBy("__source").agg(F.sum("__words").alias("all"), F.first("__left").alias("had"))
+        had = had.join(cut.hint(hint), F.expr(f"__source <=> __c{k}"), "left")
+        lefts.append(had.select("__source", F.lit(k).alias("round"), (F.col("had") - F.coalesce(f"__reached{k}", "all")).alias("gap")))
+        # beyond the cut, of sources that have one
+        beyond = (F.col("__bucket") > F.col(f"__bucket{k}")) | (
+            (F.col("__bucket") == F.col(f"__bucket{k}"))
+            & F.coalesce(F.struct("__at", "__tie") > F.col(f"__last{k}"), F.lit(True))
+        )
+        left = F.col("__left") - F.col(f"__reached{k}")
+        rest = rest.join(cut.hint(hint), F.expr(f"__source <=> __c{k}")).where(beyond & (F.col("__size") < 2 * left))
+        rest = rest.select("__source", "__at", "__tie", "__bucket", "__size", left.alias("__left"))
+        spare.append(rest if k == REFILLS else rest.where("__size > __left"))
+        rest = rest.where("__size <= __left")
+    # one more row of those that no cut took may come nearer
+    gaps = lefts[0]
+    for more in lefts[1:]:
+        gaps = gaps.unionByName(more)
+    gaps = gaps.groupBy(F.col("__source").alias("__s6")).agg(F.max_by("gap", "round").alias("gap"))
+    left_over = spare[0]
+    for more in spare[1:]:
+        left_over = left_over.unionByName(more)
+    left_over = left_over.join(gaps.hint(hint), F.expr("__source <=> __s6"))
+    miss = F.abs(F.col("__size") - F.col("gap"))
     closing = materialise(
-        left_over.groupBy(F.col("__source").alias("__s5")).agg(
-            F.min(F.struct(F.abs(F.col("__size") - gap).alias("miss"), "__at", "__tie")).alias("__close")
+        left_over.where(miss < F.col("gap")).groupBy(F.col("__source").alias("__s5")).agg(
+            F.min(F.struct(miss.alias("miss"), "__at", "__tie")).alias("__close")
         ),
         "mix-closing",
     )

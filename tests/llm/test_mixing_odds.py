@@ -59,3 +59,33 @@ def test_tilt_zero_and_weights(spark):
     assert [r[0] for r in even.agg(F.max("expected") - F.min("expected")).collect()] == [0.0]
     heavy = mixing.mix(df, size_col="n", weight_col="w", share=0.5).collect()
     assert all(r["copies"] == 0 for r in heavy if r["w"] == 0)
+
+
+def test_equal_and_null_ids(spark):
+    """Sources of equal rows come within a document of their target, whatever the partitions."""
+    rows = [(None, s, 10) for s in "abc" for _ in range(200)]
+    rows += [(i % 2, "d", 7) for i in range(200)] + [(None, None, 3)] * 90 + [(5, "e", 4), (6, "e", 9)]
+    seen = []
+    for parts in (1, 5, 9):
+        df = spark.createDataFrame(rows, "doc_id long, source string, n long").repartition(parts)
+        got = mixing.mix(df, size_col="n").collect()
+        assert len(got) == len(rows)
+        taken, target, size = collections.Counter(), {}, {}
+        for r in got:
+            taken[r["source"]] += r["taken"]
+            target[r["source"]], size[r["source"]] = r["target"], r["size"]
+            assert 0 <= r["copies"] <= 2
+        assert all(abs(taken[s] - target[s]) <= max(9, size[s]) for s in target), (taken, target)
+        seen.append(sorted(map(str, ((r["doc_id"], r["source"], r["copies"]) for r in got))))
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_repeated_rows_among_others(spark):
+    """A third of all rows alike: half of them once, half twice, or so."""
+    rows = [(1, "a", 6)] * 100 + [(i, "a", 1 + i % 11) for i in range(2, 202)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    got = mixing.mix(df, size_col="n", tilt=0.0).collect()
+    total = sum(n for *_, n in rows)
+    assert abs(sum(r["taken"] for r in got) - 1.5 * total) <= 11
+    like = collections.Counter(r["copies"] for r in got if r["doc_id"] == 1)
+    assert set(like) == {1, 2} and 25 <= like[2] <= 75
