@@ -24,7 +24,8 @@ BASE = [
 #: Parts that say little alone: kind, role in a credential, pattern. The pattern of weak secrets
 #: passes over hosts and paths of addresses, which look much like them; ``weak_spans`` leaves these out.
 #: A run of 16 or more is one if it mixes cases and has a digit beside a capital or three digits,
-#: or is of small letters and digits that take turns, or of capitals and digits 2 to 7.
+#: or is of small letters and digits that take turns, or of capitals and digits 2 to 7; words run together,
+#: with their numbers, are a name and none, as are small hex digits alone. User and password of an address are a pair in themselves.
 WEAK = [
     (
         "weak_id",
@@ -35,15 +36,16 @@ WEAK = [
         "weak_secret",
         "secret",
         r"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ftp)://[^\s\"'<>|?#]+"
-        r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})(?:"
+        r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})(?!(?:(?:[A-Z]?[a-z]{2,}+|[0-9]{1,4}+|[_-])++|[0-9a-f]++)(?![A-Za-z0-9+/_-]))(?:"
         r"(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*?(?:[A-Z][0-9]|[0-9][A-Z])|(?:[A-Za-z+/_-]*[0-9]){3})"
         r"|(?=(?:[a-z]*[0-9]+[a-z]+){3})(?=[a-z0-9]+(?![A-Z+/_-]))"
         r"|(?=[A-Z]*[2-7])(?=[A-Z2-7]+(?![a-z0189+/_-])))[A-Za-z0-9+/_-]+={0,2}",
     ),
     ("endpoint", "endpoint", r"""\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ftp)://[^\s"'<>|]+|\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?\b"""),
+    ("userinfo", "pair", r"""(?<=://)[^\s/@:"'<>]+:[^\s/@"'<>]+(?=@)"""),
 ]
-#: Role of a base kind in a credential.
-ROLES = {"assign": "secret", "access": "id", "hex": "secret"}
+#: Role of a base kind in a credential. A hex run alone is as likely a checksum; a named one is an assignment.
+ROLES = {"assign": "secret", "access": "id"}
 #: A weak part is reported if a part of one of these roles is in its scope.
 COMPLEMENTS = {"id": ("secret",), "secret": ("id", "endpoint"), "endpoint": ("secret",)}
 KINDS = [k for k, *_ in BASE] + [k for k, *_ in WEAK]
@@ -121,6 +123,7 @@ def weak_spans(text: Column) -> dict[str, Column]:
     gates = {
         "weak_id": text.contains("=") | text.contains(":") | text.rlike("A[A-Z]{3}"),
         "endpoint": text.contains("://") | text.rlike(r"\d\.\d"),
+        "userinfo": text.contains("://") & text.contains("@"),
     }
 
     def kept(kind: str, pattern: str) -> Column:
@@ -147,21 +150,24 @@ def joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, text_key, base, spans``.
+    """One row per row of ``docs``: ``doc_id, text_key, base, spans, links``.
 
     ``base`` are the spans of the single patterns. ``spans`` are these and the weak
     parts that another part completes: an identifier a secret, a secret an identifier
     or an endpoint, an endpoint a secret, if they start at most ``scope`` code points
     apart in one document and no character is in both; base spans count as parts too.
-    Each span is (start, rank, end, kind), in code points, end exclusive.
+    User and password in an address are complete in themselves. Each span is (start, rank,
+    end, kind), in code points, end exclusive; ``links`` has for each weak part that others
+    complete (part, with): the nearest before it and the nearest after, where there are such.
 
     Parts are joined to scopes by interval frames over a stretch of a document: a part
     is completed from before if the least end of the parts wanted among those that start
     up to ``scope`` earlier is no later than its start, from after if their greatest
-    start up to ``scope`` later is no earlier than its end. Nothing is paired, and long
-    documents are many stretches. Only spans are shuffled, texts never. Null and empty
-    texts have none; an empty table gives none. Documents are told apart by id and text,
-    so repeated rows get the same spans.
+    start up to ``scope`` later is no earlier than its end. A part has two links at most,
+    so that a document of n parts never gives n times n, and long documents are many
+    stretches. Only spans are shuffled, texts never. Null and empty texts have none; an
+    empty table gives none. Documents are told apart by id and text, so repeated rows get
+    the same spans.
     """
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), _OPEN + _CLOSE, _OTHER + _OTHER)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_key(id_col, text_col).alias("text_key"), text.alias("t"))
@@ -174,12 +180,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
         F.concat(*(_tagged(s, k) for k, s in weak.items())).alias("weak"),
     )
     found = materialise(found, "secret-spans")
-    linked = _completed(found, scope).groupBy("text_key").agg(F.collect_list("p").alias("linked"))
+    linked = _completed(found, scope).groupBy("text_key").agg(
+        F.collect_list("p").alias("linked"), F.flatten(F.collect_list("links")).alias("links")
+    )
+    none = F.array().cast(linked.schema["links"].dataType)
     return found.join(linked.hint("merge"), "text_key", "left").select(
         "doc_id",
         "text_key",
         "base",
         F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.concat("base", "linked")).alias("spans"),
+        F.coalesce("links", none).alias("links"),
     )
 
 
@@ -204,13 +214,53 @@ def _completed(found: DataFrame, scope: int) -> DataFrame:
     parts = parts.select("text_key", "p", role.alias("role"), F.posexplode(near).alias("seen", "stretch"))
     by = Window.partitionBy("text_key", "stretch").orderBy(F.col("p.start"))
     wanted = {of: F.col("role").isin(*others) for of, others in COMPLEMENTS.items()}
-    done = F.lit(False)
+    done = F.col("role") == "pair"
+    nothing = F.lit(None).cast(parts.schema["p"].dataType)
+    links = F.array(nothing)
     for of, other in wanted.items():
-        before = F.min(F.when(other, F.col("p.end"))).over(by.rangeBetween(-scope, -1))
-        after = F.max(F.when(other, F.col("p.start"))).over(by.rangeBetween(0, scope))
-        done = done | ((F.col("role") == of) & ((before <= F.col("p.start")) | (after >= F.col("p.end"))))
+        earlier, later = by.rangeBetween(-scope, -1), by.rangeBetween(0, scope)
+        part = F.when(other, F.col("p"))
+        # the nearest, or where that one overlaps, the one that surely does not
+        near, least = F.max(part).over(earlier), F.min(F.when(other, F.struct("p.end", "p"))).over(earlier)
+        before = F.when(near["end"] <= F.col("p.start"), near).when(least["end"] <= F.col("p.start"), least["p"])
+        first, last = F.min(part).over(by.rangeBetween(1, scope)), F.max(part).over(later)
+        after = F.when(first["start"] >= F.col("p.end"), first).when(last["start"] >= F.col("p.end"), last)
+        links = F.when(F.col("role") == of, F.array(before, after)).otherwise(links)
+    partners = F.filter(links, lambda x: x.isNotNull())
+    done = F.coalesce(done, F.lit(False)) | (F.size(partners) > 0)
     weak = F.col("p.kind").isin(*(k for k, *_ in WEAK))
-    return parts.select("text_key", "p", "seen", weak.alias("weak"), F.coalesce(done, F.lit(False)).alias("done")).where("weak AND done AND seen = 0")
+    pairs = F.transform(partners, lambda x: F.struct(F.col("p").alias("part"), x.alias("with")))
+    out = parts.select("text_key", "p", "seen", weak.alias("weak"), done.alias("done"), pairs.alias("links"))
+    return out.where("weak AND done AND seen = 0")
+
+
+#: Code points in a block of a text that is cut at many places.
+_CUT = 4096
+
+
+def _without(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with ``mark`` for each of its sorted, disjoint spans, each piece cut from its blocks alone."""
+
+    def hidden(x: Column) -> Column:
+        blocks, cuts = x["blocks"], x["cuts"]
+        size = F.size(cuts)
+
+        def piece(i: Column) -> Column:
+            a = F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["end"])
+            b = F.when(i == size, x["n"]).otherwise(F.get(cuts, i)["start"])
+
+            def part(j: Column) -> Column:
+                begin = F.greatest(a - j * _CUT, F.lit(0))
+                return F.substr(F.get(blocks, j), begin + 1, F.least(b - j * _CUT, F.lit(_CUT)) - begin)
+
+            whole = F.sequence(F.floor(a / _CUT).cast("int"), F.floor((b - 1) / _CUT).cast("int"))
+            return F.when(a < b, F.array_join(F.transform(whole, part), "")).otherwise(F.lit(""))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), size), piece), mark)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{_CUT}}})"), F.lit(1))
+    bound = F.array(F.struct(blocks.alias("blocks"), spans.alias("cuts"), F.length(text).alias("n")))
+    return F.get(F.transform(bound, hidden), F.lit(0))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[REDACTED]", **options) -> DataFrame:
@@ -219,31 +269,15 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     Rows and other columns stay as they are, null ids, repeated rows and clashing names
     included; so do texts without spans, null and empty ones.
     """
-    spans = scan(docs, id_col, text_col, **options).where("size(spans) > 0")
-    spans = spans.groupBy("text_key").agg(F.first("spans").alias("__spans"))
+    found = scan(docs, id_col, text_col, **options).select("text_key", F.explode("spans").alias("p")).distinct()
+    line = Window.partitionBy("text_key").orderBy("p.start", "p.end")
+    covered = F.max("p.end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("p.start") >= covered, F.lit(True)).cast("int")
+    found = found.withColumn("apart", apart).withColumn("no", F.sum("apart").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = found.groupBy("text_key", "no").agg(F.min("p.start").alias("start"), F.max("p.end").alias("end"))
+    spans = merged.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
     rows = docs.withColumn("__key", _text_key(id_col, text_col))
-    text = F.col(text_col)
-
-    def step(state: Column, s: Column) -> Column:
-        begin = F.greatest(state["at"], s["start"])
-        return (
-            F.when(s["end"] <= state["at"], state)
-            .when(
-                s["start"] >= state["at"],
-                F.struct(
-                    s["end"].alias("at"),
-                    F.concat(state["out"], F.substring(text, state["at"] + 1, begin - state["at"]), F.lit(mark)).alias("out"),
-                ),
-            )
-            .otherwise(F.struct(s["end"].alias("at"), state["out"].alias("out")))
-        )
-
-    hidden = F.aggregate(
-        F.array_sort("__spans"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        step,
-        lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))),
-    )
+    text = F.col(f"`{text_col}`")
     out = rows.join(spans.withColumnRenamed("text_key", "__key").hint("merge"), "__key", "left")
-    shown = F.when(F.col("__spans").isNull(), text).otherwise(hidden)
+    shown = F.when(F.col("__spans").isNull(), text).otherwise(_without(text, F.col("__spans"), mark))
     return out.withColumn(text_col, shown).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -27,20 +27,22 @@ PIECES = [
     "api_key: Zx9Qw8Er7Ty6Ui5Op4As",
     "src/main/java/com/Example2/Thing.java",
     "plain words only",
+    "postgres://joe:s3cretPassw0rdXY@db.host/x",
+    "GetUserNameFromDatabase2023Table()",
 ]
 
 
 def plain_scan(text, scope):
     found = []
     for kind, pattern, group, least in secrets.BASE:
-        found += [(m.start(), m.end(), kind, secrets.ROLES[kind]) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+        found += [(m.start(), m.end(), kind, secrets.ROLES.get(kind)) for m in re.finditer(pattern, text) if len(m[group]) >= least]
     base = len(found)
     for kind, role, pattern in secrets.WEAK:
         found += [(m.start(), m.end(), kind, role) for m in re.finditer(pattern, text) if kind != "weak_secret" or "://" not in m[0]]
     out = found[:base]
     for p in found[base:]:
-        near = [q for q in found if q[3] in secrets.COMPLEMENTS[p[3]] and abs(q[0] - p[0]) <= scope]
-        if any(q[1] <= p[0] or q[0] >= p[1] for q in near):
+        near = [q for q in found if q[3] in secrets.COMPLEMENTS.get(p[3], ()) and abs(q[0] - p[0]) <= scope]
+        if p[3] == "pair" or any(q[1] <= p[0] or q[0] >= p[1] for q in near):
             out.append(p)
     return sorted((a, secrets.KINDS.index(k), b, k) for a, b, k, _ in out)
 
@@ -82,3 +84,47 @@ def test_pipeline_leaves_plain_addresses(spark):
     assert out[1]["text"] == rows[0][1] and out[1]["n_chars"] == len(rows[0][1])
     assert out[2]["text"] == "[REDACTED] at [REDACTED]"
     assert corpus_pipeline.redact_secrets(spark, docs, "").count() == 4
+
+
+def redacted(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in secrets.redact(df).orderBy("doc_id").collect()]
+
+
+def test_hashes_and_names_complete_nothing(spark):
+    sha256, sha1 = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08"[:48], "da39a3ee5e6b4b0d3255bfef95601890afd80709"
+    texts = [
+        f"See https://example.com/docs/install for help. sha256: {sha256}",
+        f"Commit {sha1} fixes it. user: alice asked at https://github.com/org/repo/issues/12",
+        "account: 12345 calls GetUserNameFromDatabase2023Table() and parseHttpHeaderField2 at https://example.com/api",
+    ]
+    got = redacted(spark, texts)
+    assert got[0] == "See https://example.com/docs/install for help. sha256: [REDACTED]"
+    assert got[1] == "Commit [REDACTED] fixes it. user: alice asked at https://github.com/org/repo/issues/12"
+    assert got[2] == texts[2]
+
+
+def test_user_and_password_of_an_address(spark):
+    got = redacted(spark, ["at postgres://joe:s3cretPassw0rdXY@db.host/x now", "https://a.example/x:y@z", "amqp://u:p@h and http://x.example:8080/"])
+    assert got == ["at postgres://[REDACTED]@db.host/x now", "https://a.example/x:y@z", "amqp://[REDACTED]@h and http://x.example:8080/"]
+
+
+def test_links_name_the_nearest_parts(spark):
+    text = "login: bob, then Zx9Qw8Er7Ty6Ui5Op4As at https://h.example/x and login: eve"
+    (row,) = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    got = {(text[x["part"]["start"] : x["part"]["end"]], text[x["with"]["start"] : x["with"]["end"]]) for x in row["links"]}
+    token = "Zx9Qw8Er7Ty6Ui5Op4As"
+    assert got == {("login: bob", token), (token, "login: bob"), (token, "https://h.example/x"), ("https://h.example/x", token), ("login: eve", token)}
+
+
+def test_many_spans_and_wide_characters(spark):
+    import time
+
+    parts = [f"é𝄞{i} token=abcdef{i}" for i in range(32_000)]
+    text = " ".join(parts)
+    df = spark.createDataFrame([(1, text), (2, "x" * 10_000 + " password=hunter22 " + "𝄞" * 9000)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert got[1] == " ".join(f"é𝄞{i} [REDACTED]" for i in range(32_000))
+    assert got[2] == "x" * 10_000 + " [REDACTED] " + "𝄞" * 9000
+    assert time.time() - began < 60
