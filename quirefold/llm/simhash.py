@@ -164,8 +164,30 @@ def near_duplicates(
 _SPREAD = 0x9E3779B97F4A7C15
 #: Words of 64 bits in a long signature.
 PARTS = 4
-#: A list's other two positions, counted on from its first.
-OFFSETS = ((1, 2), (5, 11), (3, 14), (7, 9))
+#: Byte positions of a long signature.
+PLACES = BYTES * PARTS
+#: Pairs of a list of so many members are all looked at; longer lists are split.
+SHORT_LIST = 8
+#: Further positions that split a long list: two texts that differ in a seventh of their bits agree in
+#: one of them or more with a probability of 0.97.
+SPLITS = 12
+
+
+def list_width(texts: int) -> int:
+    """Bytes in a list's key, so that a list holds one unrelated text at most on the mean."""
+    return max(3, -(-(max(1, texts) - 1).bit_length() // 8))
+
+
+def list_places(width: int) -> np.ndarray:
+    """The byte positions of each list: 128 of three, four times as many for each byte more.
+
+    A pair at similarity 0.8 agrees in a byte with a probability of about 0.27, so that it
+    shares as many lists on the mean at any width.
+    """
+    lists = 4 * PLACES * 4 ** (width - 3) if width > 3 else 4 * PLACES
+    steps = np.random.default_rng(width).permuted(np.tile(np.arange(1, PLACES), (lists // PLACES, 1)), axis=1)[:, : width - 1]
+    first = np.arange(PLACES)[None, :, None]
+    return ((first + np.concatenate([np.zeros((len(steps), 1), dtype=int), steps], axis=1)[:, None, :]) % PLACES).reshape(lists, width)
 
 
 def _words_of(text: str | None) -> list[bytes]:
@@ -209,65 +231,122 @@ def jaccard(a: str | None, b: str | None, words: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def similar(texts: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, max_bits: int = 60) -> DataFrame:
+def _pairs_of(members: DataFrame, by: list[str]) -> DataFrame:
+    """``src, dst`` of members of different groups in one list, all of them; for short lists."""
+    a = members.select(*by, F.col("node").alias("src"), F.col("group").alias("ga"))
+    b = members.select(*by, F.col("node").alias("dst"), F.col("group").alias("gb"))
+    return a.hint("merge").join(b, by).where("src < dst AND ga <> gb").select("src", "dst")
+
+
+def _to_ends(members: DataFrame, by: list[str]) -> DataFrame:
+    """``src, dst`` of each member of a list with its least and its greatest node."""
+    ends = members.groupBy(*by).agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    met = members.join(ends.hint("merge"), by)
+    pairs = met.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
+    return pairs.select(F.least("node", "end").alias("src"), F.greatest("node", "end").alias("dst"))
+
+
+def similar(
+    texts: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, max_bits: int = 60, width: int | None = None
+) -> DataFrame:
     """Edges ``src, dst`` that connect distinct texts whose shingle sets have ``similarity`` or more.
 
     ``texts`` has ``node, text``, a row for each distinct text. An inverted index over the
-    32 byte positions of ``signature``: a text is in 128 lists, each over three positions.
-    A list's members are set against its least and its greatest node, so that candidates
-    grow with the postings and not with the square of a list; the lists that a pair shares
-    are tallied, pairs with more than ``max_bits`` of the 256 bits unequal go (at a
-    similarity of 0.8 the mean is 39), and the rest are verified on the texts' shingles:
-    first each text with the one that it shares most lists with, then those pairs whose ends
-    are not connected yet, since the others would change no group.
+    32 byte positions of ``signature``: a text is in ``list_places`` lists, under three bytes
+    each, or more where there are more texts (``list_width``; ``width`` overrides it).
+
+    First a list's members are set against its least and its greatest node; the lists that a
+    pair shares are tallied, pairs with more than ``max_bits`` of the 256 bits unequal go (at
+    a similarity of 0.8 the mean is 39), and of the rest each text is verified on the texts'
+    shingles with the one it shares most lists with, then those pairs whose ends are not
+    connected yet. What is left are lists of three or more whose members are not one group
+    by then: all pairs of different groups are looked at in lists of up to ``SHORT_LIST``,
+    and longer ones are split by ``SPLITS`` further positions first; a list that is long even
+    then sets its members against its ends. So candidates grow with the postings, never
+    with the square of a list, and no list is cut to its ends because unrelated texts fill it.
 
     Edges are exact, the search is not: a pair at 0.8 shares a list with a probability of
     about 0.9, one at 0.9 of over 0.99, and groups are linked through any of their pairs.
     """
-    at = np.array([(i, i + a, i + b) for a, b in OFFSETS for i in range(BYTES * PARTS)]) % (BYTES * PARTS)
+    at = list_places(width or list_width(texts.count()))
 
     @F.pandas_udf("sig array<long>, keys array<long>")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        lists = np.arange(len(at), dtype=np.int64)
         for batch in batches:
             sig = np.array([signature(x, words, seed) for x in batch], dtype="<i8").reshape(-1, PARTS)
-            three = np.ascontiguousarray(sig).view(np.uint8).reshape(len(sig), -1)[:, at].astype(np.int64)
-            keys = (np.arange(len(at)) << 24) + (three << np.array([16, 8, 0])).sum(axis=2)
+            own = np.ascontiguousarray(sig).view(np.uint8).reshape(len(sig), -1)[:, at].astype(np.int64)
+            keys = lists[None, :]
+            for i in range(at.shape[1]):
+                keys = (keys << 8) + own[:, :, i]
             yield pd.DataFrame({"sig": list(sig), "keys": list(keys)})
 
     prints = materialise(texts.select("node", signed("text").alias("s")).select("node", "s.*"), "similar-signatures")
     posted = prints.select("node", F.explode("keys").alias("k"))
-    ends = posted.groupBy("k").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    met = posted.join(ends.hint("merge"), "k")
+    ends = posted.groupBy("k").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
+    met = materialise(posted.join(ends.hint("merge"), "k"), "similar-met")
     pairs = met.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
     pairs = pairs.select(F.least("node", "end").alias("src"), F.greatest("node", "end").alias("dst"))
-    tally = pairs.groupBy("src", "dst").agg(F.count("*").alias("lists"))
     a = prints.select(F.col("node").alias("src"), F.col("sig").alias("sa"))
     b = prints.select(F.col("node").alias("dst"), F.col("sig").alias("sb"))
     differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
-    near = tally.hint("merge").join(a, "src").hint("merge").join(b, "dst").where(differ <= max_bits)
-    near = materialise(near.select("src", "dst", "lists"), "similar-candidates")
-    wanted = near.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    needed = materialise(texts.join(wanted.hint("merge"), "node", "left_semi"), "similar-texts")
+
+    def near_of(pairs: DataFrame, label: str) -> DataFrame:
+        tally = pairs.groupBy("src", "dst").agg(F.count("*").alias("lists"))
+        near = tally.hint("merge").join(a, "src").hint("merge").join(b, "dst").where(differ <= max_bits)
+        return materialise(near.select("src", "dst", "lists"), label)
 
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([jaccard(p, q, words) for p, q in zip(x, y, strict=True)], dtype="float64")
 
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
-        a = needed.select(F.col("node").alias("src"), F.col("text").alias("ta")).hint("merge")
-        b = needed.select(F.col("node").alias("dst"), F.col("text").alias("tb")).hint("merge")
-        held = pairs.join(a, "src").join(b, "dst").where(alike("ta", "tb") >= similarity)
+    def texts_of(pairs: DataFrame, label: str) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        return materialise(texts.join(wanted.hint("merge"), "node", "left_semi"), label)
+
+    def verified(pairs: DataFrame, needed: DataFrame, label: str) -> DataFrame:
+        one = needed.select(F.col("node").alias("src"), F.col("text").alias("ta"))
+        two = needed.select(F.col("node").alias("dst"), F.col("text").alias("tb"))
+        held = pairs.hint("merge").join(one, "src").hint("merge").join(two, "dst").where(alike("ta", "tb") >= similarity)
         return materialise(held.select("src", "dst"), label)
 
+    def grouped(rows: DataFrame, found: DataFrame, node: str, out: str) -> DataFrame:
+        own = found.select(F.col("node").alias(node), F.col("component").alias("__c"))
+        return rows.hint("merge").join(own, node, "left").withColumn(out, F.coalesce("__c", node)).drop("__c")
+
+    near = near_of(pairs, "similar-candidates")
     both = near.select("src", "dst", "lists", F.explode(F.array("src", "dst")).alias("node"))
     best = both.groupBy("node").agg(F.max(F.struct("lists", "src", "dst")).alias("b")).select("b.src", "b.dst").distinct()
-    first = verified(best, "similar-first")
-    found = connected_components(first)
-    one = found.select(F.col("node").alias("src"), F.col("component").alias("ca")).hint("merge")
-    two = found.select(F.col("node").alias("dst"), F.col("component").alias("cb")).hint("merge")
-    rest = near.join(one, "src", "left").join(two, "dst", "left")
-    rest = rest.where(F.coalesce("ca", "src") != F.coalesce("cb", "dst")).select("src", "dst")
-    return first.unionAll(verified(rest.join(best.hint("merge"), ["src", "dst"], "left_anti"), "similar-rest"))
+    needed = texts_of(near, "similar-texts")
+    edges = verified(best, needed, "similar-first")
+    found = connected_components(edges)
+    rest = grouped(grouped(near, found, "src", "ca"), found, "dst", "cb").where("ca <> cb").select("src", "dst")
+    edges = materialise(edges.unionAll(verified(rest.join(best.hint("merge"), ["src", "dst"], "left_anti"), needed, "similar-rest")), "similar-edges")
+
+    more = met.where("n > 2").select("node", "k")
+    if more.isEmpty():
+        return edges
+    members = materialise(grouped(more, connected_components(edges), "node", "group"), "similar-members")
+    mixed = members.groupBy("k").agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.count("*").alias("n")).where("g1 <> g2").select("k", "n")
+    members = materialise(members.join(mixed.hint("merge"), "k"), "similar-mixed")
+    if members.isEmpty():
+        return edges
+    pairs = _pairs_of(members.where(F.col("n") <= SHORT_LIST), ["k"])
+    long = members.where(F.col("n") > SHORT_LIST)
+    if not long.isEmpty():
+        wide = long.hint("merge").join(prints.select("node", "sig"), "node")
+        split = wide.select("k", "node", "group", "sig", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("j"))
+        split = split.withColumn("at", F.pmod(F.col("k") + F.col("j") * 5 + 1, F.lit(PLACES)).cast("int"))
+        byte = F.expr(f"shiftrightunsigned(sig[at div {BYTES}], at % {BYTES} * 8) & 255")
+        split = materialise(split.select("k", "node", "group", "j", byte.alias("byte")), "similar-split")
+        by = ["k", "j", "byte"]
+        sizes = split.groupBy(*by).agg(F.count("*").alias("n"), F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 <> g2")
+        split = materialise(split.join(sizes.select(*by, "n").hint("merge"), by), "similar-parts")
+        pairs = pairs.unionAll(_pairs_of(split.where(F.col("n") <= SHORT_LIST), by)).unionAll(_to_ends(split.where(F.col("n") > SHORT_LIST), by))
+    again = near_of(pairs.join(near.hint("merge"), ["src", "dst"], "left_anti"), "similar-again").select("src", "dst")
+    if again.isEmpty():
+        return edges
+    return edges.unionAll(verified(again, texts_of(again, "similar-more-texts"), "similar-last"))
 
 
 def keep_one_similar(
@@ -275,25 +354,27 @@ def keep_one_similar(
 ) -> DataFrame:
     """``docs`` with one document of each group linked by ``similar``, that of the smallest id.
 
-    Rows are told apart by id and text: of rows that repeat both one stays, of rows that
-    repeat an id alone only near copies go. Texts without words, null ones too, are one
-    group. A row with a null id stays. All columns pass, whatever their names; an empty
+    Rows are told apart by id and text (two hashes, 96 bits): of rows that repeat both one
+    stays, of rows that repeat an id alone only near copies go. Texts without words, null ones
+    too, are one group. A row with a null id stays. All columns pass, whatever their names; an empty
     table gives none.
     """
     ship_package(docs.sparkSession)
     given, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     with_id = docs.where(given.isNotNull())
-    node = F.xxhash64(text)
-    rows = materialise(with_id.select(given.cast("long").alias("id"), node.alias("node"), F.col(f"`{text_col}`").isNull().alias("none")), "similar-rows")
-    texts = with_id.select(node.alias("node"), text.alias("text")).groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialise(texts, "similar-distinct")
-    edges = materialise(similar(texts, words, similarity, seed), "similar-links")
-    found = connected_components(edges).select("node", "component")
-    groups = rows.join(found.hint("merge"), "node", "left").groupBy(F.coalesce("component", "node").alias("group"))
-    stays = groups.agg(F.min(F.struct("id", "node", "none")).alias("least")).select("least.*")
-    stays = stays.select(F.col("id").alias("__id"), F.col("node").alias("__node"), F.col("none").alias("__none"))
-    kept = with_id.withColumns({"__id": given.cast("long"), "__node": node, "__none": F.col(f"`{text_col}`").isNull()})
-    kept = kept.join(stays.hint("merge"), ["__id", "__node", "__none"], "left_semi").dropDuplicates(["__id", "__node", "__none"])
+    named = {"__id": given.cast("long"), "__node": F.xxhash64(text), "__check": F.hash(text), "__none": F.col(f"`{text_col}`").isNull()}
+    rows = materialise(with_id.select(*(v.alias(k) for k, v in named.items())), "similar-rows")
+    texts = with_id.select(F.xxhash64(text).alias("node"), F.hash(text).alias("check"), text.alias("text")).groupBy("node")
+    texts = materialise(texts.agg(F.min("check").alias("check"), F.min_by("text", "check").alias("text")), "similar-distinct")
+    edges = materialise(similar(texts.select("node", "text"), words, similarity, seed), "similar-links")
+    found = connected_components(edges).select(F.col("node").alias("__node"), "component")
+    own = texts.select(F.col("node").alias("__node"), F.col("check").alias("__check"), F.lit(True).alias("own"))
+    placed = rows.hint("merge").join(own, ["__node", "__check"], "left").hint("merge").join(found, "__node", "left")
+    # another text of the same first hash is in no group but its copies'
+    group = [F.when(F.col("own"), F.coalesce("component", "__node")).otherwise(F.col("__node")), F.when(F.col("own").isNull(), F.col("__check"))]
+    stays = placed.groupBy(*(g.alias(f"group{i}") for i, g in enumerate(group))).agg(F.min(F.struct(*named)).alias("least")).select("least.*")
+    kept = with_id.withColumns(named)
+    kept = kept.join(stays.hint("merge"), list(named), "left_semi").dropDuplicates(list(named))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return kept.select(*columns).unionAll(docs.where(given.isNull()).select(*columns))
 

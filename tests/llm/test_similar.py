@@ -50,3 +50,39 @@ def test_hot_group_and_awkward_rows(spark):
     assert simhash.keep_one_similar(docs.limit(0)).count() == 0
     distinct = docs.where("doc_id < 300").select(F.col("doc_id").alias("node"), "text")
     assert simhash.similar(distinct).count() < 20 * 300  # not the 44,850 pairs of the group
+
+
+def test_recall_where_unrelated_texts_fill_the_lists(spark):
+    """Keys of one byte: each list has some 50 unrelated texts, as with three bytes and 10^9 texts."""
+    rng = random.Random(12)
+    texts, pairs = [], []
+    for _ in range(300):
+        base = made(rng, 120)
+        other = list(base)
+        for i in rng.sample(range(120), 2):
+            other[i] = f"x{rng.randrange(9999)}"
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(base), " ".join(other)]
+    texts += [" ".join(made(rng, 30)) for _ in range(12_800 - len(texts))]
+    sets = {i: set(simhash._shingles(texts[i].encode().split(), 5)) for p in pairs for i in p}
+    alike = {p for p in pairs if len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]]) >= 0.8}
+    assert len(alike) > 250
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(8)
+    got = {(r["src"], r["dst"]) for r in simhash.similar(df, width=1).collect()}
+    assert got <= alike and len(got) >= 0.9 * len(alike)
+
+
+def test_keys_widen_with_the_texts():
+    assert [simhash.list_width(n) for n in (0, 10**6, 2**24, 2**24 + 1, 10**9, 10**10)] == [3, 3, 3, 4, 4, 5]
+    for width, lists in ((3, 128), (4, 512), (5, 2048)):
+        places = simhash.list_places(width)
+        assert places.shape == (lists, width) and all(len(set(p)) == width for p in places.tolist())
+        assert len({tuple(sorted(p)) for p in places.tolist()}) > 0.95 * lists
+
+
+def test_two_texts_of_one_first_hash_both_stay(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one text"), (2, "another text"), (3, "one text"), (4, "another text")], "doc_id long, text string")
+    monkeypatch.setattr(simhash.F, "xxhash64", lambda *cols: F.lit(7).cast("long"))
+    kept = simhash.keep_one_similar(docs).collect()
+    monkeypatch.undo()
+    assert sorted(r["doc_id"] for r in kept) == [1, 2]
