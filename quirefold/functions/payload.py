@@ -147,7 +147,14 @@ def seal(df: DataFrame, cols: list[str], key: Column | str) -> DataFrame:
     return df.withColumns({c: one(c) for c in cols})
 
 
-def open_sealed(df: DataFrame, col: str, keys: list[Column], max_age: int | None = None) -> Column:
+def open_alternatives(df: DataFrame, col: str, keys: list[Column], max_age: int | None = None) -> Column:
+    """The clear texts of an array of sealed ones in their order. What no key opens, is too old, null
+    or empty is dropped; texts that are equal once open stay once, the first. A null array is empty."""
+    clear = F.transform(F.coalesce(F.col(col), F.array().cast("array<string>")), lambda x: open_sealed(df, x, keys, max_age))
+    return F.array_distinct(F.filter(clear, lambda x: x != ""))
+
+
+def open_sealed(df: DataFrame, col: str | Column, keys: list[Column], max_age: int | None = None) -> Column:
     """The clear text of a sealed column under the first key that opens it; null if none
     does or it was sealed over ``max_age`` seconds ago. The time is authenticated with it."""
     at, body = F.substring_index(col, ".", 1), F.substring_index(col, ".", -1)

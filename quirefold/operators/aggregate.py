@@ -203,15 +203,30 @@ def argmax_steps(scores: DataFrame, by: list[str], token: str = "token", p: str
     return best.select(*by, F.col(f"b.{token}").alias(token), (-F.col("b.n")).alias(p))
 
 
-def rollup_parts(parts: DataFrame, name: str, part: str, size: str) -> DataFrame:
-    """Per archive its parts' number and size, and ``problem``: null, ``parts`` (not
-    1..n without gaps, or repeated), ``size`` (one is not positive)."""
+def rollup_parts(parts: DataFrame, name: str, part: str, size: str, archives: DataFrame | None = None) -> DataFrame:
+    """Per archive its parts' number and size, and the first ``problem`` that it has, or null.
+
+    A row without a part number is a whole archive. ``archives`` (``name, size``) are the
+    sizes that split archives are built with; without them sums are not checked. Problems:
+    ``both`` (whole and split, or whole twice), ``parts`` (not 1..n without gaps, or repeated),
+    ``size`` (one is null or not positive), ``unknown`` (a split archive that ``archives`` does not
+    have), ``sum`` (parts do not add up to it), ``unsplit`` (one of ``archives`` without parts).
+    """
     g = parts.groupBy(name).agg(
-        F.count("*").alias("parts"), F.max(part).alias("last"), F.min(part).alias("first"),
-        F.count_distinct(part).alias("distinct"), F.sum(size).alias("size"), F.min(size).alias("least"),
+        F.count("*").alias("parts"), F.count(part).alias("split"), F.max(part).alias("last"), F.min(part).alias("first"),
+        F.count_distinct(part).alias("distinct"), F.sum(size).alias("size"), F.min(F.coalesce(F.col(size), F.lit(0))).alias("least"),
     )
-    gap = (F.col("first") != 1) | (F.col("last") != F.col("parts")) | (F.col("distinct") != F.col("parts"))
-    return g.select(name, "parts", "size", F.when(gap, "parts").when(F.col("least") <= 0, "size").alias("problem"))
+    split = F.col("split") > 0
+    both = (split & (F.col("split") < F.col("parts"))) | (~split & (F.col("parts") > 1))
+    gap = split & ((F.col("first") != 1) | (F.col("last") != F.col("parts")) | (F.col("distinct") != F.col("parts")))
+    problem = F.when(both, "both").when(gap, "parts").when(F.col("least") <= 0, "size")
+    if archives is None:
+        return g.select(name, "parts", "size", problem.alias("problem"))
+    built = archives.select(F.col(name).alias("__built"), F.col(size).alias("__size"))
+    met = g.hint("merge").join(built, F.col(name) == F.col("__built"), "full")
+    problem = F.when(F.col("split").isNull() | ~(split | F.col("__built").isNull() | both), "unsplit").otherwise(problem)
+    problem = F.coalesce(problem, F.when(split & F.col("__built").isNull(), "unknown").when(split & ~F.col("size").eqNullSafe(F.col("__size")), "sum"))
+    return met.select(F.coalesce(name, "__built").alias(name), F.coalesce("parts", F.lit(0)).alias("parts"), "size", problem.alias("problem"))
 
 
 def nest_assets(assets: DataFrame, platform: str, arch: str, variant: str, name: str) -> DataFrame:

@@ -263,33 +263,6 @@ def drop_unsupported(parts: DataFrame, page: str, box: str, cell: int = 128) ->
     return supported.unionByName(parts.where(~strong & exempt)).unionByName(_near(weak, supported, page, box, F.lit(16.0), cell))
 
 
-def cluster_crops(clusters: DataFrame, known: DataFrame, page: str, box: str) -> DataFrame:
-    """Crop margin of each cluster: clip(0.6 side, 28, 140), grown by 1.6 up to three
-    times until the known share of the crop is 0.45 or the margin 320; largest first.
-
-    ``known`` are cells (y, x, size) known to be background.
-    """
-    side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    start = F.least(F.greatest(0.6 * side, F.lit(28.0)), F.lit(140.0))
-    tries = clusters.withColumn("__k", F.explode(F.array(*(F.lit(i) for i in range(4)))))
-    tries = tries.withColumn("margin", F.round(start * F.pow(F.lit(1.6), F.col("__k")), 6))
-    area = (F.col("x2") - F.col("x1") + 2 * F.col("margin")) * (F.col("y2") - F.col("y1") + 2 * F.col("margin"))
-    cell = 256
-    span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - F.col("margin")) / cell), F.floor((F.col(hi) + F.col("margin")) / cell))
-    placed = tries.withColumn("__cy", F.explode(span("y1", "y2"))).withColumn("__cx", F.explode(span("x1", "x2")))
-    k = known.select(F.col(page).alias("__p"), F.floor(F.col("y") / cell).alias("__ky"), F.floor(F.col("x") / cell).alias("__kx"), F.col("y").alias("__y"), F.col("x").alias("__x"), F.col("size").alias("__size"))
-    inside = F.expr(
-        f"{page} = __p AND __cy = __ky AND __cx = __kx AND __x >= x1 - margin AND __x < x2 + margin AND __y >= y1 - margin AND __y < y2 + margin"
-    )
-    met = placed.join(k.hint("merge"), inside, "left")
-    share = met.groupBy(page, box, "x1", "y1", "x2", "y2", "__k", "margin").agg(F.coalesce(F.sum("__size"), F.lit(0)).alias("__known"))
-    share = share.withColumn("share", F.col("__known") / area)
-    good = (F.col("share") >= 0.45) | (F.col("margin") >= 320) | (F.col("__k") == 3)
-    best = share.where(good).withColumn("__n", F.row_number().over(Window.partitionBy(page, box).orderBy("__k"))).where("__n = 1")
-    order = Window.partitionBy(page).orderBy(F.desc((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))), box)
-    return best.withColumn("rank", F.row_number().over(order)).drop("__k", "__known", "__n")
-
-
 def assign_faces(chars: DataFrame, coverage: DataFrame, order: dict[str, int], forced: dict[int, str] | None = None, primary: str = "primary") -> DataFrame:
     """The face of each character (``cp``): its forced owner if that covers it, else the
     first that does in ``order``, else the primary face's missing glyph (``missing``).
@@ -390,11 +363,12 @@ def apply_edits(roster: DataFrame, edits: DataFrame, most: int = 50) -> tuple[Da
         .otherwise("gone")
     )
     rows = rows.withColumn("__action", action)
-    kept = rows.where(F.col("__action").isin("keep", "add"))
-    nth = F.row_number().over(Window.orderBy(F.desc("__was"), "ord", "__seq", "meta_id"))
-    kept = kept.withColumn("__n", nth)
-    good = kept.where(F.col("__n") <= most).select("meta_id", F.col("__n").alias("ord"), *FIELDS)
-    full = kept.where(F.col("__n") > most).select("meta_id", F.lit("refused: full").alias("reason"))
+    kept = materialise(rows.where(F.col("__action").isin("keep", "add")), "edits-kept")
+    order = [F.desc("__was"), "ord", "__seq", "meta_id"]
+    first = kept.orderBy(*order).limit(most)  # a top of most rows, of which alone the numbers are taken
+    first = materialise(first.withColumn("__n", F.row_number().over(Window.orderBy(*order))), "edits-first")
+    good = first.select("meta_id", F.col("__n").alias("ord"), *FIELDS)
+    full = kept.join(F.broadcast(first.select("meta_id")), "meta_id", "left_anti").select("meta_id", F.lit("refused: full").alias("reason"))
     refused = rows.where(F.col("__action").startswith("refused")).select("meta_id", F.col("__action").alias("reason"))
     return good, refused.unionByName(full)
 

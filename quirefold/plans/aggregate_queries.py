@@ -218,6 +218,28 @@ def a16(spark, d):
     return A.rollup_parts(read(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity")
 
 
+# Archives of parts: some with a part that is missing, some of a wrong sum, some whole, some both, some never split.
+_ASSETS_SQL = """SELECT o_orderkey AS name, i AS part, 10 + o_custkey % 9 * i AS size FROM orders, range(1, 6) r(i) WHERE o_orderkey % 11 > 1 AND i <= 2 + o_custkey % 4 AND NOT (o_orderkey % 13 = 5 AND i = 2)
+    UNION ALL SELECT o_orderkey, NULL, o_custkey % 50 FROM orders WHERE o_orderkey % 11 = 1 OR o_orderkey % 17 = 3"""
+
+
+@query(
+    "a16_checked_archives",
+    f"""WITH a AS ({_ASSETS_SQL}), b AS (SELECT o_orderkey AS name, (2 + o_custkey % 4) * 10 + o_custkey % 9 * ((2 + o_custkey % 4) * (3 + o_custkey % 4) // 2) + (CASE WHEN o_orderkey % 19 = 2 THEN 1 ELSE 0 END) AS size FROM orders WHERE o_orderkey % 11 <> 1 AND o_orderkey % 23 <> 4),
+    g AS (SELECT name, count(*) AS parts, count(part) AS split, list_sort(list(part) FILTER (part IS NOT NULL)) = range(1, count(part) + 1) AS whole, sum(size) AS size, min(size) AS least FROM a GROUP BY name)
+    SELECT coalesce(g.name, b.name) AS name, coalesce(parts, 0) AS parts, g.size, CASE WHEN g.name IS NULL THEN 'unsplit' WHEN split > 0 AND split < parts OR split = 0 AND parts > 1 THEN 'both' WHEN split = 0 AND b.name IS NOT NULL THEN 'unsplit'
+      WHEN split > 0 AND NOT whole THEN 'parts' WHEN least <= 0 THEN 'size' WHEN split > 0 AND b.name IS NULL THEN 'unknown' WHEN split > 0 AND g.size <> b.size THEN 'sum' END AS problem
+    FROM g FULL JOIN b ON g.name = b.name""",
+)
+def a16_checked(spark, d):
+    o = read(spark, d, "orders")
+    parts = o.withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(5)))).where("o_orderkey % 11 > 1 AND part <= 2 + o_custkey % 4 AND NOT (o_orderkey % 13 = 5 AND part = 2)")
+    parts = parts.selectExpr("o_orderkey AS name", "part", "10 + o_custkey % 9 * part AS size")
+    whole = o.where("o_orderkey % 11 = 1 OR o_orderkey % 17 = 3").selectExpr("o_orderkey AS name", "CAST(NULL AS INT) AS part", "o_custkey % 50 AS size")
+    built = o.where("o_orderkey % 11 <> 1 AND o_orderkey % 23 <> 4").selectExpr("o_orderkey AS name", "(2 + o_custkey % 4) * 10 + o_custkey % 9 * ((2 + o_custkey % 4) * (3 + o_custkey % 4) div 2) + IF(o_orderkey % 19 = 2, 1, 0) AS size")
+    return A.rollup_parts(parts.unionByName(whole), "name", "part", "size", built)
+
+
 @query("a16_nest_assets", "SELECT p_type, string_agg(s, ';' ORDER BY s) AS assets FROM (SELECT p_type, p_brand || ':' || string_agg(p_size || '=' || k, ',' ORDER BY p_size) AS s FROM (SELECT p_type, p_brand, p_size, min(p_partkey) AS k FROM part GROUP BY ALL) GROUP BY p_type, p_brand) GROUP BY p_type")
 def a16_nest(spark, d):
     p = read(spark, d, "part").groupBy("p_type", "p_brand", "p_size").agg(F.min("p_partkey").alias("k"))

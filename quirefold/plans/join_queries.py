@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quirefold.operators import crops
 from quirefold.operators import joins as J
 from quirefold.operators import sets as S
 from quirefold.plans.registry import query, read
@@ -225,17 +226,29 @@ def a14(spark, d):
     return J.drop_unsupported(parts(spark, d), "page", "box_id").select("page", "box_id")
 
 
+# A page of 220 by 170 for each supplier: holes thick around the middle and thin elsewhere, by its number.
+_HOLE = "(x * 7 + y * 13 + s_suppkey) % 20 < CASE WHEN x BETWEEN 50 AND 90 + s_suppkey % 70 AND y BETWEEN 40 AND 90 + s_suppkey % 40 THEN 17 ELSE s_suppkey % 14 END"
+_CLUSTER = ["n AS box_id", "40 + (s_suppkey * 17 + n * 31) % 90 AS x1", "30 + (s_suppkey * 5 + n * 11) % 70 AS y1"]
+_WIDER = ["x1 + 10 + (s_suppkey + n * 7) % 60 AS x2", "y1 + 8 + (s_suppkey * 3 + n) % 50 AS y2"]
+
+
 @query(
     "n2_cluster_crops",
-    f"""WITH b AS ({_BOX_SQL}), k AS (SELECT o_orderkey // 64 AS page, (o_orderkey * 29) % 1400 AS y, (o_custkey * 11) % 1000 AS x, 1500 AS size FROM orders),
-    t AS (SELECT *, n AS k, round(least(greatest(0.6 * greatest(x2 - x1, y2 - y1), 28), 140) * pow(1.6, n), 6) AS margin FROM b, range(4) r(n)),
-    s AS (SELECT t.page, box_id, x1, y1, x2, y2, t.k, margin, coalesce(sum(size), 0) / ((x2 - x1 + 2 * margin) * (y2 - y1 + 2 * margin)) AS share FROM t LEFT JOIN k ON k.page = t.page AND k.x >= x1 - margin AND k.x < x2 + margin AND k.y >= y1 - margin AND k.y < y2 + margin GROUP BY t.page, box_id, x1, y1, x2, y2, t.k, margin),
-    f AS (SELECT * FROM s WHERE share >= 0.45 OR margin >= 320 OR k = 3 QUALIFY row_number() OVER (PARTITION BY page, box_id ORDER BY k) = 1) SELECT page, box_id, margin, round(share, 6) AS share, row_number() OVER (PARTITION BY page ORDER BY (x2 - x1) * (y2 - y1) DESC, box_id) AS rank FROM f""",
+    f"""WITH h AS (SELECT s_suppkey AS page, x, y FROM supplier, range(220) xs(x), range(170) ys(y) WHERE {_HOLE}),
+    c AS (SELECT *, {', '.join(_WIDER)} FROM (SELECT s_suppkey, n, {', '.join(_CLUSTER)} FROM supplier, range(3) r(n))),
+    m0 AS (SELECT *, floor(least(greatest(0.6 * greatest(x2 - x1, y2 - y1), 28), 140))::INT AS a FROM c), m AS (SELECT *, floor(a * 1.6)::INT AS b, floor(floor(a * 1.6) * 1.6)::INT AS c, floor(floor(floor(a * 1.6) * 1.6) * 1.6)::INT AS d FROM m0),
+    t AS (SELECT *, greatest(0, x1 - margin) AS left_, greatest(0, y1 - margin) AS top, least(220, x2 + margin) AS right_, least(170, y2 + margin) AS bottom FROM (SELECT s_suppkey AS page, box_id, x1, y1, x2, y2, k, [a, b, c, d][k + 1] AS margin FROM m, range(4) q(k))),
+    s AS (SELECT t.page, box_id, x1, y1, x2, y2, k, margin, left_, top, right_, bottom, 1 - count(h.x) / ((right_ - left_) * (bottom - top)) AS share FROM t LEFT JOIN h ON h.page = t.page AND h.x >= left_ AND h.x < right_ AND h.y >= top AND h.y < bottom GROUP BY t.page, box_id, x1, y1, x2, y2, k, margin, left_, top, right_, bottom),
+    f AS (SELECT * FROM s WHERE share >= 0.45 OR margin >= 320 OR k = 3 QUALIFY row_number() OVER (PARTITION BY page, box_id ORDER BY k) = 1)
+    SELECT page, box_id, margin, left_ AS left, top, right_ AS right, bottom, round(share, 9) AS share, row_number() OVER (PARTITION BY page ORDER BY (x2 - x1) * (y2 - y1) DESC, box_id) AS rank FROM f""",
 )
 def n2(spark, d):
-    k = read(spark, d, "orders").selectExpr("o_orderkey div 64 AS page", "(o_orderkey * 29) % 1400 AS y", "(o_custkey * 11) % 1000 AS x", "1500 AS size")
-    c = J.cluster_crops(boxes(spark, d), k, "page", "box_id")
-    return c.select("page", "box_id", "margin", F.round("share", 6).alias("share"), "rank")
+    s = read(spark, d, "supplier").select("s_suppkey")
+    holes = s.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(219)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(169)))).where(_HOLE)
+    clusters = s.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(2)))).selectExpr("s_suppkey", "n", *_CLUSTER).selectExpr("s_suppkey AS page", "box_id", "x1", "y1", *_WIDER)
+    pages = s.selectExpr("s_suppkey AS page", "220 AS width", "170 AS height")
+    c = crops.cluster_crops(clusters, holes.selectExpr("s_suppkey AS page", "x", "y"), pages, "page", "box_id")
+    return c.select("page", "box_id", "margin", "left", "top", "right", "bottom", F.round("share", 9).alias("share"), "rank")
 
 
 def cells(spark, d, where):

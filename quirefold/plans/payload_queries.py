@@ -74,6 +74,21 @@ def x6(spark, d):
     return opened
 
 
+@query(
+    "x7_open_alternatives",
+    """SELECT o_custkey, string_agg(word, ',' ORDER BY first) AS words FROM (SELECT o_custkey, o_orderpriority AS word, min(o_orderkey) AS first FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY ALL) GROUP BY o_custkey
+    UNION ALL SELECT o_custkey, '' FROM orders GROUP BY o_custkey HAVING count(*) FILTER (o_orderkey % 5 <> 0) = 0""",
+)
+def x7(spark, d):
+    """A customer's alternatives under two keys, equal words sealed each for itself, a fifth of them under a lost key."""
+    key = lambda x: F.encode(F.substring(F.sha2(F.concat(F.lit(x), F.col("o_custkey").cast("string")), 256), 1, 32), "UTF-8")
+    used = F.when(F.col("o_orderkey") % 5 == 0, key("lost")).when(F.col("o_orderkey") % 2 == 0, key("old")).otherwise(key("new"))
+    o = read(spark, d, "orders").selectExpr("o_custkey", "o_orderkey", "o_orderpriority AS word")
+    sealed = payload.seal(o, ["word"], used).groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "word"))).alias("a"))
+    sealed = sealed.select("o_custkey", F.transform("a", lambda x: x["word"]).alias("a"))
+    return sealed.select("o_custkey", F.array_join(payload.open_alternatives(sealed, "a", [key("new"), key("old")], 3600), ",").alias("words"))
+
+
 @query(
     "x8_render_context",
     "SELECT doc_id, '[character] Name: ' || source || ' (' || lang || ')' || chr(10) || 'o = ' || lang || chr(10) || '1. [' || source || ']: s -> e' || chr(10) || '2. t -> f' AS text FROM documents",

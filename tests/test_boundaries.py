@@ -123,6 +123,27 @@ def test_sealed_values(spark):
     assert {(r["k"], r["v"], r["w"]) for r in opened.collect()} == {("x", "secret", None), ("y", None, None)}
 
 
+def test_alternatives_are_opened_then_deduplicated(spark):
+    lost, old, new = (F.lit(x * 16) for x in "abc")
+    rows = [(1, 0, "one"), (1, 1, "two"), (1, 2, "one"), (1, 3, "gone"), (1, 4, None), (1, 5, ""), (2, 0, "gone")]
+    df = spark.createDataFrame(rows, "k int, i int, v string")
+    key = F.when(F.col("v") == "gone", lost).when(F.col("i") % 2 == 0, old).otherwise(new)
+    sealed = payload.seal(df, ["v"], key).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("a"))
+    sealed = sealed.select("k", F.transform("a", lambda x: x["v"]).alias("a")).unionByName(spark.createDataFrame([(3, None)], "k int, a array<string>"))
+    got = {r["k"]: r["o"] for r in sealed.select("k", payload.open_alternatives(sealed, "a", [new, old], 60).alias("o")).collect()}
+    assert got == {1: ["one", "two"], 2: [], 3: []}
+
+
+def test_a_full_roster_refuses_the_rest(spark):
+    fields = "name_en string, name_ja string, gender string, alias_en string, alias_ja string"
+    roster = spark.createDataFrame([(f"m{i:02}", i, f"N{i}", None, None, None, None) for i in range(45)], f"meta_id string, ord int, {fields}")
+    edits = spark.createDataFrame([(f"new{i:02}", i, "add", {"name_en": f"X{i}"}) for i in range(20)], "meta_id string, seq int, op string, fields map<string,string>")
+    good, refused = joins.apply_edits(roster, edits)
+    kept = good.orderBy("ord").collect()
+    assert [r["ord"] for r in kept] == list(range(1, 51)) and [r["meta_id"] for r in kept[45:]] == [f"new{i:02}" for i in range(5)]
+    assert {(r["meta_id"], r["reason"]) for r in refused.collect()} == {(f"new{i:02}", "refused: full") for i in range(5, 20)}
+
+
 def test_roster_csv(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "r.csv").write_text("﻿ Name_EN ,extra,GENDER\nAnn<think>,1,Male\n , ,\nBob,2,robot\n", encoding="utf-8")
