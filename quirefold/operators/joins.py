@@ -122,23 +122,40 @@ def upsert_regions(existing: DataFrame, incoming: DataFrame, page: str, points:
     )
 
 
-def _binned_pairs(boxes: DataFrame, page: str, box: str, cell: Column, grow: float = 0.0) -> DataFrame:
+def _binned_pairs(boxes: DataFrame, page: str, box: str, cell: float, grow: Column | float = 0.0) -> DataFrame:
     """Pairs of boxes of a page that share a cell of a grid, each pair once, as ``a`` and ``b``.
 
-    A pair is taken in the cell of the larger of the two upper left corners, so it
-    needs no distinct. ``cell`` is the page's grid size.
+    The grid has levels, each with cells twice as wide as the one below; a box, padded by
+    ``grow`` each side, is at the first level whose cells are as large as it is, in four
+    cells at most. It also looks in its place on the levels above that its page has, so that
+    two boxes meet at the level of the larger, and a box as large as the page costs four cells
+    and not one for each of the smallest. A pair is taken in the cell of the larger of the
+    two upper left corners, so it needs no distinct.
     """
-    sized = boxes.withColumn("__cell", cell)
-    span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - grow) / F.col("__cell")), F.floor((F.col(hi) + grow) / F.col("__cell")))
-    placed = sized.withColumn("__cy", F.explode(span("y1", "y2"))).withColumn("__cx", F.explode(span("x1", "x2")))
-    row = F.struct(F.col(box).alias("id"), *SIDES, *([F.col("score")] if "score" in boxes.columns else []))
-    keys = [page, "__cy", "__cx"]
-    side = lambda n: placed.select(*keys, "__cell", row.alias(n))
-    met = side("a").hint("merge").join(side("b").drop("__cell"), keys).where("a.id < b.id")
-    home = (F.floor((F.greatest("a.x1", "b.x1") - grow) / F.col("__cell")) == F.col("__cx")) & (
-        F.floor((F.greatest("a.y1", "b.y1") - grow) / F.col("__cell")) == F.col("__cy")
+    pad = F.lit(float(grow)) if isinstance(grow, (int, float)) else grow
+    side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) + 2 * pad
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(float(cell))) / cell))).cast("int")
+    sized = boxes.withColumns({"__pad": pad, "__level": level})
+    levels = sized.groupBy(F.col(page).alias("__page")).agg(F.collect_set("__level").alias("__levels"))
+    sized = sized.hint("merge").join(levels, F.col(page) == F.col("__page"))
+    at = F.explode(F.filter("__levels", lambda x: x >= F.col("__level")))
+    placed = sized.withColumn("__at", at).withColumn("__cell", F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("__at")))
+    span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - F.col("__pad")) / F.col("__cell")), F.floor((F.col(hi) + F.col("__pad")) / F.col("__cell")))
+    placed = placed.withColumn("__cy", F.explode(span("y1", "y2"))).withColumn("__cx", F.explode(span("x1", "x2")))
+    row = F.struct(
+        F.col(box).alias("id"), *SIDES, *([F.col("score")] if "score" in boxes.columns else []),
+        *((F.col(lo) - F.col("__pad")).alias(f"from_{lo}") for lo in ("x1", "y1")), F.col("__level").alias("level"),
+    )
+    keys = [page, "__at", "__cy", "__cx"]
+    looks = placed.select(*keys, "__cell", row.alias("a"))
+    owns = placed.where("__at = __level").select(*keys, row.alias("b"))
+    met = looks.hint("merge").join(owns, keys).where("a.level < b.level OR (a.level = b.level AND a.id < b.id)")
+    home = (F.floor(F.greatest("a.from_x1", "b.from_x1") / F.col("__cell")) == F.col("__cx")) & (
+        F.floor(F.greatest("a.from_y1", "b.from_y1") / F.col("__cell")) == F.col("__cy")
     )
-    return met.where(home).select(page, "a", "b")
+    ordered = F.col("a.id") < F.col("b.id")
+    low, high = F.when(ordered, F.col("a")).otherwise(F.col("b")), F.when(ordered, F.col("b")).otherwise(F.col("a"))
+    return met.where(home & (F.col("a.id") != F.col("b.id"))).select(page, low.alias("a"), high.alias("b"))
 
 
 def _side(name: str) -> dict[str, Column]:
@@ -147,7 +164,7 @@ def _side(name: str) -> dict[str, Column]:
 
 def overlaps(boxes: DataFrame, page: str, box: str, margin: float = 0.0, cell: int = 128) -> DataFrame:
     """Pairs of boxes of a page that overlap when each is padded by ``margin``."""
-    pairs = _binned_pairs(boxes, page, box, F.lit(cell), margin)
+    pairs = _binned_pairs(boxes, page, box, cell, margin)
     return pairs.where(G.overlap(_side("a"), _side("b"), margin))
 
 
@@ -161,7 +178,8 @@ def near_duplicates(boxes: DataFrame, page: str, box: str, cell: int = 128) -> D
         ok = ok & (F.abs(F.col(f"a.{k}") - F.col(f"b.{k}")) <= near)
     for lo, hi in (("x1", "x2"), ("y1", "y2")):
         ok = ok & (F.abs((F.col(f"a.{hi}") - F.col(f"a.{lo}")) - (F.col(f"b.{hi}") - F.col(f"b.{lo}"))) <= near)
-    return _binned_pairs(boxes, page, box, F.lit(cell)).where(ok)
+    reach = F.greatest(F.lit(2.0), 0.02 * F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
+    return _binned_pairs(boxes, page, box, cell, reach).where(ok)
 
 
 def suppress(
@@ -178,7 +196,7 @@ def suppress(
     rank = F.row_number().over(Window.partitionBy(page).orderBy(F.desc("score"), box))
     live = boxes.where(F.col("score") > conf).withColumn("__rank", rank).where(F.col("__rank") <= before)
     live = materialise(live.select(page, box, *SIDES, "score", "__rank"), "nms-boxes")
-    hit = _binned_pairs(live, page, box, F.lit(cell)).where(G.iou(_side("a"), _side("b")) > iou)
+    hit = _binned_pairs(live, page, box, cell).where(G.iou(_side("a"), _side("b")) > iou)
     first = (F.col("a.score") > F.col("b.score")) | ((F.col("a.score") == F.col("b.score")) & (F.col("a.id") < F.col("b.id")))
     edges = hit.select(page, F.when(first, F.col("a.id")).otherwise(F.col("b.id")).alias("hi"), F.when(first, F.col("b.id")).otherwise(F.col("a.id")).alias("lo"))
     edges = materialise(edges, "nms-edges")
