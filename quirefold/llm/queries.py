@@ -231,4 +231,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_lm_scoring": op13_lm_scoring,
 }
 
-ORACLES: dict[str, str] = {}
+def _crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of ASCII ``text``, bit by bit."""
+    octet = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    octets = f"list_transform(string_split({text}, ''), lambda d: ord(d)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda c, b: {octet}), 4294967295)"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({f})::VARCHAR || ':' || {f}, '-')" for f in fields) + ")"
+
+
+_TAIL = "CASE WHEN i < a THEN i ELSE a + (i - a) % p END"
+
+ORACLES: dict[str, str] = {
+    "op11_periodic_runs": f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {_crc32_sql("doc_id::VARCHAR")} AS h FROM documents),
+    e AS (SELECT *, len(w) AS n, h // 10 AS g FROM d), f AS (SELECT *, g % greatest(n, 1) AS a FROM e), p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM f),
+    t AS MATERIALIZED (SELECT doc_id, n, i, CASE WHEN h % 10 = 0 THEN w[{_TAIL} + 1] ELSE w[i + 1] END AS word FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+    g AS MATERIALIZED (SELECT doc_id, n, i, hash(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS 7 PRECEDING)) AS gram FROM t QUALIFY i >= 7),
+    q AS (SELECT x.doc_id, x.i, x.i - y.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.gram = y.gram AND y.i < x.i WHERE 3 * (x.i - y.i) <= x.n),
+    m AS (SELECT doc_id, q, min(i) AS i, count(*) + 7 AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS run FROM q) GROUP BY doc_id, q, run),
+    r AS MATERIALIZED (SELECT doc_id, i - 7 - q AS start, m + q AS length, min(q) AS period FROM m WHERE m + q >= greatest(24, 3 * q) GROUP BY doc_id, i - 7 - q, m + q),
+    s AS (SELECT doc_id, count(*) AS n_runs, arg_min({{'start': start, 'length': length, 'period': period}}, (-length::DOUBLE / period, start, period)) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+    k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = t.doc_id AND t.i >= r.start + r.period AND t.i < r.start + r.length) GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start, best.length, best.period, 1000 * best.length // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+    FROM d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
+    "op12_merkle_manifest": f"""WITH RECURSIVE leaves AS MATERIALIZED (SELECT doc_id, lang, leaf, CASE WHEN crc % 3 = 0 THEN changed ELSE leaf END AS held, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n
+      FROM (SELECT doc_id, lang, {_leaf_sql("text")} AS leaf, {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS changed, {_crc32_sql("doc_id::VARCHAR")} AS crc FROM documents)),
+    names AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) OVER () AS trees FROM (SELECT DISTINCT lang FROM leaves)),
+    up AS (SELECT tree, 0 AS level, idx, n, leaf AS digest FROM leaves l JOIN names m ON l.lang IS NOT DISTINCT FROM m.lang
+      UNION ALL SELECT tree, level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM up WHERE n > 1 GROUP BY tree, level, idx // 8, n),
+    tops AS MATERIALIZED (SELECT tree, digest FROM up WHERE n = 1),
+    over_ AS (SELECT 0 AS level, tree AS idx, trees AS n, digest FROM tops JOIN names USING (tree)
+      UNION ALL SELECT level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM over_ WHERE n > 1 GROUP BY level, idx // 8, n),
+    steps AS MATERIALIZED (SELECT a.tree, a.level, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') || '|' || coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS step
+      FROM (SELECT * FROM up UNION ALL SELECT -1, * FROM over_) a JOIN (SELECT * FROM up UNION ALL SELECT -1, * FROM over_) b ON a.tree = b.tree AND a.level = b.level AND a.idx // 8 = b.idx // 8 WHERE a.n > 1 GROUP BY ALL),
+    high AS (SELECT tree, coalesce(list(step ORDER BY level) FILTER (step IS NOT NULL), []) AS path FROM (SELECT m.tree, s.level, s.step FROM names m LEFT JOIN steps s ON s.tree = -1 AND s.idx = m.tree // (8 ** s.level)::BIGINT) GROUP BY tree),
+    paths AS (SELECT tree, idx, coalesce(list(step ORDER BY level) FILTER (step IS NOT NULL), []) AS path FROM (SELECT m.tree, l.idx, s.level, s.step FROM leaves l JOIN names m ON l.lang IS NOT DISTINCT FROM m.lang LEFT JOIN steps s ON s.tree = m.tree AND s.idx = l.idx // (8 ** s.level)::BIGINT) GROUP BY tree, idx),
+    proved AS (SELECT l.*, m.tree, list_concat(p.path, h.path) AS path FROM leaves l JOIN names m ON l.lang IS NOT DISTINCT FROM m.lang JOIN paths p ON p.tree = m.tree AND p.idx = l.idx JOIN high h ON h.tree = m.tree),
+    ends AS (SELECT *, list_reduce(list_concat([held], path), lambda x, s: sha256(split_part(s, '|', 1) || x || split_part(s, '|', 2))) AS folded_root FROM proved)
+    SELECT doc_id, leaf, t.digest AS subroot, r.digest AS root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256, folded_root, folded_root = r.digest AS verified FROM ends e JOIN tops t USING (tree), (SELECT digest FROM over_ WHERE n = 1) r""",
+}
