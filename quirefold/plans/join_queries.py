@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quirefold.operators import crops
 from quirefold.operators import joins as J
+from quirefold.operators import masks
 from quirefold.operators import sets as S
 from quirefold.plans.registry import query, read
 from quirefold.plans.session import materialise
@@ -258,6 +259,37 @@ def cells(spark, d, where):
 _CELLS = "SELECT l_suppkey AS page, l_partkey % 64 AS y, l_orderkey % 64 AS x FROM lineitem WHERE "
 
 
+# Masks of a supplier's orders on a page of 400 by 300, a few runs of cells each; clusters by an ellipse of 6.
+_MASK = "l_suppkey AS page, (l_partkey * 7 + l_orderkey) % 300 AS y, (l_orderkey * 13 + l_linenumber) % 380 AS x1, (l_orderkey * 13 + l_linenumber) % 380 + l_linenumber AS x2"
+
+
+@query(
+    "n1_ellipse_clusters",
+    f"""WITH RECURSIVE m AS (SELECT DISTINCT page, y, unnest(range(x1, x2 + 1)) AS x FROM (SELECT {_MASK} FROM lineitem WHERE l_suppkey % 4 = 0 OR l_quantity > 44)),
+    k AS (SELECT x AS dx, y AS dy FROM range(-6, 7) xs(x), range(-6, 7) ys(y) WHERE abs(x) <= round_even(sqrt(36 - y * y), 0)),
+    o AS (SELECT DISTINCT a.dx + b.dx + c.x AS dx, a.dy + b.dy + e.y AS dy FROM k a, k b, range(-1, 2) c(x), range(-1, 2) e(y)),
+    h AS (SELECT page, y, x, x - row_number() OVER (PARTITION BY page, y ORDER BY x) AS g FROM m), u AS MATERIALIZED (SELECT page, y, min(x) AS x1, max(x) AS x2, page * 1099511627776 + y * 1048576 + min(x) AS id FROM h GROUP BY page, y, g),
+    w AS (SELECT dy, max(dx) AS wide FROM o GROUP BY dy), e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.page = b.page JOIN w ON b.y - a.y = w.dy AND b.x1 <= a.x2 + wide AND a.x1 <= b.x2 + wide),
+    r AS (SELECT id, id AS root FROM u UNION SELECT e.b, min(r.root) FROM r JOIN e ON e.a = r.id GROUP BY e.b)
+    SELECT page, y, x1, x2, c.component FROM u JOIN (SELECT id, min(root) AS component FROM r GROUP BY id) c USING (id)""",
+)
+def n1_ellipse(spark, d):
+    m = read(spark, d, "lineitem").where("l_suppkey % 4 = 0 OR l_quantity > 44").selectExpr(*_MASK.split(", "))
+    return masks.clusters(m, "page", 6)
+
+
+@query("u1_union_runs", f"{_CELLS}l_quantity < 5 UNION {_CELLS}l_quantity > 45")
+def u1_runs(spark, d):
+    a, b = (masks.runs(cells(spark, d, w), "page") for w in ("l_quantity < 5", "l_quantity > 45"))
+    return masks.cells(masks.union("page", a, b), "page")
+
+
+@query("u2_shared_runs", f"{_CELLS}l_quantity < 20 INTERSECT {_CELLS}l_quantity > 25 AND l_suppkey % 3 <> 0")
+def u2_runs(spark, d):
+    a, b = (masks.runs(cells(spark, d, w), "page") for w in ("l_quantity < 20", "l_quantity > 25 AND l_suppkey % 3 <> 0"))
+    return masks.cells(masks.intersection(a, b, "page"), "page")
+
+
 @query("u1_union_cells", f"{_CELLS}l_quantity < 5 UNION {_CELLS}l_quantity > 45")
 def u1(spark, d):
     return S.union_cells(cells(spark, d, "l_quantity < 5"), cells(spark, d, "l_quantity > 45"))
