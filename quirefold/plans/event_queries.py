@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirefold.functions.headers import image_size
 from quirefold.operators import hooks
 from quirefold.plans.registry import ORACLES, query, read
 from quirefold.plans.session import shared_dir
@@ -178,6 +179,33 @@ def s1(spark, d):
     return rosters.catalogue(f)
 
 
+# Header bytes of a picture for each part, of seven types in ten forms and of none, from its width and height.
+_BE = "lpad(hex({0}), {1}, '0')"
+_LE2 = "concat(lpad(hex({0} % 256), 2, '0'), lpad(hex({0} div 256 % 256), 2, '0'))"
+_LE3 = f"concat({_LE2}, lpad(hex({{0}} div 65536), 2, '0'))"
+_LE4 = f"concat({_LE2}, lpad(hex({{0}} div 65536 % 256), 2, '0'), lpad(hex({{0}} div 16777216), 2, '0'))"
+_FORMS = [
+    f"concat('89504E470D0A1A0A0000000D49484452', {_BE.format('w', 8)}, {_BE.format('h', 8)})",
+    f"concat('FFD8FFE0000400AAFFDB0003EEFFFFC2000B08', {_BE.format('h', 4)}, {_BE.format('w', 4)}, '03')",
+    f"concat('524946460000000057454250565038580A00000000000000', {_LE3.format('(w - 1)')}, {_LE3.format('(h - 1)')})",
+    f"concat('52494646000000005745425056503820000000001020309D012A', {_LE2.format('w')}, {_LE2.format('h')})",
+    f"concat('5249464600000000574542505650384C000000002F', {_LE4.format('((h - 1) * 16384 + w - 1)')})",
+    f"concat('424D00000000000000000000000028000000', {_LE4.format('w')}, {_LE4.format('(4294967296 - h)')})",
+    f"concat('424D00000000000000000000000C000000', {_LE2.format('w')}, {_LE2.format('h')})",
+    f"concat('474946383961', {_LE2.format('w')}, {_LE2.format('h')})",
+    f"concat('00000018667479706D69663100000000617669660000AA0000001469737065000000000000000200000003', '0000001469737065', '00000000', {_BE.format('w', 8)}, {_BE.format('h', 8)})",
+    "'FFD8FFDA0000'",
+]
+
+
+@query("s1_image_sizes", "SELECT p_partkey, CASE WHEN p_partkey % 10 = 9 THEN 0 ELSE 1 + p_size * 37 + p_partkey % 50 END AS width, CASE WHEN p_partkey % 10 = 9 THEN 0 ELSE 5 + p_size * 11 + p_partkey % 90 END AS height FROM part")
+def s1_sizes(spark, d):
+    p = read(spark, d, "part").selectExpr("p_partkey", "1 + p_size * 37 + p_partkey % 50 AS w", "5 + p_size * 11 + p_partkey % 90 AS h")
+    forms = " ".join(f"WHEN {i} THEN {form}" for i, form in enumerate(_FORMS))
+    made = p.select("p_partkey", F.unhex(F.expr(f"CASE p_partkey % 10 {forms} END")).alias("content"))
+    return made.select("p_partkey", image_size(F.col("content")).alias("s")).select("p_partkey", "s.width", "s.height")
+
+
 @query("s2_saved_pages", "SELECT page_id AS name FROM pages WHERE page_id IN (SELECT p_partkey * 3 FROM part)")
 def s2(spark, d):
     return rosters.saved_pages(read(spark, d, "pages").selectExpr("page_id AS name"), read(spark, d, "part").selectExpr("p_partkey * 3 AS name"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirefold.functions.headers import image_size
 from quirefold.functions.text import clean_name, enum_or, natural_key
 
 FIELDS = ["name_en", "name_ja", "gender", "alias_en", "alias_ja"]
@@ -27,9 +28,12 @@ def catalogue(files: DataFrame) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of a folder with the sizes that Spark's image source reads."""
-    images = spark.read.format("image").option("dropInvalid", False).load(path)
-    return catalogue(images.select(F.url_decode("image.origin").alias("path"), "image.width", "image.height"))
+    """Pages of a folder with the sizes that their headers give, all seven types; nothing is decoded.
+
+    Spark's readers pass over files without any bytes, so those are not listed."""
+    files = spark.read.format("binaryFile").load(path).where(F.col("path").rlike(EXTENSIONS))
+    sized = files.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"), image_size(F.col("content")).alias("s"))
+    return catalogue(sized.select("path", "s.width", "s.height"))
 
 
 def saved_pages(pages: DataFrame, saved: DataFrame, same_folder: bool = False) -> DataFrame:
