@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from quirefold.functions import geometry as G
 from quirefold.functions.text import clean_name
 from quirefold.operators.graph import connected_components
+from quirefold.operators.order import reading_order
 from quirefold.plans.session import materialise, ship_package
 
 SIDES = ("x1", "y1", "x2", "y2")
@@ -104,22 +105,42 @@ def glossary(roster: DataFrame, order: str) -> DataFrame:
     return rows.groupBy("original").agg(F.min_by("english", F.struct(order, "k")).alias("english"), F.min(order).alias(order))
 
 
-def upsert_regions(existing: DataFrame, incoming: DataFrame, page: str, points: str = "points") -> DataFrame:
+def upsert_regions(
+    existing: DataFrame, incoming: DataFrame, page: str, points: str = "points", at: DataFrame | None = None, right_to_left: bool = False
+) -> DataFrame:
     """Incoming regions equal to an existing one (same points in the same order) replace
     its text and keep its ``style``; others are added; fewer than three points are dropped.
-    Of equal incoming regions the last ``pos`` counts."""
+    Of equal incoming regions the last ``pos`` counts.
+
+    ``pos`` numbers a page's regions from 0: existing ones keep their order (of their ``pos``), and
+    added ones, sorted among themselves in reading order (W2), come behind them or, where
+    ``at`` (``page, at``) names a place, before the existing region of that place.
+    """
     key = F.sha2(F.to_json(F.struct(page, points)), 256)
     new = incoming.where(F.size(points) >= 3).withColumn("__key", key)
     new = new.groupBy("__key").agg(F.max_by(F.struct(page, points, "text", "pos"), "pos").alias("n"))
-    old = existing.withColumn("__key", key)
-    both = old.join(new.hint("merge"), "__key", "full")
-    return both.select(
+    old = existing.withColumn("__key", key).withColumn("__old", F.row_number().over(Window.partitionBy(page).orderBy("pos", "__key")) - 1)
+    both = old.hint("merge").join(new, "__key", "full").select(
+        "__key", "__old",
         F.coalesce(F.col(page), F.col(f"n.{page}")).alias(page),
         F.coalesce(F.col(points), F.col(f"n.{points}")).alias(points),
         F.coalesce(F.col("n.text"), F.col("text")).alias("text"),
         F.col("style"),
         F.when(F.col("n.text").isNull(), "kept").when(F.col(page).isNull(), "added").otherwise("replaced").alias("status"),
+    )
+    both = materialise(both, "upsert-rows")
+    added = both.where("status = 'added'").select(page, "__key", G.bbox(F.col(points)).alias("__b"))
+    added = added.select(page, "__key", *(F.col(f"__b.{c}").cast("double").alias(c) for c in SIDES))
+    nth = reading_order(added, page, "__key", right_to_left).select("__key", F.col("nth").alias("__nth"))
+    counts = both.groupBy(F.col(page).alias("__page")).agg(F.count("__old").alias("__olds"), F.count_if(F.col("status") == "added").alias("__news"))
+    counts = counts.withColumn("__at", F.lit(None).cast("long")) if at is None else (
+        counts.hint("merge").join(at.select(F.col(page).alias("__page"), F.col("at").cast("long").alias("__at")), "__page", "left")
     )
+    place = F.least(F.greatest(F.coalesce("__at", "__olds"), F.lit(0)), F.col("__olds"))
+    out = both.hint("merge").join(nth, "__key", "left").join(counts.hint("merge"), F.col(page).eqNullSafe(F.col("__page")))
+    moved = F.when(F.col("__old") < place, F.col("__old")).otherwise(F.col("__old") + F.col("__news"))
+    pos = F.when(F.col("status") == "added", place + F.col("__nth") - 1).otherwise(moved).cast("long")
+    return out.select(page, points, "text", "style", "status", pos.alias("pos"))
 
 
 def _binned_pairs(boxes: DataFrame, page: str, box: str, cell: float, grow: Column | float = 0.0) -> DataFrame:

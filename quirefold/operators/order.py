@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from quirefold.functions import text as T
+from quirefold.streaming.state import in_order
 
 
 def orientation(boxes: DataFrame, by: str) -> DataFrame:
@@ -62,37 +64,31 @@ def read_text(boxes: DataFrame, by: str, box: str, text: str) -> DataFrame:
     return rows.groupBy(by).agg(T.normalise_ocr(F.array_join(parts, "")).alias("text"))
 
 
-def reading_order(regions: DataFrame, by: str, box: str, right_to_left: bool = False, max_regions: int = 20_000) -> DataFrame:
+def reading_order(regions: DataFrame, by: str, box: str, right_to_left: bool = False) -> DataFrame:
     """Regions (box x1, y1, x2, y2) of a page in reading order, as ``nth``.
 
     Taken from the top by their centres, a region joins the latest row if its centre
     is within half the median positive height of that row's running mean, else it
     begins a row. Rows go by mean; within a row by centre x, then y, then id.
-    Regions without area come last by id. The mean depends on all regions before, so a
-    page is folded as one array; a page of over ``max_regions`` raises.
+    Regions without area come last by id. The mean depends on all regions before, so Spark
+    sorts a page's regions and they pass one at a time beside the state of one row: a page of
+    any size takes no memory.
     """
     area = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
     rows = regions.withColumns({"__cx": (F.col("x1") + F.col("x2")) / 2, "__cy": (F.col("y1") + F.col("y2")) / 2, "__ok": area})
-    page = rows.where("__ok").groupBy(by).agg(
-        (F.expr("percentile(y2 - y1, 0.5)") / 2).alias("tol"),
-        F.array_sort(F.collect_list(F.struct("__cy", F.col(box).alias("id"), "__cx"))).alias("items"),
-    )
-    page = page.withColumn("items", F.when(F.size("items") > max_regions, F.raise_error(F.lit("too many regions on one page"))).otherwise(F.col("items")))
-
-    def step(state: Column, item: Column) -> Column:
-        new = F.lit(False) | (state["n"] == 0) | (F.abs(item["__cy"] - state["mean"]) > F.col("tol"))
-        row = state["row"] + new.cast("int")
-        n = F.when(new, 1).otherwise(state["n"] + 1)
-        mean = F.when(new, item["__cy"]).otherwise(state["mean"] + (item["__cy"] - state["mean"]) / (state["n"] + 1))
-        return F.struct(
-            row.alias("row"), n.alias("n"), mean.alias("mean"), F.concat(state["rows"], F.array(row)).alias("rows")
-        )
-
-    start = F.struct(F.lit(0).alias("row"), F.lit(0).alias("n"), F.lit(0.0).alias("mean"), F.array().cast("array<int>").alias("rows"))
-    page = page.withColumn("rows", F.aggregate("items", start, step, lambda s: s["rows"]))
-    placed = page.select(by, F.explode(F.arrays_zip("items", "rows")).alias("z")).select(
-        by, F.col("z.items.id").alias(box), F.col("z.rows").alias("row"), F.col("z.items.__cy").alias("__cy"), F.col("z.items.__cx").alias("__cx")
-    )
+    good = rows.where("__ok")
+    tol = good.groupBy(F.col(by).alias("__by")).agg((F.expr("percentile(y2 - y1, 0.5)") / 2).cast("double").alias("__tol"))
+    good = good.hint("merge").join(tol, F.col(by).eqNullSafe(F.col("__by")))
+    good = good.select(by, box, F.col("__cx").cast("double").alias("__cx"), F.col("__cy").cast("double").alias("__cy"), "__tol")
+
+    def step(state: tuple, item: dict) -> tuple:
+        row, n, mean = state
+        y = item["__cy"]
+        if not n or abs(y - mean) > item["__tol"]:
+            return (row + 1, 1, y), row + 1
+        return (row, n + 1, mean + (y - mean) / (n + 1)), row
+
+    placed = in_order(good, by, ["__cy", box], lambda: (0, 0, 0.0), step, "row", T_.IntegerType())
     mean = F.avg("__cy").over(Window.partitionBy(by, "row"))
     x = F.desc("__cx") if right_to_left else F.asc("__cx")
     placed = placed.withColumn("__mean", mean)

@@ -191,7 +191,7 @@ _FORMS = [
     f"concat('52494646000000005745425056503820000000001020309D012A', {_LE2.format('w')}, {_LE2.format('h')})",
     f"concat('5249464600000000574542505650384C000000002F', {_LE4.format('((h - 1) * 16384 + w - 1)')})",
     f"concat('424D00000000000000000000000028000000', {_LE4.format('w')}, {_LE4.format('(4294967296 - h)')})",
-    f"concat('424D00000000000000000000000C000000', {_LE2.format('w')}, {_LE2.format('h')})",
+    f"concat('424D0000000000000000000000000C000000', {_LE2.format('w')}, {_LE2.format('h')})",
     f"concat('474946383961', {_LE2.format('w')}, {_LE2.format('h')})",
     f"concat('00000018667479706D69663100000000617669660000AA0000001469737065000000000000000200000003', '0000001469737065', '00000000', {_BE.format('w', 8)}, {_BE.format('h', 8)})",
     "'FFD8FFDA0000'",

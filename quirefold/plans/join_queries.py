@@ -50,15 +50,19 @@ def j3(spark, d):
 
 @query(
     "j4_upsert_regions",
-    """WITH e AS (SELECT o_orderkey // 64 AS page, o_orderkey AS k FROM orders WHERE o_orderkey % 3 <> 0), i AS (SELECT o_orderkey // 64 AS page, o_orderkey AS k, o_orderkey % 7 AS n FROM orders WHERE o_orderkey % 2 = 0)
-    SELECT coalesce(e.page, i.page) AS page, coalesce(e.k, i.k) AS k, CASE WHEN i.k IS NULL THEN 'old' ELSE 'new' END AS text, CASE WHEN e.k IS NOT NULL THEN 'styled' END AS style, CASE WHEN i.k IS NULL THEN 'kept' WHEN e.k IS NULL THEN 'added' ELSE 'replaced' END AS status FROM e FULL JOIN (SELECT * FROM i WHERE n >= 3) i ON e.page = i.page AND e.k = i.k""",
+    """WITH e AS (SELECT o_orderkey // 64 AS page, o_orderkey AS k FROM orders WHERE o_orderkey % 3 <> 0), i AS (SELECT o_orderkey // 64 AS page, o_orderkey AS k, o_orderkey % 7 AS n FROM orders WHERE o_orderkey % 2 = 0),
+    b AS (SELECT coalesce(e.page, i.page) AS page, coalesce(e.k, i.k) AS k, CASE WHEN i.k IS NULL THEN 'old' ELSE 'new' END AS text, CASE WHEN e.k IS NOT NULL THEN 'styled' END AS style, CASE WHEN i.k IS NULL THEN 'kept' WHEN e.k IS NULL THEN 'added' ELSE 'replaced' END AS status FROM e FULL JOIN (SELECT * FROM i WHERE n >= 3) i ON e.page = i.page AND e.k = i.k),
+    n AS (SELECT *, row_number() OVER (PARTITION BY page, status = 'added' ORDER BY CASE WHEN status = 'added' THEN k % 3 ELSE 0 END, CASE WHEN status = 'added' THEN k ELSE -k END) - 1 AS own, count(*) FILTER (status <> 'added') OVER (PARTITION BY page) AS olds, count(*) FILTER (status = 'added') OVER (PARTITION BY page) AS news FROM b),
+    p AS (SELECT *, CASE WHEN page % 4 = 0 THEN least(page % 9, olds) ELSE olds END AS place FROM n)
+    SELECT page, k, text, style, status, CASE WHEN status = 'added' THEN place + own WHEN own < place THEN own ELSE own + news END AS pos FROM p""",
 )
 def j4(spark, d):
-    o = read(spark, d, "orders").selectExpr("o_orderkey div 64 AS page", "o_orderkey AS k", "o_orderkey % 7 AS n")
-    points = F.expr("array(struct(k AS x, 0L AS y), struct(k + 9 AS x, 0L AS y), struct(k AS x, 7L AS y))")
-    e = o.where("k % 3 <> 0").select("page", points.alias("points"), F.lit("old").alias("text"), F.lit("styled").alias("style"))
+    o = read(spark, d, "orders").selectExpr("o_orderkey div 64 AS page", "o_orderkey AS k", "o_orderkey % 7 AS n", "o_orderkey % 3 * 40 AS y")
+    points = F.expr("array(struct(k AS x, y AS y), struct(k + 9 AS x, y AS y), struct(k AS x, y + 7 AS y))")
+    e = o.where("k % 3 <> 0").select("page", points.alias("points"), F.lit("old").alias("text"), F.lit("styled").alias("style"), (-F.col("k")).alias("pos"))
     i = o.where("k % 2 = 0").select("page", F.when(F.col("n") >= 3, points).otherwise(F.slice(points, 1, 2)).alias("points"), F.lit("new").alias("text"), F.col("k").alias("pos"))
-    return J.upsert_regions(e, i, "page").select("page", F.col("points")[0]["x"].alias("k"), "text", "style", "status")
+    at = o.select("page").distinct().where("page % 4 = 0").selectExpr("page", "page % 9 AS at")
+    return J.upsert_regions(e, i, "page", at=at).select("page", F.col("points")[0]["x"].alias("k"), "text", "style", "status", "pos")
 
 
 # regions that drift by a pixel or two from each other

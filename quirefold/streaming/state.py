@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming import StatefulProcessor
 
 from quirefold.plans.session import ship_package
@@ -88,13 +89,14 @@ def transfer_state(events: DataFrame, delay: str = "1 minute", expiry_s: int = 3
     return _stateful(events, delay, "ts", ["job", "file"], Transfers(expiry_s), out, "update")
 
 
-def _in_order(rows: DataFrame, key: str, order: list[str], start: Callable[[], Any], step: Callable[[Any, dict], tuple[Any, bool]], out: str) -> DataFrame:
-    """``rows`` with the boolean ``out``: what ``step(state, row)`` gives for each, key by key in ``order``.
+def in_order(rows: DataFrame, key: str, order: list[str], start: Callable[[], Any], step: Callable[[Any, dict], tuple[Any, Any]], out: str, kind: T.DataType | None = None) -> DataFrame:
+    """``rows`` with ``out``, a boolean or of ``kind``: what ``step(state, row)`` gives for each, key by key in ``order``.
 
     Rows of a key are sorted by Spark and pass one at a time, so a task holds the state of
     one key and never its rows.
     """
-    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.BooleanType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, kind or T.BooleanType())])
+    arrow = to_arrow_type(kind or T.BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
@@ -107,7 +109,7 @@ def _in_order(rows: DataFrame, key: str, order: list[str], start: Callable[[], A
                     now, state = row[key], start()
                 state, value = step(state, row)
                 got.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.bool_())], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, arrow)], names=[*names, out])
 
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
@@ -136,7 +138,7 @@ def admit_batch(batches: DataFrame, client: str = "client", limit: int = 60, spa
         good = n <= most and sum(k for _, k in held) + n <= limit
         return ([*held, (now, n)] if good else held), good
 
-    return _in_order(rows, client, ["__at", "batch"], list, step, "admitted").select(client, "batch", "admitted")
+    return in_order(rows, client, ["__at", "batch"], list, step, "admitted").select(client, "batch", "admitted")
 
 
 def late_events(events: DataFrame, task: str = "task", order: str = "seq", kind: str = "kind") -> DataFrame:
