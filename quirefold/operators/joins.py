@@ -164,7 +164,7 @@ def _binned_pairs(boxes: DataFrame, page: str, box: str, cell: float, grow: Colu
     span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - F.col("__pad")) / F.col("__cell")), F.floor((F.col(hi) + F.col("__pad")) / F.col("__cell")))
     placed = placed.withColumn("__cy", F.explode(span("y1", "y2"))).withColumn("__cx", F.explode(span("x1", "x2")))
     row = F.struct(
-        F.col(box).alias("id"), *SIDES, *([F.col("score")] if "score" in boxes.columns else []),
+        F.col(box).alias("id"), *SIDES, *(F.col(c) for c in ("score", "area") if c in boxes.columns),
         *((F.col(lo) - F.col("__pad")).alias(f"from_{lo}") for lo in ("x1", "y1")), F.col("__level").alias("level"),
     )
     keys = [page, "__at", "__cy", "__cx"]
@@ -189,20 +189,77 @@ def overlaps(boxes: DataFrame, page: str, box: str, margin: float = 0.0, cell: i
     return pairs.where(G.overlap(_side("a"), _side("b"), margin))
 
 
+def _nearly_identical(near: Column, area) -> Column:
+    """J5's test of the boxes ``a`` and ``b``."""
+    ok = (F.least(area("a"), area("b")) > 0) & (F.least(area("a"), area("b")) >= 0.97 * F.greatest(area("a"), area("b")))
+    for lo, hi in (("x1", "x2"), ("y1", "y2")):
+        ok = ok & (F.abs(F.col(f"a.{lo}") - F.col(f"b.{lo}")) <= near)
+        ok = ok & (F.abs((F.col(f"a.{hi}") - F.col(f"a.{lo}")) - (F.col(f"b.{hi}") - F.col(f"b.{lo}"))) <= near)
+    return ok
+
+
 def near_duplicates(boxes: DataFrame, page: str, box: str, cell: int = 128) -> DataFrame:
-    """Pairs with areas within 97 % and each edge and size within max(2, 2 % of the larger side)."""
+    """Pairs with areas within 97 % whose left and upper edges, widths and heights are within max(2, 2 % of the longest side).
+
+    The area is the column ``area`` where there is one (a polygon's), else that of the box; pairs
+    without area are none.
+    """
     longest = F.greatest(*(F.col(f"{n}.{b}") - F.col(f"{n}.{a}") for n in "ab" for a, b in (("x1", "x2"), ("y1", "y2"))))
     near = F.greatest(F.lit(2.0), 0.02 * longest)
-    area = lambda n: (F.col(f"{n}.x2") - F.col(f"{n}.x1")) * (F.col(f"{n}.y2") - F.col(f"{n}.y1"))
-    ok = F.least(area("a"), area("b")) >= 0.97 * F.greatest(area("a"), area("b"))
-    for k in SIDES:
-        ok = ok & (F.abs(F.col(f"a.{k}") - F.col(f"b.{k}")) <= near)
-    for lo, hi in (("x1", "x2"), ("y1", "y2")):
-        ok = ok & (F.abs((F.col(f"a.{hi}") - F.col(f"a.{lo}")) - (F.col(f"b.{hi}") - F.col(f"b.{lo}"))) <= near)
+    whole = lambda n: (F.col(f"{n}.x2") - F.col(f"{n}.x1")) * (F.col(f"{n}.y2") - F.col(f"{n}.y1"))
+    area = (lambda n: F.col(f"{n}.area")) if "area" in boxes.columns else whole
+    ok = _nearly_identical(near, area)
     reach = F.greatest(F.lit(2.0), 0.02 * F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
     return _binned_pairs(boxes, page, box, cell, reach).where(ok)
 
 
+def _beaten(edges: DataFrame, page: str) -> DataFrame | None:
+    """``page, lo`` of what a greedy pass drops, from edges ``hi`` (earlier) to ``lo``: every round keeps what no
+    live earlier one touches and drops what a kept one touches. None if there are no edges."""
+    gone = None
+    while not edges.isEmpty():
+        below = edges.select(page, F.col("lo").alias("hi")).distinct()
+        safe = edges.select(page, "hi").distinct().join(below.hint("merge"), [page, "hi"], "left_anti")
+        dropped = materialise(edges.join(safe.hint("merge"), [page, "hi"], "left_semi").select(page, "lo").distinct(), "nms-dropped")
+        gone = dropped if gone is None else gone.unionByName(dropped)
+        rest = edges.join(dropped.hint("merge"), [page, "lo"], "left_anti")
+        rest = rest.join(dropped.select(page, F.col("lo").alias("hi")).hint("merge"), [page, "hi"], "left_anti")
+        rest = rest.join(safe.hint("merge"), [page, "hi"], "left_anti")
+        edges = materialise(rest, "nms-edges")
+    return gone
+
+
+def accept_regions(pieces: DataFrame, sources: DataFrame, regions: DataFrame, source: str, piece: str, page: str, points: str = "points") -> DataFrame:
+    """G5, second half: the pieces of cut regions that become regions of their own.
+
+    ``pieces`` (``source, piece, rank`` and points) are taken in order of rank. Dropped are those
+    that are not usable (G2), the region they were cut from (``sources``: ``page, source``, points)
+    or a near-copy of it (J5), one that the page already has (``regions``: ``page, source``, points) other
+    than the source, and near-copies of a piece of the same source kept before: a fixpoint of
+    joins as in J6, for areas of any size and number.
+    """
+    cut = pieces.where(G.usable(F.col(points))).withColumns({"__b": G.bbox(F.col(points)), "area": G.polygon_area(F.col(points))})
+    cut = cut.select(source, piece, "rank", F.col(points).alias("__p"), "area", *(F.col(f"__b.{c}").cast("double").alias(c) for c in SIDES))
+    of = sources.select(F.col(source).alias("__s"), page, F.col(points).alias("__q"), G.bbox(F.col(points)).alias("__b"), G.polygon_area(F.col(points)).alias("__a"))
+    of = of.select("__s", page, "__q", F.struct(*(F.col(f"__b.{c}").cast("double").alias(c) for c in SIDES), F.col("__a").alias("area")).alias("b"))
+    met = cut.withColumn("a", F.struct(*SIDES, "area")).hint("merge").join(of, F.col(source) == F.col("__s"), "left")
+    longest = F.greatest(*(F.col(f"{n}.{b}") - F.col(f"{n}.{a}") for n in "ab" for a, b in (("x1", "x2"), ("y1", "y2"))))
+    alike = _nearly_identical(F.greatest(F.lit(2.0), 0.02 * longest), lambda n: F.col(f"{n}.area")) | (F.to_json("__p") == F.to_json("__q"))
+    cut = met.where(~F.coalesce(alike, F.lit(False))).withColumn("__key", F.sha2(F.to_json(F.struct("__p")), 256)).drop("a", "b", "__q", "__s")
+    there = regions.select(F.col(page).alias("__page"), F.col(source).alias("__other"), F.sha2(F.to_json(F.struct(F.col(points).alias("__p"))), 256).alias("__has"))
+    own = F.col("__other").eqNullSafe(F.col(source))
+    cut = cut.hint("merge").join(there, (F.col(page) == F.col("__page")) & (F.col("__key") == F.col("__has")) & ~own, "left_anti")
+    cut = materialise(cut.select(source, piece, "rank", "area", *SIDES), "accept-pieces")
+    place = cut.select(source, F.col(piece).alias("id"), "rank")
+    near = near_duplicates(cut, source, piece).select(source, F.col("a.id").alias("p"), F.col("b.id").alias("q"))
+    near = near.hint("merge").join(place.select(source, F.col("id").alias("p"), F.col("rank").alias("rp")), [source, "p"])
+    near = near.hint("merge").join(place.select(source, F.col("id").alias("q"), F.col("rank").alias("rq")), [source, "q"])
+    first = F.struct("rp", "p") < F.struct("rq", "q")
+    edges = near.select(source, F.when(first, F.col("p")).otherwise(F.col("q")).alias("hi"), F.when(first, F.col("q")).otherwise(F.col("p")).alias("lo"))
+    gone = _beaten(materialise(edges, "accept-near"), source)
+    return cut if gone is None else cut.join(gone.select(source, F.col("lo").alias(piece)).hint("merge"), [source, piece], "left_anti")
+
+
 def suppress(
     boxes: DataFrame, page: str, box: str, conf: float = 0.25, iou: float = 0.7, before: int = 30_000, most: int = 300, cell: int = 128
 ) -> DataFrame:
@@ -221,16 +278,7 @@ def suppress(
     first = (F.col("a.score") > F.col("b.score")) | ((F.col("a.score") == F.col("b.score")) & (F.col("a.id") < F.col("b.id")))
     edges = hit.select(page, F.when(first, F.col("a.id")).otherwise(F.col("b.id")).alias("hi"), F.when(first, F.col("b.id")).otherwise(F.col("a.id")).alias("lo"))
     edges = materialise(edges, "nms-edges")
-    gone = None
-    while not edges.isEmpty():
-        below = edges.select(page, F.col("lo").alias("hi")).distinct()
-        safe = edges.select(page, "hi").distinct().join(below.hint("merge"), [page, "hi"], "left_anti")
-        dropped = materialise(edges.join(safe.hint("merge"), [page, "hi"], "left_semi").select(page, "lo").distinct(), "nms-dropped")
-        gone = dropped if gone is None else gone.unionByName(dropped)
-        rest = edges.join(dropped.hint("merge"), [page, "lo"], "left_anti")
-        rest = rest.join(dropped.select(page, F.col("lo").alias("hi")).hint("merge"), [page, "hi"], "left_anti")
-        rest = rest.join(safe.hint("merge"), [page, "hi"], "left_anti")
-        edges = materialise(rest, "nms-edges")
+    gone = _beaten(edges, page)
     kept = live if gone is None else live.join(gone.select(page, F.col("lo").alias(box)).hint("merge"), [page, box], "left_anti")
     order = F.row_number().over(Window.partitionBy(page).orderBy("__rank"))
     return kept.withColumn("rank", order).where(F.col("rank") <= most).drop("__rank")

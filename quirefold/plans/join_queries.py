@@ -74,13 +74,37 @@ _TOL = "greatest(2.0, 0.02 * greatest(a.x2 - a.x1, a.y2 - a.y1, b.x2 - b.x1, b.y
 @query(
     "j5_near_duplicates",
     f"""WITH n AS ({_NEAR_SQL}) SELECT a.page, a.box_id AS a, b.box_id AS b FROM n a JOIN n b ON a.page = b.page AND a.box_id < b.box_id WHERE least((a.x2-a.x1)*(a.y2-a.y1), (b.x2-b.x1)*(b.y2-b.y1)) >= 0.97 * greatest((a.x2-a.x1)*(a.y2-a.y1), (b.x2-b.x1)*(b.y2-b.y1))
-    AND abs(a.x1-b.x1) <= {_TOL} AND abs(a.x2-b.x2) <= {_TOL} AND abs(a.y1-b.y1) <= {_TOL} AND abs(a.y2-b.y2) <= {_TOL} AND abs((a.x2-a.x1)-(b.x2-b.x1)) <= {_TOL} AND abs((a.y2-a.y1)-(b.y2-b.y1)) <= {_TOL}""",
+    AND abs(a.x1-b.x1) <= {_TOL} AND abs(a.y1-b.y1) <= {_TOL} AND abs((a.x2-a.x1)-(b.x2-b.x1)) <= {_TOL} AND abs((a.y2-a.y1)-(b.y2-b.y1)) <= {_TOL}""",
 )
 def j5(spark, d):
     p = J.near_duplicates(read(spark, d, "lineitem").selectExpr(*_NEAR), "page", "box_id")
     return p.select("page", F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
+# The drifting regions as pieces of their order's region, which itself is one of several sizes; some orders have one of them already.
+_SPLIT = "abs(a.x1 - b.x1) <= {t} AND abs(a.y1 - b.y1) <= {t} AND abs((a.x2 - a.x1) - (b.x2 - b.x1)) <= {t} AND abs((a.y2 - a.y1) - (b.y2 - b.y1)) <= {t} AND least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) >= 0.97 * greatest((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1))"
+_PIECES_SQL = "SELECT l_orderkey * 1000000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_shipdate) AS box_id, l_orderkey AS source, 100.0::DOUBLE + l_linenumber % 3 AS x1, 50.0::DOUBLE + l_partkey % 4 * 3 AS y1, 300.0::DOUBLE + l_suppkey % 5 * 4 AS x2, 240.0::DOUBLE + l_linenumber % 2 AS y2 FROM lineitem"
+
+
+@query(
+    "g5_accept_regions",
+    f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY box_id) AS rank FROM ({_PIECES_SQL})),
+    s AS (SELECT o_orderkey AS source, 100.0::DOUBLE AS x1, 50.0::DOUBLE AS y1, 300.0::DOUBLE + o_orderkey % 40 AS x2, 240.0::DOUBLE AS y2 FROM orders),
+    k AS (SELECT a.*, row_number() OVER (PARTITION BY a.source ORDER BY a.rank) AS i FROM p a LEFT JOIN s b USING (source) WHERE NOT coalesce({_SPLIT.format(t=_TOL)}, false) AND NOT (a.source % 3 = 0 AND a.x1 = 101 AND a.y1 = 53 AND a.x2 = 304 AND a.y2 = 241)),
+    f AS (SELECT source, i, box_id, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept, true AS good FROM k WHERE i = 1
+      UNION ALL SELECT source, i, box_id, CASE WHEN near THEN kept ELSE list_append(kept, a) END, NOT near FROM (SELECT k.source, k.i, k.box_id, kept, {{'x1': k.x1, 'y1': k.y1, 'x2': k.x2, 'y2': k.y2}} AS a, len(list_filter(list_transform(kept, lambda b: {{'a': {{'x1': k.x1, 'y1': k.y1, 'x2': k.x2, 'y2': k.y2}}, 'b': b}}), lambda c: {_SPLIT.format(t=_TOL).replace('a.', 'c.a.').replace('b.', 'c.b.')})) > 0 AS near FROM f JOIN k ON k.source = f.source AND k.i = f.i + 1))
+    SELECT source, box_id FROM f WHERE good""",
+)
+def g5_regions(spark, d):
+    rank = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_shipdate)"
+    rows = read(spark, d, "lineitem").selectExpr(f"l_orderkey * 1000000 + {rank} AS box_id", "l_orderkey AS source", f"{rank} AS rank", "100.0D + l_linenumber % 3 AS x1", "50.0D + l_partkey % 4 * 3 AS y1", "300.0D + l_suppkey % 5 * 4 AS x2", "240.0D + l_linenumber % 2 AS y2")
+    corners = F.expr("array(struct(x1 AS x, y1 AS y), struct(x2 AS x, y1 AS y), struct(x2 AS x, y2 AS y), struct(x1 AS x, y2 AS y))")
+    rows = rows.withColumn("points", corners)
+    sources = read(spark, d, "orders").selectExpr("o_orderkey AS source", "o_orderkey AS page", "100.0D AS x1", "50.0D AS y1", "300.0D + o_orderkey % 40 AS x2", "240.0D AS y2").withColumn("points", corners)
+    there = sources.where("source % 3 = 0").selectExpr("page", "-source AS source", "101.0D AS x1", "53.0D AS y1", "304.0D AS x2", "241.0D AS y2").withColumn("points", corners)
+    return J.accept_regions(rows, sources, there, "source", "box_id", "page").select("source", "box_id")
+
+
 @query(
     "j6_suppress",
     f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, box_id) AS r FROM ({_BOX_SQL}) WHERE score > 0.25),

@@ -44,8 +44,8 @@ def test_near_duplicates(spark):
     for a, b in itertools.combinations(sorted(rows, key=lambda r: r[1]), 2):
         (aw, ah), (bw, bh) = ((r[4] - r[2], r[5] - r[3]) for r in (a, b))
         near = max(2, 0.02 * max(aw, ah, bw, bh))
-        if a[0] == b[0] and min(aw * ah, bw * bh) >= 0.97 * max(aw * ah, bw * bh):
-            if all(abs(a[k] - b[k]) <= near for k in (2, 3, 4, 5)) and abs(aw - bw) <= near and abs(ah - bh) <= near:
+        if a[0] == b[0] and min(aw * ah, bw * bh) > 0 and min(aw * ah, bw * bh) >= 0.97 * max(aw * ah, bw * bh):
+            if all(abs(a[k] - b[k]) <= near for k in (2, 3)) and abs(aw - bw) <= near and abs(ah - bh) <= near:
                 want.add((a[1], b[1]))
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 20
 
@@ -70,3 +70,16 @@ def test_a_large_box_takes_few_cells(spark):
     pairs.collect()
     walk(plan)
     assert from_joins and max(from_joins) <= 4 * 2 * 705  # four cells on each of two levels, at most
+
+
+def test_accepted_pieces(spark):
+    """Pieces of one cut: slivers, the source, what the page has, and near-copies of a kept piece go."""
+    square = lambda x, y, w, h: [(float(x), float(y)), (float(x + w), float(y)), (float(x + w), float(y + h)), (float(x), float(y + h))]
+    made = [(1, "whole", square(0, 0, 100, 80)), (2, "shaved", square(1, 0, 99, 80)), (3, "left", square(0, 0, 48, 80)), (4, "left again", square(1, 1, 48, 80)),
+            (5, "right", square(52, 0, 48, 80)), (6, "had", square(10, 10, 30, 30)), (7, "sliver", square(0, 0, 1, 80)), (8, "line", square(0, 0, 5, 5)[:2]), (9, "own", square(20, 20, 40, 40))]
+    point = "array<struct<x:double,y:double>>"
+    pieces = spark.createDataFrame([(7, n, r, p) for r, n, p in made], f"source int, piece string, rank int, points {point}")
+    sources = spark.createDataFrame([(7, 1, square(0, 0, 100, 80))], f"source int, page int, points {point}")
+    regions = spark.createDataFrame([(8, 1, square(10, 10, 30, 30)), (7, 1, square(20, 20, 40, 40)), (9, 2, square(0, 0, 48, 80))], f"source int, page int, points {point}")
+    got = joins.accept_regions(pieces, sources, regions, "source", "piece", "page").collect()
+    assert sorted(r["piece"] for r in got) == ["left", "own", "right"]
