@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -30,17 +32,37 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Seconds between two releases of what finished jobs hold.
+RELEASE_S = 5.0
+_RELEASED = {"at": 0.0}
+
+
+def _release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files, broadcasts and plans of jobs whose results are written.
+
+    Spark's cleaner acts on what the driver's garbage collection finds unreachable, and a
+    driver that only plans may go without one for half an hour; a loop of many small jobs
+    then keeps the files of all its rounds on disk and their plans in memory.
+    """
+    now = time.monotonic()
+    if now - _RELEASED["at"] >= RELEASE_S:
+        gc.collect()  # handles of frames that Python no longer uses
+        spark.sparkContext._jvm.System.gc()
+        _RELEASED["at"] = time.monotonic()
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     The result has no lineage behind it: a lost executor costs the re-read of a
     file, not the recomputation of what led to it, and every later use sees the
-    same rows in the same files.
+    same rows in the same files. Shuffles that only led to it may go.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    _release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
