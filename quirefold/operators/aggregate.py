@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirefold.functions import rotated
+
 #: Limits of a trustworthy split of a population in two.
 SEPARABLE, LEAST_SHARE, MOST_SHARE, LEAST_INK = 0.88, 0.004, 0.72, 40
 
@@ -254,6 +256,38 @@ def paint(boxes: DataFrame, page: str, cell: int, over: float = 0.35) -> DataFra
     return best.where(F.col("score") > over)
 
 
+def paint_rotated(boxes: DataFrame, page: str, points: str, over: float = 0.35, frac: float = 0.03, low: int = 2, high: int = 12) -> DataFrame:
+    """A18 for boxes at any angle: ``page, y, x1, x2, score``, runs of cells with one greatest score of the boxes over them, above ``over``.
+
+    Corners (a convex quadrilateral, in order) are rounded half to even; a box grows by ``frac`` of
+    the short side of its least rectangle, rounded, from ``low`` to ``high`` cells. A row of a grown
+    box is one run of cells, those within that distance of it, clipped at the page where ``width`` and
+    ``height`` are columns. Runs are cut at each other's ends and meet only in their row.
+    """
+    whole = F.transform(points, lambda p: F.struct(F.bround(p["x"].cast("double"), 0).alias("x"), F.bround(p["y"].cast("double"), 0).alias("y")))
+    side = F.coalesce(rotated.least_rectangle(F.col(points))["short"], F.lit(0.0))
+    grow = F.bround(F.least(F.greatest(F.round(side * frac, 9), F.lit(float(low))), F.lit(float(high))), 0)
+    sized = [c for c in ("width", "height") if c in boxes.columns]
+    rows = boxes.where(F.col("score") > over).select(page, "score", *sized, whole.alias("__p"), grow.alias("__grow"))
+    ys = F.transform("__p", lambda p: p["y"])
+    top, bottom = F.ceil(F.array_min(ys) - F.col("__grow")).cast("int"), F.floor(F.array_max(ys) + F.col("__grow")).cast("int")
+    rows = rows.withColumn("y", F.explode(F.sequence(top, bottom)))
+    rows = rows.withColumn("__r", rotated.covered_in_row(F.col("__p"), F.col("y").cast("double"), F.col("__grow"))).where("__r IS NOT NULL")
+    x1, x2 = F.col("__r.x1"), F.col("__r.x2")
+    if "width" in sized:
+        x1, x2 = F.greatest(x1, F.lit(0)), F.least(x2, F.col("width") - 1)
+    if "height" in sized:
+        rows = rows.where((F.col("y") >= 0) & (F.col("y") < F.col("height")))
+    runs = rows.select(page, "y", x1.cast("int").alias("x1"), x2.cast("int").alias("x2"), "score").where("x1 <= x2")
+    # between two successive ends of a row every cell has the same boxes over it
+    ends = runs.select(page, "y", F.explode(F.array("x1", F.col("x2") + 1)).alias("at")).distinct()
+    until = F.lead("at").over(Window.partitionBy(page, "y").orderBy("at"))
+    pieces = ends.withColumn("until", until).where("until IS NOT NULL")
+    met = pieces.hint("merge").join(runs, [page, "y"]).where("x1 <= at AND until - 1 <= x2")
+    best = met.groupBy(page, "y", "at", "until").agg(F.max("score").alias("score"))
+    return best.select(page, "y", F.col("at").alias("x1"), (F.col("until") - 1).alias("x2"), "score")
+
+
 def tile_grid(pages: DataFrame, page: str, tile: int, overlap: int) -> DataFrame:
     """Tiles of a page: starts 0, step, ... below max(side - overlap, 1), the last drawn back to fit."""
     step = tile - overlap

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.functions import text
+from quirefold.functions import rotated, text
 
 #: Language codes taken as they are, and names and short forms of others.
 CODES = (
@@ -125,6 +125,34 @@ def accept_pieces(df: DataFrame, region: str, piece: str, area: str) -> DataFram
     return ranked.where("__n >= 2").select(region, piece, area, "rank")
 
 
+def boxes_from_contours(
+    contours: DataFrame, page: str, contour: str, points: str, score: str, ratio: float = 1.5, width: Column | int | None = None,
+    height: Column | int | None = None, scale_x: Column | float = 1.0, scale_y: Column | float = 1.0, most: int = 1000, least: float = 3.0, good: float = 0.6,
+) -> DataFrame:
+    """G7 from the contour: ``page, contour, score, short, grow, box`` of candidates that are boxes.
+
+    Of a page's first ``most`` contours those whose least rectangle has a short side of ``least``
+    or more and whose score is ``good`` or more are kept. Each side moves out by area x ``ratio`` /
+    perimeter; the short side must be ``least`` + 2 then. Corners (upper left first, clockwise) are
+    scaled, rounded half to even and clipped to the page. Contours without area are no candidates
+    but count among the first.
+    """
+    side = lambda v: F.lit(v) if not isinstance(v, Column) else v
+    nth = F.row_number().over(Window.partitionBy(page).orderBy(contour))
+    rows = contours.withColumn("__nth", nth).where((F.col("__nth") <= most) & (F.col(score) >= good))
+    rows = rows.withColumn("__r", rotated.least_rectangle(F.col(points))).where(F.col("__r")["short"] >= least)
+    r = F.col("__r")
+    rows = rows.withColumn("grow", r["short"] * r["long"] * ratio / (2 * (r["short"] + r["long"])))
+    rows = rows.withColumn("short", r["short"] + 2 * F.col("grow")).where(F.round(F.col("short"), 9) >= least + 2)
+
+    def placed(v: Column, scale, limit) -> Column:
+        whole = F.greatest(F.lit(0), F.bround(F.round(v * side(scale), 9), 0).cast("int"))
+        return whole if limit is None else F.least(whole, side(limit).cast("int"))
+
+    box = F.transform(rotated.grown_corners(r, F.col("grow")), lambda p: F.struct(placed(p["x"], scale_x, width).alias("x"), placed(p["y"], scale_y, height).alias("y")))
+    return rows.select(page, contour, score, "short", "grow", box.alias("box"))
+
+
 def filter_candidates(df: DataFrame, page: str, box: str, grow: float, width: int, height: int, score: str = "score") -> DataFrame:
     """Of the first 1000 candidates of a page those with a short side of 3 or more, a
     score of 0.6 or more, and a short side of 5 or more when grown; corners rounded

@@ -272,6 +272,29 @@ def a18(spark, d):
     return A.paint(read(spark, d, "orders").selectExpr(*_SCORED), "page", 32)
 
 
+# Diamonds about a centre of each part's own, on pages of 20 parts.
+_DIAMOND = ["p_partkey div 20 AS page", "30 + p_partkey * 37 % 150 AS cx", "25 + p_partkey * 53 % 90 AS cy", "5 + p_size % 40 AS a", "4 + p_partkey % 23 AS b", "(p_partkey % 10) / 10.0D AS score"]
+
+
+@query(
+    "a18_paint_rotated",
+    """WITH d AS (SELECT p_partkey // 20 AS page, 30 + p_partkey * 37 % 150 AS cx, 25 + p_partkey * 53 % 90 AS cy, 5 + p_size % 40 AS a, 4 + p_partkey % 23 AS b, (p_partkey % 10) / 10.0 AS score FROM part),
+    p AS (SELECT *, round_even(least(greatest(round(0.03 * 2 * a * b / sqrt(a * a + b * b), 9), 2), 12), 0) AS pad FROM d WHERE score > 0.35),
+    c AS (SELECT page, x, y, score, a, b, pad, abs(x - cx) AS u, abs(y - cy) AS v FROM p, range(200) xs(x), range(140) ys(y) WHERE abs(x - cx) <= a + 12 AND abs(y - cy) <= b + 12),
+    t AS (SELECT *, greatest(0, least(1, ((u - a) * -a + v * b) / (a * a + b * b))) AS t FROM c),
+    k AS (SELECT page, y, x, max(score) AS score FROM t WHERE b * u + a * v <= a * b OR sqrt(pow(u - a * (1 - t), 2) + pow(v - b * t, 2)) <= pad + 1e-9 GROUP BY page, y, x)
+    SELECT page, y, count(*) AS cells, sum(x) AS xs, round(sum(score), 6) AS scores FROM k GROUP BY page, y""",
+)
+def a18_rotated(spark, d):
+    p = read(spark, d, "part").selectExpr(*_DIAMOND, "200 AS width", "140 AS height")
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    cx, cy, a, b = (F.col(c) for c in ("cx", "cy", "a", "b"))
+    p = p.withColumn("corners", F.array(point(cx, cy - b), point(cx + a, cy), point(cx, cy + b), point(cx - a, cy)))
+    n = F.col("x2") - F.col("x1") + 1
+    r = A.paint_rotated(p, "page", "corners")
+    return r.groupBy("page", "y").agg(F.sum(n).alias("cells"), F.sum(F.expr("(x1 + x2) * (x2 - x1 + 1) div 2")).alias("xs"), F.round(F.sum(n * F.col("score")), 6).alias("scores"))
+
+
 _DIMS = ["p_partkey", "CAST(600 + p_size * 10 AS INT) AS width", "CAST(400 + (p_partkey % 7) * 150 AS INT) AS height"]
 _DIMS_SQL = "SELECT p_partkey, (600 + p_size * 10)::INT AS width, (400 + (p_partkey % 7) * 150)::INT AS height FROM part"
 

@@ -283,6 +283,25 @@ def g7(spark, d):
     return clean.filter_candidates(b, "page", "box_id", grow=1.5, width=900, height=1300).select("page", "box_id", "x1", "y1")
 
 
+_CONTOUR = ["o_orderkey AS id", "o_orderkey div 64 AS page", "o_custkey * 7 % 900 AS x", "o_orderkey * 13 % 1300 AS y", "1 + o_custkey % 60 AS w", "1 + o_orderkey % 40 AS h", "(o_orderkey % 10) / 10.0D AS score"]
+
+
+@query(
+    "g7_contour_boxes",
+    """WITH c AS (SELECT o_orderkey AS id, o_orderkey // 64 AS page, o_custkey * 7 % 900 AS x, o_orderkey * 13 % 1300 AS y, 1 + o_custkey % 60 AS w, 1 + o_orderkey % 40 AS h, (o_orderkey % 10) / 10.0 AS score FROM orders),
+    g AS (SELECT *, w * h * 1.5::DOUBLE / (2 * (w + h)) AS g FROM c WHERE score >= 0.6 AND least(w, h) >= 3)
+    SELECT page, id, greatest(0, least(950, round_even(round(x - g, 9), 0)::INT)) AS x1, greatest(0, least(1300, round_even(round(y - g, 9), 0)::INT)) AS y1, greatest(0, least(950, round_even(round(x + w + g, 9), 0)::INT)) AS x2, greatest(0, least(1300, round_even(round(y + h + g, 9), 0)::INT)) AS y2, round(g, 6) AS grow
+    FROM g WHERE round(least(w, h) + 2 * g, 9) >= 5""",
+)
+def g7_contour(spark, d):
+    c = read(spark, d, "orders").selectExpr(*_CONTOUR)
+    at = lambda x, y: f"struct(CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y)"
+    points = F.expr(f"array({at('x + w', 'y + h')}, {at('x', 'y')}, {at('x + w / 2', 'y')}, {at('x + w', 'y')}, {at('x + w / 3', 'y + h / 2')}, {at('x', 'y + h')})")
+    b = clean.boxes_from_contours(c.withColumn("points", points), "page", "id", "points", "score", width=950, height=1300)
+    corner = F.col("box")
+    return b.select("page", "id", corner[0]["x"].alias("x1"), corner[0]["y"].alias("y1"), corner[2]["x"].alias("x2"), corner[2]["y"].alias("y2"), F.round("grow", 6).alias("grow"))
+
+
 @query(
     "g8_place_blocks",
     f"""WITH p AS (SELECT box_id, CASE box_id % 3 WHEN 0 THEN x WHEN 1 THEN x + 120 - (60 + w) ELSE x + (120 - (60 + w)) / 2 END AS lft, 60 + w AS bw FROM ({_BOX_SQL}))
