@@ -36,8 +36,8 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, role: Column, chunk_tok
     """Chunks of documents: ``chunk, role, ids, lengths, words, tokens``.
 
     ``words`` has the XXH64 hashes (seed 13) of a chunk's distinct tokens in order of first
-    use, ``tokens`` their places in it (unsigned 32-bit), documents one after another, each
-    ended by one end token. A chunk holds documents of one role, in one task.
+    use, ``tokens`` their places in it (unsigned 32-bit, under Zstandard), documents one after
+    another, each ended by one end token. A chunk holds documents of one role, in one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +53,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, role: Column, chunk_tok
             c, open_chunks[r] = open_chunks[r], blank()
             made += 1
             words = np.fromiter((digest(w, 13) if isinstance(w, bytes) else i for i, w in enumerate(c["seen"])), dtype="<u8", count=len(c["seen"]))
-            values = [made, r, c["ids"], c["lengths"], words.tobytes(), b"".join(c["tokens"])]
+            values = [made, r, c["ids"], c["lengths"], words.tobytes(), pa.compress(b"".join(c["tokens"]), codec="zstd", asbytes=True)]
             kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             names = ["chunk", "role", "ids", "lengths", "words", "tokens"]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
@@ -81,7 +81,8 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, role: Column, chunk_tok
 
 def _grams(words: bytes, tokens: bytes, lengths: list[int], order: int) -> list[np.ndarray]:
     """Hashes of the n-gram that ends at each token, for n from 1 to ``order``; texts are begun by start marks."""
-    word, number = np.frombuffer(words, dtype="<u8"), np.frombuffer(tokens, dtype="<u4")
+    plain = pa.decompress(tokens, decompressed_size=4 * int(sum(lengths)), codec="zstd")
+    word, number = np.frombuffer(words, dtype="<u8"), np.frombuffer(plain, dtype="<u4")
     ends = np.cumsum(np.asarray(lengths, dtype=np.int64))
     out = [word[number]]
     firsts = ends - np.asarray(lengths, dtype=np.int64)
@@ -245,8 +246,9 @@ def score(
     ship_package(spark)
     role = F.when(F.coalesce(learn, F.lit(False)), F.when(F.coalesce(delete, F.lit(False)), DELETED).otherwise(KEPT)).otherwise(OTHER)
     chunks = materialise(chunked(docs, id_col, text_col, role, chunk_tokens), "lm-chunks")
+    n_tokens = F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda n, x: n + x))
     sizes = chunks.select(
-        F.sum(F.octet_length("words") / 8).alias("words"), F.sum(F.octet_length("tokens") / 4).alias("tokens"),
+        F.sum(F.octet_length("words") / 8).alias("words"), n_tokens.alias("tokens"),
         F.sum(F.when(F.col("role") == KEPT, F.size("ids")).otherwise(0)).alias("kept"),
         F.sum(F.when(F.col("role") != OTHER, F.size("ids")).otherwise(0)).alias("learnt"),
     ).first()
@@ -257,7 +259,7 @@ def score(
     totals = counted.where("n = 1").agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
     v, total = int(totals["v"] or 0), int(totals["n"] or 0)
     deleted = chunks.where(F.col("role") == DELETED)
-    kept_total = total - int(deleted.agg(F.sum(F.octet_length("tokens") / 4)).first()[0] or 0)
+    kept_total = total - int(deleted.agg(n_tokens).first()[0] or 0)
     kept_starts, starts = int(sizes["kept"] or 0), int(sizes["learnt"] or 0)
     floor = 1.0 / (v + 1)
 
