@@ -86,8 +86,9 @@ def near_duplicates(
     def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.stack(batch.to_list()) if len(batch) else np.zeros((0, width))
+            given, x = x, x / np.abs(x).max(axis=1, initial=0.0)[:, None]
             sig = ((x @ normal > 0).reshape(len(x), tables, bits) * powers).sum(axis=2).astype("<i4")
-            yield pd.DataFrame({"sig": sig.tolist(), "signs": [r.tobytes() for r in sig], "body": [r.tobytes() for r in x.astype(kind)]})
+            yield pd.DataFrame({"sig": sig.tolist(), "signs": [r.tobytes() for r in sig], "body": [r.tobytes() for r in given.astype(kind)]})
 
     hashed = materialise(classes.select("rep", "n", hashes("v").alias("h")).select("rep", "n", "h.*"), "vector-hashes")
     posted = hashed.select("rep", "n", "body", "signs", F.posexplode("sig").alias("t", "s"))
@@ -106,6 +107,7 @@ def near_duplicates(
         group = group.sort_by([("rep", "ascending"), ("body", "ascending")])
         rep, n = group["rep"].to_numpy(), group["n"].to_numpy()
         x = np.frombuffer(b"".join(group["body"].to_pylist()), dtype=kind).reshape(-1, width).astype(np.float64)
+        x /= np.abs(x).max(axis=1)[:, None]  # so that squares of very large and small components stay in range
         x /= np.linalg.norm(x, axis=1)[:, None]
         sig = np.frombuffer(b"".join(group["signs"].to_pylist()), dtype="<i4").reshape(-1, tables)
         close = x @ x.T >= threshold

@@ -429,3 +429,10 @@ def test_pipeline_on_given_tables(spark):
     out = corpus_pipeline.run(spark, SF)
     total = out.agg(F.sum("length"), F.max("sequence_id")).first()
     assert 0 <= (total[1] + 1) * 1024 - total[0] < 1024
+
+
+def test_embeddings_of_extreme_size(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 0.99e200]), (3, [1e-200, 1e-200]), (4, [0.9, 0.1]), (5, [1e300, -1e300]), (6, [5e-310, -5e-310])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5)}
