@@ -150,6 +150,52 @@ SENTENCES: dict[str, str] = {
     "confidential": "proprietary and confidential",
 }
 
+#: Licence and the names by which a line or a notice calls it, in their normal form. The first
+#: number is the version.
+NAMES: list[tuple[str, list[str]]] = [
+    ("MIT", ["mit license", "mit licence", "mit"]),
+    ("Apache-2.0", ["apache license version 2.0", "apache license 2.0", "apache license v2.0", "apache 2.0 license", "apache 2.0", "apache v2"]),
+    ("LGPL", ["gnu lesser general public license version #", "gnu lesser general public license v#", "gnu lgpl v#", "gnu lgplv#", "lgpl v#", "lgplv#", "lgpl version #", "lgpl #"]),
+    ("AGPL", ["gnu affero general public license version #", "gnu affero general public license v#", "gnu agpl v#", "gnu agplv#", "agpl v#", "agplv#", "agpl version #", "agpl #"]),
+    ("GPL", ["gnu general public license version #", "gnu general public license v#", "gnu gpl v#", "gnu gplv#", "gnu gpl version #", "gpl v#", "gplv#", "gpl version #", "gpl #"]),
+    ("BSD-3-Clause", ["bsd 3 clause license", "bsd 3 clause", "3 clause bsd license", "3 clause bsd", "new bsd license", "modified bsd license"]),
+    ("BSD-2-Clause", ["bsd 2 clause license", "bsd 2 clause", "2 clause bsd license", "2 clause bsd", "simplified bsd license"]),
+    ("MPL", ["mozilla public license version #", "mozilla public license v#", "mozilla public license #", "mpl #"]),
+    ("EPL", ["eclipse public license version #", "eclipse public license v #", "eclipse public license v#", "eclipse public license #", "epl #"]),
+    ("ISC", ["isc license", "isc"]),
+    ("CC0-1.0", ["cc0 1.0", "cc0 1.0 universal"]),
+    ("Unlicense", ["unlicense"]),
+]
+#: Names that say little without "license" before them or a verb of granting.
+_BARE = {"mit", "isc", "apache 2.0", "apache v2", "unlicense"}
+#: How a notice says it: subject words may stand before.
+_GRANTED = ["licensed", "released", "distributed", "available", "published", "provided"]
+
+
+def _named() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...], float]]]:
+    """Sentences and rules for each name: granted by a verb, after "license", and alone on a line or with a head's rest."""
+    known: dict[str, str] = {}
+    rules = []
+    for licence, names in NAMES:
+        for name in names:
+            plain = name.replace(" ", "_").replace("#", "n").replace(".", "_")
+            own = {}
+            for verb in _GRANTED:
+                for article in ("the ", ""):
+                    own[f"{verb}_{article.strip()}{plain}"] = f"{verb} under {article}{name} *"
+                    own[f"is_{verb}_{article.strip()}{plain}"] = f"* is {verb} under {article}{name} *"
+            own[f"line_{plain}"] = f"license {name} ~"
+            if name not in _BARE:
+                own[f"title_{plain}"] = f"{name} ~"
+                own[f"the_{plain}"] = f"the {name} ~"
+            if "version #" in name or name == "apache license version 2.0":
+                own[f"head_{plain}"] = f"{name} *"
+            for k, v in own.items():
+                known[f"named_{k}"] = v
+                rules.append((licence, (f"named_{k}",), 0.7 if k.startswith(("title_", "the_")) else 0.9))
+    return known, rules
+
+
 #: What a naming sentence may add to the name, mostly in brackets.
 TAILS = [
     "the license",
@@ -175,6 +221,25 @@ TAILS = [
 #: Licence, the sentence identifiers that prove it in this order, and how sure that is.
 #: Licence ``*`` is the one that an identifier line names.
 RULES: list[tuple[str, tuple[str, ...], float]] = [
+    ("MIT", ("mit_grant", "mit_notice", "as_is_software", "mit_liable"), 1.0),
+    ("GPL", ("named_head_gnu_general_public_license_version_n", "verbatim"), 1.0),
+    ("LGPL", ("named_head_gnu_lesser_general_public_license_version_n", "verbatim"), 1.0),
+    ("AGPL", ("named_head_gnu_affero_general_public_license_version_n", "verbatim"), 1.0),
+    ("Apache-2.0", ("named_head_apache_license_version_2_0", "apache_terms"), 1.0),
+    ("Apache-2.0", ("apache_asf", "apache_asf_licenses", "apache_comply", "apache_obtain", "apache_unless", "apache_see"), 1.0),
+    ("Apache-2.0", ("apache_named", "apache_comply", "apache_obtain", "apache_unless", "apache_see"), 1.0),
+    ("GPL", ("gpl_later", "hope", "gpl_details", "gpl_received"), 1.0),
+    ("GPL", ("gpl_only", "hope", "gpl_details", "gpl_received"), 1.0),
+    ("LGPL", ("lgpl_later", "hope", "lgpl_details", "lgpl_received"), 1.0),
+    ("LGPL", ("library_later", "hope", "library_details", "library_received"), 1.0),
+    ("AGPL", ("agpl_later", "hope", "agpl_details", "agpl_received"), 1.0),
+    ("BSD-4-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_advertising", "bsd_names", "bsd_as_is", "bsd_liable"), 1.0),
+    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_names", "bsd_as_is", "bsd_liable"), 1.0),
+    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_names", "bsd_as_is_other", "bsd_liable"), 1.0),
+    ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_as_is", "bsd_liable"), 1.0),
+    ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_as_is_other", "bsd_liable"), 1.0),
+    ("CDDL", ("cddl_contents", "cddl_comply"), 1.0),
+    ("MPL", ("mpl_contents", "apache_comply", "mpl_basis"), 1.0),
     ("MIT", ("mit_grant", "mit_notice", "as_is_software"), 1.0),
     ("NCSA", ("ncsa_grant", "ncsa_source", "bsd_binary", "bsd_names"), 1.0),
     ("Apache-2.0", ("apache_asf", "apache_asf_licenses", "apache_comply", "apache_obtain", "apache_unless"), 1.0),
@@ -290,6 +355,7 @@ RULES: list[tuple[str, tuple[str, ...], float]] = [
     ("proprietary", ("reserved",), 0.5),
 ]
 
+
 #: A span ends at a line's end, or at a stop before white space; a stop inside a number stays.
 _ENDS = re.compile(r"[.!?;:]+(?=\s|$)|\n+")
 _OTHER = re.compile(r"(?:(?!(?<=[0-9])\.[0-9])[^a-z0-9])+")
@@ -299,7 +365,7 @@ _TAG = re.compile(r"(?i:identifier):\s*([A-Za-z0-9.+-]+(?:[ \t]+(?:OR|AND|WITH)[
 #: Parts of words one of which is in every known sentence; texts without hold none.
 _CUES = (
     "licen", "permi", "warrant", "redistribut", "copyright", "rights", "condition", "spdx", "endorse", "software", "eupl",
-    "domain", "gpl", "cc0", "confidential", "notice", "prohibit", "liable",
+    "domain", "gpl", "cc0", "bsd", "apache", "confidential", "notice", "prohibit", "liable",
 )
 
 
@@ -308,6 +374,14 @@ def _cued(text: str) -> bool:
     return any(c in low for c in _CUES) or ("mpl" in low and "obtain one" in low)
 
 
+#: Sentences and rules by name; the same words of the fixed list count before them, and what no part of a
+#: word above gives away ("released under MIT") is left out.
+_MORE_SENTENCES, _MORE_RULES = _named()
+_MORE_SENTENCES = {k: v for k, v in _MORE_SENTENCES.items() if v not in set(SENTENCES.values()) and _cued(v)}
+SENTENCES |= _MORE_SENTENCES
+RULES += [r for r in _MORE_RULES if r[1][0] in _MORE_SENTENCES]
+
+
 def normalise(sentence: str) -> str:
     """Lower case, everything else than letters, digits and points inside numbers as one space.
     Comment marks at a line's begin go with that."""
@@ -324,12 +398,17 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
         yield at, len(text)
 
 
+#: Characters that may stand between two parts of one sentence.
+_GAP = 600
+
+
 def _pattern(known: str) -> re.Pattern[str]:
     """A known sentence over a text's normal form, in which each line is a span of ``sentences``.
 
     Its words may run over any number of lines; it begins with a line and ends with one.
     A ``*`` at the end takes the rest of its line, at the begin what the line has before;
-    one inside reaches on until the sentence begins anew. The first number is group 1.
+    one inside reaches on until the sentence begins anew, over a paragraph's length (``_GAP``
+    characters) at most. The first number is group 1.
     """
 
     def words(part: str) -> str:
@@ -342,26 +421,47 @@ def _pattern(known: str) -> re.Pattern[str]:
         if not part.strip():
             out += r"(?: [^\n]*)?"
         else:
-            out += rf"(?:{anew}[\s\S])*?{'[ \n]' if out else '\\b'}{words(part)}"
+            out += rf"(?:{anew}[\s\S]){{0,{_GAP}}}?{'[ \n]' if out else '\\b'}{words(part)}"
     out = out.replace(f"(?:{_NUMBER})", f"({_NUMBER})", 1)
     if tail:
         out += rf"(?:[ \n](?:{'|'.join(map(words, TAILS))}))?"
     return re.compile(out + r"$", re.M)
 
 
+def _plain_words(known: str) -> list[str]:
+    """The words of a known sentence that stand as they are, up to the first that may vary."""
+    out = []
+    for w in known.lstrip("* ").split():
+        if w in ("*", "~") or "#" in w:
+            break
+        out.append(w)
+    return out
+
+
 class _Book:
     def __init__(self, known: dict[str, str], rules: list[tuple[str, tuple[str, ...], float]]) -> None:
-        self.starts: dict[str, list[tuple[bool, str, re.Pattern[str]]]] = {}
+        #: By a sentence's first two words; by the first alone where the second may vary.
+        self.starts: dict[tuple[str, str], list[tuple[bool, str, re.Pattern[str]]]] = {}
         self.inner: dict[tuple[str, str], list[tuple[bool, str, re.Pattern[str]]]] = {}
         for k, v in known.items():
             if v.strip():
                 entry = ("*" in v.lstrip("*"), k, _pattern(v))
                 first = v.split("*")[0].split()
-                if first:
-                    self.starts.setdefault(first[0], []).append(entry)
+                if first and first[0] != "~":
+                    one, two = (*_plain_words(v), "", "")[:2]
+                    self.starts.setdefault((one or first[0], two), []).append(entry)
                 else:  # begins inside a line: known by its first two words
                     one, two = (*v.lstrip("* ").split(), "")[:2]
                     self.inner.setdefault((one, two), []).append(entry)
+        # a text is looked into for an inner sentence only if it has the words that all of its group begin with
+        common: dict[tuple[str, str], list[str]] = {}
+        for v in known.values():
+            if v.lstrip().startswith("*") and (words := _plain_words(v)):
+                key = (words[0], (*words, "")[1])
+                old = common.get(key, words)
+                same = next((i for i, (a, b) in enumerate(zip(old, words, strict=False)) if a != b), min(len(old), len(words)))
+                common[key] = old[:same]
+        self.before = {k: re.compile(r"\b" + r"[ \n]".join(map(re.escape, w)) + r"\b") for k, w in common.items()}
         self.cued = all(map(_cued, known.values()))
         self.rules = rules
 
@@ -383,12 +483,14 @@ class _Book:
                 spans.append((a, b))
                 lines.append(plain)
         whole = "\n".join(lines)
+        inner = [(k, self.inner[k]) for k in self.inner if k not in self.before or self.before[k].search(whole)]
         ends = [at - 1 for at in accumulate(len(x) + 1 for x in lines)]
         at, last = 0, -1
         for (a, _), plain in zip(spans, lines, strict=True):
             best = None
-            tried = list(self.starts.get(plain.split(" ", 1)[0], ()))
-            for (one, two), entries in self.inner.items():
+            one, two = (*whole[at : at + 60].split(None, 2), "", "")[:2]
+            tried = [*self.starts.get((one, two), ()), *self.starts.get((one, ""), ())]
+            for (one, two), entries in inner:
                 if f"{one} {two}" in plain or plain.endswith(one):
                     tried += entries
             for loose, name, pattern in tried:
@@ -437,6 +539,8 @@ class _Book:
                 name, version = (version or "unknown", None) if licence == "*" else (licence, version)
                 out.append((name, score, found[picked[0]][1], found[picked[-1]][2], version))
                 start = picked[0] + 1
+        if any(x[0] != "proprietary" for x in out):  # rights that are reserved beside a licence are the notice's
+            out = [x for x in out if x[0] != "proprietary" or x[1] > 0.5]
         return sorted(out, key=lambda x: (x[2], x[3], x[0]))
 
 
@@ -445,7 +549,7 @@ def licence_matches(col: Column, known: dict[str, str] | None = None, rules: lis
 
     Every sentence of the whole text is brought to its normal form and mapped to the
     identifier of a known one; the sequence of identifiers is matched against ordered
-    rules, longest first. Positions are in code points, end exclusive; the version is the
+    rules, longest first; that all rights are reserved counts only where no licence is found. Positions are in code points, end exclusive; the version is the
     number that the sentences name, null if they name none. Null and empty texts have none.
     """
     book = _Book(known or SENTENCES, rules or RULES)
