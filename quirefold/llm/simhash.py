@@ -301,8 +301,8 @@ def similar(
         return pd.Series([jaccard(p, q, words) for p, q in zip(x, y, strict=True)], dtype="float64")
 
     def texts_of(pairs: DataFrame, label: str) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        return materialise(texts.join(wanted.hint("merge"), "node", "left_semi"), label)
+        ends = [pairs.select(F.col(c).alias("node")).distinct() for c in ("src", "dst")]
+        return materialise(texts.join(ends[0].unionAll(ends[1]).hint("merge"), "node", "left_semi"), label)
 
     def verified(pairs: DataFrame, needed: DataFrame, label: str) -> DataFrame:
         one = needed.select(F.col("node").alias("src"), F.col("text").alias("ta"))
@@ -315,8 +315,8 @@ def similar(
         return rows.hint("merge").join(own, node, "left").withColumn(out, F.coalesce("__c", node)).drop("__c")
 
     near = near_of(pairs, "similar-candidates")
-    both = near.select("src", "dst", "lists", F.explode(F.array("src", "dst")).alias("node"))
-    best = both.groupBy("node").agg(F.max(F.struct("lists", "src", "dst")).alias("b")).select("b.src", "b.dst").distinct()
+    ends = [near.groupBy(F.col(c).alias("node")).agg(F.max(F.struct("lists", "src", "dst")).alias("b")) for c in ("src", "dst")]
+    best = ends[0].unionAll(ends[1]).groupBy("node").agg(F.max("b").alias("b")).select("b.src", "b.dst").distinct()
     needed = texts_of(near, "similar-texts")
     edges = verified(best, needed, "similar-first")
     found = connected_components(edges)
