@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Seconds between two releases of what finished jobs hold.
-RELEASE_S = 5.0
+RELEASE_S = 2.0
 _RELEASED = {"at": 0.0}
 
 
@@ -61,6 +61,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
+    _release(spark)  # what led to earlier results, before the next job needs the room
     df.write.parquet(path)
     _release(spark)
     return spark.read.schema(schema).parquet(path)
