@@ -140,7 +140,9 @@ def boxes_from_contours(
     side = lambda v: F.lit(v) if not isinstance(v, Column) else v
     nth = F.row_number().over(Window.partitionBy(page).orderBy(contour))
     rows = contours.withColumn("__nth", nth).where((F.col("__nth") <= most) & (F.col(score) >= good))
-    rows = rows.withColumn("__r", rotated.least_rectangle(F.col(points))).where(F.col("__r")["short"] >= least)
+    # dealt to all tasks, and through explode, behind which no filter is moved: a rectangle is worked out once a contour
+    rows = rows.repartition(int(contours.sparkSession.conf.get("spark.sql.shuffle.partitions")), page, contour)
+    rows = rows.withColumn("__r", F.explode(F.array(rotated.least_rectangle(F.col(points))))).where(F.col("__r")["short"] >= least)
     r = F.col("__r")
     rows = rows.withColumn("grow", r["short"] * r["long"] * ratio / (2 * (r["short"] + r["long"])))
     rows = rows.withColumn("short", r["short"] + 2 * F.col("grow")).where(F.round(F.col("short"), 9) >= least + 2)

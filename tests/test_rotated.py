@@ -129,3 +129,13 @@ def test_painted_cells_against_a_test_of_each(spark):
                 if distance(x, y, whole) <= pad + 1e-9:
                     want[page, y, x] = max(score, want.get((page, y, x), 0))
     assert got == want and len(want) > 2000
+
+
+def test_painting_and_contours_work_each_rectangle_out_once_in_every_task(spark):
+    quad = [(10.0, 2.0), (30.0, 12.0), (10.0, 22.0), (-10.0, 12.0)]
+    one = spark.createDataFrame([(i // 8, i, quad, 0.9, 40, 30) for i in range(64)], f"page int, id int, p {POINTS}, score double, width int, height int").coalesce(1)
+    found = clean.boxes_from_contours(one, "page", "id", "p", "score")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 1 and "RepartitionByExpression" in plan
+    runs = aggregate.paint_rotated(one, "page", "p")
+    assert {(r["page"], r["y"], r["x1"], r["x2"]) for r in runs.where("y = 12").collect()} == {(p, 12, 0, 32) for p in range(8)}
