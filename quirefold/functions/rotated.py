@@ -93,32 +93,26 @@ def grown_corners(r: Column, by: Column) -> Column:
     return _let(corners, ordered)
 
 
-def covered_in_row(corners: Column, y: Column, grow: Column) -> Column:
-    """struct(``x1``, ``x2``): the whole x of row ``y`` within ``grow`` of a convex polygon, null where there are none.
+def outline(corners: Column, grow: Column) -> Column:
+    """An array of struct(``ax``, ``ay``, ``bx``, ``by``, ``r``): what bounds a convex polygon grown by ``grow``.
 
-    The grown polygon is convex, so a row has one run of it, from the least to the greatest x at
-    which the row meets the polygon's edges, the edges moved out by ``grow``, or the discs about its corners.
+    Each edge moved out to either side, a segment from a to b (``r`` null), and a disc of radius
+    ``r`` about each corner a.
     """
-    n = F.size(corners)
+    none = F.lit(None).cast("double")
 
-    def on_edge(p: Column, q: Column) -> Column:
-        """Where the row meets the segment from p to q; both ends of one that lies in the row."""
-        met = p["x"] + (y - p["y"]) / (q["y"] - p["y"]) * (q["x"] - p["x"])
-        inside = (y >= F.least(p["y"], q["y"])) & (y <= F.greatest(p["y"], q["y"]))
-        none = F.array().cast("array<double>")
-        return F.when(inside & (p["y"] == q["y"]), F.array(p["x"], q["x"])).when(inside, F.array(met)).otherwise(none)
+    def shape(ax, ay, bx, by, r) -> Column:
+        return F.struct(ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), r.alias("r"))
 
-    def around(i: Column) -> Column:
-        p, q = F.get(corners, i), F.get(corners, (i + 1) % n)
+    def around(p: Column, i: Column) -> Column:
+        def parts(e: Column) -> Column:
+            p, q, n = e["p"], e["q"], F.nullif(e["n"], F.lit(0.0))
+            ox, oy = grow * (q["y"] - p["y"]) / n, grow * (p["x"] - q["x"]) / n
+            moved = [shape(p["x"] + s * ox, p["y"] + s * oy, q["x"] + s * ox, q["y"] + s * oy, none) for s in (1, -1)]
+            return F.array(*moved, shape(p["x"], p["y"], none, none, grow))
+
+        q = F.get(corners, (i + 1) % F.size(corners))
         length = F.sqrt((q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"]))
-        ox, oy = grow * (q["y"] - p["y"]) / F.nullif(length, F.lit(0.0)), grow * (p["x"] - q["x"]) / F.nullif(length, F.lit(0.0))
-        moved = [on_edge(_point(p["x"] + s * ox, p["y"] + s * oy), _point(q["x"] + s * ox, q["y"] + s * oy)) for s in (1, -1)]
-        reach = F.sqrt(F.greatest(grow * grow - (y - p["y"]) * (y - p["y"]), F.lit(0.0)))
-        disc = F.when(F.abs(y - p["y"]) <= grow, F.array(p["x"] - reach, p["x"] + reach)).otherwise(F.array().cast("array<double>"))
-        empty = F.array().cast("array<double>")
-        return F.concat(on_edge(p, q), *(F.coalesce(m, empty) for m in moved), disc)
-
-    met = F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), around)))
-    low, high = F.ceil(F.round(F.array_min(met), 9)).cast("int"), F.floor(F.round(F.array_max(met), 9)).cast("int")
-    run = _let(F.struct(low.alias("x1"), high.alias("x2")), lambda s: F.when(s["x1"] <= s["x2"], s))
-    return run
+        return _let(F.struct(p.alias("p"), q.alias("q"), length.alias("n")), parts)
+
+    return F.flatten(F.transform(corners, around))

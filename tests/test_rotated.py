@@ -139,3 +139,13 @@ def test_painting_and_contours_work_each_rectangle_out_once_in_every_task(spark)
     assert plan.count("array_distinct") == 1 and "RepartitionByExpression" in plan
     runs = aggregate.paint_rotated(one, "page", "p")
     assert {(r["page"], r["y"], r["x1"], r["x2"]) for r in runs.where("y = 12").collect()} == {(p, 12, 0, 32) for p in range(8)}
+
+
+def test_outline_of_a_box_and_of_a_point(spark):
+    df = spark.createDataFrame([(1, [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)]), (2, [(5.0, 5.0)] * 4)], f"id int, p {POINTS}")
+    rows = df.select("id", F.inline(rotated.outline(F.col("p"), F.lit(2.0)))).collect()
+    assert len(rows) == 24 and sum(r["r"] == 2.0 for r in rows) == 8
+    box = {(r["ax"], r["ay"], r["bx"], r["by"]) for r in rows if r["id"] == 1 and r["r"] is None}
+    assert {(0.0, -2.0, 4.0, -2.0), (6.0, 0.0, 6.0, 3.0), (4.0, 5.0, 0.0, 5.0), (-2.0, 3.0, -2.0, 0.0)} <= box
+    painted = aggregate.paint_rotated(df.select(F.lit(1).alias("page"), "p", F.lit(0.9).alias("score")).where("p[0].x = 5"), "page", "p").collect()
+    assert sorted((r["y"], r["x1"], r["x2"]) for r in painted) == [(3, 5, 5), (4, 4, 6), (5, 3, 7), (6, 4, 6), (7, 5, 5)]
