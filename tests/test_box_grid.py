@@ -83,3 +83,26 @@ def test_accepted_pieces(spark):
     regions = spark.createDataFrame([(8, 1, square(10, 10, 30, 30)), (7, 1, square(20, 20, 40, 40)), (9, 2, square(0, 0, 48, 80))], f"source int, page int, points {point}")
     got = joins.accept_regions(pieces, sources, regions, "source", "piece", "page").collect()
     assert sorted(r["piece"] for r in got) == ["left", "own", "right"]
+
+
+def test_small_pages_meet_without_cells_and_large_ones_on_the_grid(spark, monkeypatch):
+    rnd = random.Random(11)
+    rows = []
+    for page, n in ((1, joins.FEW), (2, joins.FEW + 1), (3, 2)):
+        for i in range(n):
+            x, y = rnd.uniform(0, 600), rnd.uniform(0, 600)
+            rows.append((page, 1000 * page + i, x, y, x + rnd.choice([3, 40, 500]), y + rnd.choice([3, 40, 500])))
+    df = spark.createDataFrame(rows, "page int, id int, x1 double, y1 double, x2 double, y2 double")
+    want = {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] < b[4] and b[2] < a[4] and a[3] < b[5] and b[3] < a[5]}
+    labels, real = [], joins.materialise
+
+    def seen(made, label):
+        out = real(made, label)
+        labels.append((label, out))
+        return out
+
+    monkeypatch.setattr(joins, "materialise", seen)
+    got = [(r["page"], r["a"]["id"], r["b"]["id"]) for r in joins.overlaps(df, "page", "id").collect()]
+    assert set(got) == want and len(got) == len(want) and {p for p, _, _ in got} >= {1, 2}
+    [(_, boxes)] = [x for x in labels if x[0] == "pairs-boxes"]
+    assert boxes.count() == len(rows)
