@@ -166,11 +166,10 @@ _SPREAD = 0x9E3779B97F4A7C15
 PARTS = 4
 #: Byte positions of a long signature.
 PLACES = BYTES * PARTS
-#: Pairs of a list of so many members are all looked at; longer lists are split.
+#: Pairs of a list of so many members are all looked at; longer lists are compared in blocks.
 SHORT_LIST = 8
-#: Further positions that split a long list: two texts that differ in a seventh of their bits agree in
-#: one of them or more with a probability of 0.97.
-SPLITS = 12
+#: Members of a block of a longer list, of which a task compares two at a time.
+LIST_BLOCK = 512
 
 
 def list_width(texts: int) -> int:
@@ -238,12 +237,36 @@ def _pairs_of(members: DataFrame, by: list[str]) -> DataFrame:
     return a.hint("merge").join(b, by).where("src < dst AND ga <> gb").select("src", "dst")
 
 
-def _to_ends(members: DataFrame, by: list[str]) -> DataFrame:
-    """``src, dst`` of each member of a list with its least and its greatest node."""
-    ends = members.groupBy(*by).agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    met = members.join(ends.hint("merge"), by)
-    pairs = met.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
-    return pairs.select(F.least("node", "end").alias("src"), F.greatest("node", "end").alias("dst"))
+def _blocks_met(members: DataFrame, by: list[str], max_bits: int, block: int = LIST_BLOCK) -> DataFrame:
+    """``src, dst`` of all members of different groups in one list within ``max_bits``, for lists of any length.
+
+    ``members`` has ``node, group, sig``. A list is dealt into blocks of some ``block`` members by a hash;
+    each pair of its blocks meets in a task of its own that compares the signatures and gives only
+    pairs that are near, so a task holds two blocks and no pair is left out.
+    """
+    sizes = members.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("__blocks"))
+    dealt = members.hint("merge").join(sizes, by).withColumn("__own", F.pmod(F.xxhash64("node"), F.col("__blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__other")
+    sent = dealt.select(*by, "node", "group", "sig", "__own", other)
+    sent = sent.withColumns({"__low": F.least("__own", "__other"), "__high": F.greatest("__own", "__other")})
+
+    def near(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("node", kind="stable")
+        node, group = part["node"].to_numpy(), part["group"].to_numpy()
+        own, mixed = part["__own"].to_numpy(), part["__low"].iat[0] != part["__high"].iat[0]
+        sig = np.array(part["sig"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(part), -1)
+        src, dst = [], []
+        for i in range(len(part) - 1):
+            later = np.arange(i + 1, len(part))
+            later = later[(group[i + 1 :] != group[i]) & ((own[i + 1 :] != own[i]) | (not mixed))]
+            bits = np.bitwise_count(sig[later] ^ sig[i]).sum(axis=1, dtype=np.int64)
+            later = later[bits <= max_bits]
+            src.append(np.full(len(later), node[i]))
+            dst.append(node[later])
+        none = [np.empty(0, dtype=np.int64)]
+        return pd.DataFrame({"src": np.concatenate(src or none), "dst": np.concatenate(dst or none)})
+
+    return sent.groupBy(*by, "__low", "__high").applyInPandas(near, "src long, dst long")
 
 
 def similar(
@@ -260,10 +283,10 @@ def similar(
     a similarity of 0.8 the mean is 39), and of the rest each text is verified on the texts'
     shingles with the one it shares most lists with, then those pairs whose ends are not
     connected yet. What is left are lists of three or more whose members are not one group
-    by then: all pairs of different groups are looked at in lists of up to ``SHORT_LIST``,
-    and longer ones are split by ``SPLITS`` further positions first; a list that is long even
-    then sets its members against its ends. So candidates grow with the postings, never
-    with the square of a list, and no list is cut to its ends because unrelated texts fill it.
+    by then, of any length: all pairs of different groups are looked at, in lists of up to
+    ``SHORT_LIST`` by a join and in longer ones block by block (``_blocks_met``). No list is
+    cut to its ends. Lists that unrelated texts fill cost the square of their length in
+    comparisons of signatures, a task holds two blocks of one, and only near pairs become rows.
 
     Edges are exact, the search is not: a pair at 0.8 shares a list with a probability of
     about 0.9, one at 0.9 of over 0.99, and groups are linked through any of their pairs.
@@ -334,15 +357,8 @@ def similar(
     pairs = _pairs_of(members.where(F.col("n") <= SHORT_LIST), ["k"])
     long = members.where(F.col("n") > SHORT_LIST)
     if not long.isEmpty():
-        wide = long.hint("merge").join(prints.select("node", "sig"), "node")
-        split = wide.select("k", "node", "group", "sig", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("j"))
-        split = split.withColumn("at", F.pmod(F.col("k") + F.col("j") * 5 + 1, F.lit(PLACES)).cast("int"))
-        byte = F.expr(f"shiftrightunsigned(sig[at div {BYTES}], at % {BYTES} * 8) & 255")
-        split = materialise(split.select("k", "node", "group", "j", byte.alias("byte")), "similar-split")
-        by = ["k", "j", "byte"]
-        sizes = split.groupBy(*by).agg(F.count("*").alias("n"), F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 <> g2")
-        split = materialise(split.join(sizes.select(*by, "n").hint("merge"), by), "similar-parts")
-        pairs = pairs.unionAll(_pairs_of(split.where(F.col("n") <= SHORT_LIST), by)).unionAll(_to_ends(split.where(F.col("n") > SHORT_LIST), by))
+        wide = long.hint("merge").join(prints.select("node", "sig"), "node").select("k", "node", "group", "sig")
+        pairs = pairs.unionAll(materialise(_blocks_met(wide, ["k"], max_bits), "similar-long"))
     again = near_of(pairs.join(near.hint("merge"), ["src", "dst"], "left_anti"), "similar-again").select("src", "dst")
     if again.isEmpty():
         return edges

@@ -86,3 +86,20 @@ def test_two_texts_of_one_first_hash_both_stay(spark, monkeypatch):
     kept = simhash.keep_one_similar(docs).collect()
     monkeypatch.undo()
     assert sorted(r["doc_id"] for r in kept) == [1, 2]
+
+
+def test_a_long_list_gives_every_near_pair_of_different_groups(spark):
+    rnd = random.Random(5)
+    base = [rnd.getrandbits(64) for _ in range(4)]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    rows = []
+    for i in range(90):
+        sig = list(base)
+        for _ in range(rnd.randrange(0, 60)):
+            sig[rnd.randrange(4)] ^= 1 << rnd.randrange(64)
+        rows.append((1 + i % 2, i, i // 3, [signed(x) for x in sig]))
+    differ = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b, strict=True))
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2] and differ(a[3], b[3]) <= 40}
+    members = spark.createDataFrame(rows, "k long, node long, group long, sig array<long>")
+    got = [(r["src"], r["dst"]) for r in simhash._blocks_met(members, ["k"], 40, block=16).collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) > 100
