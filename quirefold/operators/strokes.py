@@ -16,50 +16,59 @@ PLATE_FLOOR = MIX_TOLERANCE = 18.0
 LEAST_RADIUS = 2.0
 #: Core pixels below which the ink is taken from the whole stroke.
 LEAST_CORE = 8
+#: Inked colours of a region up to which its pixels are told by the list of them, not by their distance once more.
+MOST_LISTED = 256
+#: Linear light of each whole sRGB value, so that pixels raise nothing to a power.
+_LINEAR = [c / 255 / 12.92 if c / 255 <= 0.04045 else ((c / 255 + 0.055) / 1.055) ** 2.4 for c in range(256)]
 
 
 def depth(cells: DataFrame, by: str, bounds: DataFrame) -> DataFrame:
-    """Each of ``cells`` (``by, x, y``, distinct) with ``depth``, its distance to the nearest cell that is not one.
+    """Each of ``cells`` (``by, x, y``) with ``depth``, its distance to the nearest place that has none.
 
-    ``bounds`` has ``by, x0, x1, y0, y1``, the cells that exist; what lies beyond is neither
+    ``bounds`` has ``by, x0, x1, y0, y1``, the places that exist; what lies beyond is neither
     near nor far. The exact Euclidean distance, in two separable passes: along its row a
     cell's distance to the ends of its run, then over the rows of its column, within its run
     there, the least of squared row distance and squared offset. A cell looks no further than
-    the nearer of its own two distances. ``depth`` is null where no other cell exists.
+    the nearer of its own two distances. ``depth`` is null where no other place exists.
+
+    A run is a row while its cells are measured, so nothing is joined and ``cells`` that are
+    partitioned by ``by`` are not shuffled. Cells at one place and other columns stay.
     """
-    named = cells.join(bounds.select(by, "x0", "x1", "y0", "y1").hint("merge"), by)
+    other = [c for c in cells.columns if c not in (by, "x", "y")]
     far = F.lit(None).cast("long")
 
-    def along(rows: DataFrame, this: str, other: str, out: str) -> DataFrame:
-        line = Window.partitionBy(by, other)
-        run = F.col(this) - F.row_number().over(line.orderBy(this))
-        rows = rows.withColumn("__run", run)
-        piece = Window.partitionBy(by, other, "__run")
-        first, last = F.min(this).over(piece), F.max(this).over(piece)
-        before = F.when(first > F.col(f"{this}0"), F.col(this) - first + 1).otherwise(far)
-        after = F.when(last < F.col(f"{this}1"), last - F.col(this) + 1).otherwise(far)
-        return rows.withColumn(out, F.least(before, after)).withColumn(f"{out}_from", first).withColumn(f"{out}_to", last).drop("__run")
-
-    rows = materialise(along(along(named, "x", "y", "h"), "y", "x", "v"), "depth-rows")
-    reach = F.least("h", "v", F.greatest(F.col("v_to") - F.col("y"), F.col("y") - F.col("v_from")) + 1) - 1
-    low = F.greatest(F.col("y") - reach, F.col("v_from"))
-    high = F.least(F.col("y") + reach, F.col("v_to"))
-    asked = rows.select(by, "x", "y", F.explode(F.sequence(low, high)).alias("at"))
-    there = rows.where("h IS NOT NULL").select(by, "x", F.col("y").alias("at"), F.col("h").alias("across"))
-    met = asked.hint("merge").join(there, [by, "x", "at"])
-    step = F.col("at") - F.col("y")
-    best = met.groupBy(by, "x", "y").agg(F.min(step * step + F.col("across") * F.col("across")).alias("d2"))
-    own = rows.select(by, "x", "y", F.least(F.col("h") * F.col("h"), F.col("v") * F.col("v")).alias("own"))
-    both = own.hint("merge").join(best, [by, "x", "y"], "left")
-    return both.select(by, "x", "y", F.sqrt(F.least("own", "d2")).alias("depth"))
+    def runs(rows: DataFrame, this: str, line: str, *held: Column) -> DataFrame:
+        run = F.col(this) - F.dense_rank().over(Window.partitionBy(by, line).orderBy(this))
+        return rows.withColumn("__run", run).groupBy(by, line, "__run").agg(F.min(this).alias("first"), F.max(this).alias("last"), *held)
+
+    def ends(at: Column, low: str, high: str) -> Column:
+        before = F.when(F.col("first") > F.col(low), at - F.col("first") + 1).otherwise(far)
+        return F.least(before, F.when(F.col("last") < F.col(high), F.col("last") - at + 1).otherwise(far))
+
+    rows = runs(cells, "x", "y", F.collect_list(F.struct("x", *other)).alias("__cells"))
+    rows = rows.join(bounds.select(by, "x0", "x1", "y0", "y1").hint("shuffle_hash"), by)
+    rows = rows.select(by, "y", "y0", "y1", F.transform("__cells", lambda c: F.struct(c.alias("cell"), ends(c["x"], "x0", "x1").alias("h"))).alias("__cells"))
+    rows = rows.select(by, "y", "y0", "y1", F.explode("__cells").alias("c")).select(by, "y", "y0", "y1", "c.cell.*", "c.h")
+    across = F.sort_array(F.collect_set(F.struct("y", "h")))
+    columns = runs(rows, "y", "x", F.min("y0").alias("y0"), F.max("y1").alias("y1"), across.alias("__across"), F.collect_list(F.struct("y", "h", *other)).alias("__cells"))
+    kept = columns.select(by, "x", "first", "last", "y0", "y1", F.transform("__across", lambda a: a["h"]).alias("__across"), F.inline("__cells"))
+    kept = kept.withColumn("v", ends(F.col("y"), "y0", "y1"))
+    reach = F.least("h", "v", F.greatest(F.col("last") - F.col("y"), F.col("y") - F.col("first")) + 1) - 1
+    kept = kept.withColumn("__low", F.greatest(F.col("y") - reach, F.col("first"))).withColumn("__high", F.least(F.col("y") + reach, F.col("last")))
+    seen = F.slice("__across", (F.col("__low") - F.col("first") + 1).cast("int"), (F.col("__high") - F.col("__low") + 1).cast("int"))
+    step = lambda i: F.col("__low") + i - F.col("y")
+    met = F.array_min(F.transform(seen, lambda h, i: step(i) * step(i) + h * h))
+    return kept.select(by, "x", "y", *other, F.sqrt(F.least(F.col("v") * F.col("v"), met).cast("double")).alias("depth"))
 
 
 def lab(r: Column, g: Column, b: Column) -> Column:
     """struct(l, a, b) of sRGB 0..255 (D65), each 0 to 255 and whole: lightness scaled, a and b moved by 128."""
+    known = F.split(F.lit(",".join(map(repr, _LINEAR))), ",").cast("array<double>")
 
     def linear(c: Column) -> Column:
-        c = c / 255.0
-        return F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
+        part = c / 255.0
+        other = F.when(part <= 0.04045, part / 12.92).otherwise(F.pow((part + 0.055) / 1.055, F.lit(2.4)))
+        return F.when((c == F.floor(c)) & c.between(0, 255), F.get(known, c.cast("int"))).otherwise(other)
 
     def f(t: Column) -> Column:
         return F.when(t > 216 / 24389, F.cbrt(t)).otherwise((t * 24389 / 27 + 16) / 116)
@@ -81,7 +90,8 @@ def _with_lab(rows: DataFrame, *colours: str) -> DataFrame:
 
 
 def _apart(p: Column, q: Column) -> Column:
-    return F.sqrt(F.pow(p["l"] - q["l"], 2) + F.pow(p["a"] - q["a"], 2) + F.pow(p["b"] - q["b"], 2))
+    square = lambda k: (p[k] - q[k]) * (p[k] - q[k])  # noqa: E731  F.pow takes many times as long
+    return F.sqrt(square("l") + square("a") + square("b"))
 
 
 def _off_segment(p: Column, a: Column, b: Column) -> Column:
@@ -98,9 +108,9 @@ def _off_segment(p: Column, a: Column, b: Column) -> Column:
     return F.get(F.transform(F.array(F.struct(minus(b, a).alias("span"), minus(p, a).alias("way"))), along), F.lit(0))
 
 
-def _median_colour(px: DataFrame, by: str) -> DataFrame:
-    mid = [F.bround(F.expr(f"percentile({c}, 0.5)"), 0).cast("int").alias(c) for c in "rgb"]
-    return px.groupBy(by).agg(F.struct(*mid).alias("colour"), F.count("*").alias("n"))
+def _median_colour(px: DataFrame, by: str, n: str) -> DataFrame:
+    mid = [F.bround(F.expr(f"percentile({c}, 0.5, {n})"), 0).cast("int").alias(c) for c in "rgb"]
+    return px.groupBy(by).agg(F.struct(*mid).alias("colour"), F.sum(n).alias("n"))
 
 
 def region_colours(px: DataFrame, by: str, zone: str = "zone") -> DataFrame:
@@ -119,42 +129,57 @@ def region_colours(px: DataFrame, by: str, zone: str = "zone") -> DataFrame:
 
     Regions are told apart by ``by`` alone; a null zone counts as rest; a region without pixels
     has no row. Pixels repeated at one place count as often in colours and once in depth.
+
+    Colours are counted first and all that does not ask where a pixel is goes by the counts;
+    pixels are read once more for the depths of the inked ones. ``px`` that is partitioned by
+    ``by`` is shuffled in neither pass.
     """
     one = px.select(by, "x", "y", "r", "g", "b", F.coalesce(F.col(zone), F.lit("rest")).alias("__zone"))
-    sizes = one.groupBy(by).agg(
-        F.count_if(F.col("__zone") == "zone").alias("in_zone"), F.count_if(F.col("__zone") == "ring").alias("in_ring"),
-        F.count_if(F.col("__zone") != "zone").alias("outside"),
+    hist = one.groupBy(by, "r", "g", "b").agg(
+        F.count_if(F.col("__zone") == "zone").alias("in_zone"), F.count_if(F.col("__zone") == "ring").alias("in_ring"), F.count("*").alias("all"),
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
     )
-    zoned = F.col("in_zone") >= LEAST_SAMPLE
-    source = F.when(zoned & (F.col("in_ring") >= LEAST_SAMPLE), "ring").when(zoned & (F.col("outside") >= LEAST_SAMPLE), "outside").otherwise("all")
+    hist = materialise(hist, "colours-hist")
+    sizes = hist.groupBy(by).agg(
+        F.sum("in_zone").alias("zones"), F.sum("in_ring").alias("rings"), F.sum(F.col("all") - F.col("in_zone")).alias("others"),
+        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"),
+    )
+    zoned = F.col("zones") >= LEAST_SAMPLE
+    source = F.when(zoned & (F.col("rings") >= LEAST_SAMPLE), "ring").when(zoned & (F.col("others") >= LEAST_SAMPLE), "outside").otherwise("all")
     sizes = materialise(sizes.withColumns({"__zoned": zoned, "__source": source}), "colours-sizes")
-    rows = one.join(sizes.select(by, "__zoned", "__source").hint("merge"), by)
-    seen = (F.col("__source") == "all") | ((F.col("__source") == "ring") & (F.col("__zone") == "ring"))
-    seen = seen | ((F.col("__source") == "outside") & (F.col("__zone") != "zone"))
-    plate = _with_lab(modal_colour(rows.where(seen), by).select(by, F.struct("r", "g", "b").alias("plate")), "plate")
+    rows = hist.drop("x0", "x1", "y0", "y1").join(sizes.select(by, "__zoned", "__source").hint("merge"), by)
+    seen = F.when(F.col("__source") == "ring", F.col("in_ring")).when(F.col("__source") == "outside", F.col("all") - F.col("in_zone")).otherwise(F.col("all"))
+    plate = modal_colour(rows.withColumn("__n", seen).where("__n > 0"), by, "__n")
+    plate = _with_lab(plate.select(by, F.struct("r", "g", "b").alias("plate")), "plate")
 
-    sample = rows.where(~F.col("__zoned") | (F.col("__zone") == "zone")).join(plate.hint("merge"), by)
+    sample = rows.withColumn("__n", F.when(F.col("__zoned"), F.col("in_zone")).otherwise(F.col("all"))).where("__n > 0")
     away = F.round(_apart(lab(F.col("r"), F.col("g"), F.col("b")), F.col("plate_lab")), 6)
-    sample = materialise(sample.select(by, "x", "y", "r", "g", "b", away.alias("__away")), "colours-sample")
-    split = otsu(sample.withColumn("__away", F.least("__away", F.lit(255.0))), by, "__away")
+    sample = sample.join(plate.hint("merge"), by).select(by, "r", "g", "b", "__n", "__zoned", "plate_lab", away.alias("__away"))
+    sample = materialise(sample, "colours-sample")
+    split = otsu(sample.withColumn("__away", F.least("__away", F.lit(255.0))), by, "__away", "__n")
     split = split.where((F.col("separability") >= SEPARABLE) & (F.col("n") >= LEAST_INK))
     cut = F.greatest(F.lit(PLATE_FLOOR), F.col("threshold").cast("double"))
-    inked = sample.join(split.select(by, cut.alias("__cut"), "n").hint("merge"), by).where("__away > __cut")
-    enough = inked.groupBy(by).agg(F.count("*").alias("ink"), F.max("n").alias("n"))
-    enough = enough.where((F.col("ink") >= LEAST_INK) & (F.col("ink") / F.col("n")).between(LEAST_SHARE, MOST_SHARE)).select(by)
-    body = materialise(inked.join(enough.hint("merge"), by, "left_semi").select(by, "x", "y", "r", "g", "b"), "colours-body")
-
-    deep = depth(body.select(by, "x", "y").distinct(), by, sizes)
-    deep = materialise(body.hint("merge").join(deep, [by, "x", "y"]), "colours-depth")
-    radius = deep.groupBy(by).agg(F.round(F.expr("percentile(depth, 0.9)"), 9).alias("radius"))
+    inked = materialise(sample.join(split.select(by, cut.alias("__cut"), "n").hint("merge"), by).where("__away > __cut"), "colours-inked")
+    packed = F.col("r") * 65536 + F.col("g") * 256 + F.col("b")
+    same = [F.first(c).alias(c) for c in ("__zoned", "plate_lab", "__cut")]
+    enough = inked.groupBy(by).agg(F.sum("__n").alias("ink"), F.max("n").alias("n"), *same, F.collect_list(packed).alias("listed"))
+    enough = enough.where((F.col("ink") >= LEAST_INK) & (F.col("ink") / F.col("n")).between(LEAST_SHARE, MOST_SHARE))
+    cuts = enough.select(by, "__zoned", "plate_lab", "__cut", F.when(F.size("listed") <= MOST_LISTED, F.col("listed")).alias("listed"))
+    cuts = materialise(cuts, "colours-cuts")
+    whole = _median_colour(inked.join(cuts.hint("merge"), by, "left_semi"), by, "__n").select(by, F.col("colour").alias("whole"))
+
+    body = one.join(cuts.hint("shuffle_hash"), by).where(~F.col("__zoned") | (F.col("__zone") == "zone"))
+    is_ink = F.when(F.col("listed").isNotNull(), F.array_contains("listed", packed)).otherwise(away > F.col("__cut"))
+    body = body.where(is_ink).select(by, "x", "y", "r", "g", "b")
+    deep = depth(body, by, sizes).groupBy(by, "r", "g", "b", "depth").agg(F.count("*").alias("__n"))
+    deep = materialise(deep, "colours-depth")
+    radius = deep.groupBy(by).agg(F.round(F.expr("percentile(depth, 0.9, __n)"), 9).alias("radius"))
     deep = deep.join(radius.hint("merge"), by)
     core = deep.where(F.round(F.col("depth"), 9) >= F.greatest(F.lit(1.0), F.round(0.6 * F.col("radius"), 9)))
-    core = _median_colour(core, by).where(F.col("n") >= LEAST_CORE).select(by, F.col("colour").alias("core"))
-    whole = _median_colour(body, by).select(by, F.col("colour").alias("whole"))
+    core = _median_colour(core, by, "__n").where(F.col("n") >= LEAST_CORE).select(by, F.col("colour").alias("core"))
     edge = deep.where((F.col("depth") <= 1.0) & (F.col("radius") >= LEAST_RADIUS))
-    edge = modal_colour(edge, by)
-    sized = deep.where((F.col("depth") <= 1.0) & (F.col("radius") >= LEAST_RADIUS)).groupBy(by).agg(F.count("*").alias("at_edge"))
+    sized = edge.groupBy(by).agg(F.sum("__n").alias("at_edge"))
+    edge = modal_colour(edge, by, "__n")
     edge = edge.join(sized.where(F.col("at_edge") >= LEAST_INK).hint("merge"), by).select(by, F.struct("r", "g", "b").alias("edge"))
     found = plate.join(whole.hint("merge"), by, "left").join(core.hint("merge"), by, "left").join(edge.hint("merge"), by, "left")
     found = _with_lab(found.select(by, "plate", "plate_lab", F.coalesce("core", "whole").alias("ink"), "edge"), "ink", "edge")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quirefold.operators import aggregate as A
 from quirefold.operators import strokes
-from quirefold.plans.registry import query, read
+from quirefold.plans.registry import dealt, query, read
 
 _PX = ["l_suppkey AS g_id", "CAST(l_partkey % 256 AS INT) AS r", "CAST((l_partkey * 3 + l_linenumber) % 256 AS INT) AS g", "CAST((CAST(l_quantity AS INT) * 5) % 256 AS INT) AS b", "l_linenumber"]
 _PX_SQL = "SELECT l_suppkey AS g_id, (l_partkey % 256)::INT AS r, ((l_partkey * 3 + l_linenumber) % 256)::INT AS g, ((l_quantity::INT * 5) % 256)::INT AS b, l_linenumber FROM lineitem"
@@ -105,7 +105,7 @@ _MEDIANS = ", ".join(f"round_even(quantile_cont({c}, 0.5), 0)::INT AS {c}" for c
     FROM plate p LEFT JOIN ink i USING (g_id) LEFT JOIN rim m USING (g_id)""",
 )
 def a4(spark, d):
-    crop = read(spark, d, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("x"))
+    crop = dealt(read(spark, d, "part"), "p_partkey").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("x"))
     crop = crop.select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("y")).selectExpr(*_STROKE_PX)
     c = strokes.region_colours(crop, "g_id")
     return c.select("g_id", *(F.col(f"{part}.{k}").alias(f"{part}_{k}") for part in ("plate", "ink", "rim") for k in "rgb"))

@@ -102,3 +102,20 @@ def test_repeated_pixels_and_null_zones(spark):
     (got,) = strokes.region_colours(df, "id").collect()
     assert (tuple(got["plate"]), tuple(got["ink"]), got["rim"]) == ((255, 255, 255), (0, 0, 0), None)
     assert strokes.region_colours(df.limit(0), "id").collect() == []
+
+
+def test_pixels_that_lie_together_are_not_shuffled_and_listed_colours_change_nothing(spark, monkeypatch):
+    px = field(60, 45, (250, 250, 250))
+    bars(px, (20, 20, 20), 6, 6, 8, 36, 6, 54)
+    rows = [(1, x, y, *c, "rest") for (x, y), c in px.items()]
+    df = spark.createDataFrame(rows, "id int, x int, y int, r int, g int, b int, zone string")
+    (listed,) = strokes.region_colours(df, "id").collect()
+    monkeypatch.setattr(strokes, "MOST_LISTED", 0)
+    assert strokes.region_colours(df, "id").collect() == [listed]
+    assert tuple(listed["ink"]) == (20, 20, 20)
+    body = df.where("r < 100").repartition(4, "id").select("id", "x", "y", "r")
+    sizes = df.groupBy("id").agg(*(F.expr(f"{f}({c})").alias(c + e) for c in "xy" for f, e in (("min", "0"), ("max", "1"))))
+    deep = strokes.depth(body, "id", sizes)
+    plan = deep._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(id") == 2  # the pixels as given and their bounds
+    assert deep.columns == ["id", "x", "y", "r", "depth"] and deep.count() == body.count()
