@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from quirefold.functions import text as T
+from quirefold.plans.session import spread
 from quirefold.streaming.state import in_order
 
 
@@ -179,8 +180,8 @@ def pack_recent(pairs: DataFrame, by: str, pos: str, cost: Column, budget: int)
 
 
 def to_ranges(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Sorted distinct integers as runs ``first``, ``last``."""
-    rows = df.select(by, value).distinct()
+    """Sorted distinct integers as runs ``first``, ``last``; one shuffle, of tasks of bounded size."""
+    rows = spread(df.select(by, value), by).distinct()
     island = F.col(value) - F.row_number().over(Window.partitionBy(by).orderBy(value))
     runs = rows.withColumn("__island", island).groupBy(by, "__island")
     return runs.agg(F.min(value).alias("first"), F.max(value).alias("last")).drop("__island")
