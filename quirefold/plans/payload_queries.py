@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirefold.functions import layout, payload
-from quirefold.plans.registry import query, read
+from quirefold.plans.registry import dealt, query, read
 
 _SCHEMA = {
     "type": "dict",
@@ -136,7 +136,7 @@ def l2(spark, d):
 
 
 def names(spark, d):
-    return read(spark, d, "part").selectExpr("p_partkey", "p_partkey div 50 AS page", "concat(p_name, ' ', p_type, '-', p_brand) AS text", "CAST(20 + p_size * 3 AS DOUBLE) AS w", "CAST(10 + p_partkey % 60 AS DOUBLE) AS h")
+    return dealt(read(spark, d, "part"), "p_partkey").selectExpr("p_partkey", "p_partkey div 50 AS page", "concat(p_name, ' ', p_type, '-', p_brand) AS text", "CAST(20 + p_size * 3 AS DOUBLE) AS w", "CAST(10 + p_partkey % 60 AS DOUBLE) AS h")
 
 
 _ROOM = "greatest(w / (0.5 * size) - 2, 1)"
