@@ -168,6 +168,8 @@ PARTS = 4
 PLACES = BYTES * PARTS
 #: Pairs of a list of so many members are all looked at; longer lists are compared in blocks.
 SHORT_LIST = 8
+#: Values of a shingle's hash that are counted apart.
+COUNTED = 256
 #: Members of a block of a longer list, of which a task compares two at a time.
 LIST_BLOCK = 512
 
@@ -230,6 +232,18 @@ def jaccard(a: str | None, b: str | None, words: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def shingle_counts(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """How many distinct shingles of a text fall to each of ``COUNTED`` values of their hash.
+
+    Two texts share no more shingles than the sum of their lesser counts, so what they would
+    have to share can be ruled out without the texts.
+    """
+    import xxhash
+
+    h = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in set(_shingles(_words_of(text), words))), dtype=np.uint64)
+    return np.bincount((h % np.uint64(COUNTED)).astype(np.int64), minlength=COUNTED).astype(np.int32)
+
+
 def _pairs_of(members: DataFrame, by: list[str]) -> DataFrame:
     """``src, dst`` of members of different groups in one list, all of them; for short lists."""
     a = members.select(*by, F.col("node").alias("src"), F.col("group").alias("ga"))
@@ -237,17 +251,19 @@ def _pairs_of(members: DataFrame, by: list[str]) -> DataFrame:
     return a.hint("merge").join(b, by).where("src < dst AND ga <> gb").select("src", "dst")
 
 
-def _blocks_met(members: DataFrame, by: list[str], max_bits: int, block: int = LIST_BLOCK) -> DataFrame:
+def _blocks_met(members: DataFrame, by: list[str], max_bits: int, block: int = LIST_BLOCK, similarity: float = 0.0) -> DataFrame:
     """``src, dst`` of all members of different groups in one list within ``max_bits``, for lists of any length.
 
-    ``members`` has ``node, group, sig``. A list is dealt into blocks of some ``block`` members by a hash;
+    ``members`` has ``node, group, sig`` and maybe ``counts`` (``shingle_counts``), by which pairs that cannot
+    have ``similarity`` are left out. A list is dealt into blocks of some ``block`` members by a hash;
     each pair of its blocks meets in a task of its own that compares the signatures and gives only
     pairs that are near, so a task holds two blocks and no pair is left out.
     """
     sizes = members.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("__blocks"))
     dealt = members.hint("merge").join(sizes, by).withColumn("__own", F.pmod(F.xxhash64("node"), F.col("__blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__other")
-    sent = dealt.select(*by, "node", "group", "sig", "__own", other)
+    counted = ["counts"] if "counts" in members.columns else []
+    sent = dealt.select(*by, "node", "group", "sig", *counted, "__own", other)
     sent = sent.withColumns({"__low": F.least("__own", "__other"), "__high": F.greatest("__own", "__other")})
 
     def near(part: pd.DataFrame) -> pd.DataFrame:
@@ -255,12 +271,17 @@ def _blocks_met(members: DataFrame, by: list[str], max_bits: int, block: int = L
         node, group = part["node"].to_numpy(), part["group"].to_numpy()
         own, mixed = part["__own"].to_numpy(), part["__low"].iat[0] != part["__high"].iat[0]
         sig = np.array(part["sig"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(part), -1)
+        counts = np.array(part["counts"].tolist(), dtype=np.int32).reshape(len(part), -1) if counted else None
+        size = counts.sum(axis=1, dtype=np.int64) if counted else None
         src, dst = [], []
         for i in range(len(part) - 1):
             later = np.arange(i + 1, len(part))
             later = later[(group[i + 1 :] != group[i]) & ((own[i + 1 :] != own[i]) | (not mixed))]
             bits = np.bitwise_count(sig[later] ^ sig[i]).sum(axis=1, dtype=np.int64)
             later = later[bits <= max_bits]
+            if counted and len(later):  # alike by s, they share s / (1 + s) of both sizes together
+                shared = np.minimum(counts[later], counts[i]).sum(axis=1, dtype=np.int64)
+                later = later[shared + 1e-6 >= similarity / (1 + similarity) * (size[later] + size[i])]
             src.append(np.full(len(later), node[i]))
             dst.append(node[later])
         none = [np.empty(0, dtype=np.int64)]
@@ -279,14 +300,17 @@ def similar(
     each, or more where there are more texts (``list_width``; ``width`` overrides it).
 
     First a list's members are set against its least and its greatest node; the lists that a
-    pair shares are tallied, pairs with more than ``max_bits`` of the 256 bits unequal go (at
-    a similarity of 0.8 the mean is 39), and of the rest each text is verified on the texts'
-    shingles with the one it shares most lists with, then those pairs whose ends are not
-    connected yet. What is left are lists of three or more whose members are not one group
+    pair shares are tallied. Pairs are tested, those with more than ``max_bits`` of the 256 bits
+    unequal go (at a similarity of 0.8 the mean is 39) and the others are verified on the texts'
+    shingles, in three rounds: of each text the pair that shares most lists, then of each two
+    groups that are not connected yet the one that does, then whatever still lies between
+    groups. So a group of near copies costs pairs in proportion to its members, and no
+    pair is left out that could connect. What is left are lists of three or more whose members are not one group
     by then, of any length: all pairs of different groups are looked at, in lists of up to
     ``SHORT_LIST`` by a join and in longer ones block by block (``_blocks_met``). No list is
     cut to its ends. Lists that unrelated texts fill cost the square of their length in
-    comparisons of signatures, a task holds two blocks of one, and only near pairs become rows.
+    comparisons of signatures, a task holds two blocks of one, and only near pairs that may share
+    enough shingles by their counts (``shingle_counts``) become rows.
 
     Edges are exact, the search is not: a pair at 0.8 shares a list with a probability of
     about 0.9, one at 0.9 of over 0.99, and groups are linked through any of their pairs.
@@ -315,9 +339,8 @@ def similar(
     differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
 
     def near_of(pairs: DataFrame, label: str) -> DataFrame:
-        tally = pairs.groupBy("src", "dst").agg(F.count("*").alias("lists"))
-        near = tally.hint("merge").join(a, "src").hint("merge").join(b, "dst").where(differ <= max_bits)
-        return materialise(near.select("src", "dst", "lists"), label)
+        near = pairs.hint("merge").join(a, "src").hint("merge").join(b, "dst").where(differ <= max_bits)
+        return materialise(near.select("src", "dst"), label)
 
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -337,14 +360,30 @@ def similar(
         own = found.select(F.col("node").alias(node), F.col("component").alias("__c"))
         return rows.hint("merge").join(own, node, "left").withColumn(out, F.coalesce("__c", node)).drop("__c")
 
-    near = near_of(pairs, "similar-candidates")
-    ends = [near.groupBy(F.col(c).alias("node")).agg(F.max(F.struct("lists", "src", "dst")).alias("b")) for c in ("src", "dst")]
-    best = ends[0].unionAll(ends[1]).groupBy("node").agg(F.max("b").alias("b")).select("b.src", "b.dst").distinct()
-    needed = texts_of(near, "similar-texts")
-    edges = verified(best, needed, "similar-first")
+    def tested(pairs: DataFrame, label: str) -> DataFrame:
+        near = near_of(pairs, f"similar-{label}-near")
+        return verified(near, texts_of(near, f"similar-{label}-texts"), f"similar-{label}")
+
+    def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        return grouped(grouped(pairs.drop("ca", "cb"), found, "src", "ca"), found, "dst", "cb").where("ca <> cb")
+
+    def most_shared(pairs: DataFrame, *by: Column) -> DataFrame:
+        return pairs.groupBy(*by).agg(F.max(F.struct("lists", "src", "dst")).alias("b"))
+
+    tally = materialise(pairs.groupBy("src", "dst").agg(F.count("*").alias("lists")), "similar-candidates")
+    best = most_shared(tally, F.col("src").alias("node")).unionAll(most_shared(tally, F.col("dst").alias("node")))
+    first = materialise(best.groupBy("node").agg(F.max("b").alias("b")).select("b.src", "b.dst").distinct(), "similar-best")
+    edges = tested(first, "first")
     found = connected_components(edges)
-    rest = grouped(grouped(near, found, "src", "ca"), found, "dst", "cb").where("ca <> cb").select("src", "dst")
-    edges = materialise(edges.unionAll(verified(rest.join(best.hint("merge"), ["src", "dst"], "left_anti"), needed, "similar-rest")), "similar-edges")
+    rest = materialise(apart(tally, found).join(first.hint("merge"), ["src", "dst"], "left_anti"), "similar-apart")
+    second = materialise(most_shared(rest, F.least("ca", "cb"), F.greatest("ca", "cb")).select("b.src", "b.dst"), "similar-groups")
+    new = tested(second, "second")
+    if not new.isEmpty():
+        edges = materialise(edges.unionAll(new), "similar-edges")
+        rest = apart(rest, connected_components(edges))
+    rest = materialise(rest.join(second.hint("merge"), ["src", "dst"], "left_anti").select("src", "dst"), "similar-left")
+    if not rest.isEmpty():
+        edges = materialise(edges.unionAll(tested(rest, "rest")), "similar-edges")
 
     more = met.where("n > 2").select("node", "k")
     if more.isEmpty():
@@ -357,12 +396,19 @@ def similar(
     pairs = _pairs_of(members.where(F.col("n") <= SHORT_LIST), ["k"])
     long = members.where(F.col("n") > SHORT_LIST)
     if not long.isEmpty():
-        wide = long.hint("merge").join(prints.select("node", "sig"), "node").select("k", "node", "group", "sig")
-        pairs = pairs.unionAll(materialise(_blocks_met(wide, ["k"], max_bits), "similar-long"))
-    again = near_of(pairs.join(near.hint("merge"), ["src", "dst"], "left_anti"), "similar-again").select("src", "dst")
-    if again.isEmpty():
-        return edges
-    return edges.unionAll(verified(again, texts_of(again, "similar-more-texts"), "similar-last"))
+
+        @F.pandas_udf("array<int>")
+        def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                yield pd.Series([shingle_counts(x, words, seed) for x in batch])
+
+        own = texts.join(long.select("node").distinct().hint("merge"), "node", "left_semi").select("node", counted("text").alias("counts"))
+        own = materialise(own, "similar-counts").hint("merge").join(prints.select("node", "sig"), "node")
+        wide = long.hint("merge").join(own, "node").select("k", "node", "group", "sig", "counts")
+        pairs = pairs.unionAll(materialise(_blocks_met(wide, ["k"], max_bits, similarity=similarity), "similar-long"))
+    # what was tallied and is of different groups still has been looked at
+    again = pairs.distinct().join(tally.select("src", "dst").hint("merge"), ["src", "dst"], "left_anti")
+    return edges.unionAll(tested(again, "again"))
 
 
 def keep_one_similar(
