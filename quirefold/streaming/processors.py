@@ -14,7 +14,20 @@ def _in_order(rows: Iterable[Row], *by: str) -> list[Row]:
 
 
 class _Timed(StatefulProcessor):
-    """With at most one timer a key."""
+    """With at most one timer a key.
+
+    Each call on state or timers is a message between Python and the JVM, and a key of few rows
+    costs little else. So a key's timer is kept in its state, not asked for.
+    """
+
+    def _move_timer(self, old: int | None, at_ms: float, now_ms: int) -> int:
+        """The key's timer, set instead of ``old``."""
+        at_ms = max(int(at_ms), now_ms + 1)
+        if old != at_ms:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at_ms)
+        return at_ms
 
     def _set_timer(self, at_ms: int, now_ms: int) -> None:
         at_ms = max(int(at_ms), now_ms + 1)
@@ -39,13 +52,14 @@ class TaskRuns(_Timed):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "started timestamp, updated timestamp, done long, total long, status string")
+        self.run = handle.getValueState("run", "started timestamp, updated timestamp, done long, total long, status string, timer long")
         self.lines = handle.getListState("lines", "line string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        run = list(self.run.get()) if self.run.exists() else None
-        lines = [x[0] for x in self.lines.get()] if run else []
-        met = False
+        held = self.run.get()
+        run, timer = (list(held[:5]), held[5]) if held else (None, None)
+        lines = [x[0] for x in self.lines.get()] if run and run[4] != "expired" else []
+        had, met = bool(lines), False
         for r in _in_order(rows, "seq"):
             if run is None or r["kind"] == "start":
                 run, lines = [r["ts"], r["ts"], None, None, "running"], []
@@ -63,27 +77,28 @@ class TaskRuns(_Timed):
                     del lines[: -self.keep]
         if not met:
             return
-        self.run.update(tuple(run))
         if lines:
             self.lines.put([(x,) for x in lines])
-        else:
+        elif had:
             self.lines.clear()
         if run[4] != "running":
-            self._set_timer(run[1].timestamp() * 1000 + self.expiry_s * 1000, timerValues.getCurrentWatermarkInMs())
-        else:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
+            timer = self._move_timer(timer, run[1].timestamp() * 1000 + self.expiry_s * 1000, timerValues.getCurrentWatermarkInMs())
+        elif timer is not None:
+            self.handle.deleteTimer(timer)
+            timer = None
+        self.run.update((*run, timer))
         yield Row(
             task=key[0], started=run[0], updated=run[1], done=run[2], total=run[3],
             lines=len(lines), last_line=lines[-1] if lines else None, status=run[4],
         )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        run = self.run.get() if self.run.exists() else None
+        run = self.run.get()
         if run is not None and run[4] in ("finished", "failed"):
-            self.run.update((run[0], run[1], None, None, "expired"))
+            timer = timerValues.getCurrentWatermarkInMs() + self.mark_s * 1000
+            self.run.update((run[0], run[1], None, None, "expired", timer))
             self.lines.clear()
-            self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.mark_s * 1000)
+            self.handle.registerTimer(timer)
         elif run is not None and run[4] == "expired":
             self.run.clear()
         return iter(())
@@ -97,10 +112,10 @@ class Transfers(_Timed):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.at = handle.getValueState("at", "attempt long, base long, moved long, total long, size long")
+        self.at = handle.getValueState("at", "attempt long, base long, moved long, total long, size long, timer long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        attempt, base, moved, total, size = self.at.get() if self.at.exists() else (-1, 0, 0, None, None)
+        attempt, base, moved, total, size, timer = self.at.get() or (-1, 0, 0, None, None, None)
         last = 0.0
         for r in _in_order(rows, "seq"):
             last = max(last, r["ts"].timestamp())
@@ -114,8 +129,8 @@ class Transfers(_Timed):
                 moved += r["amount"] or 0
             elif r["kind"] == "finish":
                 size = r["amount"]
-        self.at.update((attempt, base, moved, total, size))
-        self._set_timer((last + self.expiry_s) * 1000, timerValues.getCurrentWatermarkInMs())
+        timer = self._move_timer(timer, (last + self.expiry_s) * 1000, timerValues.getCurrentWatermarkInMs())
+        self.at.update((attempt, base, moved, total, size, timer))
         phase = "finalizing" if size is not None else "downloading" if moved > 0 else "preparing"
         count, top = (base + moved, total) if size is None else (size, size)
         yield Row(job=key[0], file=key[1], count=count, total=top, phase=phase)
@@ -133,18 +148,18 @@ class Throttle(_Timed):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at double")
+        self.last = handle.getValueState("last", "at double, timer long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        last = self.last.get()[0] if self.last.exists() else None
+        last, timer = self.last.get() or (None, None)
         for r in _in_order(rows, self.at):
             s = r[self.at].timestamp()
             if r[self.forced] or last is None or s - last >= self.gap:
                 last = s
                 yield Row(**{self.key: key[0], self.at: r[self.at]})
         if last is not None:
-            self.last.update((last,))
-            self._set_timer((last + self.gap) * 1000, timerValues.getCurrentWatermarkInMs())
+            timer = self._move_timer(timer, (last + self.gap) * 1000, timerValues.getCurrentWatermarkInMs())
+            self.last.update((last, timer))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.last.clear()

@@ -93,3 +93,61 @@ def test_a_mark_of_an_expired_run_goes_too(spark, tmp_path, kind):
     ]
     got = run(spark, tmp_path, batches, TASKS, lambda s: state.task_state(s, delay="1 second", mark_s=60), "update")
     assert [(r["done"], r["status"]) for _, r in got if r["task"] == "a"] == [(None, "finished" if kind == "finish" else "failed"), (7, "running")]
+
+
+def test_timers_are_kept_in_state_and_never_listed():
+    from datetime import datetime
+
+    from quirefold.streaming.processors import TaskRuns, Throttle, Transfers
+
+    class State:
+        value = None
+
+        def get(self):
+            return self.value if self.value is not None else iter(()) if self.many else None
+
+        def exists(self):
+            raise AssertionError("one message more")
+
+        def update(self, value):
+            self.value = value
+
+        put = update
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+
+        def _state(self, many):
+            s = State()
+            s.many = many
+            return s
+
+        def getValueState(self, name, schema):
+            return self._state(False)
+
+        def getListState(self, name, schema):
+            return self._state(True)
+
+        def registerTimer(self, at):
+            assert not self.timers
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    at = [datetime.fromtimestamp(100 * (i + 1)) for i in range(4)]
+    for one, kinds in ((Transfers(5), ("advance", "advance", "finish", "advance")), (TaskRuns(3, 5, 9), ("finish", "start", "error", "start")), (Throttle("key", "ts", "forced", 1.0), (0, 0, 0, 0))):
+        handle = Handle()
+        one.init(handle)
+        for i, kind in enumerate(kinds):
+            row = {"ts": at[i], "seq": i, "kind": kind, "attempt": 1, "amount": 1, "start": None, "total": None, "done": None, "line": None, "forced": False}
+            assert len(list(one.handleInputRows(("a", "b"), iter([row]), Now()))) == 1
+        assert handle.timers == (set() if isinstance(one, TaskRuns) else {400_000 + (1000 if isinstance(one, Throttle) else 5000)})
