@@ -290,10 +290,37 @@ def _blocks_met(members: DataFrame, by: list[str], max_bits: int, block: int = L
     return sent.groupBy(*by, "__low", "__high").applyInPandas(near, "src long, dst long")
 
 
+def _group_of(rows: DataFrame, found: DataFrame, node: str, out: str) -> DataFrame:
+    """``rows`` with the group of ``node`` as ``out``: a node that ``found`` does not have is one by itself."""
+    own = found.select(F.col("node").alias(node), F.col("component").alias("__c"))
+    return rows.hint("merge").join(own, node, "left").withColumn(out, F.coalesce("__c", node)).drop("__c")
+
+
+def regrouped(found: DataFrame, new: DataFrame) -> DataFrame:
+    """Groups ``node, component`` of ``found`` after further edges ``src, dst``.
+
+    Only the groups that new edges lie between are linked, so that what the components cost, in jobs
+    and in plans that the driver holds, follows the new edges and not all edges found so far.
+    """
+    ends = materialise(_group_of(_group_of(new.select("src", "dst"), found, "src", "ca"), found, "dst", "cb"), "similar-ends")
+    moved = connected_components(ends, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("__to"))
+    seen = found.select("node", "component").unionAll(ends.select("src", "ca")).unionAll(ends.select("dst", "cb")).distinct()
+    placed = seen.hint("merge").join(moved, "component", "left")
+    return materialise(placed.select("node", F.coalesce("__to", "component").alias("component")), "similar-grouped")
+
+
 def similar(
     texts: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, max_bits: int = 60, width: int | None = None
 ) -> DataFrame:
-    """Edges ``src, dst`` that connect distinct texts whose shingle sets have ``similarity`` or more.
+    """Edges ``src, dst`` that connect distinct texts whose shingle sets have ``similarity`` or more, as ``similar_groups`` finds them."""
+    return similar_groups(texts, words, similarity, seed, max_bits, width)[0]
+
+
+def similar_groups(
+    texts: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, max_bits: int = 60, width: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Edges ``src, dst`` that connect distinct texts whose shingle sets have ``similarity`` or more, and
+    the groups that they make: ``node, component`` of each text with an edge, the smallest node of its group.
 
     ``texts`` has ``node, text``, a row for each distinct text. An inverted index over the
     32 byte positions of ``signature``: a text is in ``list_places`` lists, under three bytes
@@ -314,6 +341,7 @@ def similar(
 
     Edges are exact, the search is not: a pair at 0.8 shares a list with a probability of
     about 0.9, one at 0.9 of over 0.99, and groups are linked through any of their pairs.
+    Groups are carried from round to round: each links only what its own edges join (``regrouped``).
     """
     at = list_places(width or list_width(texts.count()))
 
@@ -356,16 +384,12 @@ def similar(
         held = pairs.hint("merge").join(one, "src").hint("merge").join(two, "dst").where(alike("ta", "tb") >= similarity)
         return materialise(held.select("src", "dst"), label)
 
-    def grouped(rows: DataFrame, found: DataFrame, node: str, out: str) -> DataFrame:
-        own = found.select(F.col("node").alias(node), F.col("component").alias("__c"))
-        return rows.hint("merge").join(own, node, "left").withColumn(out, F.coalesce("__c", node)).drop("__c")
-
     def tested(pairs: DataFrame, label: str) -> DataFrame:
         near = near_of(pairs, f"similar-{label}-near")
         return verified(near, texts_of(near, f"similar-{label}-texts"), f"similar-{label}")
 
     def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-        return grouped(grouped(pairs.drop("ca", "cb"), found, "src", "ca"), found, "dst", "cb").where("ca <> cb")
+        return _group_of(_group_of(pairs.drop("ca", "cb"), found, "src", "ca"), found, "dst", "cb").where("ca <> cb")
 
     def most_shared(pairs: DataFrame, *by: Column) -> DataFrame:
         return pairs.groupBy(*by).agg(F.max(F.struct("lists", "src", "dst")).alias("b"))
@@ -374,25 +398,25 @@ def similar(
     best = most_shared(tally, F.col("src").alias("node")).unionAll(most_shared(tally, F.col("dst").alias("node")))
     first = materialise(best.groupBy("node").agg(F.max("b").alias("b")).select("b.src", "b.dst").distinct(), "similar-best")
     edges = tested(first, "first")
-    found = connected_components(edges)
+    found = materialise(connected_components(edges), "similar-grouped")
     rest = materialise(apart(tally, found).join(first.hint("merge"), ["src", "dst"], "left_anti"), "similar-apart")
     second = materialise(most_shared(rest, F.least("ca", "cb"), F.greatest("ca", "cb")).select("b.src", "b.dst"), "similar-groups")
     new = tested(second, "second")
     if not new.isEmpty():
-        edges = materialise(edges.unionAll(new), "similar-edges")
-        rest = apart(rest, connected_components(edges))
+        edges, found = edges.unionAll(new), regrouped(found, new)
+        rest = apart(rest, found)
     rest = materialise(rest.join(second.hint("merge"), ["src", "dst"], "left_anti").select("src", "dst"), "similar-left")
-    if not rest.isEmpty():
-        edges = materialise(edges.unionAll(tested(rest, "rest")), "similar-edges")
+    if not rest.isEmpty() and not (new := tested(rest, "rest")).isEmpty():
+        edges, found = edges.unionAll(new), regrouped(found, new)
 
     more = met.where("n > 2").select("node", "k")
     if more.isEmpty():
-        return edges
-    members = materialise(grouped(more, connected_components(edges), "node", "group"), "similar-members")
+        return edges, found
+    members = materialise(_group_of(more, found, "node", "group"), "similar-members")
     mixed = members.groupBy("k").agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.count("*").alias("n")).where("g1 <> g2").select("k", "n")
     members = materialise(members.join(mixed.hint("merge"), "k"), "similar-mixed")
     if members.isEmpty():
-        return edges
+        return edges, found
     pairs = _pairs_of(members.where(F.col("n") <= SHORT_LIST), ["k"])
     long = members.where(F.col("n") > SHORT_LIST)
     if not long.isEmpty():
@@ -408,7 +432,8 @@ def similar(
         pairs = pairs.unionAll(materialise(_blocks_met(wide, ["k"], max_bits, similarity=similarity), "similar-long"))
     # what was tallied and is of different groups still has been looked at
     again = pairs.distinct().join(tally.select("src", "dst").hint("merge"), ["src", "dst"], "left_anti")
-    return edges.unionAll(tested(again, "again"))
+    new = tested(again, "again")
+    return (edges, found) if new.isEmpty() else (edges.unionAll(new), regrouped(found, new))
 
 
 def keep_one_similar(
@@ -428,8 +453,7 @@ def keep_one_similar(
     rows = materialise(with_id.select(*(v.alias(k) for k, v in named.items())), "similar-rows")
     texts = with_id.select(F.xxhash64(text).alias("node"), F.hash(text).alias("check"), text.alias("text")).groupBy("node")
     texts = materialise(texts.agg(F.min("check").alias("check"), F.min_by("text", "check").alias("text")), "similar-distinct")
-    edges = materialise(similar(texts.select("node", "text"), words, similarity, seed), "similar-links")
-    found = connected_components(edges).select(F.col("node").alias("__node"), "component")
+    found = similar_groups(texts.select("node", "text"), words, similarity, seed)[1].select(F.col("node").alias("__node"), "component")
     own = texts.select(F.col("node").alias("__node"), F.col("check").alias("__check"), F.lit(True).alias("own"))
     placed = rows.hint("merge").join(own, ["__node", "__check"], "left").hint("merge").join(found, "__node", "left")
     # another text of the same first hash is in no group but its copies'
