@@ -170,6 +170,8 @@ PLACES = BYTES * PARTS
 SHORT_LIST = 8
 #: Values of a shingle's hash that are counted apart.
 COUNTED = 256
+#: Classes of a text's candidates, by a hash, of each of which the nearest is verified first.
+PICKS = 4
 #: Members of a block of a longer list, of which a task compares two at a time.
 LIST_BLOCK = 512
 
@@ -244,11 +246,16 @@ def shingle_counts(text: str | None, words: int = 5, seed: int = 42) -> np.ndarr
     return np.bincount((h % np.uint64(COUNTED)).astype(np.int64), minlength=COUNTED).astype(np.int32)
 
 
-def _pairs_of(members: DataFrame, by: list[str]) -> DataFrame:
-    """``src, dst`` of members of different groups in one list, all of them; for short lists."""
-    a = members.select(*by, F.col("node").alias("src"), F.col("group").alias("ga"))
-    b = members.select(*by, F.col("node").alias("dst"), F.col("group").alias("gb"))
-    return a.hint("merge").join(b, by).where("src < dst AND ga <> gb").select("src", "dst")
+def _differ(a: str, b: str) -> Column:
+    """Bits in which two signatures are unequal."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
+
+
+def _pairs_of(members: DataFrame, by: list[str], max_bits: int) -> DataFrame:
+    """``src, dst`` of all members of different groups in one list within ``max_bits``; for short lists."""
+    a = members.select(*by, F.col("node").alias("src"), F.col("group").alias("ga"), F.col("sig").alias("sa"))
+    b = members.select(*by, F.col("node").alias("dst"), F.col("group").alias("gb"), F.col("sig").alias("sb"))
+    return a.hint("merge").join(b, by).where("src < dst AND ga <> gb").where(_differ("sa", "sb") <= max_bits).select("src", "dst")
 
 
 def _blocks_met(members: DataFrame, by: list[str], max_bits: int, block: int = LIST_BLOCK, similarity: float = 0.0) -> DataFrame:
@@ -326,12 +333,14 @@ def similar_groups(
     32 byte positions of ``signature``: a text is in ``list_places`` lists, under three bytes
     each, or more where there are more texts (``list_width``; ``width`` overrides it).
 
-    First a list's members are set against its least and its greatest node; the lists that a
-    pair shares are tallied. Pairs are tested, those with more than ``max_bits`` of the 256 bits
-    unequal go (at a similarity of 0.8 the mean is 39) and the others are verified on the texts'
-    shingles, in three rounds: of each text the pair that shares most lists, then of each two
-    groups that are not connected yet the one that does, then whatever still lies between
-    groups. So a group of near copies costs pairs in proportion to its members, and no
+    First a list's members are set against its least and its greatest node. The members of shared
+    lists carry their signatures, so pairs with more than ``max_bits`` of the 256 bits unequal go
+    where they are made (at a similarity of 0.8 the mean is 39). The others are verified on the texts'
+    shingles in three rounds: of each text the pairs with the fewest unequal bits (one for each of
+    ``PICKS`` classes of the other text, so that most groups are whole after it), then of each two
+    groups that are not connected yet the one that has them, then whatever still lies between
+    groups. A pair looks its texts' groups up once, then only what became of those groups. So a
+    group of near copies costs pairs in proportion to its members, two a list at most, and no
     pair is left out that could connect. What is left are lists of three or more whose members are not one group
     by then, of any length: all pairs of different groups are looked at, in lists of up to
     ``SHORT_LIST`` by a join and in longer ones block by block (``_blocks_met``). No list is
@@ -360,15 +369,15 @@ def similar_groups(
     posted = prints.select("node", F.explode("keys").alias("k"))
     ends = posted.groupBy("k").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
     met = materialise(posted.join(ends.hint("merge"), "k"), "similar-met")
-    pairs = met.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
-    pairs = pairs.select(F.least("node", "end").alias("src"), F.greatest("node", "end").alias("dst"))
-    a = prints.select(F.col("node").alias("src"), F.col("sig").alias("sa"))
-    b = prints.select(F.col("node").alias("dst"), F.col("sig").alias("sb"))
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
-
-    def near_of(pairs: DataFrame, label: str) -> DataFrame:
-        near = pairs.hint("merge").join(a, "src").hint("merge").join(b, "dst").where(differ <= max_bits)
-        return materialise(near.select("src", "dst"), label)
+    met = materialise(met.hint("merge").join(prints.select("node", "sig"), "node"), "similar-signed")
+    both = met.groupBy("k").agg(F.min_by("sig", "node").alias("first"), F.max_by("sig", "node").alias("last"))
+    both = materialise(both, "similar-ends-signed")
+    pairs = met.select("k", "node", "sig", "low", "high").join(both.hint("merge"), "k")
+    own = (F.struct(F.col(end).alias("end"), F.col(other).alias("other")) for end, other in (("low", "first"), ("high", "last")))
+    pairs = pairs.select("node", "sig", F.explode(F.array(*own)).alias("e"))
+    pairs = pairs.select("node", "sig", "e.*").where("node <> end").withColumn("bits", _differ("sig", "other")).where(F.col("bits") <= max_bits)
+    pairs = pairs.select(F.least("node", "end").alias("src"), F.greatest("node", "end").alias("dst"), "bits")
+    near = materialise(pairs.distinct(), "similar-near")
 
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -385,31 +394,32 @@ def similar_groups(
         return materialise(held.select("src", "dst"), label)
 
     def tested(pairs: DataFrame, label: str) -> DataFrame:
-        near = near_of(pairs, f"similar-{label}-near")
-        return verified(near, texts_of(near, f"similar-{label}-texts"), f"similar-{label}")
+        return verified(pairs, texts_of(pairs, f"similar-{label}-texts"), f"similar-{label}")
+
+    def apart(pairs: DataFrame, found: DataFrame, one: str, two: str) -> DataFrame:
+        return _group_of(_group_of(pairs, found, one, "ca"), found, two, "cb").where("ca <> cb")
 
-    def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-        return _group_of(_group_of(pairs.drop("ca", "cb"), found, "src", "ca"), found, "dst", "cb").where("ca <> cb")
+    def nearest(pairs: DataFrame, *by: Column) -> DataFrame:
+        return pairs.groupBy(*by).agg(F.min(F.struct("bits", "src", "dst")).alias("b"))
 
-    def most_shared(pairs: DataFrame, *by: Column) -> DataFrame:
-        return pairs.groupBy(*by).agg(F.max(F.struct("lists", "src", "dst")).alias("b"))
+    def picks(node: str, other: str) -> DataFrame:
+        return nearest(near, F.col(node).alias("node"), F.pmod(F.xxhash64(other), F.lit(PICKS)).alias("pick"))
 
-    tally = materialise(pairs.groupBy("src", "dst").agg(F.count("*").alias("lists")), "similar-candidates")
-    best = most_shared(tally, F.col("src").alias("node")).unionAll(most_shared(tally, F.col("dst").alias("node")))
-    first = materialise(best.groupBy("node").agg(F.max("b").alias("b")).select("b.src", "b.dst").distinct(), "similar-best")
+    best = picks("src", "dst").unionAll(picks("dst", "src")).groupBy("node", "pick").agg(F.min("b").alias("b"))
+    first = materialise(best.select("b.src", "b.dst").distinct(), "similar-best")
     edges = tested(first, "first")
     found = materialise(connected_components(edges), "similar-grouped")
-    rest = materialise(apart(tally, found).join(first.hint("merge"), ["src", "dst"], "left_anti"), "similar-apart")
-    second = materialise(most_shared(rest, F.least("ca", "cb"), F.greatest("ca", "cb")).select("b.src", "b.dst"), "similar-groups")
+    rest = materialise(apart(near, found, "src", "dst").join(first.hint("merge"), ["src", "dst"], "left_anti"), "similar-apart")
+    second = materialise(nearest(rest, F.least("ca", "cb"), F.greatest("ca", "cb")).select("b.src", "b.dst"), "similar-groups")
     new = tested(second, "second")
     if not new.isEmpty():
         edges, found = edges.unionAll(new), regrouped(found, new)
-        rest = apart(rest, found)
+        rest = apart(rest, found, "ca", "cb")  # a group goes by one of its nodes
     rest = materialise(rest.join(second.hint("merge"), ["src", "dst"], "left_anti").select("src", "dst"), "similar-left")
     if not rest.isEmpty() and not (new := tested(rest, "rest")).isEmpty():
         edges, found = edges.unionAll(new), regrouped(found, new)
 
-    more = met.where("n > 2").select("node", "k")
+    more = met.where("n > 2").select("node", "k", "sig")
     if more.isEmpty():
         return edges, found
     members = materialise(_group_of(more, found, "node", "group"), "similar-members")
@@ -417,7 +427,7 @@ def similar_groups(
     members = materialise(members.join(mixed.hint("merge"), "k"), "similar-mixed")
     if members.isEmpty():
         return edges, found
-    pairs = _pairs_of(members.where(F.col("n") <= SHORT_LIST), ["k"])
+    pairs = _pairs_of(members.where(F.col("n") <= SHORT_LIST), ["k"], max_bits)
     long = members.where(F.col("n") > SHORT_LIST)
     if not long.isEmpty():
 
@@ -427,12 +437,12 @@ def similar_groups(
                 yield pd.Series([shingle_counts(x, words, seed) for x in batch])
 
         own = texts.join(long.select("node").distinct().hint("merge"), "node", "left_semi").select("node", counted("text").alias("counts"))
-        own = materialise(own, "similar-counts").hint("merge").join(prints.select("node", "sig"), "node")
+        own = materialise(own, "similar-counts")
         wide = long.hint("merge").join(own, "node").select("k", "node", "group", "sig", "counts")
         pairs = pairs.unionAll(materialise(_blocks_met(wide, ["k"], max_bits, similarity=similarity), "similar-long"))
-    # what was tallied and is of different groups still has been looked at
-    again = pairs.distinct().join(tally.select("src", "dst").hint("merge"), ["src", "dst"], "left_anti")
-    new = tested(again, "again")
+    # what is of different groups still and was near before has been verified
+    again = pairs.distinct().join(near.select("src", "dst").hint("merge"), ["src", "dst"], "left_anti")
+    new = tested(materialise(again, "similar-anew"), "again")
     return (edges, found) if new.isEmpty() else (edges.unionAll(new), regrouped(found, new))
 
 
